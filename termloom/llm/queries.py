@@ -7,13 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termloom.llm import langid, quality
 from termloom.llm.common import table
+from termloom.llm.fingerprints import fingerprint_edits
+from termloom.llm.linededup import drop_common_lines
 from termloom.llm.mixing import mix_sources
+from termloom.llm.packing import pack_documents
 from termloom.llm.sharding import shard_documents
+from termloom.llm.topk import integer_vectors, top_k
 from termloom.llm.urls import filter_urls
 
 #: Verdict, host, path.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+MIN_LINE_DOCS = 10
+
+
+def public_file(name: str) -> str:
+    """Where a public tokenizer's file lies; the installed package is the default place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def _fold(c: str, of: int):  # noqa: ANN202
+    return F.pmod(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(of))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,10 +38,45 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "p_block")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.filter(_fold("doc_id", 3) != 1), langid.vocabulary(public_file("piece_bpe_32k.model")))
+    found = langid.identify(docs.drop("lang"), model)
+    return found.select("doc_id", (_fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=MIN_LINE_DOCS)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_file("byte_bpe_50k.json"))
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprint_edits(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(_fold("doc_id", 5) != 0).select("doc_id", F.col("quality").alias("label"))
+    model = quality.train(docs.join(labels, "doc_id"), max_rows=20_000)
+    scored = quality.score_quality(docs, model)
+    predicted = (F.col("quality_score") >= 0.3).cast("int")
+    return scored.select("doc_id", (_fold("doc_id", 5) == 0).alias("held_out"), F.col("quality_score").alias("score"), predicted.alias("predicted"))
+
+
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = integer_vectors(table(spark, sf_dir, "embeddings"))
+    return top_k(vectors.filter("vec_id % 20 = 0"), vectors, 20)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mix_sources(table(spark, sf_dir, "documents"))
     return mix.documents.select("doc_id", "size", "source_size", "target", "taken")
@@ -32,7 +84,34 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_language_id": op2_language_id,
     "op3_sharding": op3_sharding,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_fingerprints": op6_fingerprints,
+    "op8_quality": op8_quality,
+    "op9_exact_topk": op9_exact_topk,
     "op10_mixing": op10_mixing,
 }
-ORACLES: dict[str, str] = {}
+#: What trims and lower-cases as the operators do, in DuckDB.
+_SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+ORACLES: dict[str, str] = {
+    "op4_line_dedup": f"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+  FROM documents),
+keyed AS (SELECT *, translate(trim(line, {_SPACE}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+common AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= {MIN_LINE_DOCS})
+SELECT doc_id, count(*) AS n_lines, count(common.k) AS n_dropped,
+  sha256(coalesce(string_agg(CASE WHEN common.k IS NULL THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256
+FROM keyed LEFT JOIN common USING (k) GROUP BY doc_id""",
+    "op9_exact_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20""",
+}
