@@ -21,6 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 CELLS = 4_096
 #: Up to so many sources, the grid of cells is broadcast; beyond, it is joined by shuffle.
 MANY_SOURCES = 100_000
+#: Up to so many documents, what the mix takes of them is broadcast to their texts; beyond, it is joined by shuffle.
+MANY_COPIES = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -31,7 +33,7 @@ class Mix:
     schedule: DataFrame
     #: row_id, source_no, block, epoch, first_word, n_words: what of which document a block holds
     segments: DataFrame
-    #: row_id, doc_id, source, size, source_size, target, taken
+    #: row_id, doc_id, text_crc32, source, size, source_size, target, taken
     documents: DataFrame
 
 
@@ -73,7 +75,7 @@ def mix_sources(
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     base = cut(
-        docs.select("doc_id", "source", size.alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("_crc"))
+        docs.select("doc_id", "source", size.alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"))
         .withColumn("row_id", F.monotonically_increasing_id()),
         "mix-rows",
     )
@@ -88,7 +90,7 @@ def mix_sources(
 
     # streams: where each document starts in its source
     buckets = buckets_for(spark, rows)
-    key = F.xxhash64(F.lit(seed), "doc_id", "_crc")
+    key = F.xxhash64(F.lit(seed), "doc_id", "text_crc32")
     placed = running(
         base.join(sources, base.source.eqNullSafe(sources.source)).select(base["*"], "source_no", "source_size", "target", "words")
         .withColumn("_key", key).withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(buckets))),
@@ -111,13 +113,33 @@ def mix_sources(
     schedule = source_schedule(sources, buckets)
     taken = pieces.join(schedule, ["source_no", "block"]).groupBy("row_id").agg(F.sum("n_words").alias("taken"))
     out = (
-        placed.select("row_id", "doc_id", "source", "size", "source_size", "target")
+        placed.select("row_id", "doc_id", "text_crc32", "source", "size", "source_size", "target")
         .join(taken, "row_id", "left")
         .withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
     )
     return Mix(sources, schedule, pieces, out)
 
 
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """The rows of docs as often as the mix takes them: once for each epoch that takes over half of their words.
+
+    Words come near the targets to one document a source. Documents without words stay once: they
+    take no part in the mix and no room in it.
+    """
+    mix = mix_sources(docs, weights, share, cap)
+    met = mix.segments.groupBy("row_id", "epoch").agg(F.sum("n_words").alias("_words"))
+    base = mix.documents.select("row_id", "doc_id", "text_crc32", "size")
+    times = base.join(met, "row_id", "left").withColumn("_times", ((F.col("_words") * 2 > F.col("size")) | (F.col("size") == 0)).cast("int"))
+    copies = times.groupBy("doc_id", "text_crc32").agg(F.sum("_times").alias("_times"), F.count_distinct("row_id").alias("_rows")).filter("_times > 0")
+    copies = cut(copies.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), "_times", "_rows"), "mix-copies")
+    n, repeated = copies.agg(F.count(F.lit(1)), F.coalesce(F.max("_rows") > 1, F.lit(False))).first()
+    named = docs.withColumn("_text", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
+    named = named.dropDuplicates(["doc_id", "_text"]) if repeated else named
+    same = named.doc_id.eqNullSafe(F.col("_id")) & (named._text == F.col("_crc"))
+    out = named.join(F.broadcast(copies) if n <= MANY_COPIES else copies, same)  # 32 bytes a document
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def source_schedule(sources: DataFrame, buckets: int) -> DataFrame:
     """(slot, source_no, block): golden-ratio points through the cumulative numbers of blocks.
 

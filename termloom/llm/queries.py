@@ -12,6 +12,7 @@ from termloom.llm.common import table
 from termloom.llm.fingerprints import fingerprint_edits
 from termloom.llm.linededup import drop_common_lines
 from termloom.llm.mixing import mix_sources
+from termloom.llm.neardup import near_duplicates
 from termloom.llm.packing import pack_documents
 from termloom.llm.sharding import shard_documents
 from termloom.llm.topk import integer_vectors, top_k
@@ -63,6 +64,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").filter(_fold("doc_id", 5) != 0).select("doc_id", F.col("quality").alias("label"))
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_fingerprints": op6_fingerprints,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_quality": op8_quality,
     "op9_exact_topk": op9_exact_topk,
     "op10_mixing": op10_mixing,
