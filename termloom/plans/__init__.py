@@ -1,6 +1,6 @@
 """Named plans over the driver's tables."""
 
-from termloom.plans import hierarchy_queries  # noqa: F401
+from termloom.plans import hierarchy_queries, valueset_queries  # noqa: F401
 from termloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
