@@ -214,7 +214,7 @@ UNION ALL SELECT 'P:' || p_partkey, 'size', CAST(p_size AS VARCHAR) FROM part WH
 SELECT 'part-brand' AS map, 'parts' AS source, 'brands' AS target, 'P:' || p_partkey AS code, CASE WHEN p_size > 3 THEN 'B:' || p_brand END AS target_code,
   CASE WHEN p_size > 3 THEN 'source-is-narrower-than-target' END AS relationship, p_size <= 3 AS no_map FROM part WHERE p_size <= 40
 UNION ALL SELECT 'brand-type', 'brands', 'types', 'B:' || p_brand, 'T:' || p_type, 'related-to', false FROM
-  (SELECT p_brand, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_type) AS place FROM part GROUP BY ALL) WHERE place = 1""",
+  (SELECT p_brand, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_type) AS place FROM (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY p_brand, p_type)) WHERE place = 1""",
 }
 _NEEDS = {"closure": ["edges", "walks"], "walks": ["edges"], "acceptability": ["designations"]}
 
