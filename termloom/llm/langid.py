@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,8 @@ START = "▁"
 UNKNOWN = "und"
 #: Words whose scores a task keeps.
 KEPT_WORDS = 400_000
+#: Texts whose new words are scored together, and the longest words that are (their probabilities stay within range).
+TEXTS, TOGETHER = 256, 40
 #: Training words are cut off here (scored texts never are).
 TRAIN_LETTERS = 64
 
@@ -61,6 +64,51 @@ class LanguageModel:
             prefixes[piece] = tuple(row)
         return cls(languages, priors, prefixes, floor)
 
+    @cached_property
+    def _rows(self) -> tuple[dict[str, int], np.ndarray, int]:
+        """Row of each prefix (0: no piece), the rows' probabilities (the last is the floor's), and the longest piece."""
+        places, rows = {}, [(0.0,) * len(self.languages)]
+        for prefix, p in self.prefixes.items():
+            places[prefix] = len(rows) if p is not None else 0
+            if p is not None:
+                rows.append(p)
+        return places, np.array([*rows, (self.floor,) * len(self.languages)]), max(map(len, places), default=1)
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """`word` of many words: one forward pass for all words of a length."""
+        out = np.empty((len(words), len(self.languages)))
+        places, p, longest = self._rows
+        get, floor = places.get, len(p) - 1
+        by_length: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            if len(w) > TOGETHER:
+                out[i] = self.word(w)
+            else:
+                by_length.setdefault(len(w) + 1, []).append(i)
+        for n, at in by_length.items():
+            wide, where, what = min(n, longest), [], []
+            for column, i in enumerate(at):
+                text = START + words[i]
+                for a in range(n):
+                    for b in range(a + 1, min(n, a + wide) + 1):
+                        row = get(text[a:b])
+                        if row or b == a + 1:
+                            where.append((a * wide + b - a - 1) * len(at) + column)
+                            what.append(row or floor)
+                        if row is None:
+                            break
+            steps = np.zeros(n * wide * len(at), np.int64)
+            steps[where] = what
+            steps = steps.reshape(n, wide, len(at))
+            ahead = np.zeros((n + 1, len(at), len(self.languages)))
+            ahead[0] = 1
+            for a in range(n):
+                for k in range(min(wide, n - a)):
+                    if steps[a, k].any():
+                        ahead[a + k + 1] += ahead[a] * p[steps[a, k]]
+            out[at] = np.log(np.maximum(ahead[n], 1e-300))
+        return out
+
     def word(self, word: str) -> list[float]:
         """Log probability in each language, summed over all segmentations."""
         text, get, k = START + word, self.prefixes.get, len(self.languages)
@@ -168,23 +216,19 @@ def train(docs: DataFrame, pieces: list[str], docs_each: int = 1_000, rounds: in
     return LanguageModel.of(languages, priors, pieces, weights)
 
 
-class _Words(dict):
-    """Word -> row of a matrix of log probabilities; row 0 is all zeros, for runs without a letter."""
+class _Words:
+    """Words -> rows of a matrix of log probabilities; row 0 is all zeros, for runs without a letter."""
 
     def __init__(self, model: LanguageModel) -> None:
-        self.model, self.rows = model, np.zeros((1024, len(model.languages)))
-        self.used = 1
+        self.model, self.rows, self.place = model, np.zeros((1, len(model.languages))), {}
 
-    def __missing__(self, word: str) -> int:
-        if not any(map(str.isalpha, word)):
-            self[word] = 0
-            return 0
-        if self.used == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[self.used] = self.model.word(word)
-        self[word] = row = self.used
-        self.used += 1
-        return row
+    def add(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.place]
+        real = [w for w in new if w.isalpha() or any(map(str.isalpha, w))]
+        self.place |= dict.fromkeys(new, 0)
+        self.place |= zip(real, range(len(self.rows), len(self.rows) + len(real)))
+        if real:
+            self.rows = np.concatenate([self.rows, self.model.words(real)])
 
 
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
@@ -201,19 +245,22 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     @F.pandas_udf("struct<lang_pred: string, score: double>")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        words = _Words(model)
+        held = _Words(model)
         for texts in batches:
             out = []
-            for text in texts:
-                if len(words) > KEPT_WORDS:
-                    words = _Words(model)
-                rows = np.fromiter(map(words.__getitem__, WORD.findall(text.lower())), np.int64) if text else np.zeros(0, np.int64)
-                if not rows.any():
-                    out.append((UNKNOWN, 0.0))
-                    continue
-                total = words.rows[rows].sum(axis=0) + model.priors
-                best = int(total.argmax())
-                out.append((model.languages[best], 1 / float(np.exp(total - total[best]).sum())))
+            for start in range(0, len(texts), TEXTS):
+                parts = [WORD.findall(t.lower()) if t else [] for t in texts.iloc[start : start + TEXTS]]
+                if len(held.place) > KEPT_WORDS:
+                    held = _Words(model)
+                held.add(set().union(*parts))
+                for part in parts:
+                    rows = np.fromiter(map(held.place.__getitem__, part), np.int64, len(part))
+                    if not rows.any():
+                        out.append((UNKNOWN, 0.0))
+                        continue
+                    total = held.rows[rows].sum(axis=0) + model.priors
+                    best = int(total.argmax())
+                    out.append((model.languages[best], 1 / float(np.exp(total - total[best]).sum())))
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
     made = docs.withColumn("_lang", predict("text"))
