@@ -75,7 +75,18 @@ def _filters(rules: DataFrame) -> DataFrame:
     return rules.filter("filter_no IS NOT NULL").select(*_RULE, "system", "filter_no", "property", "op", "value").withColumn("_cond", F.concat(F.lit("f"), "filter_no"))
 
 
-def tree_filters(rules: DataFrame, t: SystemTables) -> DataFrame:
+def _kinds(rules: DataFrame) -> set[str]:
+    """What kinds of rows there are, so that the plan holds no branch without rows: a few words, whatever the rules."""
+    tree = F.col("op").isin(*TREE_OPS)
+    kind = (
+        F.when(F.col("code").isNotNull(), "listed").when(F.col("ref_url").isNotNull(), "ref").when(F.col("filter_no").isNull(), "all")
+        .when(tree, F.col("op")).when(F.col("op") == "in-refset", "refset").when(F.col("property").isin("parent", "child"), F.col("property"))
+        .when(F.col("property").isin("concept", "code"), "code").otherwise("property")
+    )
+    return {r[0] for r in rules.select(kind).distinct().collect()}
+
+
+def tree_filters(rules: DataFrame, t: SystemTables, kinds: set[str] | None = None) -> DataFrame:
     """is-a, descendent-of, is-not-a, generalizes, child-of, descendent-leaf on the concept, and parent / child of one hop."""
     f = _filters(rules).filter(F.col("op").isin(*TREE_OPS) | (F.col("property").isin("parent", "child") & (F.col("op") == "=")))
     cond = F.col("_cond")
@@ -86,15 +97,18 @@ def tree_filters(rules: DataFrame, t: SystemTables) -> DataFrame:
     parent = t.edges.select("system", F.col("parent").alias("code"), F.col("child").alias("value"))
     leaf = down.join(t.edges.select("system", F.col("parent").alias("code")), ["system", "code"], "left_anti")
     on = ["system", "value"]
-    parts = [
-        f.filter("op IN ('is-a', 'generalizes')").join(exact, on),
-        f.filter("op IN ('is-a', 'descendent-of')").join(down, on),
-        f.filter("op = 'generalizes'").join(up, on),
-        f.filter("op = 'child-of' OR (property = 'parent' AND op = '=')").join(child, on),
-        f.filter("property = 'child' AND op = '='").join(parent, on),
-        f.filter("op = 'descendent-leaf'").join(leaf, on),
+    branches = [
+        ({"is-a", "generalizes"}, "op IN ('is-a', 'generalizes')", exact),
+        ({"is-a", "descendent-of"}, "op IN ('is-a', 'descendent-of')", down),
+        ({"generalizes"}, "op = 'generalizes'", up),
+        ({"child-of", "parent"}, "op = 'child-of' OR (property = 'parent' AND op = '=')", child),
+        ({"child"}, "property = 'child' AND op = '='", parent),
+        ({"descendent-leaf"}, "op = 'descendent-leaf'", leaf),
     ]
-    out = reduce(DataFrame.unionByName, [_keyed(p, cond) for p in parts]).distinct()
+    used = [_keyed(f.filter(test).join(other, on), cond) for own, test, other in branches if kinds is None or own & kinds]
+    out = reduce(DataFrame.unionByName, used or [_keyed(f.limit(0).join(exact, on), cond)]).distinct()
+    if kinds is not None and "is-not-a" not in kinds:
+        return out
     nots = f.filter("op = 'is-not-a'")
     inside = _keyed(nots.join(exact, on), cond).unionByName(_keyed(nots.join(down, on), cond))
     outside = _keyed(nots.join(t.concepts.select("system", "code"), "system"), cond).join(inside, [*_RULE, "cond", "system", "code"], "left_anti")
@@ -153,15 +167,21 @@ def undeclared(rules: DataFrame, t: SystemTables) -> DataFrame:
 def _evaluate(rules: DataFrame, t: SystemTables, known: DataFrame | None) -> DataFrame:
     """Expansions of the urls in rules, whose references are all in known (url, system, code)."""
     whole = rules.filter("code IS NULL AND filter_no IS NULL AND ref_url IS NULL").select(*_RULE, "system")
-    parts = [enumerated(rules, t), tree_filters(rules, t), code_filters(rules, t), property_filters(rules, t), _keyed(whole.join(t.concepts.select("system", "code"), "system"), F.lit("all"))]
-    if t.members is not None:
-        parts.append(refset_filters(rules, t))
-    if known is not None:
+    kinds = _kinds(rules)
+    ways = {
+        "listed": lambda: enumerated(rules, t), "code": lambda: code_filters(rules, t), "property": lambda: property_filters(rules, t), "refset": lambda: refset_filters(rules, t),
+        "all": lambda: _keyed(whole.join(t.concepts.select("system", "code"), "system"), F.lit("all")),
+    }
+    parts = [way() for kind, way in ways.items() if kind in kinds]
+    if kinds & {*TREE_OPS, "parent", "child"}:
+        parts.append(tree_filters(rules, t, kinds))
+    if known is not None and "ref" in kinds:
         refs = rules.filter("ref_url IS NOT NULL").select(*_RULE, F.col("system").alias("_only"), "ref_url")
         held = refs.join(known.select(F.col("url").alias("ref_url"), "system", "code"), "ref_url").filter("_only IS NULL OR _only = system")
         parts.append(_keyed(held, F.concat(F.lit("r"), "ref_url")))
     conds = F.when(F.col("code").isNotNull(), "listed").when(F.col("filter_no").isNotNull(), F.concat(F.lit("f"), "filter_no")).when(F.col("ref_url").isNotNull(), F.concat(F.lit("r"), "ref_url")).otherwise("all")
     wanted = rules.groupBy(*_RULE).agg(F.count_distinct(conds).alias("_n"))
+    parts = parts or [_keyed(whole.limit(0).join(t.concepts.select("system", "code"), "system"), F.lit("all"))]
     met = reduce(DataFrame.unionByName, parts).groupBy(*_RULE, "system", "code").agg(F.count_distinct("cond").alias("_met"), F.min("place").alias("place"), F.max("label").alias("label"))
     met = met.join(wanted, _RULE).filter("_met = _n")
     first = F.min(F.struct("rule_no", F.coalesce("place", F.lit(0)).alias("place"), "label"))
@@ -183,6 +203,7 @@ def expand(rules: DataFrame, t: SystemTables, active_only: bool = False, selecta
     Rules inside an include intersect, includes unite (the first keeps its place), excludes go.
     References are resolved from the ones below up; a circle of references is an error.
     """
+    rules = cut(rules, "rules")
     refs = rules.filter("ref_url IS NOT NULL").select("url", "ref_url").distinct()
     if refs.isEmpty():
         out = _evaluate(rules, t, None)
