@@ -1,45 +1,21 @@
-"""Shared helpers: table reads, lineage cuts in the shared folder, two-level numbering."""
+"""Shared helpers of the corpus operators: ASCII case, two-level running sums, small frames."""
 
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from termloom.tables import cut, table
+
+__all__ = ["ascii_lower", "buckets_for", "cut", "running", "small_frame", "table"]
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Largest number of rows that one (group, bucket) of a two-level numbering should hold.
 ROWS_PER_BUCKET = 65_536
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only in local mode, where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else _LOCAL.setdefault("dir", found)
-    return _LOCAL.get("dir", found)
-
-
-_LOCAL: dict[str, str] = {}
-
-
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Writes df once into the shared folder and reads it back: no lineage, no second evaluation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(c, ASCII_UPPER, ASCII_UPPER.lower())
