@@ -29,7 +29,7 @@ WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
 UNKNOWN = "und"
 #: Words whose scores a task keeps.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 #: Texts whose new words are scored together, and the longest words that are (their probabilities stay within range).
 TEXTS, TOGETHER = 256, 40
 #: Training words are cut off here (scored texts never are).

@@ -8,8 +8,9 @@ their similarity, and what is left is verified on the full sets.
 
 Documents of equal sets are one class from the start. Classes that share a band are first compared
 with one leader each (the class of the least doc_id), so a group of any size costs one comparison
-a member. Only what is then still in different components meets again: in further rounds with other
-leaders, and last in full, in blocks, so that no link between two components is left out.
+a member. Only what is then still in different components meets again in its bands, in blocks: first
+each class with the likeliest partner in another component, then, as few are left, every likely pair
+of two components, so that no link between them is left out.
 """
 
 from __future__ import annotations
@@ -30,12 +31,14 @@ BANDS, ROWS = 48, 6
 M = BANDS * ROWS
 #: SetSketch parameters: base, rate and the largest register value less one.
 BASE, RATE, LIMIT = 1.001, 20.0, 2**16 - 2
-#: A pair is verified where its estimate is at least the threshold less this (about six standard errors).
-MARGIN = 0.15
+#: A pair is verified where its estimate is at least the threshold less this (about four standard errors).
+MARGIN = 0.10
 #: Up to so many document ids (8 bytes each) are broadcast to pick texts; more are joined by shuffle.
 EVERYWHERE = 2_000_000
 #: Members of one block of a full comparison.
 BLOCK = 512
+#: Word hashes that a worker process keeps (about 200 bytes each); it outlives its tasks.
+KEPT_HASHES = 100_000
 _STEP = 40_000
 _MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _ODD = np.random.Generator(np.random.PCG64(20240607)).integers(0, 2**64, M, np.uint64) | np.uint64(1)
@@ -43,7 +46,7 @@ _ODD = np.random.Generator(np.random.PCG64(20240607)).integers(0, 2**64, M, np.u
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > KEPT_HASHES:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
@@ -171,8 +174,7 @@ class _Comparer:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose sets have intersection and union as 100 x i >= share x u."""
-        pairs = cut(pairs, "likely-pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+        wanted = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
         ids = cut(self.classes.join(wanted, "k").select("k", "id"), "pair-classes")
         few = ids.count() <= EVERYWHERE
         pick = ids.select(F.col("id").alias("_id"), F.col("k").alias("_k"))
@@ -207,15 +209,18 @@ class _Comparer:
         return map_slices(self._with(pairs, held, ["set"]), make, "a binary, b binary")
 
 
-def _full_pairs(members: DataFrame, classes: DataFrame, share: int) -> DataFrame:
-    """Likely pairs (a, b) in different components of all members (bucket, k, comp, size) of the same bucket, in blocks."""
+def _cross_pairs(members: DataFrame, classes: DataFrame, share: int, best: bool) -> DataFrame:
+    """Likely pairs (a, b) in different components of all members (bucket, band, k, comp, size) of the same bucket, in blocks.
+
+    best: only each class's likeliest partner among those that its block has not yet paired it with.
+    """
     least = share / 100 - MARGIN
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("k"), F.col("_blocks")).cast("int")
     spread = (
         members.withColumn("_blocks", blocks).withColumn("_own", own).join(classes.select("k", "registers", "n_shingles"), "k")
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        .select("bucket", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"), "_own", "k", "comp", "registers", "n_shingles")
+        .select("bucket", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"), "_own", "k", "comp", "registers", "n_shingles", "band")
     )
 
     def compare(rows: list[tuple]) -> tuple[list[bytes], list[bytes]]:
@@ -234,9 +239,12 @@ def _full_pairs(members: DataFrame, classes: DataFrame, share: int) -> DataFrame
                 js = js[own[js] != own[i]]
             js = js[np.minimum(sizes[js], sizes[i]) >= share / 100 * np.maximum(sizes[js], sizes[i]) - 1e-9]
             if len(js):
-                js = js[(regs[js] == regs[i]).sum(axis=1) >= M * max(0.0, least - MARGIN)]  # far below any likely pair
+                same = regs[js] == regs[i]
+                first = same.reshape(len(js), BANDS, ROWS).all(axis=2).argmax(axis=1)  # a pair counts in its first common band alone
+                js = js[(first == rows[i][8]) & (same.sum(axis=1) >= M * max(0.0, least - MARGIN))]  # the rest is far below any likely pair
             if len(js):
-                js = js[estimate(np.broadcast_to(regs[i], (len(js), M)), regs[js], np.full(len(js), sizes[i]), sizes[js]) >= least]
+                likely = estimate(np.broadcast_to(regs[i], (len(js), M)), regs[js], np.full(len(js), sizes[i]), sizes[js])
+                js = js[likely >= least] if not best else js[[int(likely.argmax())]] if likely.max() >= least else js[:0]
                 a += [rows[i][4]] * len(js)
                 b += [rows[j][4] for j in js]
         return a, b
@@ -261,7 +269,7 @@ def _full_pairs(members: DataFrame, classes: DataFrame, share: int) -> DataFrame
     return spread.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(run, "a binary, b binary").distinct()
 
 
-def near_duplicates(docs: DataFrame, share: int = 75, rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, share: int = 75) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
     Two documents are linked where 100 x intersection >= share x union of their sets; component_id
@@ -272,16 +280,16 @@ def near_duplicates(docs: DataFrame, share: int = 75, rounds: int = 2) -> DataFr
     result.
     """
     drawn = cut(sketch(docs), "sketches")
-    linked = component_map(docs, drawn, share, rounds)
+    linked = component_map(docs, drawn, share)
     out = drawn.select("doc_id", "text_hash", "n_shingles", "k").join(linked, "k", "left")
     component = F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_one_of_each(docs: DataFrame, share: int = 75, rounds: int = 2) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, share: int = 75) -> DataFrame:
     """docs with one document of each component of near duplicates, the one of the least doc_id; of repeated rows one."""
-    found = near_duplicates(docs, share, rounds).filter("kept").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("_rows"))
+    found = near_duplicates(docs, share).filter("kept").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("_rows"))
     found = cut(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_rows"), "kept-documents")
     n, repeated = found.agg(F.count(F.lit(1)), F.coalesce(F.max("_rows") > 1, F.lit(False))).first()
     named = docs.withColumn("_text", F.xxhash64("text"))
@@ -290,36 +298,34 @@ def keep_one_of_each(docs: DataFrame, share: int = 75, rounds: int = 2) -> DataF
     return (kept.dropDuplicates(["doc_id", "_text"]) if repeated else kept).drop("_text")
 
 
-def _bucket_of(regs: str) -> Column:
-    return F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col(regs), i * (2 * ROWS) + 1, F.lit(2 * ROWS)))))
+def _buckets_of(regs: str) -> Column:
+    return F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col(regs), i * (2 * ROWS) + 1, F.lit(2 * ROWS)))))
 
 
-def component_map(docs: DataFrame, drawn: DataFrame, share: int, rounds: int) -> DataFrame:
+def component_map(docs: DataFrame, drawn: DataFrame, share: int) -> DataFrame:
     """(k, component_id) for each class of equal sets."""
     classes = cut(
         drawn.filter("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")),
         "set-classes",
     )
-    banded = classes.select("k", "id", _bucket_of("registers").alias("bucket"))
+    banded = classes.select("k", "id", _buckets_of("registers").alias("band", "bucket"))
     full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "k")).alias("lead")).filter("size > 1")
-    members = cut(banded.join(full, "bucket").select("bucket", "k", "id", "size", "lead"), "band-members")
+    members = cut(banded.join(full, "bucket").select("bucket", "band", "k", "id", "size", "lead"), "band-members")
     comparer = _Comparer(docs, classes, share)
-    pairs = members.filter("k != lead.k").groupBy("k").agg(F.min("lead").alias("lead")).select(F.col("lead.k").alias("a"), F.col("k").alias("b"))
-    links = cut(comparer.links(comparer.likely(pairs)), "links")
+    pairs = members.filter("k != lead.k").groupBy("k").agg(F.min("lead").alias("lead")).select(F.least("lead.k", "k").alias("a"), F.greatest("lead.k", "k").alias("b"))
+    tested = cut(comparer.likely(pairs.distinct()), "leader-pairs")
+    links = cut(comparer.links(tested), "links")
     labels = components(links)
-    mixed = members.select("bucket", "k", "size")
-    for n in range(rounds):
-        named = mixed.join(labels, F.col("k") == F.col("node"), "left").select("bucket", "k", "size", F.coalesce("label", "k").alias("comp"))
-        split = named.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(F.xxhash64("k", F.lit(n)), "k", "comp")).alias("lead")).filter("low != high")
-        named = cut(named.join(split.select("bucket", "lead"), "bucket"), "mixed-members")
-        mixed = named.select("bucket", "k", "size")
+    mixed = members.select("bucket", "band", "k", "size")
+    for best in (True, False):
+        named = mixed.join(labels, F.col("k") == F.col("node"), "left").select("bucket", "band", "k", "size", F.coalesce("label", "k").alias("comp"))
+        split = named.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high")
+        named = cut(named.join(split.select("bucket"), "bucket"), "mixed-members")
+        mixed = named.select("bucket", "band", "k", "size")
         if named.isEmpty():
             break
-        if n < rounds - 1:
-            pairs = named.filter("comp != lead.comp").groupBy("k").agg(F.min("lead").alias("lead")).select(F.col("lead.k").alias("a"), F.col("k").alias("b"))
-            pairs = comparer.likely(pairs)
-        else:
-            pairs = _full_pairs(named, classes, share)
+        pairs = cut(_cross_pairs(named, classes, share, best).join(tested, ["a", "b"], "left_anti"), "cross-pairs")
+        tested = tested.unionByName(pairs)
         links = cut(links.unionByName(comparer.links(pairs)), "links")
         labels = components(links)
     found = classes.select("k", "id").join(labels, F.col("k") == F.col("node"), "left").select("k", "id", F.coalesce("label", "k").alias("label"))
