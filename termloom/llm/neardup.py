@@ -9,8 +9,10 @@ their similarity, and what is left is verified on the full sets.
 Documents of equal sets are one class from the start. Classes that share a band are first compared
 with one leader each (the class of the least doc_id), so a group of any size costs one comparison
 a member. Only what is then still in different components meets again in its bands, in blocks: first
-each class with the likeliest partner in another component, then, as few are left, every likely pair
-of two components, so that no link between them is left out.
+each class with the likeliest partner in another component, then every likely pair of two components,
+so that no link between them is left out. In that last step blocks hold a sample of each set too (all
+of a set up to SAMPLE shingles), so that of the likely pairs only those leave the task that are, or
+in larger sets may be, linked.
 """
 
 from __future__ import annotations
@@ -37,6 +39,10 @@ MARGIN = 0.10
 EVERYWHERE = 2_000_000
 #: Members of one block of a full comparison.
 BLOCK = 512
+#: Shingles of a set that a block holds in the last step, those of least hash.
+SAMPLE = 1024
+#: A pair of sampled sets is verified where its sample is at least the threshold less this (four standard errors); of whole sets, less rounding.
+SAMPLE_MARGIN, WHOLE_MARGIN = 0.055, 0.001
 #: Word hashes that a worker process keeps (about 200 bytes each); it outlives its tasks.
 KEPT_HASHES = 100_000
 _STEP = 40_000
@@ -174,53 +180,74 @@ class _Comparer:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose sets have intersection and union as 100 x i >= share x u."""
-        wanted = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
+        held = self.sets(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct())
+        share = self.share
+
+        def make(batch: pa.RecordBatch) -> dict[str, object]:
+            column = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names}
+            keep = []
+            for x, y in zip(column["set_a"].to_pylist(), column["set_b"].to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                if 100 * min(len(x), len(y)) < share * max(len(x), len(y)):
+                    keep.append(False)
+                    continue
+                both = _common(x, y)
+                keep.append(100 * both >= share * (len(x) + len(y) - both))
+            return {"a": column["a"].filter(pa.array(keep)), "b": column["b"].filter(pa.array(keep))}
+
+        return map_slices(self._with(pairs, held, ["set"]), make, "a binary, b binary")
+
+    def sets(self, wanted: DataFrame, sampled: bool = False) -> DataFrame:
+        """(k, set) of the classes k in wanted: sorted 64-bit hashes; sampled: the upper 32 bits of the SAMPLE least ones."""
         ids = cut(self.classes.join(wanted, "k").select("k", "id"), "pair-classes")
         few = ids.count() <= EVERYWHERE
         pick = ids.select(F.col("id").alias("_id"), F.col("k").alias("_k"))
         texts = self.docs.join(F.broadcast(pick) if few else pick, self.docs.doc_id.eqNullSafe(F.col("_id")))
 
-        def sets(batch: pa.RecordBatch) -> dict[str, object]:
+        def make(batch: pa.RecordBatch) -> dict[str, object]:
             keys, out = batch.column(1).to_pylist(), {"k": [], "set": []}
             for at, found in _sets(utf8(batch.column(0)), _HASHES):
                 for i, s in zip(at, found):
                     if xxhash.xxh3_128_digest(s.tobytes()) == keys[i]:  # else another row of the same doc_id
                         out["k"].append(keys[i])
-                        out["set"].append(s.tobytes())
+                        out["set"].append(((s[:SAMPLE] >> np.uint64(32)).astype(np.uint32) if sampled else s).tobytes())
             return out
 
-        held = cut(map_slices(texts.select(F.col("text").cast("binary"), "_k"), sets, "k binary, set binary").dropDuplicates(["k"]), "pair-sets")
-        share = self.share
+        return cut(map_slices(texts.select(F.col("text").cast("binary"), "_k"), make, "k binary, set binary").dropDuplicates(["k"]), "pair-sets")
 
-        def make(batch: pa.RecordBatch) -> dict[str, object]:
-            column = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names}
-            keep = []
-            for x, y in zip(column["set_a"].to_pylist(), column["set_b"].to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                x, y = (x, y) if len(x) <= len(y) else (y, x)
-                if 100 * len(x) < share * len(y):
-                    keep.append(False)
-                    continue
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                keep.append(100 * both >= share * (len(x) + len(y) - both))
-            return {"a": column["a"].filter(pa.array(keep)), "b": column["b"].filter(pa.array(keep))}
 
-        return map_slices(self._with(pairs, held, ["set"]), make, "a binary, b binary")
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many elements two sorted arrays without repeats share."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+
+
+def may_link(x: np.ndarray, y: np.ndarray, nx: int, ny: int, share: int) -> bool:
+    """Whether sets of nx and ny shingles with samples x and y can be linked: exact but for rounding where the samples are whole."""
+    whole = nx <= SAMPLE and ny <= SAMPLE
+    if not whole:  # the least hashes of the union, as far as both samples reach
+        end = min(s[-1] for s, n in ((x, nx), (y, ny)) if n > SAMPLE)
+        x, y = x[: np.searchsorted(x, end, "right")], y[: np.searchsorted(y, end, "right")]
+    both = _common(x, y)
+    return both >= (share / 100 - (WHOLE_MARGIN if whole else SAMPLE_MARGIN)) * (len(x) + len(y) - both)
 
 
-def _cross_pairs(members: DataFrame, classes: DataFrame, share: int, best: bool) -> DataFrame:
+def _cross_pairs(members: DataFrame, classes: DataFrame, share: int, samples: DataFrame | None) -> DataFrame:
     """Likely pairs (a, b) in different components of all members (bucket, band, k, comp, size) of the same bucket, in blocks.
 
-    best: only each class's likeliest partner among those that its block has not yet paired it with.
+    Without samples: only each class's likeliest partner among those that its block has not yet paired
+    it with. With samples (k, set): all pairs that these allow.
     """
+    best = samples is None
+    held = classes.select("k", "registers", "n_shingles")
+    held = held.withColumn("set", F.lit(None).cast("binary")) if best else held.join(samples, "k")
     least = share / 100 - MARGIN
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("k"), F.col("_blocks")).cast("int")
     spread = (
-        members.withColumn("_blocks", blocks).withColumn("_own", own).join(classes.select("k", "registers", "n_shingles"), "k")
+        members.withColumn("_blocks", blocks).withColumn("_own", own).join(held, "k")
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        .select("bucket", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"), "_own", "k", "comp", "registers", "n_shingles", "band")
+        .select("bucket", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"), "_own", "k", "comp", "registers", "n_shingles", "band", "set")
     )
 
     def compare(rows: list[tuple]) -> tuple[list[bytes], list[bytes]]:
@@ -232,6 +259,7 @@ def _cross_pairs(members: DataFrame, classes: DataFrame, share: int, best: bool)
         own, one_block = np.array([r[3] for r in rows]), rows[0][1] == rows[0][2]
         regs = np.frombuffer(b"".join(r[6] for r in rows), np.uint16).reshape(-1, M)
         sizes = np.array([r[7] for r in rows], float)
+        sets = None if best else [np.frombuffer(r[9], np.uint32) for r in rows]
         a, b = [], []
         for i in range(len(rows) - 1):
             js = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
@@ -244,7 +272,10 @@ def _cross_pairs(members: DataFrame, classes: DataFrame, share: int, best: bool)
                 js = js[(first == rows[i][8]) & (same.sum(axis=1) >= M * max(0.0, least - MARGIN))]  # the rest is far below any likely pair
             if len(js):
                 likely = estimate(np.broadcast_to(regs[i], (len(js), M)), regs[js], np.full(len(js), sizes[i]), sizes[js])
-                js = js[likely >= least] if not best else js[[int(likely.argmax())]] if likely.max() >= least else js[:0]
+                if best:
+                    js = js[[int(likely.argmax())]] if likely.max() >= least else js[:0]
+                else:
+                    js = [j for j in js[likely >= least] if may_link(sets[i], sets[j], rows[i][7], rows[j][7], share)]
                 a += [rows[i][4]] * len(js)
                 b += [rows[j][4] for j in js]
         return a, b
@@ -324,7 +355,8 @@ def component_map(docs: DataFrame, drawn: DataFrame, share: int) -> DataFrame:
         mixed = named.select("bucket", "band", "k", "size")
         if named.isEmpty():
             break
-        pairs = cut(_cross_pairs(named, classes, share, best).join(tested, ["a", "b"], "left_anti"), "cross-pairs")
+        samples = None if best else comparer.sets(named.select("k").distinct(), sampled=True)
+        pairs = cut(_cross_pairs(named, classes, share, samples).join(tested, ["a", "b"], "left_anti"), "cross-pairs")
         tested = tested.unionByName(pairs)
         links = cut(links.unionByName(comparer.links(pairs)), "links")
         labels = components(links)

@@ -16,7 +16,7 @@ from termloom.llm.cuckoo import CuckooFilter
 from termloom.llm.fingerprints import canonical, digest, edited_text, fingerprint, fingerprint_edits
 from termloom.llm.linededup import LineIndex, build_filters, drop_common_lines, line_keys, update_filters
 from termloom.llm.mixing import mix_sources, mixed_documents
-from termloom.llm.neardup import M, estimate, keep_one_of_each, near_duplicates, registers
+from termloom.llm.neardup import M, SAMPLE, estimate, keep_one_of_each, may_link, near_duplicates, registers
 from termloom.llm.packing import Encoder, encoder, pack, pack_documents, packing_plan
 from termloom.llm.queries import URL_RULES, public_file
 from termloom.llm.sharding import communication_matrix, hypergeometric, shard_documents, shard_rows
@@ -330,6 +330,32 @@ def test_near_duplicates(spark, none) -> None:  # noqa: ANN001
     assert near_duplicates(none).count() == 0 and keep_one_of_each(none).count() == 0
 
 
+def test_samples_keep_every_link() -> None:
+    """Pairs around the threshold, of whole samples, cut ones and one of each; and nothing far below is kept."""
+    rng = np.random.default_rng(6)
+    for n in (8, 300, SAMPLE - 100, SAMPLE + 50, 6 * SAMPLE):
+        for same in rng.integers(int(0.75 * n), int(0.95 * n), 40):
+            pool = rng.integers(0, 2**64, 2 * n, np.uint64)
+            x, y = np.unique(pool[:n]), np.unique(pool[n - same : n - same + int(n * rng.uniform(0.85, 1.1))])
+            both, u = len(np.intersect1d(x, y)), len(np.union1d(x, y))
+            cut = [(s[:SAMPLE] >> np.uint64(32)).astype(np.uint32) for s in (x, y)]
+            found = may_link(*cut, len(x), len(y), 75)
+            assert found == may_link(*cut[::-1], len(y), len(x), 75)
+            assert found or 100 * both < 75 * u
+            assert not found or both >= (0.74 if max(len(x), len(y)) <= SAMPLE else 0.62) * u
+
+
+def test_near_duplicates_in_last_step(spark, monkeypatch) -> None:  # noqa: ANN001
+    """Rows whose groups leave pairs to the last step, in blocks of three members."""
+    import termloom.llm.neardup as module
+
+    rows = near_rows()
+    want = brute_components(rows)
+    monkeypatch.setattr(module, "BLOCK", 3)
+    got = near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert all(r.component_id == want[r.doc_id][1] for r in got)
+
+
 def test_registers_merge_and_estimate() -> None:
     rng = np.random.default_rng(4)
     pool = rng.integers(0, 2**64, 2000, np.uint64)
