@@ -43,11 +43,12 @@ coded AS (SELECT date_trunc('hour', ts) AS start, 'C:' || (event_id % 2000) AS c
 up AS (SELECT descendant, ancestor FROM closure UNION SELECT code, code FROM coded)
 SELECT start, ancestor AS code, count(*) AS n FROM coded JOIN up ON descendant = code GROUP BY ALL""", "closure"))
 def stream_rollup(v: Views) -> DataFrame:
-    """All windows are emitted: complete mode keeps every count."""
-    name = "rollup_" + new_path(v.spark, "x").rpartition("-")[2]
+    """Each batch writes the counts that it changed; the last of each window and code holds. No window closes, so all are kept."""
+    sink = new_path(v.spark, "stream")
     counted = St.stream_rollup(events(v), v.closure, "1 hour", "3650 days")
-    counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", new_path(v.spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
-    return v.spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "code", "n")
+    St.for_each_batch(counted, lambda b: b, sink, new_path(v.spark, "stream-state"), mode="update").awaitTermination()
+    last = v.spark.read.parquet(sink).groupBy("start", "code").agg(F.max_by("n", "batch").alias("n"))
+    return last.select(F.col("start").cast("timestamp_ntz").alias("start"), "code", "n")
 
 
 @query("stream_closure_delta", sql("""
