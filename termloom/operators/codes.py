@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions.text import primary_language
 from termloom.functions.versions import version_matches
+from termloom.tables import cut
 
 # lookup and displays
 
@@ -212,32 +213,65 @@ def translate_reverse(facts: DataFrame, elements: DataFrame, name: str) -> DataF
     return facts.join(rows, "code").withColumnRenamed("_source", "target_code")
 
 
+def _grouped(df: DataFrame) -> DataFrame:
+    """df with group_no 0, no source and no target where it lacks these columns."""
+    null = F.lit(None).cast("string")
+    for name, value in (("group_no", F.lit(0)), ("source", null), ("target", null)):
+        df = df if name in df.columns else df.withColumn(name, value)
+    return df
+
+
+def _in_maps(facts: DataFrame, elements: DataFrame, unmapped: DataFrame) -> DataFrame:
+    """Matches of facts in their map (_map), and the rule of each group of it that found nothing; other_map where the rule passes on.
+
+    Rules are broadcast: one row a group of a map.
+    """
+    rows, null, known = _grouped(elements), F.lit(None).cast("string"), "system" in facts.columns
+    own = F.col("_source").isNull() | (F.col("_source") == F.col("system")) if known else F.lit(True)
+    found = rows.select(F.col("map").alias("_map"), *([F.col("source").alias("_source")] if known else []), "code", "target", "target_code", relationship(F.col("relationship")).alias("relationship"), "no_map").distinct()
+    hit = facts.join(found, ["_map", "code"]).filter(own).drop("_source").withColumn("other_map", null)
+    groups = rows.groupBy("map", "group_no").agg(F.min("source").alias("_source"), F.min("target").alias("_target"))
+    rules = _grouped(unmapped).join(groups, ["map", "group_no"], "left").select(
+        F.col("map").alias("_map"), F.col("group_no").alias("_group"), F.coalesce("source", "_source").alias("_source"), F.coalesce("target", "_target").alias("target"),
+        F.col("mode").alias("_mode"), F.col("fixed_code").alias("_fixed"), relationship(F.col("relationship")).alias("_rel"), F.when(F.col("mode") == "other-map", F.col("other_map")).alias("other_map"),
+    ).filter("_mode IS NULL OR _mode != 'other-map' OR other_map IS NOT NULL").distinct()
+    asked = facts.join(F.broadcast(rules), "_map").filter(own)
+    left = asked.join(rows.select(F.col("map").alias("_map"), F.col("group_no").alias("_group"), "code"), ["_map", "_group", "code"], "left_anti")
+    same, fixed, on = F.col("_mode").isin("use-source-code", "provided"), F.col("_mode") == "fixed", F.col("_mode") == "other-map"
+    refused = F.raise_error(F.concat(F.lit("unknown unmapped mode: "), F.coalesce("_mode", F.lit("none")))).cast("string")
+    rest = left.select(
+        *facts.columns, F.when(on, null).otherwise(F.col("target")).alias("target"), F.when(same, F.col("code")).when(fixed, F.col("_fixed")).when(on, null).otherwise(refused).alias("target_code"),
+        F.when(same, F.coalesce("_rel", F.lit("equivalent"))).when(fixed, F.coalesce("_rel", F.lit("related-to"))).otherwise(F.col("_rel")).alias("relationship"), F.lit(False).alias("no_map"), "other_map",
+    )
+    return hit.unionByName(rest)
+
+
 def translate_unmapped(facts: DataFrame, elements: DataFrame, unmapped: DataFrame, name: str) -> DataFrame:
-    """Matches, and for facts that no element matched the map's rule: the same code, a fixed one, or another map's name (other_map)."""
-    hit = translate(facts, elements, name).withColumn("other_map", F.lit(None).cast("string"))
-    left = facts.join(elements.filter(F.col("map") == name).select("code"), "code", "left_anti")
-    rule = unmapped.filter(F.col("map") == name).select("mode", "fixed_code", F.col("relationship").alias("_rel"), "other_map").limit(1).collect()
-    if not rule:
-        return hit
-    mode, fixed, rel, other = rule[0]
-    code = {"use-source-code": F.col("code"), "fixed": F.lit(fixed), "other-map": F.lit(None).cast("string")}[mode]
-    rest = left.withColumn("target", F.lit(None).cast("string")).withColumn("target_code", code).withColumn("relationship", F.lit("equivalent" if mode == "use-source-code" else rel)).withColumn("no_map", F.lit(False))
-    return hit.unionByName(rest.withColumn("other_map", F.lit(other).cast("string")))
+    """Matches, and for facts that no element of a group matched the group's rule: the same code, a fixed one, or another map's name (other_map).
+
+    Each group answers for itself, and, where facts have a system and the group a source, only for facts of that system.
+    """
+    return _in_maps(facts.withColumn("_map", F.lit(name)), elements.filter(F.col("map") == name), unmapped.filter(F.col("map") == name)).drop("_map")
 
 
 def translate_chain(facts: DataFrame, elements: DataFrame, unmapped: DataFrame, name: str, depth: int = 8) -> DataFrame:
-    """Translation that goes on in the other map where the rule says so, at most depth maps; applied lists the maps used."""
-    done, left, path = None, facts, []
-    for _ in range(depth):
-        path = [*path, name]
-        step = translate_unmapped(left, elements, unmapped, name).withColumn("applied", F.array(*[F.lit(p) for p in path]))
-        ready = step.filter("other_map IS NULL").drop("other_map")
+    """Translation that goes on in the other map where a group's rule says so; applied lists the maps used.
+
+    Facts to be passed on more than depth times (as in a circle of maps), or to a map that does not exist, are an error.
+    """
+    done, left = None, facts.withColumn("_map", F.lit(name)).withColumn("_path", F.array().cast("array<string>"))
+    maps = elements.select(F.col("map").alias("_map")).unionByName(unmapped.select(F.col("map").alias("_map"))).distinct()
+    for _ in range(depth + 1):
+        step = _in_maps(left, elements, unmapped).withColumn("_path", F.concat("_path", F.array("_map")))
+        ready = step.filter("other_map IS NULL").drop("other_map", "_map").withColumnRenamed("_path", "applied")
         done = ready if done is None else done.unionByName(ready)
-        rule = unmapped.filter((F.col("map") == name) & (F.col("mode") == "other-map")).select("other_map").limit(1).collect()
-        if not rule or rule[0][0] in path:
-            break
-        left, name = step.filter("other_map IS NOT NULL").select(*facts.columns), rule[0][0]
-    return done
+        left = cut(step.filter("other_map IS NOT NULL").select(*facts.columns, F.col("other_map").alias("_map"), "_path"), "chain")
+        if left.isEmpty():
+            return done
+        unknown = left.select("_map").distinct().join(maps, "_map", "left_anti").first()
+        if unknown:
+            raise ValueError(f"an unmapped rule names a map that does not exist: {unknown[0]}")
+    raise ValueError(f"unmapped rules pass codes on more than {depth} times, at {left.first()['_map']}")
 
 
 def follow_maps(facts: DataFrame, elements: DataFrame, names: list[str]) -> DataFrame:

@@ -242,7 +242,7 @@ def read_fhir_concept_map(spark: SparkSession, path: str) -> tuple[DataFrame, Da
     elements = groups.select("map", "group_no", F.col("g.source").alias("source"), F.col("g.target").alias("target"), F.posexplode("g.element").alias("element_no", "e"))
     flat = elements.select("map", "group_no", "source", "target", "element_no", F.col("e.code").alias("code"), F.coalesce("e.noMap", F.lit(False)).alias("no_map"), F.posexplode_outer("e.target").alias("target_no", "t"))
     flat = flat.select("map", "group_no", "source", "target", "element_no", "code", "no_map", "target_no", F.col("t.code").alias("target_code"), F.col("t.display").alias("target_display"), relationship(F.coalesce("t.relationship", "t.equivalence")).alias("relationship"))
-    rules = groups.filter("g.unmapped IS NOT NULL").select("map", "group_no", F.col("g.unmapped.mode").alias("mode"), F.col("g.unmapped.code").alias("fixed_code"), F.col("g.unmapped.relationship").alias("relationship"), F.col("g.unmapped.otherMap").alias("other_map"))
+    rules = groups.filter("g.unmapped IS NOT NULL").select("map", "group_no", F.col("g.source").alias("source"), F.col("g.target").alias("target"), F.col("g.unmapped.mode").alias("mode"), F.col("g.unmapped.code").alias("fixed_code"), F.col("g.unmapped.relationship").alias("relationship"), F.col("g.unmapped.otherMap").alias("other_map"))
     return flat, rules
 
 

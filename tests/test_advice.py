@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
+from termloom.operators import codes as K
 from termloom.plans import QUERIES
 from termloom.plans.driver_views import Views
 
@@ -29,3 +31,31 @@ def test_stream_rollup_over_several_batches(spark, tmp_path) -> None:  # noqa: A
     up = Views(spark, DATA).closure.select(F.col("descendant").alias("code"), "ancestor")
     want = coded.join(up, "code").select("start", F.col("ancestor").alias("code")).unionByName(coded).groupBy("start", "code").count()
     assert sorted(map(tuple, got.select("start", "code", "n").collect())) == sorted(map(tuple, want.collect()))
+
+
+_ELEMENTS = "map string, group_no int, source string, target string, code string, target_code string, relationship string, no_map boolean"
+_RULES = "map string, group_no int, mode string, fixed_code string, relationship string, other_map string"
+
+
+def test_each_group_has_its_own_unmapped_rule(spark) -> None:  # noqa: ANN001
+    elements = spark.createDataFrame([("m", 0, "s", "x", "a", "xa", "equal", False), ("m", 1, "s", "y", "b", "yb", "wider", False), ("m", 2, "other", "z", "c", "zc", "equal", False)], _ELEMENTS)
+    rules = spark.createDataFrame([("m", 0, "fixed", "x0", None, None), ("m", 1, "provided", None, None, None), ("m", 2, "fixed", "z0", "equivalent", None)], _RULES)
+    facts = spark.createDataFrame([("s", "a"), ("s", "b"), ("s", "c")], "system string, code string")
+    got = {(r.code, r.target, r.target_code, r.relationship) for r in K.translate_unmapped(facts, elements, rules, "m").collect()}
+    assert got == {
+        ("a", "x", "xa", "equivalent"), ("a", "y", "a", "equivalent"), ("b", "x", "x0", "related-to"),
+        ("b", "y", "yb", "source-is-narrower-than-target"), ("c", "x", "x0", "related-to"), ("c", "y", "c", "equivalent"),
+    }
+
+
+def test_chain_follows_each_group_and_refuses_a_circle(spark) -> None:  # noqa: ANN001
+    elements = spark.createDataFrame([("m", 0, "s", "x", "a", "xa", "equal", False), ("n", 0, "s", "y", "b", "yb", "equal", False), ("o", 0, "s", "z", "b", "zb", "equal", False)], _ELEMENTS)
+    facts = spark.createDataFrame([("a",), ("b",)], "code string")
+    both = spark.createDataFrame([("m", 0, "other-map", None, None, "n"), ("m", 1, "other-map", None, None, "o")], _RULES)
+    got = sorted((r.code, r.target_code, r.applied) for r in K.translate_chain(facts, elements, both, "m").collect())
+    assert got == [("a", "xa", ["m"]), ("b", "yb", ["m", "n"]), ("b", "zb", ["m", "o"])]
+    circle = spark.createDataFrame([("m", 0, "other-map", None, None, "n"), ("n", 0, "other-map", None, None, "m")], _RULES)
+    with pytest.raises(ValueError, match="more than 2 times"):
+        K.translate_chain(facts.union(spark.createDataFrame([("c",)], "code string")), elements, circle, "m", depth=2)
+    with pytest.raises(ValueError, match="does not exist"):
+        K.translate_chain(facts, elements, spark.createDataFrame([("m", 0, "other-map", None, None, "gone")], _RULES), "m")
