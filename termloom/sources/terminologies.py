@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termloom.tables import cut
+
 # delimited: laboratory terms
 
 
@@ -181,33 +183,52 @@ def read_icd11_cache(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def _concept_type(depth: int) -> str:
-    inner = f",concept:array<{_concept_type(depth - 1)}>" if depth else ""
-    return f"struct<code:string,display:string,definition:string,designation:array<struct<language:string,value:string>>,property:array<struct<code:string,valueCode:string,valueString:string,valueBoolean:boolean,valueInteger:bigint>>{inner}>"
+    """A concept with depth levels below it as structs, and what is nested in the last of them as JSON text."""
+    inner = f"array<{_concept_type(depth - 1)}>" if depth else "string"
+    return f"struct<code:string,display:string,definition:string,designation:array<struct<language:string,value:string>>,property:array<struct<code:string,valueCode:string,valueString:string,valueBoolean:boolean,valueInteger:bigint>>,concept:{inner}>"
 
 
 def read_fhir_code_system(spark: SparkSession, path: str, depth: int = 6) -> dict[str, DataFrame]:
-    """concepts (url, version, code, display, definition, parent), edges, properties, designations, systems of CodeSystem resources, one a line.
+    """concepts (url, version, code, display, definition, parent), edges, properties, designations, systems, problems of CodeSystem resources, one a line.
 
-    Nesting is unrolled to a depth; a deeper tree is an error. Parents are the enclosing concept and
-    the codes of parent and subsumedBy properties. Supplements (content supplement) are marked.
+    Nesting is unrolled by plan to a depth, and below it level by level until no concept has children.
+    Parents are the enclosing concept and the codes of parent and subsumedBy properties. Supplements
+    (content supplement) are marked. problems (url, version, code, parent, reason) has codes that a
+    system defines twice (duplicate-code) and parents that a system, no supplement, does not define (unknown-parent).
     """
     schema = f"url string, version string, name string, content string, caseSensitive boolean, supplements string, concept array<{_concept_type(depth)}>"
     df = spark.read.schema(schema).json(path)
-    level = df.select("url", "version", F.lit(None).cast("string").alias("parent"), F.explode("concept").alias("c"))
+    level = df.select("url", "version", "content", F.lit(None).cast("string").alias("parent"), F.explode("concept").alias("c"))
     levels = []
-    for i in range(depth + 1):
-        levels.append(level.select("url", "version", "parent", *[F.col(f"c.{n}").alias(n) for n in ("code", "display", "definition", "designation", "property")]))
-        if i < depth:
-            level = level.select("url", "version", F.col("c.code").alias("parent"), F.explode("c.concept").alias("c"))
-    rows = reduce(DataFrame.unionByName, levels)
+
+    def take(level: DataFrame) -> None:
+        levels.append(level.select("url", "version", "content", "parent", *[F.col(f"c.{n}").alias(n) for n in ("code", "display", "definition", "designation", "property")]))
+
+    for _ in range(depth):
+        take(level)
+        level = level.select("url", "version", "content", F.col("c.code").alias("parent"), F.explode("c.concept").alias("c"))
+    take(level)
+    while True:
+        below = level.filter("c.concept IS NOT NULL").select("url", "version", "content", F.col("c.code").alias("parent"), F.explode(F.from_json("c.concept", f"array<{_concept_type(0)}>")).alias("c"))
+        level = cut(below, "concepts")
+        if level.isEmpty():
+            break
+        take(level)
+    all_rows = reduce(DataFrame.unionByName, levels)
+    rows = all_rows.drop("content")
     value = F.coalesce("p.valueCode", "p.valueString", F.col("p.valueBoolean").cast("string"), F.col("p.valueInteger").cast("string"))
     properties = rows.select("url", "version", "code", F.explode("property").alias("p")).select("url", "version", "code", F.col("p.code").alias("property"), value.alias("value_text"))
     nested = rows.filter("parent IS NOT NULL").select("url", "version", F.col("code").alias("child"), "parent")
     stated = properties.filter("property IN ('parent', 'subsumedBy')").select("url", "version", F.col("code").alias("child"), F.col("value_text").alias("parent"))
+    twice = rows.groupBy("url", "version", "code").count().filter("count > 1").select("url", "version", "code", F.lit(None).cast("string").alias("parent"), F.lit("duplicate-code").alias("reason"))
+    named = all_rows.filter("content IS NULL OR content != 'supplement'").select("url", "version", "code", F.explode("property").alias("p")).filter("p.code IN ('parent', 'subsumedBy')").select("url", "version", "code", value.alias("parent"))
+    have = rows.select(F.col("url").alias("_url"), F.col("version").alias("_version"), F.col("code").alias("_code")).distinct()
+    unknown = named.join(have, F.col("url").eqNullSafe(F.col("_url")) & F.col("version").eqNullSafe(F.col("_version")) & (F.col("parent") == F.col("_code")), "left_anti")
     return {
         "systems": df.select(F.col("url").alias("system"), "version", "name", F.coalesce("content", F.lit("complete")).alias("content"), F.coalesce("caseSensitive", F.lit(True)).alias("case_sensitive"), "supplements"),
         "concepts": rows.drop("designation", "property"), "edges": nested.unionByName(stated).distinct(), "properties": properties,
         "designations": rows.select("url", "version", "code", F.explode("designation").alias("d")).select("url", "version", "code", F.col("d.language").alias("language"), F.col("d.value").alias("term")),
+        "problems": twice.unionByName(unknown.distinct().withColumn("reason", F.lit("unknown-parent"))),
     }
 
 

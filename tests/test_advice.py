@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from termloom.operators import codes as K
 from termloom.plans import QUERIES
 from termloom.plans.driver_views import Views
+from termloom.sources import terminologies as T
 
 DATA = "/root/testdata/sf0.001"
 
@@ -59,3 +61,16 @@ def test_chain_follows_each_group_and_refuses_a_circle(spark) -> None:  # noqa:
         K.translate_chain(facts.union(spark.createDataFrame([("c",)], "code string")), elements, circle, "m", depth=2)
     with pytest.raises(ValueError, match="does not exist"):
         K.translate_chain(facts, elements, spark.createDataFrame([("m", 0, "other-map", None, None, "gone")], _RULES), "m")
+
+
+def test_deep_code_system_is_read_whole(spark, tmp_path) -> None:  # noqa: ANN001
+    tree = {"code": "c12", "designation": [{"language": "en", "value": "leaf"}], "property": [{"code": "parent", "valueCode": "gone"}]}
+    for i in range(11, -1, -1):
+        tree = {"code": f"c{i}", "property": [{"code": "level", "valueInteger": i}], "concept": [tree]}
+    extra = {"url": "v", "content": "supplement", "concept": [{"code": "x", "property": [{"code": "parent", "valueCode": "base"}]}]}
+    (tmp_path / "cs.json").write_text(json.dumps({"url": "u", "version": "1", "concept": [tree, {"code": "c3"}]}) + "\n" + json.dumps(extra))
+    for depth in (0, 2):
+        got = T.read_fhir_code_system(spark, str(tmp_path / "cs.json"), depth)
+        assert {(r.child, r.parent) for r in got["edges"].filter("url = 'u'").collect()} == {(f"c{i + 1}", f"c{i}") for i in range(12)} | {("c12", "gone")}
+        assert got["concepts"].count() == 15 and got["properties"].count() == 14 and got["designations"].first().term == "leaf"
+        assert {(r.url, r.code, r.parent, r.reason) for r in got["problems"].collect()} == {("u", "c3", None, "duplicate-code"), ("u", "c12", "gone", "unknown-parent")}
