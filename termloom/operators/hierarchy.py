@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.tables import cut
+from termloom.tables import cut, new_path
 
 
 def transitive_closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -104,24 +104,28 @@ def rollup_counts(facts: DataFrame, closure: DataFrame, code: str, measures: dic
     return spread.groupBy("code").agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in measures])
 
 
-def preorder(codes: DataFrame, edges: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(code, depth, path): the set as a forest, children under their parents in code order, each code at its first visit.
+def preorder(codes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(code, depth, path, loose): the set as a forest, children under their parents in code order, each code at its first visit.
 
     The path of codes from a root of the set sorts as the walk does; of several paths the least is
-    the first visit.
+    the first visit, so of those of one length only the least goes on. Members that no root reaches
+    (circles) are loose: they come after the others, at depth 0.
     """
     inside = edges.join(codes.select(F.col("code").alias("child")), "child", "left_semi").join(codes.select(F.col("code").alias("parent")), "parent", "left_semi")
     inside = cut(inside.select("child", "parent").distinct(), "forest")
-    top = codes.select("code").distinct().join(inside.select(F.col("child").alias("code")), "code", "left_anti")
-    level = cut(top.withColumn("path", F.array("code")), "walk")
-    found = level
-    for _ in range(max_depth):
-        level = cut(level.join(inside, level.code == inside.parent).select(F.col("child").alias("code"), F.concat("path", F.array("child")).alias("path")), "walk")
+    everyone, spark = codes.select("code").distinct(), codes.sparkSession
+    level, folder, i = everyone.join(inside.select(F.col("child").alias("code")), "code", "left_anti").withColumn("path", F.array("code")), new_path(spark, "walk"), 0
+    schema = level.schema
+    while True:
+        level.write.parquet(f"{folder}/level={i}")
+        level = spark.read.schema(schema).parquet(f"{folder}/level={i}")
         if level.isEmpty():
             break
-        found = found.unionByName(level)
-    first = found.groupBy("code").agg(F.min("path").alias("path"))
-    return first.select("code", (F.size("path") - 1).alias("depth"), "path")
+        longer = level.join(inside, level.code == inside.parent).filter(~F.array_contains("path", F.col("child")))
+        level, i = longer.groupBy(F.col("child").alias("code")).agg(F.min(F.concat("path", F.array("child"))).alias("path")), i + 1
+    first = spark.read.schema(schema).parquet(folder).groupBy("code").agg(F.min("path").alias("path"))
+    loose = everyone.join(first, "code", "left_anti").withColumn("path", F.array("code")).withColumn("loose", F.lit(True))
+    return first.withColumn("loose", F.lit(False)).unionByName(loose).select("code", (F.size("path") - 1).alias("depth"), "path", "loose")
 
 
 def page(ordered: DataFrame, by: list[Column], offset: int, count: int) -> DataFrame:
@@ -132,7 +136,7 @@ def page(ordered: DataFrame, by: list[Column], offset: int, count: int) -> DataF
 
 
 def preorder_page(codes: DataFrame, edges: DataFrame, offset: int, count: int) -> DataFrame:
-    return page(preorder(codes, edges), [F.col("path")], offset, count).select("place", "code", "depth", "total")
+    return page(preorder(codes, edges), [F.col("loose"), F.col("path")], offset, count).select("place", "code", "depth", "total")
 
 
 def closure_delta(held: DataFrame, new: DataFrame, closure: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termloom.operators import codes as K
+from termloom.operators import hierarchy as H
 from termloom.plans import QUERIES
 from termloom.plans.driver_views import Views
 from termloom.sources import terminologies as T
@@ -74,3 +75,12 @@ def test_deep_code_system_is_read_whole(spark, tmp_path) -> None:  # noqa: ANN00
         assert {(r.child, r.parent) for r in got["edges"].filter("url = 'u'").collect()} == {(f"c{i + 1}", f"c{i}") for i in range(12)} | {("c12", "gone")}
         assert got["concepts"].count() == 15 and got["properties"].count() == 14 and got["designations"].first().term == "leaf"
         assert {(r.url, r.code, r.parent, r.reason) for r in got["problems"].collect()} == {("u", "c3", None, "duplicate-code"), ("u", "c12", "gone", "unknown-parent")}
+
+
+def test_preorder_page_has_deep_and_circular_members(spark) -> None:  # noqa: ANN001
+    deep = [(f"n{i + 1:02}", f"n{i:02}") for i in range(66)]
+    edges = spark.createDataFrame([*deep, ("n00", "n02x"), ("b", "a"), ("a", "b"), ("q", "p"), ("r", "q"), ("q", "r")], "child string, parent string")
+    codes = spark.createDataFrame([(c,) for c in [f"n{i:02}" for i in range(67)] + ["a", "b", "p", "q", "r"]], "code string")
+    rows = [tuple(r) for r in H.preorder_page(codes, edges, 0, 100).orderBy("place").collect()]
+    want = [(f"n{i:02}", i) for i in range(67)] + [("p", 0), ("q", 1), ("r", 2), ("a", 0), ("b", 0)]
+    assert rows == [(i, code, depth, 72) for i, (code, depth) in enumerate(want)]
