@@ -102,8 +102,11 @@ def vs_filter_parent_child(v: Views) -> DataFrame:
 
 @query("vs_filter_refset", sql("SELECT DISTINCT refset_id AS url, code FROM members WHERE active AND refset_id LIKE 'SEG:%'", "members"))
 def vs_filter_refset(v: Views) -> DataFrame:
-    names = [r[0] for r in v.raw("customer").select("c_mktsegment").distinct().limit(100).collect()]
-    return Sets(v).expand(*[VS.implicit("members", "world", f"SEG:{n}", url=f"SEG:{n}") for n in names]).select("url", "code")
+    s = Sets(v)
+    names = v.raw("customer").filter("c_mktsegment IS NOT NULL").select(F.concat(F.lit("SEG:"), "c_mktsegment").alias("url")).distinct().withColumn("value", F.col("url"))
+    made = s.literal(VS.implicit("members", "world"))
+    rules = made.drop("url", "value").crossJoin(names).select(*made.columns)
+    return VS.expand(rules, s.tables).select("url", "code")
 
 
 @query("vs_enumerated", sql("""

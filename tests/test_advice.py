@@ -84,3 +84,13 @@ def test_preorder_page_has_deep_and_circular_members(spark) -> None:  # noqa: AN
     rows = [tuple(r) for r in H.preorder_page(codes, edges, 0, 100).orderBy("place").collect()]
     want = [(f"n{i:02}", i) for i in range(67)] + [("p", 0), ("q", 1), ("r", 2), ("a", 0), ("b", 0)]
     assert rows == [(i, code, depth, 72) for i, (code, depth) in enumerate(want)]
+
+
+def test_refset_filter_takes_all_sets(spark, tmp_path) -> None:  # noqa: ANN001
+    for name in os.listdir(DATA):
+        if name != "customer.parquet":
+            os.symlink(f"{DATA}/{name}", tmp_path / name)
+    customers = spark.read.parquet(f"{DATA}/customer.parquet").withColumn("c_mktsegment", F.concat(F.lit("S"), F.col("c_custkey").cast("string")))
+    customers.write.parquet(str(tmp_path / "customer.parquet"))
+    want = {f"SEG:S{r[0]}" for r in customers.filter("c_acctbal >= 0").select("c_custkey").collect()}
+    assert len(want) > 100 and {r.url for r in QUERIES["vs_filter_refset"](spark, str(tmp_path)).collect()} == want
