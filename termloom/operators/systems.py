@@ -177,8 +177,8 @@ def identify_edition(dependencies: DataFrame, core: str, date: int) -> DataFrame
     on = dependencies.filter("module != target").select(F.col("target").alias("module"))
     free = sources.join(on, "module", "left_anti")
     rank = F.when(F.col("module") != core, F.when(F.col("effective_time") == date, 0).otherwise(2)).otherwise(1)
-    best = Window.partitionBy(F.lit(0)).orderBy(rank, "module")  # one row a root module
-    return free.withColumn("picked", F.row_number().over(best) == 1)
+    best = free.agg(F.min(F.struct(rank.alias("rank"), "module")).alias("_best"))  # one row
+    return free.crossJoin(F.broadcast(best)).withColumn("picked", F.col("module").eqNullSafe(F.col("_best.module"))).drop("_best")
 
 
 def check_layer(needs: DataFrame, edition: DataFrame) -> DataFrame:

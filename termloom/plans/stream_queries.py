@@ -56,10 +56,11 @@ held AS (SELECT code FROM concepts WHERE module IN ('region', 'nation', 'custome
 SELECT descendant AS source, ancestor AS target FROM closure WHERE descendant IN (SELECT code FROM held) AND ancestor IN (SELECT code FROM held)""", "closure", "concepts"))
 def stream_closure_delta(v: Views) -> DataFrame:
     folder, members, edges = new_path(v.spark, "codes"), new_path(v.spark, "members"), new_path(v.spark, "edges")
-    for module in ("nation", "customer", "region"):
-        v.concepts.filter(F.col("module") == module).select("code").coalesce(1).write.mode("append").parquet(folder)
-    stream = v.spark.readStream.schema("code string").option("maxFilesPerTrigger", 1).parquet(folder)
-    St.stream_closure_delta(stream, v.closure, members, edges, new_path(v.spark, "stream-state")).awaitTermination()
+    state = new_path(v.spark, "stream-state")
+    for module in ("nation", "customer", "region"):  # a batch a module: the stream goes on after the files it has seen
+        v.concepts.filter(F.col("module") == module).select("code").write.mode("append").parquet(folder)
+        stream = v.spark.readStream.schema("code string").parquet(folder)
+        St.stream_closure_delta(stream, v.closure, members, edges, state).awaitTermination()
     return v.spark.read.parquet(edges).select("source", "target")
 
 

@@ -94,3 +94,15 @@ def test_refset_filter_takes_all_sets(spark, tmp_path) -> None:  # noqa: ANN001
     customers.write.parquet(str(tmp_path / "customer.parquet"))
     want = {f"SEG:S{r[0]}" for r in customers.filter("c_acctbal >= 0").select("c_custkey").collect()}
     assert len(want) > 100 and {r.url for r in QUERIES["vs_filter_refset"](spark, str(tmp_path)).collect()} == want
+
+
+def test_edition_and_closure_stream_use_more_than_one_task(spark, monkeypatch) -> None:  # noqa: ANN001
+    plan = QUERIES["identify_edition"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+    def refuse(*_: object) -> None:
+        raise AssertionError("all rows in one task")
+
+    monkeypatch.setattr(type(spark.range(1)), "coalesce", refuse)
+    files = QUERIES["stream_closure_delta"](spark, DATA).inputFiles()
+    assert {f.split("version=")[1][0] for f in files} == {"0", "1", "2"}  # still a batch a module
