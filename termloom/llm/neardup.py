@@ -33,8 +33,8 @@ BANDS, ROWS = 48, 6
 M = BANDS * ROWS
 #: SetSketch parameters: base, rate and the largest register value less one.
 BASE, RATE, LIMIT = 1.001, 20.0, 2**16 - 2
-#: A pair is verified where its estimate is at least the threshold less this (about four standard errors).
-MARGIN = 0.10
+#: A pair is verified where its estimate is at least the threshold less this (5.9 standard errors of M registers at 75 %).
+MARGIN = 0.15
 #: Up to so many document ids (8 bytes each) are broadcast to pick texts; more are joined by shuffle.
 EVERYWHERE = 2_000_000
 #: Members of one block of a full comparison.
