@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_SCOPE: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,12 +32,38 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_SCOPE.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Writes df once into the shared folder and reads it back: no lineage, no second evaluation."""
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a written table; a folder that is gone already is no error."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are cut inside lie in one folder, which is deleted at the end: write what is to stay before, outside of it."""
+    folder = new_path(spark, "scratch")
+    token = _SCOPE.set(folder)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        forget(spark, folder)
+
+
+def cut(df: DataFrame, name: str = "cut", instead_of: DataFrame | None = None) -> DataFrame:
+    """Writes df once into the shared folder and reads it back: no lineage, no second evaluation.
+
+    instead_of is a cut table that nothing but df has been made from (the round before, in a loop):
+    it is deleted once df is written. Other tables stay until their `scratch` ends, or for good.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    if instead_of is not None:
+        forget(spark, instead_of._cut_path)
+    return out
