@@ -7,11 +7,13 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from termloom.tables import cut, table
+from termloom.tables import cut, scratch, table
 
-__all__ = ["ascii_lower", "buckets_for", "cut", "running", "small_frame", "table"]
+__all__ = ["BROADCAST_BYTES", "ascii_lower", "buckets_for", "cut", "free_names", "rows_each", "running", "scratch", "small_frame", "table"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: What an operator sends to every executor at once holds so many bytes at most; beyond, it takes a join.
+BROADCAST_BYTES = 64_000_000
 #: Largest number of rows that one (group, bucket) of a two-level numbering should hold.
 ROWS_PER_BUCKET = 65_536
 
@@ -26,6 +28,23 @@ def buckets_for(spark: SparkSession, rows: int) -> int:
     return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_BUCKET))
 
 
+def rows_each(spark: SparkSession, rows: int) -> int:
+    """Rows of one bucket where a group takes buckets by its own size: a hot group has many, a rare one has one."""
+    return max(1, min(ROWS_PER_BUCKET, -(-rows // buckets_for(spark, 0))))
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for working columns: those given, with underscores before them until df has no such column (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def running(df: DataFrame, key: str, bucket: str, order: list[str], size: Column, out: str) -> DataFrame:
     """Adds `out`: the sum of `size` over the rows of the same `key` that come before, in order of (bucket, order).
 

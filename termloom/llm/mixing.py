@@ -1,106 +1,109 @@
 """Mixing sources to target weights by a low-discrepancy source schedule (native).
 
-Golden-ratio points, mapped through the cumulative target weights, name the source of each slot of
-the mix; the r-th slot of a source takes the r-th block of that source's shuffled word stream. A
-stream is the source's documents in hash order, laid end to end, and repeats from its start after
-the last document. Blocks hold equal numbers of words; only a source's last block may be shorter,
-so that every source ends on its target to the word.
+The mix is a row of slots of one block each. Slot by slot, van der Corput points (whole numbers with
+their bits in reverse, so exact at any length) are mapped through the cumulative target weights and
+name the slot's source; the r-th slot of a source takes the r-th block of that source's shuffled word
+stream. A stream is the source's documents in hash order, laid end to end, and repeats from its start
+after the last document. Blocks hold equal numbers of words; only a source's last block may be
+shorter, so that every source ends on its target to the word. What the schedule does not ask for is
+not taken: any first part of it is a mix of the same weights, to a few blocks.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import buckets_for, cut, running
+from termloom.llm.common import ROWS_PER_BUCKET, buckets_for, cut, rows_each, running
 
-GOLDEN = 0.6180339887498949
 WORD = r"[^\x20\x09-\x0D]+"
 CELLS = 4_096
-#: Up to so many sources, the grid of cells is broadcast; beyond, it is joined by shuffle.
+#: Up to so many sources, the grid of cells is broadcast (about 100 bytes a source, 10 MB); beyond, it is joined by shuffle.
 MANY_SOURCES = 100_000
-#: Up to so many documents, what the mix takes of them is broadcast to their texts; beyond, it is joined by shuffle.
-MANY_COPIES = 2_000_000
 
 
 @dataclass(frozen=True)
 class Mix:
-    #: source, source_no, source_size, weight, target, words (to take), blocks
+    #: source, source_size, buckets, source_no, weight, target, words (to take), blocks
     sources: DataFrame
-    #: slot (place in the mix, ascending), source_no, block
+    #: slot (place in the mix, ascending, below `span`), source_no, block
     schedule: DataFrame
-    #: row_id, source_no, block, epoch, first_word, n_words: what of which document a block holds
+    span: int
+    #: row_id, source_no, block, slot, epoch, first_word, n_words: what of which document a slot holds
     segments: DataFrame
-    #: row_id, doc_id, text_crc32, source, size, source_size, target, taken
+    #: row_id, doc_id, text_crc32, source, size, source_size, target, taken, first_slot
     documents: DataFrame
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
-    """sizes (source, source_size) with source_no, weight and target.
+    """sizes (source, source_size and any others) with source_no, weight and target.
 
-    Sources by code point with null last take the weights in turn. Raising one water level until
-    sources meet their cap gives the same targets as sharing the excess out again and again. The
-    windows run over one row a source.
+    Sources by code point with null last take the weights in turn. Targets share `share` of all sizes
+    out by weight; what is above a source's cap is shared out again among the others, round by
+    round, until none is above. A round is one aggregation; the driver sees its two sums.
     """
-    by_name = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    named = sizes.withColumn("source_no", F.row_number().over(by_name) - 1).withColumn("weight", F.get(cycle, F.col("source_no") % len(weights)))
-    everything = Window.partitionBy(F.lit(0))
-    by_fill = everything.orderBy(F.col("source_size") / F.col("weight"), "source_no")
-    level = (
-        named.withColumn("_cap", F.col("source_size") * F.lit(cap))
-        .withColumn("_total", F.sum("source_size").over(everything) * F.lit(share))
-        .withColumn("_before", F.sum("_cap").over(by_fill.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("_weights", F.sum("weight").over(by_fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-        .withColumn("_level", (F.col("_total") - F.coalesce("_before", F.lit(0.0))) / F.col("_weights"))
-        .withColumn("_open", F.when(F.col("_level") * F.col("weight") < F.col("_cap"), F.col("_level")))
-        .withColumn("_open", F.first("_open", ignorenulls=True).over(by_fill.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    )
-    target = F.least("_cap", F.coalesce(F.col("_open") * F.col("weight"), F.col("_cap")))
-    return level.select("source", "source_no", "source_size", "weight", target.alias("target"))
+    ranged = sizes.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("_all", F.lit(0)).withColumn("_part", F.spark_partition_id())
+    named = running(cut(ranged, "mix-names"), "_all", "_part", [F.col("source").asc_nulls_last()], F.lit(1), "source_no").drop("_all", "_part", "_total")
+    named = cut(named.withColumn("weight", F.get(cycle, F.col("source_no") % len(weights))).withColumn("_cap", F.col("source_size") * F.lit(cap)), "mix-weights")
+    level, closed = 0.0, -1
+    total = (named.agg(F.sum("source_size")).first()[0] or 0) * share
+    while True:
+        full = F.col("_cap") < F.col("weight") * F.lit(level)
+        n, held, open_weight = named.agg(F.count_if(full), F.coalesce(F.sum(F.when(full, F.col("_cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0))).first()
+        if n == closed:
+            break
+        closed = n
+        level = (total - held) / open_weight if open_weight else level
+    return named.select(*sizes.columns, "source_no", "weight", F.least("_cap", F.col("weight") * F.lit(level)).alias("target"))
 
 
 def mix_sources(
-    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block: int = 256, seed: int = 11
+    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block: int = 256, seed: int = 11, part: float = 1.0
 ) -> Mix:
-    """The mix of docs (doc_id, text, source; other columns are ignored).
+    """The mix of docs (doc_id, text, source; other columns are ignored), or the first `part` of it.
 
     A null text has no words. Documents without words are never taken. A null source is a source of
-    its own, the last. Repeated rows and repeated ids are rows of their own (row_id). An empty
-    table gives empty frames. Reruns over the same files agree: order within a source comes from
-    hashes of id and size.
+    its own, the last. Repeated rows and repeated or null ids are rows of their own (row_id). An
+    empty table gives empty frames. Reruns over the same files agree: order within a source comes
+    from hashes of id and text.
     """
-    spark = docs.sparkSession
+    return _mix(docs.select("doc_id", "source", "text", F.monotonically_increasing_id().alias("row_id")), weights, share, cap, block, seed, part)
+
+
+def _mix(rows: DataFrame, weights: tuple[int, ...], share: float, cap: float, block: int, seed: int, part: float) -> Mix:
+    spark = rows.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    base = cut(
-        docs.select("doc_id", "source", size.alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"))
-        .withColumn("row_id", F.monotonically_increasing_id()),
-        "mix-rows",
-    )
-    rows = base.count()
-    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
+    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    base = cut(rows.select("row_id", "doc_id", "source", size.alias("size"), crc.alias("text_crc32")), "mix-rows")
+    rows_held = base.count()
+    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.ceil(F.count(F.lit(1)) / rows_each(spark, rows_held)).alias("buckets"))
     sources = cut(
         targets(sizes, weights, share, cap)
         .withColumn("words", F.least(F.round("target"), F.col("source_size") * F.lit(cap)).cast("long"))
         .withColumn("blocks", F.ceil(F.col("words") / block)),
         "mix-sources",
     )
+    schedule, span = source_schedule(sources, buckets_for(spark, rows_held), part)
+    schedule = cut(schedule, "mix-schedule")
+    # a source gives as many blocks as the schedule has slots for it
+    given = sources.join(schedule.groupBy("source_no").agg(F.count(F.lit(1)).alias("_slots")), "source_no", "left")
+    given = given.withColumn("_words", F.least("words", F.coalesce("_slots", F.lit(0)) * block)).drop("words", "blocks", "weight", "_slots")
 
     # streams: where each document starts in its source
-    buckets = buckets_for(spark, rows)
     key = F.xxhash64(F.lit(seed), "doc_id", "text_crc32")
     placed = running(
-        base.join(sources, base.source.eqNullSafe(sources.source)).select(base["*"], "source_no", "source_size", "target", "words")
-        .withColumn("_key", key).withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(buckets))),
+        base.join(F.broadcast(given) if sources.count() <= MANY_SOURCES else given, base.source.eqNullSafe(given.source)).select(base["*"], "source_no", "source_size", "target", "_words", "buckets")
+        .withColumn("_key", key).withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.col("buckets"))),
         "source_no", "_bucket", ["_key", "doc_id", "row_id"], F.col("size"), "_start",
     )
-    epochs = F.explode(F.when(F.col("words") > F.col("source_size"), F.sequence(F.lit(0), F.lit(int(-(-cap // 1)) - 1))).otherwise(F.array(F.lit(0))))
+    epochs = F.explode(F.when(F.col("_words") > F.col("source_size"), F.sequence(F.lit(0), F.lit(int(-(-cap // 1)) - 1))).otherwise(F.array(F.lit(0))))
     pieces = (
         placed.withColumn("epoch", epochs)
         .withColumn("_from", F.col("epoch") * F.col("source_size") + F.col("_start"))
-        .withColumn("_to", F.least(F.col("_from") + F.col("size"), F.col("words")))
+        .withColumn("_to", F.least(F.col("_from") + F.col("size"), F.col("_words")))
         .filter("_to > _from")
         .withColumn("block", F.explode(F.sequence(F.floor(F.col("_from") / block), F.floor((F.col("_to") - 1) / block))))
         .withColumn("_low", F.greatest("_from", F.col("block") * block))
@@ -110,62 +113,54 @@ def mix_sources(
             (F.least("_to", (F.col("block") + 1) * block) - F.col("_low")).alias("n_words"),
         )
     )
-    schedule = source_schedule(sources, buckets)
-    taken = pieces.join(schedule, ["source_no", "block"]).groupBy("row_id").agg(F.sum("n_words").alias("taken"))
+    segments = pieces.join(schedule, ["source_no", "block"]).select("row_id", "source_no", "block", "slot", "epoch", "first_word", "n_words")
+    taken = segments.groupBy("row_id").agg(F.sum("n_words").alias("taken"), F.min("slot").alias("first_slot"))
     out = (
         placed.select("row_id", "doc_id", "text_crc32", "source", "size", "source_size", "target")
         .join(taken, "row_id", "left")
         .withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
     )
-    return Mix(sources, schedule, pieces, out)
+    return Mix(sources, schedule, span, segments, out)
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """The rows of docs as often as the mix takes them: once for each epoch that takes over half of their words.
+    """The rows of docs as often as the mix takes them, in the order of its slots: once for each epoch that takes over half of their words.
 
-    Words come near the targets to one document a source. Documents without words stay once: they
-    take no part in the mix and no room in it.
+    Words come near the targets to one document a source. A row's place is the first slot that takes
+    of it in that epoch; the result is sorted by it inside its partitions, and partitions follow each
+    other. Documents without words (or text) stay once, at places of their hash: they take no part in
+    the mix and no room in it. Repeated rows and null ids are rows of their own; all columns, whatever
+    their names, are passed on. An empty table gives an empty result.
     """
-    mix = mix_sources(docs, weights, share, cap)
-    met = mix.segments.groupBy("row_id", "epoch").agg(F.sum("n_words").alias("_words"))
-    base = mix.documents.select("row_id", "doc_id", "text_crc32", "size")
-    times = base.join(met, "row_id", "left").withColumn("_times", ((F.col("_words") * 2 > F.col("size")) | (F.col("size") == 0)).cast("int"))
-    copies = times.groupBy("doc_id", "text_crc32").agg(F.sum("_times").alias("_times"), F.count_distinct("row_id").alias("_rows")).filter("_times > 0")
-    copies = cut(copies.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), "_times", "_rows"), "mix-copies")
-    n, repeated = copies.agg(F.count(F.lit(1)), F.coalesce(F.max("_rows") > 1, F.lit(False))).first()
-    named = docs.withColumn("_text", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
-    named = named.dropDuplicates(["doc_id", "_text"]) if repeated else named
-    same = named.doc_id.eqNullSafe(F.col("_id")) & (named._text == F.col("_crc"))
-    out = named.join(F.broadcast(copies) if n <= MANY_COPIES else copies, same)  # 32 bytes a document
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-def source_schedule(sources: DataFrame, buckets: int) -> DataFrame:
-    """(slot, source_no, block): golden-ratio points through the cumulative numbers of blocks.
-
-    Point j falls into the source whose share of [0, 1) holds frac(j x golden ratio), found over a
-    grid of cells. A source's points are ranked in order and the rank is the block; points beyond
-    its last block are left out, and the few blocks that got no point follow at the end.
+    whole = cut(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("row_id")), "mix-whole")
+    mix = _mix(whole.select("row.doc_id", "row.source", "row.text", "row_id"), weights, share, cap, 256, 11, 1.0)
+    met = mix.segments.groupBy("row_id", "epoch").agg(F.sum("n_words").alias("_words"), F.min("slot").alias("_slot"))
+    wordy = met.join(mix.documents.select("row_id", "size"), "row_id").filter("_words * 2 > size").select("row_id", "_slot")
+    bare = mix.documents.filter("size = 0").select("row_id", F.pmod(F.xxhash64("row_id"), F.lit(mix.span)).alias("_slot"))
+    copies = wordy.unionByName(bare)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-whole.count() // ROWS_PER_BUCKET))
+    ordered = whole.join(copies.hint("merge"), "row_id").repartitionById(parts, F.floor(F.col("_slot") / mix.span * parts).cast("int")).sortWithinPartitions("_slot", "row_id")
+    return ordered.select("row.*")
+
+
+def source_schedule(sources: DataFrame, buckets: int, part: float = 1.0) -> tuple[DataFrame, int]:
+    """(slot, source_no, block) and the number that all slots are below; only the first `part` of the slots.
+
+    Slot j, with its bits in reverse, is a point among as many whole numbers as there are blocks in
+    all (points beyond are left out), and belongs to the source whose share of them holds it: the
+    cumulative weights are looked up over a grid of cells. A source's slots are ranked in order and
+    the rank is the block. Over all slots every block has one.
     """
     spark = sources.sparkSession
-    slots, names = sources.agg(F.coalesce(F.sum("blocks"), F.lit(0)), F.count(F.lit(1))).first()
-    order = Window.partitionBy(F.lit(0)).orderBy("source_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    high = F.sum("blocks").over(order)
-    ranges = sources.filter("blocks > 0").select("source_no", "blocks", (high - F.col("blocks")).alias("_low"), high.alias("_high"))
-    ranges = ranges.select("source_no", "blocks", (F.col("_low") / slots).alias("_low"), (F.col("_high") / slots).alias("_high"))
-    cells = ranges.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_low") * CELLS), F.least(F.floor(F.col("_high") * CELLS), F.lit(CELLS - 1)))))
-    points = spark.range(slots).select(F.col("id").alias("slot"), ((F.col("id") + 0.5) * GOLDEN % 1.0).alias("_u"))
-    points = points.withColumn("_cell", F.floor(F.col("_u") * CELLS)).withColumn("_bucket", F.floor(F.col("slot") * buckets / max(slots, 1)))
+    total, names = sources.agg(F.coalesce(F.sum("blocks"), F.lit(0)), F.count(F.lit(1))).first()
+    bits = max(1, int(total - 1).bit_length()) if total else 1
+    span = 1 << bits
+    ranges = running(sources.filter("blocks > 0").select("source_no", "blocks", F.lit(0).alias("_all"), F.floor(F.col("source_no") / 65_536).alias("_part")), "_all", "_part", ["source_no"], F.col("blocks"), "_low")
+    ranges = ranges.select("source_no", "_low", (F.col("_low") + F.col("blocks")).alias("_high"))
+    width = -(-total // CELLS) or 1
+    cells = ranges.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_low") / width), F.floor((F.col("_high") - 1) / width))))
+    points = spark.range(int(span * part)).select(F.col("id").alias("slot"), F.conv(F.reverse(F.lpad(F.bin("id"), bits, "0")), 2, 10).cast("long").alias("_v")).filter(F.col("_v") < total)
+    points = points.withColumn("_cell", F.floor(F.col("_v") / width)).withColumn("_bucket", F.floor(F.col("slot") * buckets / span))
     cells = F.broadcast(cells) if names <= MANY_SOURCES else cells  # at most CELLS rows and two more a source
-    named = points.join(cells, "_cell").filter("_u >= _low AND _u < _high").select("slot", "source_no", "blocks", "_bucket")
-    ranked = running(named, "source_no", "_bucket", ["slot"], F.lit(1), "block")
-    met = ranked.filter("block < blocks").select("slot", "source_no", "block")
-    counts = named.groupBy("source_no").agg(F.count(F.lit(1)).alias("_points"))
-    short = (
-        ranges.join(counts, "source_no", "left")
-        .withColumn("_points", F.coalesce("_points", F.lit(0)))
-        .filter("_points < blocks")
-        .select("source_no", F.explode(F.sequence(F.col("_points"), F.col("blocks") - 1)).alias("block"))
-        .select((F.lit(slots) + F.col("block")).alias("slot"), "source_no", "block")
-    )
-    return met.unionByName(short)
+    named = points.join(cells, "_cell").filter("_v >= _low AND _v < _high").select("slot", "source_no", "_bucket")
+    return running(named, "source_no", "_bucket", ["slot"], F.lit(1), "block").select("slot", "source_no", "block"), span
