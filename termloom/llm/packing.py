@@ -1,9 +1,9 @@
 """Best-fit packing of token sequences by exact-complement hashing.
 
 How many pieces there are of each length (at most `size` numbers, whatever the input) is all that
-the plan needs. From the longest length down, the gap that a piece leaves is looked up among the
-lengths, then the sums of two lengths and then of three; the combination that fills it exactly is
-used as often as the counts of its lengths allow. What no combination fills exactly is placed by
+the plan needs. An index holds the sums of one, two and three lengths. From the longest length down,
+the gap that a piece leaves is looked up in it, and the combinations that fill it exactly are used as
+often as the counts of their lengths allow. What no combination fills exactly is placed by
 best fit, still by length and count. The plan says which ranks of each length go to which sequences;
 pieces are numbered within their length in two levels, so that a frequent length is no hot group.
 """
@@ -11,9 +11,11 @@ pieces are numbered within their length in two levels, so that a frequent length
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termloom.llm.arrow import map_slices, utf8
-from termloom.llm.common import buckets_for, cut, running
+from termloom.llm.common import cut, rows_each, running
 
 SPECIAL = "<|endoftext|>"
 
@@ -31,8 +33,8 @@ SPECIAL = "<|endoftext|>"
 class Encoder:
     """Ids of a byte-level BPE given as a `tokenizers` file, with the same vocabulary as ranks beside it.
 
-    Both libraries give the same ids for ordinary text (tested); the rank form is four times as
-    fast. A text with the special token's string goes to `tokenizers`, as does every text where the
+    Both libraries give the same ids for ordinary text (tested on all documents of a driver table);
+    the rank form is four times as fast. A text with the special token's string goes to `tokenizers`, as does every text where the
     rank file is missing.
     """
 
@@ -71,8 +73,10 @@ def encoder(path: str) -> Encoder:
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 1024) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32.
 
-    A document is its ids and then end_id; a null text is an empty one. Only a document longer than
-    `size` is cut: every piece but the first has `size` ids.
+    A document is its ids and then end_id; a null text is an empty one, and an empty one is end_id
+    alone. Only a document longer than `size` is cut: every piece but the first has `size` ids.
+    Repeated rows and null ids give pieces of their own. Other columns are ignored. An empty table
+    gives an empty result.
     """
 
     def make(batch: pa.RecordBatch) -> dict[str, object]:
@@ -89,28 +93,50 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 1
     return map_slices(docs.select("doc_id", "text"), make, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def exact_fills(counts: np.ndarray, gap: int, length: int) -> tuple[tuple[int, ...], int] | None:
-    """Lengths that fill the gap exactly, and how often they and `length` can be had; singles, then pairs, then triples."""
+class SumIndex:
+    """What fills a gap exactly: every sum of one, two or three lengths that pieces have, with the combinations that make it.
 
-    def times(extra: tuple[int, ...]) -> int:
-        return min(int(counts[x]) // n for x, n in Counter((length, *extra)).items())
+    Built once. A triple is kept as its longest length and the pair sum that it leaves, so the index
+    has about size squared entries. Counts only fall, so what is used up is passed by for good: each
+    gap reads its combinations once, singles first, then pairs, then triples, longer lengths first.
+    """
 
-    if counts[gap] and times((gap,)):
-        return (gap,), times((gap,))
-    have = counts > 0
-    for a in np.flatnonzero(have[(gap + 1) // 2 : gap])[::-1] + (gap + 1) // 2:
-        if have[gap - a] and (n := times((int(a), int(gap - a)))):
-            return (int(a), int(gap - a)), n
-    for a in np.flatnonzero(have[:gap])[::-1]:
-        rest = gap - int(a)
-        low = (rest + 1) // 2
-        if a < low:
-            break
-        bs = np.arange(low, min(rest, int(a) + 1))
-        for b in bs[have[bs] & have[rest - bs]][::-1]:
-            if n := times((int(a), int(b), rest - int(b))):
-                return (int(a), int(b), rest - int(b)), n
-    return None
+    def __init__(self, counts: np.ndarray, size: int) -> None:
+        self.counts = counts
+        lengths = np.flatnonzero(counts)[::-1].tolist()  # from the longest
+        self.pairs: dict[int, list[tuple[int, int]]] = {}
+        for i, a in enumerate(lengths):
+            for b in lengths[i:]:
+                if a + b < size:
+                    self.pairs.setdefault(a + b, []).append((a, b))
+        self.triples: dict[int, list[int]] = {}
+        for a in lengths:
+            for rest, held in self.pairs.items():
+                if a + rest < size and held[-1][0] <= a:  # its last pair has the shortest longer length
+                    self.triples.setdefault(a + rest, []).append(a)
+        self._unread: dict[int, Iterator[tuple[int, ...]]] = {}
+
+    def _combinations(self, total: int) -> Iterator[tuple[int, ...]]:
+        if self.counts[total]:
+            yield (total,)
+        for a, b in self.pairs.get(total, ()):
+            yield a, b
+        for a in self.triples.get(total, ()):
+            for b, c in self.pairs[total - a]:
+                if not self.counts[a]:
+                    break
+                if b <= a:
+                    yield a, b, c
+
+    def fill(self, gap: int, length: int) -> tuple[tuple[int, ...], int] | None:
+        """The first combination that fills the gap, and how often it and `length` can be had; gap and length go together."""
+        unread = self._unread.setdefault(gap, self._combinations(gap))
+        for extra in unread:
+            if all(self.counts[x] for x in extra):
+                n = min(int(self.counts[x]) // k for x, k in Counter((length, *extra)).items())
+                if n:
+                    return extra, n
+        return None
 
 
 def packing_plan(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
@@ -119,8 +145,9 @@ def packing_plan(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], i
     if counts[size]:
         plan.append(((size,), int(counts[size])))
         counts[size] = 0
+    index = SumIndex(counts, size)
     for length in range(size - 1, 0, -1):
-        while counts[length] and (found := exact_fills(counts, size - length, length)):
+        while counts[length] and (found := index.fill(size - length, length)):
             for x in (length, *found[0]):
                 counts[x] -= found[1]
             plan.append(((length, *found[0]), found[1]))
@@ -202,7 +229,10 @@ def pack(pieces: DataFrame, size: int = 1024) -> DataFrame:
             raise ValueError(f"{n} pieces have no length between 1 and {size}")
         counts[length] = n
     places = spark.sparkContext.broadcast(_Places.of(packing_plan(counts, size)))
-    spread = base.withColumn("_p_bucket", F.pmod(F.xxhash64("_p_row"), F.lit(buckets_for(spark, int(counts.sum())))))
+    # a length has buckets by its own count, so that rare ones make few totals
+    each = rows_each(spark, int(counts.sum()))
+    buckets = F.from_json(F.lit(json.dumps([max(1, -(-int(n) // each)) for n in counts])), "array<int>")
+    spread = base.withColumn("_p_bucket", F.pmod(F.xxhash64("_p_row"), F.get(buckets, F.col("length").cast("int"))))
     ranked = running(spread, "length", "_p_bucket", ["_p_row"], F.lit(1), "_p_rank").drop("_p_bucket", "_p_row")
     keep = [f for f in base.schema if f.name != "_p_row"]
 
