@@ -11,24 +11,26 @@ deletions. Cleaning asks the filters about every line and the exact counts about
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termloom.llm.arrow import map_slices, slices, utf8
-from termloom.llm.common import cut
+from termloom.llm.common import BROADCAST_BYTES, cut, free_names
 from termloom.llm.cuckoo import CuckooFilter
+from termloom.tables import new_path
 
 SPACE = b" \t\n\x0b\x0c\r"
 #: Keys of one filter, about.
 SHARD_KEYS = 32_768
-#: Up to so many common keys (16 bytes each) go to every executor; more are met by a join.
-EVERYWHERE = 1_000_000
+#: Up to so many bytes of exact common keys (16 each) go to every executor; more are met by a join.
+EXACT_BYTES = 32_000_000
 _KEY = np.dtype([("h1", "<u8"), ("h2", "<u8")])
 
 
@@ -52,51 +54,30 @@ def key_counts(docs: DataFrame) -> DataFrame:
     return parts.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
 
 
-class LineIndex:
-    """Exact reference counts of line keys: h1, h2, n (always over 0)."""
-
-    def __init__(self, counts: DataFrame) -> None:
-        self.counts = counts
-
-    @classmethod
-    def of(cls, docs: DataFrame) -> LineIndex:
-        return cls(key_counts(docs))
-
-    def _moved(self, docs: DataFrame, sign: int) -> LineIndex:
-        change = key_counts(docs).withColumn("n", F.col("n") * sign)
-        total = self.counts.unionByName(change).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
-        return LineIndex(total.filter("n > 0"))
-
-    def insert(self, docs: DataFrame) -> LineIndex:
-        return self._moved(docs, 1)
-
-    def delete(self, docs: DataFrame) -> LineIndex:
-        """Docs must have been inserted before; then this undoes it."""
-        return self._moved(docs, -1)
-
-    def common(self, min_docs: int) -> DataFrame:
-        return self.counts.filter(F.col("n") >= min_docs).select("h1", "h2")
-
-
 def build_filters(common: DataFrame, shards: int) -> DataFrame:
-    """(shard, data): the cuckoo filter of each shard's keys."""
+    """(shard, data): the cuckoo filter of each shard's keys (h1, h2)."""
 
     def build(keys: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"shard": [keys["shard"].iloc[0]], "data": [CuckooFilter.of(np.sort(keys["h1"].to_numpy().view(np.uint64))).dump()]})
 
-    return common.withColumn("shard", F.pmod("h2", F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(build, "shard int, data binary")
+    return common.select("h1", "h2", _shard(shards)).groupBy("shard").applyInPandas(build, "shard int, data binary")
+
+
+def _shard(shards: int) -> Column:
+    return F.pmod("h2", F.lit(shards)).cast("int").alias("shard")
 
 
 def update_filters(filters: DataFrame, gone: DataFrame, new: DataFrame, shards: int) -> DataFrame:
-    """Filters after keys `gone` were deleted and keys `new` inserted; a filter that is full is written anew, twice as large.
+    """Filters after keys `gone` (all of them held) were deleted and keys `new` (none of them held) inserted.
 
-    A full filter cannot be grown from its marks alone, so its shard comes back with data null and
-    build_filters makes it again from the exact counts.
+    A full filter cannot be grown from its marks alone, so its shard comes back with data null, to be
+    built again from the exact counts.
     """
-    change = gone.withColumn("sign", F.lit(-1)).unionByName(new.withColumn("sign", F.lit(1)))
-    change = change.withColumn("shard", F.pmod("h2", F.lit(shards)).cast("int"))
+    change = gone.withColumn("sign", F.lit(-1)).unionByName(new.withColumn("sign", F.lit(1))).select("h1", "sign", _shard(shards))
 
     def apply(key: tuple, held: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
+        if not len(keys):
+            return held[["shard", "data"]]
         mine = CuckooFilter.load(held["data"].iloc[0], change=True) if len(held) else CuckooFilter(max(2, 1 << int(np.ceil(np.log2(max(2, len(keys)))))))
         h1 = keys["h1"].to_numpy().view(np.uint64)
         for k in h1[(keys["sign"] < 0).to_numpy()]:
@@ -107,6 +88,56 @@ def update_filters(filters: DataFrame, gone: DataFrame, new: DataFrame, shards:
     return filters.groupBy("shard").cogroup(change.groupBy("shard")).applyInPandas(apply, "shard int, data binary")
 
 
+class LineIndex:
+    """Exact reference counts of line keys (h1, h2, n), and cuckoo filters (shard, data) of the keys with n >= min_docs.
+
+    Both move together: inserting or deleting documents changes the counts, and the keys that thereby
+    become common, or cease to be, are inserted into the filters or deleted from them. A filter thus
+    only ever loses a key that it holds. Deleting what was inserted gives the index from before.
+    """
+
+    def __init__(self, counts: DataFrame, filters: DataFrame, min_docs: int, shards: int) -> None:
+        self.counts, self.filters, self.min_docs, self.shards = counts, filters, min_docs, shards
+        self._common: DataFrame | None = None
+
+    @classmethod
+    def of(cls, docs: DataFrame, min_docs: int = 10, shard_keys: int = SHARD_KEYS) -> LineIndex:
+        counts = key_counts(docs)
+        common = cut(counts.filter(F.col("n") >= min_docs).select("h1", "h2"), "line-keys")
+        shards = max(1, -(-common.count() // shard_keys))
+        made = cls(counts, cut(build_filters(common, shards), "line-filters"), min_docs, shards)
+        made._common = common
+        return made
+
+    @property
+    def common(self) -> DataFrame:
+        """The exact keys (h1, h2) that the filters hold."""
+        if self._common is None:
+            self._common = cut(self.counts.filter(F.col("n") >= self.min_docs).select("h1", "h2"), "line-keys")
+        return self._common
+
+    def _moved(self, docs: DataFrame, sign: int) -> LineIndex:
+        change = key_counts(docs).select("h1", "h2", (F.col("n") * sign).alias("_change"))
+        before = F.coalesce("n", F.lit(0))
+        both = cut(self.counts.join(change, ["h1", "h2"], "full_outer").select("h1", "h2", before.alias("_was"), (before + F.coalesce("_change", F.lit(0))).alias("n")), "line-counts")
+        if sign < 0 and not both.filter("n < 0").isEmpty():
+            raise ValueError("documents to be deleted hold lines that were never inserted")
+        was, now = F.col("_was") >= self.min_docs, F.col("n") >= self.min_docs
+        filters = cut(update_filters(self.filters, both.filter(was & ~now).select("h1", "h2"), both.filter(~was & now).select("h1", "h2"), self.shards), "line-filters")
+        full = filters.filter("data IS NULL").select("shard")
+        if not full.isEmpty():
+            keys = both.filter(now).select("h1", "h2", _shard(self.shards)).join(full, "shard", "left_semi")
+            filters = cut(filters.filter("data IS NOT NULL").unionByName(build_filters(keys, self.shards)), "line-filters")
+        return LineIndex(both.filter("n > 0").select("h1", "h2", "n"), filters, self.min_docs, self.shards)
+
+    def insert(self, docs: DataFrame) -> LineIndex:
+        return self._moved(docs, 1)
+
+    def delete(self, docs: DataFrame) -> LineIndex:
+        """Docs must have been inserted before (a line that never was is an error); then this undoes it."""
+        return self._moved(docs, -1)
+
+
 def _passes(filters: dict[int, CuckooFilter], shards: int, keys: np.ndarray) -> np.ndarray:
     """Which keys some shard's filter may hold."""
     out, shard = np.zeros(len(keys), bool), keys["h2"].view(np.int64) % shards
@@ -117,32 +148,38 @@ def _passes(filters: dict[int, CuckooFilter], shards: int, keys: np.ndarray) ->
     return out
 
 
-def drop_common_lines(docs: DataFrame, index: LineIndex | None = None, min_docs: int = 10, everywhere: int = EVERYWHERE) -> DataFrame:
+def drop_common_lines(
+    docs: DataFrame, index: LineIndex | None = None, min_docs: int = 10, names: tuple[str, str] = ("n_lines", "n_dropped"), exact_bytes: int = EXACT_BYTES, filter_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """docs with every line gone whose key is found in min_docs documents or more; adds n_lines and n_dropped.
 
-    The index defaults to that of docs themselves. The text is split at \\n; a null or empty text
-    is one empty line, which stays (the result is then an empty text). Lines of an empty key always
-    stay. Other columns are passed on (n_lines and n_dropped are replaced). Repeated rows count as
-    documents of their own. An empty table gives an empty result.
-
-    Common keys up to `everywhere` of them (16 MB by default) are sent to the executors with their
-    filters, and the text never moves. Beyond that, lines meet the keys in a join on the key, whose
-    hot keys AQE splits, and line numbers meet the text by (doc_id, text hash).
+    The index defaults to that of docs themselves (a given one brings its own min_docs). The text is
+    split at \\n; a null or empty text is one empty line, which stays (the result is then an empty
+    text). Lines of an empty key always stay. Other columns are passed on, whatever their names; those
+    that are named as the two new ones (`names`) are replaced. Repeated rows count as documents of
+    their own; doc_id may be null. An empty table gives an empty result.
+
+    Every line first meets the filters. Where exact keys (16 bytes each) and filters (about 3) are
+    within their limits, both go to all executors, and the text never moves. Beyond exact_bytes, the
+    lines that pass the filters meet the exact keys in a join (hot keys are split by AQE), and the
+    numbers of the lines to drop meet the text by hashes of id and text. Beyond filter_bytes, the keys
+    of all lines are written by groups of shards first, and each group meets its own filters.
     """
-    spark = docs.sparkSession
-    docs = docs.drop("n_lines", "n_dropped")
-    common = cut((index or LineIndex.of(docs)).common(min_docs), "line-keys")
-    n = common.count()
-    shards = max(1, -(-n // SHARD_KEYS))
-    if n > everywhere:
-        return _drop_by_join(docs, common)
-    kept = spark.sparkContext.broadcast(
-        (
-            {r["shard"]: bytes(r["data"]) for r in build_filters(common, shards).collect()},  # about 3 bytes a key
-            np.sort(np.array([(a & (2**64 - 1), b & (2**64 - 1)) for a, b in common.collect()], _KEY)),  # `everywhere` keys at most
-        )
-    )
-    return _drop_at(docs, lambda batch, parts: _common_at(kept.value, shards, parts))
+    docs = docs.drop(*names)
+    index = index or LineIndex.of(docs, min_docs)
+    held = index.filters.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
+    if index.common.count() * 16 > exact_bytes or held > filter_bytes:
+        return _drop_by_join(docs, index, -(-held // filter_bytes), names)
+    keys = index.common.toArrow()  # exact_bytes at most
+    exact = np.empty(keys.num_rows, _KEY)
+    exact["h1"], exact["h2"] = (keys.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
+    shards, kept = index.shards, docs.sparkSession.sparkContext.broadcast((_collected(index.filters), np.sort(exact)))
+    return _drop_at(docs, names, None, lambda batch, parts: _common_at(kept.value, shards, parts))
+
+
+def _collected(filters: DataFrame) -> dict[int, bytes]:
+    table = filters.toArrow()
+    return dict(zip(table.column("shard").to_pylist(), table.column("data").to_pylist()))
 
 
 def _common_at(kept: tuple[dict[int, bytes], np.ndarray], shards: int, parts: list[list[bytes]]) -> list[set[int]]:
@@ -163,11 +200,10 @@ def _common_at(kept: tuple[dict[int, bytes], np.ndarray], shards: int, parts: li
     return out
 
 
-def _drop_at(docs: DataFrame, lines_to_drop) -> DataFrame:  # noqa: ANN001
-    """docs without the lines that lines_to_drop(batch, lines of each text) names; adds n_lines and n_dropped."""
-    names = [c for c in docs.columns if c != "_gone"]
-    fields = [T.StructField(f.name, T.StringType()) if f.name == "text" else f for f in docs.schema if f.name != "_gone"]
-    schema = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+def _drop_at(docs: DataFrame, names: tuple[str, str], gone: str | None, lines_to_drop) -> DataFrame:  # noqa: ANN001
+    """docs without the lines that lines_to_drop(batch, lines of each text) names, nor its column `gone`; adds the columns `names`."""
+    fields = [T.StructField(f.name, T.StringType()) if f.name == "text" else f for f in docs.schema if f.name != gone]
+    schema = T.StructType([*fields, *[T.StructField(n, T.LongType()) for n in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -175,29 +211,55 @@ def _drop_at(docs: DataFrame, lines_to_drop) -> DataFrame:  # noqa: ANN001
         target = to_arrow_schema(schema)
         for batch in slices(batches):
             parts = [x.split(b"\n") for x in utf8(batch.column(batch.schema.get_field_index("text")))]
-            gone = lines_to_drop(batch, parts)
-            texts = [b"\n".join([x for i, x in enumerate(lines) if i not in g] if g else lines) for lines, g in zip(parts, gone)]
-            made = {"text": pa.array(texts, pa.binary()).cast(pa.string()), "n_lines": pa.array([len(x) for x in parts], pa.int64()), "n_dropped": pa.array([len(g) for g in gone], pa.int64())}
+            drop = lines_to_drop(batch, parts)
+            texts = [b"\n".join([x for i, x in enumerate(lines) if i not in g] if g else lines) for lines, g in zip(parts, drop)]
+            made = {"text": pa.array(texts, pa.binary()).cast(pa.string()), names[0]: pa.array([len(x) for x in parts], pa.int64()), names[1]: pa.array([len(g) for g in drop], pa.int64())}
             columns = [made[f.name] if f.name in made else batch.column(batch.schema.get_field_index(f.name)) for f in target]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target)], schema=target)
 
-    return docs.select(*[F.col(f"`{c}`") for c in names], *([F.col("_gone")] if "_gone" in docs.columns else [])).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
+
+
+def _passing(keyed: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
+    """Those rows of keyed (with h1, h2) that the filters may hold."""
+    kept = keyed.sparkSession.sparkContext.broadcast(_collected(filters))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {s: CuckooFilter.load(x) for s, x in kept.value.items()}
+        for batch in batches:
+            keys = np.empty(batch.num_rows, _KEY)
+            keys["h1"], keys["h2"] = (batch.column(batch.schema.get_field_index(c)).to_numpy().view(np.uint64) for c in ("h1", "h2"))
+            yield batch.filter(pa.array(_passes(held, shards, keys)))
+
+    return keyed.mapInArrow(run, keyed.schema)
 
 
-def _drop_by_join(docs: DataFrame, common: DataFrame) -> DataFrame:
-    """The way for any number of common keys."""
-    named = docs.withColumn("_id", F.coalesce("doc_id", F.lit(-1))).withColumn("_text", F.xxhash64("text"))
+def _drop_by_join(docs: DataFrame, index: LineIndex, groups: int, names: tuple[str, str]) -> DataFrame:
+    """The way for any number of common keys: filters in `groups` groups of shards, then a join with the exact keys."""
+    by_id, by_text, gone = free_names(docs, "_id", "_hash", "_gone")
+    named = docs.withColumn(by_id, F.xxhash64("doc_id")).withColumn(by_text, F.xxhash64("text"))
 
     def lines(batch: pa.RecordBatch) -> dict[str, object]:
         parts = [line_keys(x.split(b"\n")) for x in utf8(batch.column(2))]
         sizes = [len(x) for x in parts]
         keys = np.concatenate(parts)
-        return {
-            "_id": pa.array(np.repeat(np.array(batch.column(0)), sizes)), "_text": pa.array(np.repeat(np.array(batch.column(1)), sizes)),
-            "line": pa.array(np.concatenate([np.arange(n) for n in sizes])), "h1": pa.array(keys["h1"].view(np.int64)), "h2": pa.array(keys["h2"].view(np.int64)),
+        keep = (keys["h1"] != 0) | (keys["h2"] != 0)
+        made = {
+            by_id: np.repeat(np.array(batch.column(0)), sizes), by_text: np.repeat(np.array(batch.column(1)), sizes),
+            "line": np.concatenate([np.arange(n) for n in sizes]), "h1": keys["h1"].view(np.int64), "h2": keys["h2"].view(np.int64),
         }
-
-    spread = map_slices(named.select("_id", "_text", F.col("text").cast("binary")), lines, "_id long, _text long, line long, h1 long, h2 long")
-    gone = spread.join(common, ["h1", "h2"], "left_semi").groupBy("_id", "_text").agg(F.collect_set("line").alias("_gone"))
-    met = named.join(gone, ["_id", "_text"], "left").drop("_id", "_text")
-    return _drop_at(met, lambda batch, parts: [set(x or ()) for x in batch.column(batch.schema.get_field_index("_gone")).to_pylist()])
+        return {k: pa.array(v[keep]) for k, v in made.items()}
+
+    spread = map_slices(named.select(by_id, by_text, F.col("text").cast("binary")), lines, f"{by_id} long, {by_text} long, line long, h1 long, h2 long")
+    if groups <= 1:
+        passed = _passing(spread, index.filters, index.shards)
+    else:  # a group's lines lie in many files, so that a line that all documents share is no hot group
+        at = lambda c: F.floor(F.col(c) * groups / index.shards).cast("int")
+        folder = new_path(docs.sparkSession, "line-groups")
+        spread.withColumn("shard", _shard(index.shards)).withColumn("part", at("shard")).drop("shard").write.partitionBy("part").parquet(folder)
+        written = docs.sparkSession.read.schema(f"{by_id} long, {by_text} long, line long, h1 long, h2 long, part int").parquet(folder)
+        each = [_passing(written.filter(F.col("part") == g).drop("part"), index.filters.filter(at("shard") == g), index.shards) for g in range(groups)]
+        passed = reduce(DataFrame.unionByName, each)
+    found = passed.join(index.common, ["h1", "h2"], "left_semi").groupBy(by_id, by_text).agg(F.collect_set("line").alias(gone))
+    met = named.join(found, [by_id, by_text], "left").drop(by_id, by_text)
+    return _drop_at(met, names, gone, lambda batch, parts: [set(x or ()) for x in batch.column(batch.schema.get_field_index(gone)).to_pylist()])
