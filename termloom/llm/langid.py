@@ -23,17 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.arrow import map_slices
-from termloom.llm.common import cut
+from termloom.llm.common import cut, free_names
 
 WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
 UNKNOWN = "und"
 #: Words whose scores a task keeps.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 #: Texts whose new words are scored together, and the longest words that are (their probabilities stay within range).
 TEXTS, TOGETHER = 256, 40
-#: Training words are cut off here (scored texts never are).
-TRAIN_LETTERS = 64
 
 
 def vocabulary(path: str) -> list[str]:
@@ -143,7 +141,10 @@ class LanguageModel:
 
 
 def expected_pieces(model: LanguageModel, language: int, word: str) -> dict[str, float]:
-    """How often each piece is expected in the word, over all its segmentations in one language."""
+    """How often each piece is expected in the word, over all its segmentations in one language.
+
+    Long words are summed by logarithms, so that no word is too long for it.
+    """
     text, n = START + word, len(word) + 1
     edges: list[tuple[int, int, str, float]] = []
     for i in range(n):
@@ -157,24 +158,40 @@ def expected_pieces(model: LanguageModel, language: int, word: str) -> dict[str,
                 edges.append((i, j, "", model.floor))
             if not known:
                 break
-    ahead, behind = [1.0] + [0.0] * n, [0.0] * n + [1.0]
-    for i, j, _, p in edges:
-        ahead[j] += ahead[i] * p
-    for i, j, _, p in reversed(edges):
-        behind[i] += behind[j] * p
-    total, out = ahead[n], {}
-    if total > 0:
+    out: dict[str, float] = {}
+    if n <= TOGETHER:
+        ahead, behind = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+        for i, j, _, p in edges:
+            ahead[j] += ahead[i] * p
+        for i, j, _, p in reversed(edges):
+            behind[i] += behind[j] * p
         for i, j, part, p in edges:
             if part:
-                out[part] = out.get(part, 0.0) + ahead[i] * p * behind[j] / total
+                out[part] = out.get(part, 0.0) + ahead[i] * p * behind[j] / ahead[n]
+        return out
+    ahead, behind = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+    for i, j, _, p in edges:
+        ahead[j] = _log_sum(ahead[j], ahead[i] + math.log(p))
+    for i, j, _, p in reversed(edges):
+        behind[i] = _log_sum(behind[i], behind[j] + math.log(p))
+    for i, j, part, p in edges:
+        if part:
+            out[part] = out.get(part, 0.0) + math.exp(ahead[i] + math.log(p) + behind[j] - ahead[n])
     return out
 
 
+def _log_sum(a: float, b: float) -> float:
+    a, b = max(a, b), min(a, b)
+    return a + math.log1p(math.exp(b - a)) if b > -math.inf else a
+
+
 def train(docs: DataFrame, pieces: list[str], docs_each: int = 1_000, rounds: int = 2, seed: int = 5) -> LanguageModel | None:
     """Fits piece probabilities from docs (text, lang, doc_id); None without a labelled word.
 
     docs_each bounds the sample: a language's documents are taken by hash with the chance that gives
-    so many in expectation. Null texts and languages are left out.
+    so many in expectation; their texts and words are whole. Null texts and languages are left out;
+    repeated rows count again; a null doc_id is an id like others; other columns are ignored. An
+    empty table, or one whose labelled texts hold no letter, gives None.
     """
     spark = docs.sparkSession
     labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
@@ -188,7 +205,7 @@ def train(docs: DataFrame, pieces: list[str], docs_each: int = 1_000, rounds: in
     def count(batch: pa.RecordBatch) -> dict[str, object]:
         found: Counter[tuple[str, str]] = Counter()
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found.update((lang, w[:TRAIN_LETTERS]) for w in WORD.findall(text.lower()))
+            found.update((lang, w) for w in WORD.findall(text.lower()))
         return {"lang": [k[0] for k in found], "word": [k[1] for k in found], "n": list(found.values())}
 
     words = cut(map_slices(sample.select("lang", "text"), count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
@@ -231,15 +248,17 @@ class _Words:
             self.rows = np.concatenate([self.rows, self.model.words(real)])
 
 
-def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """docs with lang_pred and score (columns of these names are replaced); only text is looked at.
+def identify(docs: DataFrame, model: LanguageModel | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the columns `names`: language and score (columns of these names are replaced); only text is looked at.
 
     score is the posterior of the language among the model's. A null text, one without a letter, and
     every text where there is no model, gets `und` and 0. Ties go to the language that sorts first.
+    Repeated rows get equal results, other columns are passed on, and an empty table gives an empty
+    result.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*names)
     if model is None:
-        return docs.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
+        return docs.withColumn(names[0], F.lit(UNKNOWN)).withColumn(names[1], F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang_pred: string, score: double>")
@@ -263,5 +282,6 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
                     out.append((model.languages[best], 1 / float(np.exp(total - total[best]).sum())))
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    made = docs.withColumn("_lang", predict("text"))
-    return made.withColumn("lang_pred", F.col("_lang.lang_pred")).withColumn("score", F.col("_lang.score")).drop("_lang")
+    (made,) = free_names(docs, "_made")
+    found = docs.withColumn(made, predict("text"))
+    return found.withColumn(names[0], F.col(made)["lang_pred"]).withColumn(names[1], F.col(made)["score"]).drop(made)
