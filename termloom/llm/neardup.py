@@ -35,8 +35,8 @@ M = BANDS * ROWS
 BASE, RATE, LIMIT = 1.001, 20.0, 2**16 - 2
 #: A pair is verified where its estimate is at least the threshold less this (5.9 standard errors of M registers at 75 %).
 MARGIN = 0.15
-#: Up to so many document ids (8 bytes each) are broadcast to pick texts; more are joined by shuffle.
-EVERYWHERE = 2_000_000
+#: Up to so many classes (about 120 bytes each in a broadcast, 60 MB) are broadcast to pick texts; more are joined by shuffle.
+EVERYWHERE = 500_000
 #: Members of one block of a full comparison.
 BLOCK = 512
 #: Shingles of a set that a block holds in the last step, those of least hash.
@@ -151,7 +151,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        now = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", instead_of=now)
 
 
 class _Comparer:
@@ -319,14 +319,23 @@ def near_duplicates(docs: DataFrame, share: int = 75) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, share: int = 75) -> DataFrame:
-    """docs with one document of each component of near duplicates, the one of the least doc_id; of repeated rows one."""
+    """docs with one document of each component of near duplicates, the one of the least doc_id; of repeated rows one.
+
+    Documents without words, or without text, all stay, as do all that have no near duplicate. Rows of
+    one id and one text count as repeated, whatever their other columns hold; which of them stays is
+    not fixed. Rows with a null id stay where their component has no other. All columns are passed
+    on, whatever their names. An empty table gives an empty result. Ids of the rows that stay meet
+    their texts in a join by shuffle: they grow with the input, so they are not broadcast.
+    """
     found = near_duplicates(docs, share).filter("kept").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("_rows"))
     found = cut(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_rows"), "kept-documents")
-    n, repeated = found.agg(F.count(F.lit(1)), F.coalesce(F.max("_rows") > 1, F.lit(False))).first()
-    named = docs.withColumn("_text", F.xxhash64("text"))
-    same = named.doc_id.eqNullSafe(F.col("_id")) & (named._text == F.col("_hash"))
-    kept = named.join(F.broadcast(found) if n <= EVERYWHERE else found, same, "left_semi")  # 24 bytes a document
-    return (kept.dropDuplicates(["doc_id", "_text"]) if repeated else kept).drop("_text")
+    repeated = found.agg(F.coalesce(F.max("_rows") > 1, F.lit(False))).first()[0]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
+    # every id is present on both sides; null ids meet as one value
+    key = [F.coalesce(F.concat(F.lit("="), F.col("_id").cast("string")), F.lit("")).alias("_key"), "_hash"]
+    kept = rows.select("row", *key).join(found.select(*key).hint("merge"), ["_key", "_hash"], "left_semi")
+    kept = kept.dropDuplicates(["_key", "_hash"]) if repeated else kept
+    return kept.select("row.*")
 
 
 def _buckets_of(regs: str) -> Column:
