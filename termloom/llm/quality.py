@@ -79,7 +79,9 @@ def train(labelled: DataFrame, max_rows: int = 20_000, trees: int = 20, depth: i
     """Trees from labelled (doc_id, text, label 0/1); labels that are null are left out.
 
     max_rows bounds the sample, taken by hash of doc_id with the chance that gives so many rows in
-    expectation. With no rows, or one label only, the base alone decides.
+    expectation; their texts are whole. A null text counts as an empty one; repeated rows count again;
+    a null doc_id is an id like others; other columns are ignored. With no rows, or one label only, the
+    base alone decides. Equal gains go to the first statistic and the lowest limit.
     """
     spark = labelled.sparkSession
     labelled = labelled.filter("label IS NOT NULL")
@@ -153,7 +155,11 @@ def train(labelled: DataFrame, max_rows: int = 20_000, trees: int = 20, depth: i
 
 
 def score_quality(docs: DataFrame, model: Trees) -> DataFrame:
-    """docs with `quality_score` (0 to 1), from the text alone; a null text counts as an empty one."""
+    """docs with `quality_score` (0 to 1; a column of that name is replaced), from the text alone.
+
+    A null text counts as an empty one, whose statistics are all 0. Repeated rows get equal scores,
+    other columns are passed on, and an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -31,7 +31,8 @@ def public_file(name: str) -> str:
 
 
 def _fold(c: str, of: int):  # noqa: ANN202
-    return F.pmod(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(of))
+    """crc32 of the id as text, modulo `of`; a null id counts as an empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")), F.lit(of))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,7 +100,12 @@ def shard_rows(df: DataFrame, shards: int = 24, seed: int = 7) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 7) -> DataFrame:
-    """Contract columns for documents: the law is `rows`; a null text has size 8 and crc 0."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of docs (doc_id, text); the law is `rows`.
+
+    A null text, like an empty one, has size 8 and crc 0. Equal texts, repeated rows and null ids are
+    rows of their own and are dealt one by one; other columns are ignored. An empty table gives an
+    empty result.
+    """
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     small = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     return shard_rows(small, shards, seed).select(

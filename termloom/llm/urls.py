@@ -13,7 +13,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import ascii_lower, cut
+from termloom.llm.common import ascii_lower, cut, free_names
 
 DIM = 2_048
 #: Up to so many rules are held as a constant; more are joined.
@@ -44,7 +44,8 @@ def match_rules(urls: DataFrame, rules: list[tuple[str, str, str]] | DataFrame)
     table = F.from_json(F.lit(known), "array<struct<size:int,rule:string,verdict:string,host:string,path:string>>")
     fits = lambda r: ((F.col("host") == r.host) | F.endswith(F.col("host"), F.concat(F.lit("."), r.host))) & F.startswith(F.col("path"), r.path)
     best = F.array_min(F.filter(table, fits))
-    return urls.withColumn("_best", best).withColumn("rule", F.col("_best.rule")).withColumn("rule_verdict", F.col("_best.verdict")).drop("_best")
+    (held,) = free_names(urls, "_best")
+    return urls.withColumn(held, best).withColumn("rule", F.col(held)["rule"]).withColumn("rule_verdict", F.col(held)["verdict"]).drop(held)
 
 
 def _join_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -55,9 +56,10 @@ def _join_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     keys = urls.select("host", "path").distinct().withColumn("_h", F.explode(suffixes))
     met = keys.join(listed, "_h").filter(F.startswith(F.col("path"), F.col("_p")))
     met = met.withColumn("_rule", F.concat("_h", "_p"))
-    best = met.groupBy("host", "path").agg(F.min(F.struct(-F.length("_rule"), "_rule", "_v")).alias("_best"))
+    (held,) = free_names(urls, "_best")
+    best = met.groupBy("host", "path").agg(F.min(F.struct(-F.length("_rule"), "_rule", "_v")).alias(held))
     out = urls.join(best, ["host", "path"], "left")
-    return out.withColumn("rule", F.col("_best._rule")).withColumn("rule_verdict", F.col("_best._v")).drop("_best")
+    return out.withColumn("rule", F.col(held)["_rule"]).withColumn("rule_verdict", F.col(held)["_v"]).drop(held)
 
 
 def _grams(text: Column, mark: str, n: int) -> Column:
@@ -72,11 +74,11 @@ def buckets(host: Column, path: Column) -> Column:
     return F.array_distinct(F.transform(grams, lambda g: (F.pmod(F.xxhash64(g), F.lit(DIM)) + 1).cast("int")))
 
 
-def _logit(weights: list[float]) -> Column:
+def _logit(weights: list[float], grams: str = "_grams") -> Column:
     """weights[0] is the intercept. Features are scaled to length one."""
     w = F.from_json(F.lit(json.dumps(weights[1:])), "array<double>")
-    total = F.aggregate("_grams", F.lit(0.0), lambda acc, b: acc + F.get(w, b - 1))
-    return F.lit(weights[0]) + total / F.sqrt(F.greatest(F.size("_grams"), F.lit(1)))
+    total = F.aggregate(grams, F.lit(0.0), lambda acc, b: acc + F.get(w, b - 1))
+    return F.lit(weights[0]) + total / F.sqrt(F.greatest(F.size(grams), F.lit(1)))
 
 
 def train(labelled: DataFrame, max_rows: int = 2_000, steps: int = 30, rate: float = 2.0, ridge: float = 1e-4) -> list[float]:
@@ -109,8 +111,9 @@ def train(labelled: DataFrame, max_rows: int = 2_000, steps: int = 30, rate: flo
 
 def score_urls(urls: DataFrame, weights: list[float]) -> DataFrame:
     """Adds `p_block`, the classifier's probability that a url with these host and path is to be blocked."""
-    scored = urls.withColumn("_grams", buckets(F.col("host"), F.col("path")))
-    return scored.withColumn("p_block", 1.0 / (1.0 + F.exp(-_logit(weights)))).drop("_grams")
+    (grams,) = free_names(urls, "_grams")
+    scored = urls.withColumn(grams, buckets(F.col("host"), F.col("path")))
+    return scored.withColumn("p_block", 1.0 / (1.0 + F.exp(-_logit(weights, grams)))).drop(grams)
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, labelled: DataFrame | None = None, max_rows: int = 2_000) -> DataFrame:
@@ -119,7 +122,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame,
     The verdict is the rule's where one fits and otherwise the classifier's (block above 0.5). With
     no labelled table the urls that a rule fits, with the rule's verdict, serve as one, up to
     max_rows of them. A null url, or one without `://`, has an empty host and path and gets the
-    classifier's verdict on those. An empty table gives an empty result.
+    classifier's verdict on those. Repeated rows get equal results, other columns are passed on, and
+    an empty table gives an empty result.
     """
     pages = pages.drop("host", "path", "rule", "rule_verdict", "verdict", "p_block")
     host, path = url_parts(F.col("url"))

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pytest
@@ -15,13 +18,13 @@ from termloom.llm import langid, quality
 from termloom.llm.cuckoo import CuckooFilter
 from termloom.llm.fingerprints import canonical, digest, edited_text, fingerprint, fingerprint_edits
 from termloom.llm.linededup import LineIndex, build_filters, drop_common_lines, line_keys, update_filters
-from termloom.llm.mixing import mix_sources, mixed_documents
+from termloom.llm.mixing import mix_sources, mixed_documents, source_schedule
 from termloom.llm.neardup import M, SAMPLE, estimate, keep_one_of_each, may_link, near_duplicates, registers
-from termloom.llm.packing import Encoder, encoder, pack, pack_documents, packing_plan
+from termloom.llm.packing import Encoder, SumIndex, encoder, pack, pack_documents, packing_plan
 from termloom.llm.queries import URL_RULES, public_file
 from termloom.llm.sharding import communication_matrix, hypergeometric, shard_documents, shard_rows
-from termloom.llm.topk import integer_vectors, top_k
-from termloom.llm.urls import filter_urls, match_rules, url_parts
+from termloom.llm.topk import exact_products, integer_vectors, top_k
+from termloom.llm.urls import DIM, filter_urls, match_rules, score_urls, train, url_parts
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and a river stone cloud paper green seven quiet under morning glass window letter".split()
@@ -82,6 +85,36 @@ def test_long_rule_lists_are_joined(spark) -> None:  # noqa: ANN001
     assert key(joined) == key(plain)
 
 
+def test_url_columns_of_working_names_stay(spark) -> None:  # noqa: ANN001
+    odd = spark.createDataFrame([("http://a.net/", 1, 2, "x")], "url string, _grams int, _best int, verdict string")
+    row = filter_urls(odd, URL_RULES).first()
+    assert (row._grams, row._best, row.verdict, row.rule) == (1, 2, "block", "net/")
+
+
+def test_url_training_by_hand(spark) -> None:  # noqa: ANN001
+    """The weights of the DataFrame steps against the same steps in numpy, and urls that no rule names, held out."""
+    rng = np.random.default_rng(1)
+    word = lambda bad: "".join(rng.choice(list("xqz" if bad else "aeimnrst"), 6))
+    rows = [(f"{word(i % 3 == 0)}.example", f"/{word(i % 3 == 0)}", float(i % 3 == 0)) for i in range(240)]
+    urls = spark.createDataFrame(rows, "host string, path string, label double")
+    got = train(urls.limit(160), steps=6)
+    from termloom.llm.urls import buckets
+
+    x = np.zeros((160, DIM + 1))
+    held = urls.limit(160).select("label", buckets(F.col("host"), F.col("path")).alias("b")).collect()
+    for i, r in enumerate(held):
+        x[i, 0], x[i, r.b] = 1, 1 / np.sqrt(max(1, len(r.b)))
+    y, w = np.array([r.label for r in held]), np.zeros(DIM + 1)
+    ahead, before = w, w
+    for step in range(6):
+        w = ahead - 2.0 * (x.T @ (1 / (1 + np.exp(-x @ ahead)) - y) / 160 + 1e-4 * ahead)
+        ahead, before = w + step / (step + 3) * (w - before), w
+    assert np.abs(np.array(got) - w).max() < 1e-4
+    test = urls.exceptAll(urls.limit(160))
+    scored = score_urls(test, train(urls.limit(160))).collect()
+    assert sum((r.p_block > 0.5) == (r.label > 0.5) for r in scored) >= 0.95 * len(scored)
+
+
 # op2
 
 
@@ -113,6 +146,49 @@ def test_forward_sums_all_segmentations() -> None:
         expected = langid.expected_pieces(model, 0, word)
         assert sum(len(k) * v for k, v in expected.items()) <= len(word) + 1 + 1e-9
     assert np.isfinite(model.word("ab" * 5000)).all()
+    for word in ("ab" * 30, "c" * 60 + "ab", "a" + "c" * 400):  # sums by logarithms, far below the least double
+        expected = langid.expected_pieces(model, 0, word)
+        assert expected and all(0 <= v <= len(word) + 1 for v in expected.values())
+        assert sum(len(k) * v for k, v in expected.items()) <= len(word) + 1 + 1e-6
+    short = "abaabbab" * 4
+    plain = langid.expected_pieces(model, 1, short)
+    try:
+        langid.TOGETHER, kept = 0, langid.TOGETHER
+        logs = langid.expected_pieces(model, 1, short)
+    finally:
+        langid.TOGETHER = kept
+    assert plain.keys() == logs.keys() and all(abs(plain[k] - logs[k]) < 1e-9 for k in plain)
+
+
+def test_expectation_maximisation_by_hand(spark) -> None:  # noqa: ANN001
+    """Trained probabilities against counts over all segmentations, enumerated one by one."""
+    names = ["▁", "▁a", "a", "b", "ab", "ba"]
+    df = spark.createDataFrame([(1, "ab aba", "x"), (2, "ba ba b", "x"), (3, "bb", "y"), (None, "abc", "y")], "doc_id long, text string, lang string")
+    got = langid.train(df, names, rounds=1)
+    texts = {"x": Counter(["ab", "aba", "ba", "ba", "b"]), "y": Counter(["bb", "abc"])}
+
+    def cuts(text: str):  # noqa: ANN202
+        if not text:
+            yield []
+        for n in range(1, len(text) + 1):
+            if text[:n] in names or n == 1:
+                yield from ([text[:n], *rest] for rest in cuts(text[n:]))
+
+    p = {lang: dict.fromkeys(names, 1 / len(names)) for lang in texts}
+    for _ in range(2):
+        new = {}
+        for lang, words in texts.items():
+            sums = Counter()
+            for w, n in words.items():
+                each = [(c, float(np.prod([p[lang].get(x, 1e-7) for x in c]))) for c in cuts("▁" + w)]
+                for c, chance in each:
+                    for x in c:
+                        if x in names:
+                            sums[x] += n * chance / sum(q for _, q in each)
+            whole = sum(sums[x] + 0.01 for x in names)
+            new[lang] = {x: (sums[x] + 0.01) / whole for x in names}
+        p = new
+    assert all(abs(got.prefixes[x][got.languages.index(lang)] - p[lang][x]) < 1e-9 for x in names for lang in p)
 
 
 def test_language(spark, pieces, none) -> None:  # noqa: ANN001
@@ -123,6 +199,8 @@ def test_language(spark, pieces, none) -> None:  # noqa: ANN001
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(df.withColumn("score", F.lit("clash")), model).collect()}
     assert all(got[i][0] == ("en" if i % 2 else "de") and 0.5 < got[i][1] <= 1 for i in range(40))
     assert [got[i] for i in (50, 51, 52)] == [("und", 0.0)] * 3 and got[53][0] == "de"
+    odd = langid.identify(df.withColumn("_made", F.lit("clash")).withColumn("score", F.lit("own")), model, ("l", "s")).first()
+    assert odd._made == "clash" and odd.score == "own" and odd.l in ("en", "de")
     assert langid.train(none, pieces) is None and langid.identify(none, None).count() == 0
 
 
@@ -152,12 +230,28 @@ def test_matrix_and_shards(docs, none) -> None:  # noqa: ANN001
     assert shard_rows(odd, 3).columns == ["doc_id", "other name", "shard", "slot"]
 
 
-def test_shuffle_is_uniform(spark) -> None:  # noqa: ANN001
-    seen = Counter()
-    df = spark.range(12).coalesce(1).cache()
-    for seed in range(12):
-        seen.update((r.id, r.shard) for r in shard_rows(df, 3, seed * 10).collect())
-    assert all(seen[i, 0] + seen[i, 1] + seen[i, 2] == 12 for i in range(12)) and max(seen.values()) <= 11
+def test_shuffle_is_uniform() -> None:
+    """Chi-square tests of the matrix that deals the rows: shares of shards, and of pairs of rows of one part that meet."""
+    draws, shards = 4_000, 3
+    counts, together = np.zeros((4, shards)), 0
+    for seed in range(draws):
+        matrix = np.array(communication_matrix([2, 5, 3, 2], shards, seed))
+        counts += matrix
+        together += int((matrix[0] == 2).any())
+    want = draws * np.array([2, 5, 3, 2])[:, None] / shards
+    assert ((counts - want) ** 2 / want).sum() < 24  # the 0.998 quantile for 8 degrees, and drawn without replacement, so less
+    chance = 3 * (4 / 12) * (3 / 11)  # both rows of the first part in one of three shards of four places
+    assert abs(together - draws * chance) < 4 * (draws * chance * (1 - chance)) ** 0.5
+
+
+def test_positions_inside_a_shard_are_uniform(spark) -> None:  # noqa: ANN001
+    places = np.zeros((40, 2))
+    df = spark.range(40).coalesce(1).cache()
+    for seed in range(10):
+        for r in shard_rows(df, 2, seed * 10).collect():
+            places[r.id, 0] += r.slot < 10
+            places[r.id, 1] += r.shard
+    assert abs(places[:, 0].sum() - 200) <= 0 and places[:, 0].std() < 3 and 2.5 < places[:, 1].mean() < 7.5 and places[:, 1].max() <= 10
 
 
 # op4
@@ -174,20 +268,60 @@ def brute_lines(rows: list[tuple], least: int) -> dict[int, tuple[int, int, str]
     return out
 
 
-@pytest.mark.parametrize("everywhere", [1_000_000, 0])
-def test_line_dedup(docs, none, everywhere: int) -> None:  # noqa: ANN001
+@pytest.mark.parametrize(("exact", "filters"), [(32_000_000, 64_000_000), (0, 64_000_000), (0, 20)])
+def test_line_dedup(docs, none, exact: int, filters: int) -> None:  # noqa: ANN001
+    """Keys sent to all tasks; lines that pass the filters joined with the keys; filters in several groups."""
     want = brute_lines(make_docs(), 10)
-    got = drop_common_lines(docs.withColumn("n_lines", F.lit("clash")), everywhere=everywhere).collect()
-    assert len(got) == len(make_docs()) and any(r.n_dropped for r in got)
-    assert all((r.n_lines, r.n_dropped, r.text) == want[r.doc_id] for r in got)
-    assert drop_common_lines(none, everywhere=everywhere).count() == 0
+    odd = docs.withColumns({c: F.lit("clash") for c in ("n_lines", "_gone", "_id", "_hash")})
+    index = LineIndex.of(odd, 10, shard_keys=1)
+    assert index.shards == index.common.count() > 0
+    for given in (None, index):
+        got = drop_common_lines(odd, given, exact_bytes=exact, filter_bytes=filters).collect()
+        assert len(got) == len(make_docs()) and any(r.n_dropped for r in got)
+        assert all((r.n_lines, r.n_dropped, r.text) == want[r.doc_id] and {r._gone, r._id, r._hash} == {"clash"} for r in got)
+    assert drop_common_lines(none, exact_bytes=exact, filter_bytes=filters).count() == 0
+
+
+def test_filters_are_asked_at_every_size(docs) -> None:  # noqa: ANN001
+    """Without its filters an index drops nothing, whichever way is taken."""
+    index = LineIndex.of(docs, 10)
+    blind = LineIndex(index.counts, index.filters.limit(0), 10, index.shards)
+    for exact in (32_000_000, 0):
+        assert drop_common_lines(docs, blind, exact_bytes=exact).agg(F.sum("n_dropped")).first()[0] == 0
 
 
 def test_line_index_is_reversible(docs) -> None:  # noqa: ANN001
-    key = lambda i: sorted(tuple(r) for r in i.counts.collect())
+    """Insertions and deletions undo each other, in the counts and in the filters."""
+
+    def state(index: LineIndex) -> tuple:
+        marks = set()
+        for r in index.filters.collect():
+            f = CuckooFilter.load(bytes(r.data))
+            for at, slot in zip(*np.nonzero(f.marks)):
+                mark = f.marks[at, slot]
+                marks.add((r.shard, min(at, int(f._other(np.array([at]), np.array([mark]))[0])), mark, int((f.marks == mark).sum())))
+        return sorted(tuple(r) for r in index.counts.collect()), marks
+
     part, rest = docs.filter("doc_id < 30"), docs.filter("doc_id >= 30")
-    whole, first = LineIndex.of(docs), LineIndex.of(part)
-    assert key(first.insert(rest)) == key(whole) and key(whole.delete(rest)) == key(first)
+    whole, first = LineIndex.of(docs, 3), LineIndex.of(part, 3)
+    grown = first.insert(rest)
+    assert state(grown)[0] == state(whole)[0] and state(grown.delete(rest)) == state(first) and state(whole.delete(rest))[0] == state(first)[0]
+    assert {tuple(r) for r in grown.common.collect()} == {tuple(r) for r in whole.common.collect()}
+    texts = lambda index: sorted((r.doc_id, r.text) for r in drop_common_lines(docs, index).collect())
+    whole, first = LineIndex.of(docs, 40), LineIndex.of(part, 40)
+    grown = first.insert(rest)
+    assert texts(grown) == texts(whole) != texts(first) == texts(grown.delete(rest))
+    with pytest.raises(ValueError, match="never inserted"):
+        first.delete(rest)
+
+
+def test_full_filters_are_built_again(spark) -> None:  # noqa: ANN001
+    line = lambda n: spark.range(n).select("id", F.concat(F.lit("line "), F.col("id").cast("string")).alias("text"))
+    index = LineIndex.of(line(5), 1, shard_keys=5)
+    grown = index.insert(line(400).filter("id >= 5"))  # beyond what its one filter of two buckets holds
+    keys = line_keys([f"line {i}".encode() for i in range(400)])
+    (row,) = grown.filters.collect()
+    assert CuckooFilter.load(bytes(row.data)).contains(keys["h1"]).all()
 
 
 def test_cuckoo_filters(spark) -> None:  # noqa: ANN001
@@ -241,6 +375,44 @@ def test_packing_round_trip(spark, docs, none) -> None:  # noqa: ANN001
         pack(spark.createDataFrame([(1, 2000)], "doc_id long, length long"))
 
 
+def test_encoder_on_all_documents(spark) -> None:  # noqa: ANN001
+    path = public_file("byte_bpe_50k.json")
+    fast, plain = encoder(path), Encoder(path).whole
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    assert len(texts) >= 1000 and all(fast(t) == e.ids for t, e in zip(texts, plain.encode_batch(texts, add_special_tokens=False)))
+
+
+def test_index_holds_every_sum() -> None:
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        size, counts = 40, np.zeros(41, np.int64)
+        counts[rng.choice(np.arange(1, 40), 9, replace=False)] = rng.integers(1, 4, 9)
+        have = [x for x in range(41) if counts[x]]
+        for gap in range(1, 40):
+            found = SumIndex(counts.copy(), size).fill(gap, size - gap) if counts[size - gap] else None
+            fits = lambda extra: not Counter((size - gap, *extra)) - Counter({x: int(counts[x]) for x in have})  # noqa: B023, E731
+            ways = [e for n in (1, 2, 3) for e in combinations_with_replacement(have, n) if sum(e) == gap and fits(e)] if counts[size - gap] else []
+            assert (found is None) == (not ways)
+            if found:
+                assert tuple(sorted(found[0])) in ways and len(found[0]) == min(map(len, ways)) and fits(found[0])
+
+
+def test_plan_against_all_packings() -> None:
+    """The least number of sequences, by search over all packings, for small inputs."""
+
+    def least(lengths: tuple[int, ...], rooms: tuple[int, ...] = ()) -> int:
+        if not lengths:
+            return len(rooms)
+        x, rest = lengths[0], lengths[1:]
+        return min(least(rest, tuple(sorted((*rooms, 10 - x)))), *[least(rest, tuple(sorted((*rooms[:i], r - x, *rooms[i + 1 :])))) for i, r in enumerate(rooms) if r >= x and r not in rooms[:i]], 99)
+
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        lengths = tuple(sorted(rng.integers(1, 11, 7).tolist(), reverse=True))
+        used = sum(n for _, n in packing_plan(np.bincount(lengths, minlength=11), 10))
+        assert least(lengths) <= used <= least(lengths) + 1
+
+
 def test_plan_uses_every_piece() -> None:
     rng = np.random.default_rng(2)
     for kind in range(4):
@@ -266,7 +438,7 @@ def test_fingerprints(docs, none, spark) -> None:  # noqa: ANN001
     for i, row in enumerate(rows):
         text, following = row[1] or "", rows[(i + 1) % len(rows)][1] or ""
         edited = edited_text(text, following)
-        assert any((r.n_chars, r.edited_sha256, r.fingerprint, r.near_edited, r.near_next) == (len(text), hashlib.sha256(edited.encode()).hexdigest(), digest(text), float(canonical(text) == canonical(edited)), float(canonical(text) == canonical(following))) for r in got[row[0]])
+        assert any((r.n_chars, r.edited_sha256, r.fingerprint, r.near_edited, r.near_next) == (len(text), hashlib.sha256(edited.encode()).hexdigest(), digest(canonical(text)), float(canonical(text) == canonical(edited)), float(canonical(text) == canonical(following))) for r in got[row[0]])
     plain = {r.doc_id: r.fingerprint for r in fingerprint(docs).collect()}
     assert plain == {k: v[0].fingerprint for k, v in got.items()}
     folded = spark.createDataFrame([(1, "Ｆｕｌｌ  Wıdth ﬁ"), (2, " full wıdth FI\n"), (3, "Full"), (None, None), (4, "")], "doc_id long, text string")
@@ -277,14 +449,37 @@ def test_fingerprints(docs, none, spark) -> None:  # noqa: ANN001
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
-def test_colliding_digests_are_told_apart(spark, monkeypatch) -> None:  # noqa: ANN001
-    from termloom.llm import fingerprints as fp
+@pytest.mark.parametrize("shared", [64_000_000, 0])
+def test_colliding_digests_are_told_apart(spark, shared: int) -> None:  # noqa: ANN001
+    """Digests cut to one hexadecimal digit: many forms share each, and equal fingerprints still mean equal forms."""
+    rows = [(i, f"Text {i // 2}" if i % 2 else f"text  {i // 2} ") for i in range(80)] + [(None, "text 3"), (None, None), (7, "another of the same id"), (7, "Text 3"), (90, ""), (91, "ab"), (92, "ab")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    form = {i: canonical(t) for i, t in enumerate([r[1] for r in rows])}
+    plain = fingerprint(df, digits=1, shared_bytes=shared).collect()
+    assert len(plain) == len(rows) and len({r.fingerprint for r in plain}) == len(set(form.values()))
+    got = fingerprint_edits(df, digits=1, shared_bytes=shared).collect()
+    assert len(got) == len(rows)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), (r[1] is not None, r[1] or "")))
+    want = Counter()
+    for i, (doc_id, text) in enumerate(order):
+        following = order[(i + 1) % len(order)][1]
+        edited = edited_text(text, following)
+        want[doc_id, hashlib.sha256(edited.encode()).hexdigest(), float(canonical(text) == canonical(edited)), float(canonical(text) == canonical(following))] += 1
+    assert Counter((r.doc_id, r.edited_sha256, r.near_edited, r.near_next) for r in got) == want
+    meant: dict[str, set] = defaultdict(set)  # what each fingerprint stands for, own or edited
+    for i, (doc_id, text) in enumerate(order):
+        edited = edited_text(text, order[(i + 1) % len(order)][1])
+        sha = hashlib.sha256(edited.encode()).hexdigest()
+        for r in got:
+            if (r.doc_id, r.edited_sha256, r.n_chars) == (doc_id, sha, len(text or "")):
+                meant[r.edited_fingerprint].add(canonical(edited))
+                meant[r.fingerprint].add(canonical(text))
+    assert all(len(x) <= 1 for x in meant.values())
+
 
-    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "doc_id long, text string")
-    same = spark.createDataFrame([(1, "0" * 32), (2, "0" * 32), (3, "0" * 32)], "doc_id long, fingerprint string")
-    assert fp.collisions(df, same).count() == 0  # no text really has this digest
-    real = fp.fingerprint(df).collect()
-    assert len({r.fingerprint for r in real}) == 2
+def test_order_needs_whole_numbers(spark) -> None:  # noqa: ANN001
+    with pytest.raises(TypeError, match="whole number"):
+        fingerprint_edits(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
 # op7
@@ -330,6 +525,36 @@ def test_near_duplicates(spark, none) -> None:  # noqa: ANN001
     assert near_duplicates(none).count() == 0 and keep_one_of_each(none).count() == 0
 
 
+def test_near_duplicates_without_broadcasts(spark, monkeypatch) -> None:  # noqa: ANN001
+    """Texts of pairs met by a join; odd rows and clashing columns in keep_one_of_each."""
+    import termloom.llm.neardup as module
+
+    rows = near_rows()
+    want = brute_components(rows)
+    monkeypatch.setattr(module, "EVERYWHERE", 0)
+    df = spark.createDataFrame(rows, DOCS)
+    assert all(r.component_id == want[r.doc_id][1] for r in near_duplicates(df).collect())
+    odd = spark.createDataFrame([(1, "a b c d e f", 1), (1, "a b c d e f", 1), (None, "A B C D E F", 1), (None, "x y", 2), (None, None, 3), (5, None, 4), (6, "", 5)], "doc_id long, text string, _text int")
+    odd = odd.withColumns({c: F.lit("own") for c in ("_hash", "row", "_key")})
+    got = keep_one_of_each(odd).collect()
+    assert Counter((r.doc_id, r.text, r._text) for r in got) == Counter([(1, "a b c d e f", 1), (None, "x y", 2), (None, None, 3), (5, None, 4), (6, "", 5)])
+    assert all((r._hash, r.row, r._key) == ("own", "own", "own") for r in got)
+
+
+def test_recall_near_the_threshold(spark) -> None:  # noqa: ANN001
+    """Pairs with known similarities of 0.75 to 0.8, each alone: all links are found, and none below."""
+    rng = np.random.default_rng(12)
+    rows, linked = [], {}
+    for i in range(150):
+        n = int(rng.integers(60, 400))
+        words = [f"p{i}w{j}" for j in range(n + 4)]
+        keep = int(np.ceil((0.74 if i % 3 == 0 else rng.uniform(0.75, 0.8)) * n))
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: keep + 4]))]
+        linked[2 * i + 1] = 100 * keep >= 75 * n
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all((got[d] == d - 1) == is_linked for d, is_linked in linked.items()) and sum(linked.values()) >= 90
+
+
 def test_samples_keep_every_link() -> None:
     """Pairs around the threshold, of whole samples, cut ones and one of each; and nothing far below is kept."""
     rng = np.random.default_rng(6)
@@ -415,9 +640,86 @@ def test_top_k(spark) -> None:  # noqa: ANN001
     assert top_k(few.limit(0), few, 20).count() == 0
 
 
+def test_top_k_of_odd_vectors(spark) -> None:  # noqa: ANN001
+    """Unequal and empty vectors, scores beyond doubles' whole numbers and beyond a long, an empty table's neighbours."""
+
+    def brute(vectors: dict[int, list[float]], q: int) -> list[tuple]:
+        whole = {i: [math.floor(Fraction(x) * 64) for x in v] for i, v in vectors.items()}
+        end = 2**63 - 1
+        score = lambda c: max(-end, min(end, sum(x * y for x, y in zip(whole[q], whole[c]))))
+        return [(i + 1, c, -s) for i, (s, c) in enumerate(sorted((-score(c), c) for c in vectors if c != q)[:20])]
+
+    rng = np.random.default_rng(3)
+    small = {i: rng.normal(size=int(rng.integers(0, 6))).tolist() for i in range(40)}
+    large = {i: (rng.normal(size=4) * 10.0 ** int(rng.integers(0, 9))).tolist() for i in range(60)}
+    huge = large | {100: [1e9, -1e9, 3.0, 0.0], 101: [1e300] * 4, 102: [-1e300, 1.0, 1.0, 1.0], 120: [1e18, 1e18], 140: [1.7e38]}
+    for vectors in (small, large, huge, {0: [], 20: [], 3: []}, {0: [1e9], 1: [1e9]}):
+        ints = integer_vectors(spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>"))
+        got = defaultdict(list)
+        for r in top_k(ints.filter("vec_id % 20 = 0"), ints, 20).collect():
+            got[r.query_id].append((r["rank"], r.vec_id, r.score))
+        for q in vectors:
+            if q % 20 == 0:
+                assert sorted(got[q]) == brute(vectors, q), q
+    a = rng.integers(-(2**31), 2**31, (5, 3)).astype(float)
+    assert (exact_products(a, a) == a.astype(np.int64) @ a.astype(np.int64).T).all()
+
+
 # op10
 
 
+def test_schedule(spark) -> None:  # noqa: ANN001
+    """Every block has one slot, blocks follow the slots, and any first part of the schedule keeps the weights."""
+    blocks = [5, 0, 700, 250, 1, 64]
+    frame = spark.createDataFrame(list(enumerate(blocks)), "source_no long, blocks long")
+    schedule, span = source_schedule(frame, 7)
+    slots = sorted((r.slot, r.source_no, r.block) for r in schedule.collect())
+    assert len(slots) == sum(blocks) and slots[-1][0] < span == 1024
+    assert Counter((n, b) for _, n, b in slots) == Counter((n, b) for n, size in enumerate(blocks) for b in range(size))
+    seen: Counter = Counter()
+    for i, (slot, source, block) in enumerate(slots):
+        assert block == seen[source]  # ranked in order
+        seen[source] += 1
+        assert all(abs(seen[n] - (i + 1) * size / sum(blocks)) <= 6 for n, size in enumerate(blocks))
+    bits = span.bit_length() - 1
+    assert [s for s, _, _ in slots] == [j for j in range(span) if int(f"{j:0{bits}b}"[::-1], 2) < sum(blocks)]
+
+
+def test_the_schedule_decides(docs) -> None:  # noqa: ANN001
+    """Half of the schedule takes half of the words of each source; another schedule takes other words."""
+    whole, half = (mix_sources(docs, block=4, part=p) for p in (1.0, 0.5))
+    taken = lambda mix: {r.source: r.n for r in mix.documents.groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    a, b = taken(whole), taken(half)
+    assert all(abs(b[s] - a[s] / 2) <= 4 * 6 for s in a) and sum(b.values()) < 0.6 * sum(a.values())
+    slots = {r.row_id: r.first_slot for r in half.documents.filter("taken > 0").collect()}
+    low = {r.row_id: r.s for r in half.segments.groupBy("row_id").agg(F.min("slot").alias("s")).collect()}
+    assert slots == low and all(s < whole.span / 2 for s in slots.values())
+
+
+def test_mixing_with_many_sources_and_clashes(spark, monkeypatch) -> None:  # noqa: ANN001
+    import termloom.llm.mixing as module
+
+    rows = [(i, "w " * (i % 9), f"s{i % 40}" if i % 11 else None, "own", "own") for i in range(300)] + [(None, "a b", "s1", "own", "own"), (None, None, None, "own", "own"), (3, "w w w ", "s3", "own", "own")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _id string, row_id string")
+    few = sorted(map(str, mix_sources(df, block=4).documents.select("doc_id", "size", "target", "taken").collect()))
+    monkeypatch.setattr(module, "MANY_SOURCES", 0)
+    assert sorted(map(str, mix_sources(df, block=4).documents.select("doc_id", "size", "target", "taken").collect())) == few
+    out = mixed_documents(df).collect()
+    assert all((r._id, r.row_id) == ("own", "own") for r in out) and len([r for r in out if not (r.text or "").split()]) == len([r for r in rows if not (r[1] or "").split()])
+
+
+def test_mixed_rows_follow_the_slots(docs) -> None:  # noqa: ANN001
+    """Read in order, the rows' sources keep the weights from the start."""
+    out = mixed_documents(docs.filter("length(text) > 5"))
+    first = [r for r in out.collect() if r.text.split()]
+    again = [r for r in mixed_documents(docs.filter("length(text) > 5")).collect() if r.text.split()]
+    assert first == again
+    place = {}
+    for i, r in enumerate(first):
+        place.setdefault(r.source, []).append(i / len(first))
+    assert all(0.2 < np.mean(x) < 0.8 for x in place.values() if len(x) > 5)
+
+
 def test_mixing(docs, none, spark) -> None:  # noqa: ANN001
     mix = mix_sources(docs, block=8)
     rows = mix.documents.collect()
