@@ -10,43 +10,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm import langid
-from termloom.llm.common import cut, table
+from termloom.llm.common import free_names, scratch, table
 from termloom.llm.linededup import drop_common_lines
 from termloom.llm.mixing import mixed_documents
 from termloom.llm.neardup import keep_one_of_each
 from termloom.llm.packing import pack_documents
 from termloom.llm.queries import MIN_LINE_DOCS, public_file
+from termloom.tables import forget, new_path
 
 #: A document is rejected where no language of the model reaches this posterior.
 MIN_LANGUAGE_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of no clear language, go."""
+    """Documents without a letter (null and empty texts too), or of no clear language, go. Repeated rows fare alike; an empty table stays empty."""
     model = langid.train(docs, langid.vocabulary(public_file("piece_bpe_32k.model")))
-    found = langid.identify(docs, model)
-    clear = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)
+    lang, score = free_names(docs, "lang_pred", "score")
+    found = langid.identify(docs, model, (lang, score))
+    clear = (F.col(lang) != langid.UNKNOWN) & (F.col(score) >= MIN_LANGUAGE_SCORE)
     return found.filter(clear).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents share go; n_chars follows the text."""
-    cleaned = drop_common_lines(docs, min_docs=MIN_LINE_DOCS)
+    """Lines that many documents share go; n_chars follows the text. A document of such lines alone, or without text, stays with an empty text."""
+    cleaned = drop_common_lines(docs, min_docs=MIN_LINE_DOCS, names=tuple(free_names(docs, "n_lines", "n_dropped")))
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, that of the least doc_id; documents without words all stay. See keep_one_of_each for odd rows."""
     return keep_one_of_each(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them, in the order of its slots; those without words stay once. See mixed_documents for odd rows."""
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in sequences of 1024 tokens."""
+    """Token pieces (doc_id, piece, start, length, ids_crc32) and their places in sequences of 1024 tokens; a text of null or nothing is its end token."""
     return pack_documents(docs, public_file("byte_bpe_50k.json"))
 
 
@@ -63,8 +65,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        docs = docs if i == len(STAGES) - 1 else cut(docs, f"pipeline-{name}")
-    return docs
+    """All stages; what a stage writes on its way is deleted after it, and its result once the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        path = new_path(spark, f"pipeline-{name}")
+        with scratch(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if before:
+            forget(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
