@@ -30,6 +30,8 @@ _PERMUTE = [
 ]
 # Component kinds of the second partition digit.
 COMPONENTS = {"0": "concept", "1": "description", "2": "relationship"}
+# Partitions of short and of long (namespaced) identifiers; 16 holds expressions.
+SHORT, LONG = ["00", "01", "02"], ["10", "11", "12", "16"]
 
 
 def _table(rows: list[list[int]]) -> Column:
@@ -49,15 +51,15 @@ def concept_id_reason(c: Column) -> Column:
         F.when(c.isNull() | ~c.rlike("^[0-9]+$"), "not-digits")
         .when(F.startswith(c, F.lit("0")), "leading-zero")
         .when(~F.length(c).between(6, 18), "length")
-        .when(~partition.isin("00", "01", "02", "10", "11", "12"), "partition")
-        .when(partition.isin("10", "11", "12") & (F.length(c) < 11), "namespace")
+        .when(~partition.isin(*SHORT, *LONG), "partition")
+        .when(partition.isin(*LONG) & (F.length(c) < 11), "namespace")
         .when(verhoeff_state(c) != 0, "check-digit")
     )
 
 
 def component_kind(c: Column) -> Column:
     digit = F.substring(c, -2, 1)
-    out = F.lit(None).cast("string")
+    out = F.when(F.substring(c, -3, 2) == "16", "expression")
     for key, kind in COMPONENTS.items():
         out = F.when(digit == key, kind).otherwise(out)
     return out
@@ -75,3 +77,11 @@ def mod10_digit(digits: Column) -> Column:
         lambda d, i: F.when(i % 2 == 0, F.when(d.cast("int") * 2 > 9, d.cast("int") * 2 - 9).otherwise(d.cast("int") * 2)).otherwise(d.cast("int")),
     )
     return (10 - F.aggregate(each, F.lit(0), lambda a, x: a + x) % 10) % 10
+
+
+def checked_number_reason(c: Column) -> Column:
+    """Null for digits, a hyphen and their mod-10 check digit (perhaps after a prefix of letters), else why it is not one."""
+    return (
+        F.when(c.isNull() | ~c.rlike("^[A-Z]*[0-9]+-[0-9]$"), "shape")
+        .when(mod10_digit(F.regexp_extract(c, "([0-9]+)-", 1)) != F.substring(c, -1, 1).cast("int"), "check-digit")
+    )

@@ -8,26 +8,25 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Ranges of Latin letters with marks, and the marks themselves.
-_LETTERS = [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]
-_MARKS = "".join(map(chr, range(0x300, 0x370)))
+def _fold_table() -> tuple[str, str, str]:
+    """Characters that are one other character once they are decomposed and their marks dropped, those characters, and all marks; of every script."""
+    pairs, marks = [], []
+    for code in [*range(0x80, 0xD800), *range(0xE000, 0x2FA20)]:
+        c = chr(code)
+        if unicodedata.category(c)[0] == "M":
+            marks.append(c)
+        elif unicodedata.decomposition(c):
+            base = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x)[0] != "M")
+            if len(base) == 1 and base != c:
+                pairs.append((c, base))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs), "".join(marks)
 
 
-def _fold_table() -> tuple[str, str]:
-    """Letters with marks and their base letters, by canonical decomposition; letters without one stay."""
-    pairs = []
-    for code in _LETTERS:
-        base = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if not unicodedata.combining(c))
-        if len(base) == 1 and base != chr(code):
-            pairs.append((chr(code), base))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
-
-
-_FROM, _TO = _fold_table()
+_FROM, _TO, _MARKS = _fold_table()
 
 
 def fold(c: Column) -> Column:
-    """Lower case without accents; ß stays ß. Marks are dropped (characters beyond the replacement's end)."""
+    """Lower case without marks, in every script; ß stays ß, and Hangul syllables stay whole. Marks are dropped (characters beyond the replacement's end)."""
     return F.lower(F.translate(c, _FROM + _MARKS, _TO))
 
 

@@ -9,6 +9,7 @@ acceptability (designation_id, refset_id, acceptability).
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -260,6 +261,40 @@ def concept_filter(
     return focus.select("code").join(out.select("code"), "code", "left_semi")
 
 
+# Aliases of dialects and the language reference sets they name.
+DIALECTS = {
+    "da-dk": "554461000005103",
+    "de": "722130004",
+    "en-au": "32570271000036106",
+    "en-ca": "19491000087109",
+    "en-gb": "900000000000508004",
+    "en-gb-x-drug": "999000681000001101",
+    "en-gb-x-ext": "999001251000000103",
+    "en-ie": "21000220103",
+    "en-nz": "271000210107",
+    "en-nz-x-pat": "281000210109",
+    "en-us": "900000000000509007",
+    "en-x-gmdn": "608771002",
+    "en-x-nhs-clinical": "999001261000000100",
+    "en-x-nhs-dmd": "999000671000001103",
+    "en-x-nhs-pharmacy": "999000691000001104",
+    "es": "450828004",
+    "es-uy": "5641000179103",
+    "et-ee": "71000181105",
+    "fr": "722131000",
+    "fr-be": "21000172104",
+    "fr-ca": "20581000087109",
+    "ja": "722129009",
+    "mi": "291000210106",
+    "nb-no": "61000202103",
+    "nl-be": "31000172101",
+    "nl-nl": "31000146106",
+    "nn-no": "91000202106",
+    "sv-se": "46011000052107",
+    "zh": "722128001",
+}
+
+
 @dataclass(frozen=True)
 class DescriptionTest:
     """Predicates that one description must meet together; inactive ones take part only when asked for."""
@@ -270,10 +305,19 @@ class DescriptionTest:
     uses: list[str] | None = None
     ids: list[str] | None = None
     active: bool | None = True
-    dialects: dict[str, list[str] | None] | None = None  # refset id -> acceptabilities (None: any)
+    dialects: dict[str, list[str] | None] | None = None  # language set, by id or alias -> its own acceptabilities (None: the shared ones)
+    acceptabilities: list[str] | None = None  # shared by dialects without own ones (None: any)
+    aliases: dict[str, str] = field(default_factory=lambda: DIALECTS)
     modules: list[str] | None = None
     time: tuple[str, int] | None = None
 
+    def _refset(self, dialect: str) -> str:
+        """A dialect's language set: an alias in any case, or the set's own id; a word that is neither is an error."""
+        known = self.aliases.get(dialect.lower())
+        if known is None and re.fullmatch("[A-Za-z]{2,3}(-[A-Za-z0-9]+)*", dialect):
+            raise UnknownConcept(f"no language set has the alias {dialect}")
+        return known or dialect
+
     def rows(self, designations: DataFrame, acceptability: DataFrame | None = None) -> DataFrame:
         out = designations
         if self.active is not None:
@@ -292,7 +336,7 @@ class DescriptionTest:
         if self.time:
             out = out.filter(compare(F.col("effective_time"), self.time[0], F.lit(self.time[1])))
         if self.dialects:
-            fit = [(F.col("refset_id") == r) & (F.lit(True) if a is None else F.col("acceptability").isin(a)) for r, a in self.dialects.items()]
+            fit = [(F.col("refset_id") == self._refset(r)) & (F.lit(True) if (own := a or self.acceptabilities) is None else F.col("acceptability").isin(own)) for r, a in self.dialects.items()]
             out = out.join(acceptability.filter(reduce(lambda a, b: a | b, fit)).select("designation_id"), "designation_id", "left_semi")
         return out
 

@@ -39,13 +39,13 @@ def resolve_version(asked: DataFrame, versions: DataFrame, defaults: DataFrame |
 
 
 def layer(layers: list[DataFrame], keys: list[str]) -> DataFrame:
-    """One row a key: that of the highest layer that has it (the last in the list)."""
+    """One row a key: that of the highest layer that has it (the last in the list); of several there that of the greatest text, so that reruns agree."""
     ranked = [df.withColumn("_layer", F.lit(i)) for i, df in enumerate(layers)]
     everything = ranked[0]
     for df in ranked[1:]:
         everything = everything.unionByName(df, allowMissingColumns=True)
     rest = [c for c in everything.columns if c not in (*keys, "_layer")]
-    best = everything.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_layer").alias("_best")) if rest else everything.select(*keys).distinct()
+    best = everything.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("_layer", F.to_json(F.struct(*rest)))).alias("_best")) if rest else everything.select(*keys).distinct()
     return best.select(*keys, "_best.*") if rest else best
 
 
@@ -142,9 +142,10 @@ def definition_diff(old: DataFrame, new: DataFrame, keys: list[str], ignore: lis
 
 
 def snapshot_from_full(full: DataFrame, key: str, as_of: int, time: str = "effective_time") -> DataFrame:
-    """Of every id the latest row up to a date."""
+    """Of every id the latest row up to a date; of several of one time that of the greatest text, so that reruns agree."""
     rest = [c for c in full.columns if c != key]
-    return full.filter(F.col(time) <= as_of).groupBy(key).agg(F.max_by(F.struct(*rest), time).alias("_row")).select(key, "_row.*")
+    order = F.struct(F.col(time), F.to_json(F.struct(*rest)))
+    return full.filter(F.col(time) <= as_of).groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_row")).select(key, "_row.*")
 
 
 def release_diff(old: DataFrame, new: DataFrame) -> DataFrame:

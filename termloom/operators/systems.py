@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.functions.identifiers import concept_id_reason
+from termloom.functions.identifiers import checked_number_reason, concept_id_reason, namespace
 from termloom.operators import hierarchy as H
+from termloom.tables import cut
 
 # LOINC-like tables: terms (code, columns...), links (code, part, axis), parts (part, name), answers (list, answer, sequence), lists (code, list)
 
@@ -163,22 +164,44 @@ def resource_status(properties: DataFrame, concepts: DataFrame) -> DataFrame:
     return concepts.select("code").join(flags, "code", "left").select("code", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("inactive", "not_selectable")])
 
 
-def identifier_audit(ids: DataFrame, column: str = "id") -> DataFrame:
-    """(reason, n): how many identifiers are malformed, by the first reason; well-formed ones count as `ok`."""
-    return ids.groupBy(F.coalesce(concept_id_reason(F.col(column)), F.lit("ok")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+def identifier_audit(ids: DataFrame, column: str = "id", kind: str = "component") -> DataFrame:
+    """(reason, n): how many identifiers are malformed, by the first reason; well-formed ones count as `ok`.
+
+    kind is `component` (check digits of the dihedral scheme) or `number` (a hyphen and a mod-10 digit).
+    """
+    reason = {"component": concept_id_reason, "number": checked_number_reason}[kind](F.col(column))
+    return ids.groupBy(F.coalesce(reason, F.lit("ok")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+class AmbiguousEdition(ValueError):
+    pass
 
 
-def identify_edition(dependencies: DataFrame, core: str, date: int) -> DataFrame:
-    """(module, effective_time, picked): modules nothing depends on, each at its latest time; a namespaced root is picked before the core module, which is before one at the release date.
+def identify_edition(dependencies: DataFrame, core: str, date: int, strict: bool = False) -> DataFrame:
+    """(module, effective_time, namespaced, picked): modules that depend on others and that none depends on, and the one that names the edition.
 
-    dependencies are (module, source_time, target, target_time).
+    One root with a namespace is picked; of several the one of the release date (of several such the
+    least). Without any, the release is the international one: the core module is picked, though
+    others depend on it, or, where it does not occur, the only root. dependencies are (module,
+    source_time, target, target_time). With strict, a release where none can be picked is an error.
     """
-    sources = dependencies.groupBy("module").agg(F.max("source_time").alias("effective_time"))
-    on = dependencies.filter("module != target").select(F.col("target").alias("module"))
-    free = sources.join(on, "module", "left_anti")
-    rank = F.when(F.col("module") != core, F.when(F.col("effective_time") == date, 0).otherwise(2)).otherwise(1)
-    best = free.agg(F.min(F.struct(rank.alias("rank"), "module")).alias("_best"))  # one row
-    return free.crossJoin(F.broadcast(best)).withColumn("picked", F.col("module").eqNullSafe(F.col("_best.module"))).drop("_best")
+    ends = dependencies.select("module", F.col("source_time").alias("time"), F.lit(True).alias("_needs")).unionByName(dependencies.select(F.col("target").alias("module"), F.col("target_time").alias("time"), F.lit(False).alias("_needs")))
+    modules = ends.groupBy("module").agg(F.max("time").alias("effective_time"), F.max("_needs").alias("_needs"))
+    needed = dependencies.filter("module != target").select(F.col("target").alias("module")).distinct().withColumn("_needed", F.lit(True))
+    found = cut(modules.join(needed, "module", "left").withColumn("namespaced", namespace(F.col("module")).isNotNull()).withColumn("root", F.col("_needed").isNull() & F.col("_needs")), "modules")
+    named = F.col("root") & F.col("namespaced")
+    counts = found.agg(
+        F.count_if(named).alias("named"), F.min(F.when(named, F.col("module"))).alias("only_named"), F.min(F.when(named & (F.col("effective_time") == date), F.col("module"))).alias("dated"),
+        F.count_if(F.col("root")).alias("roots"), F.min(F.when(F.col("root"), F.col("module"))).alias("only_root"), F.max(F.col("module") == core).alias("has_core"),
+    ).first()
+    if counts.named:
+        pick = counts.only_named if counts.named == 1 else counts.dated
+    else:
+        pick = core if counts.has_core else counts.only_root if counts.roots == 1 else None
+    if strict and pick is None:
+        raise AmbiguousEdition(f"{counts.named or counts.roots} root modules, and none that names the edition")
+    shown = found.filter(F.col("root") | F.col("module").eqNullSafe(F.lit(pick)))
+    return shown.select("module", "effective_time", "namespaced", F.col("module").eqNullSafe(F.lit(pick)).alias("picked"))
 
 
 def check_layer(needs: DataFrame, edition: DataFrame) -> DataFrame:
