@@ -14,32 +14,42 @@ from termloom.tables import cut, new_path
 def transitive_closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """All (descendant, ancestor, min_depth) by path doubling: rounds grow with the logarithm of the depth.
 
-    Pairs found in the last round meet the whole closure, so known pairs are not joined again. A
-    node on a cycle reaches itself; such pairs are left out (see detect_cycles).
+    When all pairs up to a depth d are known, every pair up to 2d goes through a node just d above
+    its descendant, so only the pairs of depth d meet the known ones, and only what is new is
+    written. A node on a cycle reaches itself; such pairs are left out (see detect_cycles).
     """
-    known = cut(
-        edges.filter("child IS NOT NULL AND parent IS NOT NULL AND child != parent").select(F.col("child").alias("descendant"), F.col("parent").alias("ancestor")).distinct().withColumn("min_depth", F.lit(1)),
-        "closure",
-    )
-    rows = known.count()
-    for _ in range(max_rounds):
-        upper = known.select(F.col("descendant").alias("_via"), F.col("ancestor").alias("_top"), F.col("min_depth").alias("_more"))
-        longer = known.join(upper, known.ancestor == F.col("_via")).select("descendant", F.col("_top").alias("ancestor"), (F.col("min_depth") + F.col("_more")).alias("min_depth"))
-        grown = known.unionByName(longer).filter("descendant != ancestor").groupBy("descendant", "ancestor").agg(F.min("min_depth").alias("min_depth"))
-        known = cut(grown, "closure")
-        before, rows = rows, known.count()
-        if rows == before:
+    spark, folder = edges.sparkSession, new_path(edges.sparkSession, "closure")
+    new = edges.filter("child IS NOT NULL AND parent IS NOT NULL AND child != parent").select(F.col("child").alias("descendant"), F.col("parent").alias("ancestor")).distinct().withColumn("min_depth", F.lit(1))
+    schema = new.schema
+
+    def read(*rounds: int) -> DataFrame:
+        return spark.read.schema(schema).parquet(*[f"{folder}/{r}" for r in rounds])
+
+    for i in range(max_rounds):
+        new.write.parquet(f"{folder}/{i}")
+        known = read(*range(i + 1))
+        if read(i).isEmpty():
             break
+        first = read(i).filter(F.col("min_depth") == 2**i).select("descendant", F.col("ancestor").alias("_via"))
+        upper = known.select(F.col("descendant").alias("_via"), "ancestor", "min_depth")
+        longer = first.join(upper, "_via").filter("descendant != ancestor").groupBy("descendant", "ancestor").agg((F.min("min_depth") + 2**i).cast("int").alias("min_depth"))
+        new = longer.join(known, ["descendant", "ancestor"], "left_anti")
     return known
 
 
 def detect_cycles(edges: DataFrame) -> DataFrame:
-    """(node): what is left when nodes without a remaining parent are peeled off again and again: nodes on or below a cycle."""
+    """(node): what is left when nodes without a remaining parent are peeled off again and again: nodes on or below a cycle.
+
+    Two levels are peeled off a round.
+    """
+
+    def peeled(left: DataFrame) -> DataFrame:
+        return left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
+
     left = cut(edges.filter("child IS NOT NULL AND parent IS NOT NULL").select("child", "parent").distinct(), "peel")
     rows = left.count()
     while rows:
-        blocked = left.select(F.col("child").alias("parent")).distinct()
-        left = cut(left.join(blocked, "parent", "left_semi"), "peel")
+        left = cut(peeled(peeled(left)), "peel", instead_of=left)
         before, rows = rows, left.count()
         if rows == before:
             break
@@ -130,7 +140,7 @@ def preorder(codes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def page(ordered: DataFrame, by: list[Column], offset: int, count: int) -> DataFrame:
     """Rows offset.. of count by the order given, with `place` (from 0) and `total`."""
-    top = ordered.orderBy(*by).limit(offset + count)
+    top = ordered.orderBy(*by).limit(offset + count)  # each task sends its first ones only
     placed = top.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*by)) - 1).filter(F.col("place") >= offset)
     return placed.withColumn("total", F.lit(ordered.count()).cast("long"))
 

@@ -21,16 +21,19 @@ def write_index(index: DataFrame, path: str) -> None:
 def prefix_search(queries: DataFrame, index: DataFrame, key: str = "designation_id") -> DataFrame:
     """(query_id, key): terms in which every word of the query (query_id, text) starts some word.
 
-    Query words meet the vocabulary (each word once) on the first letter, and only the words found
-    meet the index. Queries without a word match nothing.
+    Queries of the same words are asked once. Each word of the vocabulary, cut to every length up to
+    that of the longest query word, meets the query words as a whole, and only the words found meet the
+    index. Queries without a word match nothing.
     """
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("start"))
-    starts = asked.select("start").distinct().withColumn("_first", F.substring("start", 1, 1))
-    vocabulary = index.select("word").distinct().withColumn("_first", F.substring("word", 1, 1))
-    pairs = vocabulary.join(starts, "_first").filter(F.startswith("word", F.col("start"))).select("start", "word")
-    hits = asked.join(pairs, "start").join(index, "word").select("query_id", "start", key).distinct()
-    need = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
-    return hits.groupBy("query_id", key).agg(F.count(F.lit(1)).alias("_met")).join(need, "query_id").filter("_met = _n").select("query_id", key)
+    asked = queries.select("query_id", tokens(F.col("text")).alias("_words")).filter(F.size("_words") > 0)
+    texts = asked.select("_words").distinct().withColumn("start", F.explode("_words"))
+    starts = texts.select("start").distinct()
+    longest = starts.agg(F.coalesce(F.max(F.length("start")), F.lit(0))).first()[0]
+    cuts = F.transform(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(max(1, longest)))), lambda n: F.substring("word", F.lit(1), n))
+    pairs = index.select("word").distinct().filter("word != ''").withColumn("start", F.explode(cuts)).join(starts, "start", "left_semi")
+    hits = texts.join(pairs, "start").join(index, "word").select("_words", "start", key).distinct()
+    found = hits.groupBy("_words", key).agg(F.count(F.lit(1)).alias("_met")).filter(F.col("_met") == F.size("_words"))
+    return asked.join(found, "_words").select("query_id", key)
 
 
 def search_filters(designations: DataFrame, language: str | None = None, refset: DataFrame | None = None, uses: list[str] | None = None, active_only: bool = True) -> DataFrame:
@@ -47,7 +50,8 @@ def rank_page(hits: DataFrame, designations: DataFrame, offset: int, count: int)
     """Each query's hits, shortest term first, then by code: query_id, code, term, place, total."""
     named = hits.join(designations.select("designation_id", "code", "term"), "designation_id")
     order = Window.partitionBy("query_id").orderBy(F.length("term"), "code", "designation_id")
-    placed = named.withColumn("place", F.row_number().over(order) - 1).filter(F.col("place") < offset + count).filter(F.col("place") >= offset)
+    first = named.withColumn("_row", F.row_number().over(order)).filter(F.col("_row") <= offset + count)  # each task keeps a query's first ones
+    placed = first.withColumn("place", F.col("_row") - 1).filter(F.col("place") >= offset)
     totals = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
     return placed.join(totals, "query_id").select("query_id", "code", "term", "place", "total")
 

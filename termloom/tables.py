@@ -9,7 +9,10 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Rows (of a few short columns, about 100 bytes each) that a table sent to every executor holds at most.
+BROADCAST_ROWS = 100_000
 _LOCAL: dict[str, str] = {}
 _SCOPE: ContextVar[str | None] = ContextVar("scratch", default=None)
 
@@ -67,3 +70,8 @@ def cut(df: DataFrame, name: str = "cut", instead_of: DataFrame | None = None) -
     if instead_of is not None:
         forget(spark, instead_of._cut_path)
     return out
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df to be broadcast where it has at most so many rows, which is counted first; else as it is, for a join by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
