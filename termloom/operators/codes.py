@@ -11,7 +11,32 @@ from pyspark.sql import functions as F
 
 from termloom.functions.text import primary_language
 from termloom.functions.versions import version_matches
-from termloom.tables import cut
+from termloom.tables import cut, small
+
+# codes
+
+
+def keys_of(*frames: DataFrame) -> list[str]:
+    """What joins codes: system and code where all frames name the system, else the code alone."""
+    return ["system", "code"] if all("system" in f.columns for f in frames) else ["code"]
+
+
+def code_key(code: Column, case_sensitive: Column) -> Column:
+    """A code as its system compares it."""
+    return F.when(F.coalesce(case_sensitive, F.lit(True)), code).otherwise(F.lower(code))
+
+
+def known_codes(concepts: DataFrame, systems: DataFrame, *columns: str) -> DataFrame:
+    """(system, _key, _own): each known code by its key, with its own spelling and columns; of codes that differ in case alone in a case-blind system, the least."""
+    keyed = concepts.join(small(systems.select("system", "case_sensitive")), "system", "left")
+    return keyed.groupBy("system", code_key(F.col("code"), F.col("case_sensitive")).alias("_key")).agg(F.min(F.struct("code", *columns)).alias("_own"))
+
+
+def with_own(facts: DataFrame, concepts: DataFrame, systems: DataFrame, *columns: str) -> DataFrame:
+    """facts (system, code) with _own: the code in the system's own spelling, and columns of its concept; null where it is not known."""
+    keyed = facts.join(small(systems.select("system", "case_sensitive")), "system", "left").withColumn("_key", code_key(F.col("code"), F.col("case_sensitive")))
+    return keyed.join(known_codes(concepts, systems, *columns), ["system", "_key"], "left").drop("_key", "case_sensitive")
+
 
 # lookup and displays
 
@@ -19,15 +44,20 @@ from termloom.tables import cut
 def lookup(facts: DataFrame, concepts: DataFrame, systems: DataFrame, designations: DataFrame, properties: DataFrame, names: list[str] | None = None) -> DataFrame:
     """facts with name, version, display, active, designations and properties of their code.
 
-    Designations and properties are gathered for the codes that facts hold, one row a code, before
-    they meet the facts.
+    Codes of case-blind systems are found in any case. Designations and properties are gathered for
+    the codes that facts hold, one row a code, before they meet the facts; designations with a system
+    meet codes of that system only.
     """
     wanted = facts.select("system", "code").distinct()
-    terms = designations.filter("active").join(wanted.select("code").distinct(), "code", "left_semi").groupBy("code").agg(F.sort_array(F.collect_list(F.struct("language", "use_code", "term"))).alias("designations"))
+    own = with_own(wanted, concepts, systems, "display", "active").select("system", "code", "_own")
+    asked = own.filter("_own IS NOT NULL").select("system", F.col("_own.code").alias("code")).distinct()
+    on = keys_of(designations)
+    terms = designations.filter("active").join(asked.select(*on).distinct(), on, "left_semi").groupBy(*on).agg(F.sort_array(F.collect_list(F.struct("language", "use_code", "term"))).alias("designations"))
     chosen = properties if names is None else properties.filter(F.col("property").isin(names))
-    props = chosen.join(wanted, ["system", "code"], "left_semi").groupBy("system", "code").agg(F.sort_array(F.collect_list(F.struct("property", "value_text"))).alias("properties"))
-    about = wanted.join(concepts.select("system", "code", F.col("display").alias("name"), "active"), ["system", "code"], "left").join(terms, "code", "left").join(props, ["system", "code"], "left").join(systems.select("system", "version"), "system", "left")
-    return facts.join(about, ["system", "code"], "left")
+    props = chosen.join(asked, ["system", "code"], "left_semi").groupBy("system", "code").agg(F.sort_array(F.collect_list(F.struct("property", "value_text"))).alias("properties"))
+    about = asked.join(terms, on, "left").join(props, ["system", "code"], "left").withColumnRenamed("code", "_code")
+    found = own.withColumn("_code", F.col("_own.code")).join(about, ["system", "_code"], "left").join(small(systems.select("system", "version")), "system", "left")
+    return facts.join(found.select("system", "code", F.col("_own.display").alias("name"), F.col("_own.active").alias("active"), "designations", "properties", "version"), ["system", "code"], "left")
 
 
 def language_ranks(header: str, available: list[str]) -> list[tuple[str, int]]:
@@ -51,90 +81,116 @@ def language_ranks(header: str, available: list[str]) -> list[tuple[str, int]]:
 
 
 def choose_display(designations: DataFrame, acceptability: DataFrame, ranks: list[tuple[str, int]], concepts: DataFrame | None = None) -> DataFrame:
-    """(code, display): a preferred synonym of the best language's set, else any term of that language, else any; ties by id."""
+    """(code, display): a preferred synonym of the best language's set, else any term of that language, else any; ties by id.
+
+    Where designations (and concepts, if given) name a system, the result does, and codes are its own.
+    """
     spark = designations.sparkSession
     order = spark.createDataFrame(ranks or [("", 0)], "language string, _rank int")
     preferred = acceptability.filter("acceptability = 'preferred'").select("designation_id", F.lit(0).alias("_own"))
     ranked = designations.filter("active").join(F.broadcast(order), "language", "left").join(preferred, "designation_id", "left")
     key = F.struct(F.coalesce("_rank", F.lit(len(ranks))), F.coalesce("_own", F.lit(1)), F.when(F.col("use_code") == "synonym", 0).otherwise(1), "designation_id")
-    best = ranked.groupBy("code").agg(F.min_by("term", key).alias("term"))
+    on = keys_of(designations) if concepts is None else keys_of(designations, concepts)
+    best = ranked.groupBy(*on).agg(F.min_by("term", key).alias("term"))
     if concepts is None:
-        return best.select("code", F.col("term").alias("display"))
-    return concepts.select("code", "display").join(best, "code", "left").select("code", F.coalesce("term", "display").alias("display"))
+        return best.select(*on, F.col("term").alias("display"))
+    return concepts.select(*on, "display").join(best, on, "left").select(*on, F.coalesce("term", "display").alias("display"))
 
 
 # validation
 
 
-def validate_codes(facts: DataFrame, concepts: DataFrame, systems: DataFrame, designations: DataFrame | None = None, lenient: bool = False) -> DataFrame:
+def validate_codes(facts: DataFrame, concepts: DataFrame, systems: DataFrame, designations: DataFrame | None = None, lenient: bool = False, languages: list[str] | None = None) -> DataFrame:
     """facts with result, issues (array of severity, reason) and, where a display is asserted, its outcome among them.
 
     An unknown system, or one whose content cannot prove a code wrong, and an unknown code fail; an
-    inactive code passes with a warning. Displays compare without regard to case; white space, another
-    language's or a withdrawn term, or no term at all are errors, or warnings if lenient.
+    inactive code passes with a warning. Codes of case-blind systems are known in any case, with a note
+    where the system writes them otherwise. Displays compare without regard to case; white space, a
+    withdrawn term, or no term at all (of the languages, if any are asked for) are errors, or warnings
+    if lenient; a code without any term of these languages passes with another's, with a note.
     """
-    known = systems.select("system", F.col("content").alias("_content"), "case_sensitive")
-    own = concepts.select("system", "code", F.col("active").alias("_active"), F.col("display").alias("_display"))
-    out = facts.join(F.broadcast(known), "system", "left").join(own, ["system", "code"], "left")
-    found = F.col("_active").isNotNull()
+    known = small(systems.select("system", F.col("content").alias("_content")))
+    out = with_own(facts, concepts, systems, "active").join(known, "system", "left")
+    found, vague = F.col("_own").isNotNull(), F.col("_content").isin("fragment", "example", "not-present")
     issue = lambda severity, reason: F.struct(F.lit(severity).alias("severity"), F.lit(reason).alias("reason"))
     checks = [
         F.when(F.col("_content").isNull(), issue("error", "unknown-system")),
-        F.when(F.col("_content").isNotNull() & ~found & F.col("_content").isin("fragment", "example", "not-present"), issue("warning", "unknown-code-in-fragment")),
-        F.when(F.col("_content").isNotNull() & ~found & ~F.col("_content").isin("fragment", "example", "not-present"), issue("error", "unknown-code")),
-        F.when(found & ~F.col("_active"), issue("warning", "inactive")),
+        F.when(F.col("_content").isNotNull() & ~found & vague, issue("warning", "unknown-code-in-fragment")),
+        F.when(F.col("_content").isNotNull() & ~found & ~vague, issue("error", "unknown-code")),
+        F.when(found & ~F.col("_own.active"), issue("warning", "inactive")),
+        F.when(F.col("_own.code") != F.col("code"), issue("information", "case-differs")),
     ]
     if designations is not None and "display" in facts.columns:
-        out = validate_display(out, designations)
+        out = validate_display(out.withColumn("_code", F.coalesce("_own.code", "code")), designations, languages, "_code").drop("_code")
         severity = "warning" if lenient else "error"
         for reason in ("wrong-display", "white-space", "withdrawn-display"):
             checks.append(F.when(found & (F.col("display_outcome") == reason), issue(severity, reason)))
+        checks.append(F.when(found & (F.col("display_outcome") == "other-language"), issue("information", "other-language")))
     out = out.withColumn("issues", F.filter(F.array(*checks), lambda x: x.isNotNull()))
-    passes = (found | F.coalesce(F.col("_content").isin("fragment", "example", "not-present"), F.lit(False))) & ~F.exists("issues", lambda x: x["severity"] == "error")
-    return out.withColumn("result", passes).drop("_content", "case_sensitive", "_active", "_display")
+    passes = (found | F.coalesce(vague, F.lit(False))) & ~F.exists("issues", lambda x: x["severity"] == "error")
+    return out.withColumn("result", passes).drop("_content", "_own")
 
 
 def _squeezed(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
 
 
-def validate_display(facts: DataFrame, designations: DataFrame) -> DataFrame:
-    """facts (code, display) with display_outcome: none, exact, white-space, withdrawn-display or wrong-display.
+def validate_display(facts: DataFrame, designations: DataFrame, languages: list[str] | None = None, code: str = "code") -> DataFrame:
+    """facts (code, display, and system where designations have one) with display_outcome.
 
-    Terms meet facts on their folded text, so a code's many terms are not listed per fact; several
-    terms of one folded text count with the best.
+    It is none (no display), withdrawn-display, exact, white-space or wrong-display; with languages,
+    only their terms and those of no language count for a code that has any, and a code that has none
+    takes another's, as other-language. Terms meet facts on their folded text, so a code's many terms
+    are not listed per fact.
     """
-    terms = designations.select("code", _squeezed(F.col("term")).alias("_key"), F.lower("term").alias("_low"), "active")
-    terms = terms.groupBy("code", "_key").agg(F.collect_set(F.when(F.col("active"), F.col("_low"))).alias("_exact"), F.max("active").alias("_current"))
-    keyed = facts.withColumn("_key", _squeezed(F.col("display")))
+    on = keys_of(designations, facts)
+    wanted = F.lit(True) if not languages or "*" in languages else F.col("language").isNull() | primary_language(F.col("language")).isin([x.lower().replace("_", "-").split("-")[0] for x in languages])
+    terms = designations.select(*on, _squeezed(F.col("term")).alias("_squeezed"), F.lower("term").alias("_low"), "active", wanted.alias("_wanted"))
+    own = F.col("active") & F.col("_wanted")
+    texts = terms.groupBy(*on, "_squeezed").agg(F.collect_set(F.when(own, F.col("_low"))).alias("_exact"), F.max(own).alias("_fits"), F.max("active").alias("_current"), F.max(~F.col("active")).alias("_gone"))
+    keyed = facts.withColumn("_squeezed", _squeezed(F.col("display")))
+    named = {"code": code, "system": "system"}
+
+    def met(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
+        right = right.select(*[F.col(k).alias(f"_r_{k}") for k in (*on, *more)], *[c for c in right.columns if c not in (*on, *more)])
+        test = [F.col(named.get(k, k)) == F.col(f"_r_{k}") for k in (*on, *more)]
+        return left.join(right, test, "left").drop(*[f"_r_{k}" for k in (*on, *more)])
+
+    out = met(keyed, texts, "_squeezed")
+    if languages:
+        out = met(out, terms.groupBy(*on).agg(F.max(own).alias("_has")))
+    other = (~F.coalesce("_has", F.lit(False)) & F.col("_current")) if languages else F.lit(False)
     outcome = (
-        F.when(F.col("display").isNull(), "none")
-        .when(F.array_contains("_exact", F.lower("display")), "exact")
-        .when(F.col("_current"), "white-space")
-        .when(F.col("_current").isNotNull(), "withdrawn-display")
-        .otherwise("wrong-display")
-    )
-    return keyed.join(terms, ["code", "_key"], "left").withColumn("display_outcome", outcome).drop("_key", "_exact", "_current")
+        F.when(F.col("display").isNull(), "none").when(F.col("_gone"), "withdrawn-display").when(F.array_contains("_exact", F.lower("display")), "exact")
+        .when(F.col("_fits"), "white-space").when(other, "other-language").otherwise("wrong-display")
+    )
+    return out.withColumn("display_outcome", outcome).drop("_squeezed", "_exact", "_fits", "_current", "_gone", "_has")
 
 
-def validate_membership(facts: DataFrame, expansion: DataFrame, concepts: DataFrame, value_sets: DataFrame, active_only: bool = False, selectable_only: bool = False) -> DataFrame:
+def validate_membership(facts: DataFrame, expansion: DataFrame, concepts: DataFrame, value_sets: DataFrame, active_only: bool = False, selectable_only: bool = False, systems: DataFrame | None = None) -> DataFrame:
     """facts (url, system, code) with result and reason.
 
-    expansion is (url, system, code); value_sets (url) names those that exist. Reasons: unknown-value-set,
-    unknown-code, inactive, abstract, not-in-value-set.
+    expansion is (url, system, code), at least of the codes that facts hold (valuesets.contains gives
+    it without expanding the rest); value_sets (url) names those that exist; with systems, codes of
+    case-blind ones are found in any case. Reasons: unknown-value-set, unknown-code, inactive,
+    abstract, not-in-value-set.
     """
-    own = concepts.select("system", "code", F.col("active").alias("_active"), F.col("abstract").alias("_abstract"))
-    held = expansion.select("url", "system", "code", F.lit(True).alias("_in"))
-    exists = value_sets.select("url", F.lit(True).alias("_set")).distinct()
-    out = facts.join(exists, "url", "left").join(own, ["system", "code"], "left").join(held, ["url", "system", "code"], "left")
+    held = expansion.select("url", "system", F.col("code").alias("_code"), F.lit(True).alias("_in"))
+    exists = small(value_sets.select("url", F.lit(True).alias("_set")).distinct())
+    if systems is None:
+        own = concepts.select("system", "code", F.struct("code", "active", "abstract").alias("_own"))
+        out = facts.join(own, ["system", "code"], "left")
+    else:
+        out = with_own(facts, concepts, systems, "active", "abstract")
+    out = out.withColumn("_code", F.col("_own.code")).join(exists, "url", "left").join(held, ["url", "system", "_code"], "left")
     reason = (
         F.when(F.col("_set").isNull(), "unknown-value-set")
-        .when(F.col("_active").isNull(), "unknown-code")
+        .when(F.col("_own").isNull(), "unknown-code")
         .when(F.col("_in").isNull(), "not-in-value-set")
-        .when(F.lit(active_only) & ~F.col("_active"), "inactive")
-        .when(F.lit(selectable_only) & F.col("_abstract"), "abstract")
+        .when(F.lit(active_only) & ~F.col("_own.active"), "inactive")
+        .when(F.lit(selectable_only) & F.col("_own.abstract"), "abstract")
     )
-    return out.withColumn("reason", reason).withColumn("result", F.col("reason").isNull()).drop("_set", "_active", "_abstract", "_in")
+    return out.withColumn("reason", reason).withColumn("result", F.col("reason").isNull()).drop("_set", "_own", "_code", "_in")
 
 
 def validate_codeable(rows: DataFrame, row_key: str, validate) -> DataFrame:  # noqa: ANN001
@@ -160,9 +216,11 @@ def infer_system(facts: DataFrame, expansion: DataFrame) -> DataFrame:
 
 
 def validate_version(facts: DataFrame, used: DataFrame) -> DataFrame:
-    """facts (system, version) with version_ok: the version fits the pattern that used (system, pattern) states; none asserted fits."""
-    out = facts.join(F.broadcast(used.select("system", "pattern")), "system", "left")
-    return out.withColumn("version_ok", F.col("version").isNull() | F.col("pattern").isNull() | version_matches(F.col("version"), F.col("pattern"))).drop("pattern")
+    """facts (system, version) with version_ok: the version fits one of the patterns that used (system, pattern) states; none asserted fits."""
+    patterns = used.filter("pattern IS NOT NULL").groupBy("system").agg(F.collect_set("pattern").alias("_patterns"))
+    out = facts.join(small(patterns), "system", "left")
+    fits = F.exists("_patterns", lambda p: version_matches(F.col("version"), p))
+    return out.withColumn("version_ok", F.col("version").isNull() | F.col("_patterns").isNull() | fits).drop("_patterns")
 
 
 # translation
@@ -198,25 +256,42 @@ def inverse(c: Column) -> Column:
     return _mapped(c, INVERSE)
 
 
+def _of_source(facts: DataFrame, elements: DataFrame) -> tuple[list[Column], Column]:
+    """The source column of elements to join with, and the test that it is the facts' system; elements without a source take any system."""
+    if "system" not in facts.columns or "source" not in elements.columns:
+        return [], F.lit(True)
+    return [F.col("source").alias("_source")], F.col("_source").isNull() | (F.col("_source") == F.col("system"))
+
+
 def translate(facts: DataFrame, elements: DataFrame, name: str, target: str | None = None, version: str | None = None) -> DataFrame:
-    """Every target of each fact's code in a map: facts' columns, target, target_code, relationship, no_map; none where no element matched."""
+    """Every target of each fact's code in a map: facts' columns, target, target_code, relationship, no_map; none where no element matched.
+
+    Where facts have a system, only elements of that source system count. A group's source_version and
+    target_version, where elements have them, are told; version asks for one source_version.
+    """
     rows = elements.filter(F.col("map") == name)
     rows = rows.filter(F.col("target") == target) if target else rows
     rows = rows.filter(F.col("source_version") == version) if version else rows
-    rows = rows.select("code", "target", "target_code", relationship(F.col("relationship")).alias("relationship"), "no_map").distinct()
-    return facts.join(rows, "code")
+    source, own = _of_source(facts, rows)
+    versions = [c for c in ("source_version", "target_version") if c in rows.columns]
+    rows = rows.select("code", *source, "target", "target_code", relationship(F.col("relationship")).alias("relationship"), "no_map", *versions).distinct()
+    return facts.join(rows, "code").filter(own).drop("_source")
 
 
 def translate_reverse(facts: DataFrame, elements: DataFrame, name: str) -> DataFrame:
-    """Sources whose target is the fact's code, with the relationship turned round."""
-    rows = elements.filter((F.col("map") == name) & F.col("target_code").isNotNull()).select(F.col("target_code").alias("code"), F.col("source").alias("target"), F.col("code").alias("_source"), inverse(relationship(F.col("relationship"))).alias("relationship")).distinct()
-    return facts.join(rows, "code").withColumnRenamed("_source", "target_code")
+    """Sources whose target is the fact's code (of the fact's system, where it has one), with the relationship turned round."""
+    rows = elements.filter((F.col("map") == name) & F.col("target_code").isNotNull())
+    known = "system" in facts.columns and "target" in rows.columns
+    side = [F.col("target").alias("_side")] if known else []
+    rows = rows.select(F.col("target_code").alias("code"), *side, F.col("source").alias("target"), F.col("code").alias("_source"), inverse(relationship(F.col("relationship"))).alias("relationship")).distinct()
+    own = F.col("_side").isNull() | (F.col("_side") == F.col("system")) if known else F.lit(True)
+    return facts.join(rows, "code").filter(own).drop("_side").withColumnRenamed("_source", "target_code")
 
 
 def _grouped(df: DataFrame) -> DataFrame:
-    """df with group_no 0, no source and no target where it lacks these columns."""
+    """df with group_no 0, no source, no target and no target_version where it lacks these columns."""
     null = F.lit(None).cast("string")
-    for name, value in (("group_no", F.lit(0)), ("source", null), ("target", null)):
+    for name, value in (("group_no", F.lit(0)), ("source", null), ("target", null), ("target_version", null)):
         df = df if name in df.columns else df.withColumn(name, value)
     return df
 
@@ -224,23 +299,23 @@ def _grouped(df: DataFrame) -> DataFrame:
 def _in_maps(facts: DataFrame, elements: DataFrame, unmapped: DataFrame) -> DataFrame:
     """Matches of facts in their map (_map), and the rule of each group of it that found nothing; other_map where the rule passes on.
 
-    Rules are broadcast: one row a group of a map.
+    Rules have one row a group of a map; they are broadcast where they are few.
     """
-    rows, null, known = _grouped(elements), F.lit(None).cast("string"), "system" in facts.columns
-    own = F.col("_source").isNull() | (F.col("_source") == F.col("system")) if known else F.lit(True)
-    found = rows.select(F.col("map").alias("_map"), *([F.col("source").alias("_source")] if known else []), "code", "target", "target_code", relationship(F.col("relationship")).alias("relationship"), "no_map").distinct()
+    rows, null = _grouped(elements), F.lit(None).cast("string")
+    source, own = _of_source(facts, rows)
+    found = rows.select(F.col("map").alias("_map"), *source, "code", "target", "target_version", "target_code", relationship(F.col("relationship")).alias("relationship"), "no_map").distinct()
     hit = facts.join(found, ["_map", "code"]).filter(own).drop("_source").withColumn("other_map", null)
-    groups = rows.groupBy("map", "group_no").agg(F.min("source").alias("_source"), F.min("target").alias("_target"))
+    groups = rows.groupBy("map", "group_no").agg(F.min("source").alias("_source"), F.min("target").alias("_target"), F.min("target_version").alias("_version"))
     rules = _grouped(unmapped).join(groups, ["map", "group_no"], "left").select(
-        F.col("map").alias("_map"), F.col("group_no").alias("_group"), F.coalesce("source", "_source").alias("_source"), F.coalesce("target", "_target").alias("target"),
+        F.col("map").alias("_map"), F.col("group_no").alias("_group"), F.coalesce("source", "_source").alias("_source"), F.coalesce("target", "_target").alias("target"), F.coalesce("target_version", "_version").alias("target_version"),
         F.col("mode").alias("_mode"), F.col("fixed_code").alias("_fixed"), relationship(F.col("relationship")).alias("_rel"), F.when(F.col("mode") == "other-map", F.col("other_map")).alias("other_map"),
     ).filter("_mode IS NULL OR _mode != 'other-map' OR other_map IS NOT NULL").distinct()
-    asked = facts.join(F.broadcast(rules), "_map").filter(own)
+    asked = facts.join(small(rules), "_map").filter(own)
     left = asked.join(rows.select(F.col("map").alias("_map"), F.col("group_no").alias("_group"), "code"), ["_map", "_group", "code"], "left_anti")
     same, fixed, on = F.col("_mode").isin("use-source-code", "provided"), F.col("_mode") == "fixed", F.col("_mode") == "other-map"
     refused = F.raise_error(F.concat(F.lit("unknown unmapped mode: "), F.coalesce("_mode", F.lit("none")))).cast("string")
     rest = left.select(
-        *facts.columns, F.when(on, null).otherwise(F.col("target")).alias("target"), F.when(same, F.col("code")).when(fixed, F.col("_fixed")).when(on, null).otherwise(refused).alias("target_code"),
+        *facts.columns, F.when(on, null).otherwise(F.col("target")).alias("target"), F.when(on, null).otherwise(F.col("target_version")).alias("target_version"), F.when(same, F.col("code")).when(fixed, F.col("_fixed")).when(on, null).otherwise(refused).alias("target_code"),
         F.when(same, F.coalesce("_rel", F.lit("equivalent"))).when(fixed, F.coalesce("_rel", F.lit("related-to"))).otherwise(F.col("_rel")).alias("relationship"), F.lit(False).alias("no_map"), "other_map",
     )
     return hit.unionByName(rest)

@@ -12,7 +12,8 @@ edges and closure (with system), properties (system, code, property, value_text)
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from termloom.functions.text import starts_words
 from termloom.functions.versions import version_key
 from termloom.operators import hierarchy as H
-from termloom.tables import cut
+from termloom.operators.codes import keys_of, with_own
+from termloom.tables import cut, small
 
 RULES = (
     "url string, side string, rule_no int, system string, system_version string, concept_no int, code string, display string, "
@@ -33,12 +35,39 @@ TREE_OPS = ("is-a", "descendent-of", "is-not-a", "generalizes", "child-of", "des
 
 @dataclass(frozen=True)
 class SystemTables:
+    """The tables of all systems. closure may be a function that gives it: it is called where a rule needs it.
+
+    sets (value, system, code) are the sets that `constraint` filters name (see named_sets);
+    designations (code, term, active, perhaps system) take part in text filters; only (system, code)
+    narrows every rule to these codes.
+    """
+
     concepts: DataFrame
     edges: DataFrame
-    closure: DataFrame
+    closure: DataFrame | Callable[[], DataFrame]
     properties: DataFrame
     systems: DataFrame
     members: DataFrame | None = None
+    sets: DataFrame | None = None
+    designations: DataFrame | None = None
+    only: DataFrame | None = None
+
+    @property
+    def reach(self) -> DataFrame:
+        return self.closure() if callable(self.closure) else self.closure
+
+    def narrowed(self, df: DataFrame) -> DataFrame:
+        """Rows of df (system, code) that rules may give."""
+        return df if self.only is None else df.join(self.only, ["system", "code"], "left_semi")
+
+    @property
+    def codes(self) -> DataFrame:
+        return self.narrowed(self.concepts.select("system", "code"))
+
+
+def named_sets(sets: dict[str, tuple[str, DataFrame]]) -> DataFrame:
+    """SystemTables.sets from name -> (system, DataFrame[code]), as the set operators of concepts give them."""
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("value"), F.lit(system).alias("system"), "code") for name, (system, df) in sets.items()])
 
 
 def rule(url: str, side: str, no: int, system: str | None, codes: list | None = None, filters: list | None = None, refs: list | None = None, version: str | None = None) -> list[tuple]:
@@ -54,7 +83,9 @@ def rule(url: str, side: str, no: int, system: str | None, codes: list | None =
     return out or [(*head, None, None, None, None, None, None, None, None)]
 
 
-# conditions: (rule key, cond, system, code, place, label)
+# Conditions that give codes: (rule key, cond, system, code, place, label). What is negative, or a
+# pattern, gives none: it is tested on the codes that a rule's other conditions leave, or on its whole
+# system where there are no others.
 
 
 def _keyed(df: DataFrame, cond: Column, place: Column | None = None, label: Column | None = None) -> DataFrame:
@@ -63,97 +94,127 @@ def _keyed(df: DataFrame, cond: Column, place: Column | None = None, label: Colu
 
 def enumerated(rules: DataFrame, t: SystemTables) -> DataFrame:
     """Listed concepts that exist, in the system's own spelling; unknown ones are dropped."""
-    listed = rules.filter("code IS NOT NULL").join(t.systems.select("system", "case_sensitive"), "system")
-    key = lambda c: F.when(F.col("case_sensitive"), F.col(c)).otherwise(F.lower(c))
-    listed = listed.select(*_RULE, "system", "concept_no", "display", key("code").alias("_key"))
-    known = t.concepts.select("system", "code").join(t.systems.select("system", "case_sensitive"), "system").select("system", "code", key("code").alias("_key"))
-    found = listed.join(known, ["system", "_key"])
-    return _keyed(found, F.lit("listed"), F.col("concept_no"), F.col("display"))
+    listed = with_own(rules.filter("code IS NOT NULL"), t.concepts, t.systems).filter("_own IS NOT NULL")
+    return t.narrowed(_keyed(listed.withColumn("code", F.col("_own.code")), F.lit("listed"), F.col("concept_no"), F.col("display")))
 
 
 def _filters(rules: DataFrame) -> DataFrame:
     return rules.filter("filter_no IS NOT NULL").select(*_RULE, "system", "filter_no", "property", "op", "value").withColumn("_cond", F.concat(F.lit("f"), "filter_no"))
 
 
-def _kinds(rules: DataFrame) -> set[str]:
-    """What kinds of rows there are, so that the plan holds no branch without rows: a few words, whatever the rules."""
-    tree = F.col("op").isin(*TREE_OPS)
-    kind = (
+def _kind() -> Column:
+    """What a row of a rule is: listed, ref, all, a tree operator, or the kind of another filter."""
+    op, named = F.col("op"), F.col("property").isin("concept", "code")
+    return (
         F.when(F.col("code").isNotNull(), "listed").when(F.col("ref_url").isNotNull(), "ref").when(F.col("filter_no").isNull(), "all")
-        .when(tree, F.col("op")).when(F.col("op") == "in-refset", "refset").when(F.col("property").isin("parent", "child"), F.col("property"))
-        .when(F.col("property").isin("concept", "code"), "code").otherwise("property")
+        .when(op.isin(*TREE_OPS), op).when(op == "in-refset", "refset").when(op == "is-refset", "refsets").when(F.col("property") == "constraint", "constraint")
+        .when(F.col("property").isin("parent", "child"), F.col("property"))
+        .when(named & op.isin("=", "in"), "codes").when(named, "code-test")
+        .when(op.isin("=", "in") | ((op == "exists") & (F.col("value") != "false")), "property").when(op == "regex", "property-regex").otherwise("property-not")
     )
-    return {r[0] for r in rules.select(kind).distinct().collect()}
 
 
-def tree_filters(rules: DataFrame, t: SystemTables, kinds: set[str] | None = None) -> DataFrame:
-    """is-a, descendent-of, is-not-a, generalizes, child-of, descendent-leaf on the concept, and parent / child of one hop."""
-    f = _filters(rules).filter(F.col("op").isin(*TREE_OPS) | (F.col("property").isin("parent", "child") & (F.col("op") == "=")))
-    cond = F.col("_cond")
-    exact = t.concepts.select("system", "code", F.col("code").alias("value"))
-    down = t.closure.select("system", F.col("descendant").alias("code"), F.col("ancestor").alias("value"))
-    up = t.closure.select("system", F.col("ancestor").alias("code"), F.col("descendant").alias("value"))
+#: Kinds that are tested on the codes that the others give.
+TESTS = ("is-not-a", "code-test", "property-regex", "property-not", "all")
+
+
+def _listed(f: DataFrame) -> DataFrame:
+    """Filters of = and in, one row a value."""
+    values = F.when(F.col("op") == "in", F.transform(F.split("value", ","), lambda x: F.trim(x))).otherwise(F.array("value"))
+    return f.withColumn("_value", F.explode(F.array_distinct(values)))
+
+
+def tree_filters(rules: DataFrame, t: SystemTables, kinds: set[str]) -> DataFrame:
+    """is-a, descendent-of, generalizes, child-of, descendent-leaf on the concept, and parent / child of one hop."""
+    f, on, op = _filters(rules), ["system", "value"], F.col("op")
     child = t.edges.select("system", F.col("child").alias("code"), F.col("parent").alias("value"))
     parent = t.edges.select("system", F.col("parent").alias("code"), F.col("child").alias("value"))
-    leaf = down.join(t.edges.select("system", F.col("parent").alias("code")), ["system", "code"], "left_anti")
-    on = ["system", "value"]
-    branches = [
-        ({"is-a", "generalizes"}, "op IN ('is-a', 'generalizes')", exact),
-        ({"is-a", "descendent-of"}, "op IN ('is-a', 'descendent-of')", down),
-        ({"generalizes"}, "op = 'generalizes'", up),
-        ({"child-of", "parent"}, "op = 'child-of' OR (property = 'parent' AND op = '=')", child),
-        ({"child"}, "property = 'child' AND op = '='", parent),
-        ({"descendent-leaf"}, "op = 'descendent-leaf'", leaf),
+    branches: list[tuple[set[str], Column, Callable[[], DataFrame]]] = [
+        ({"is-a", "generalizes"}, op.isin("is-a", "generalizes"), lambda: t.concepts.select("system", "code", F.col("code").alias("value"))),
+        ({"is-a", "descendent-of"}, op.isin("is-a", "descendent-of"), lambda: _down(t)),
+        ({"generalizes"}, op == "generalizes", lambda: t.reach.select("system", F.col("ancestor").alias("code"), F.col("descendant").alias("value"))),
+        ({"child-of", "parent"}, (op == "child-of") | ((F.col("property") == "parent") & (op == "=")), lambda: child),
+        ({"child"}, (F.col("property") == "child") & (op == "="), lambda: parent),
+        ({"descendent-leaf"}, op == "descendent-leaf", lambda: _down(t).join(parent.select("system", "code"), ["system", "code"], "left_anti")),
     ]
-    used = [_keyed(f.filter(test).join(other, on), cond) for own, test, other in branches if kinds is None or own & kinds]
-    out = reduce(DataFrame.unionByName, used or [_keyed(f.limit(0).join(exact, on), cond)]).distinct()
-    if kinds is not None and "is-not-a" not in kinds:
-        return out
-    nots = f.filter("op = 'is-not-a'")
-    inside = _keyed(nots.join(exact, on), cond).unionByName(_keyed(nots.join(down, on), cond))
-    outside = _keyed(nots.join(t.concepts.select("system", "code"), "system"), cond).join(inside, [*_RULE, "cond", "system", "code"], "left_anti")
-    return out.unionByName(outside)
+    used = [_keyed(f.filter(test).join(t.narrowed(other()), on), F.col("_cond")) for own, test, other in branches if own & kinds]
+    return reduce(DataFrame.unionByName, used).distinct()
+
+
+def _down(t: SystemTables) -> DataFrame:
+    return t.reach.select("system", F.col("descendant").alias("code"), F.col("ancestor").alias("value"))
 
 
 def code_filters(rules: DataFrame, t: SystemTables) -> DataFrame:
-    """=, in, not-in, regex (whole code) and exists on the concept's code."""
-    f = _filters(rules).filter(F.col("property").isin("concept", "code") & F.col("op").isin("=", "in", "not-in", "regex", "exists"))
-    listed = F.transform(F.split("value", ","), lambda x: F.trim(x))
-    test = (
-        F.when(F.col("op") == "=", F.col("code") == F.col("value"))
-        .when(F.col("op") == "in", F.array_contains(listed, F.col("code")))
-        .when(F.col("op") == "not-in", ~F.array_contains(listed, F.col("code")))
-        .when(F.col("op") == "regex", F.rlike("code", F.concat(F.lit("^(?:"), F.col("value"), F.lit(")$"))))
-        .otherwise(F.col("value") == "true")
-    )
-    return _keyed(f.join(t.concepts.select("system", "code"), "system").filter(test), F.col("_cond"))
+    """= and in on the concept's code."""
+    f = _listed(_filters(rules).filter(F.col("property").isin("concept", "code") & F.col("op").isin("=", "in"))).withColumnRenamed("_value", "code")
+    return _keyed(f.join(t.codes, ["system", "code"]), F.col("_cond"))
 
 
 def property_filters(rules: DataFrame, t: SystemTables) -> DataFrame:
-    """=, in, not-in, regex, exists on a declared property; not-in and exists=false keep concepts without the property."""
-    f = _filters(rules).filter(~F.col("property").isin("concept", "code", "parent", "child") & F.col("op").isin("=", "in", "not-in", "regex", "exists"))
-    listed = F.transform(F.split("value", ","), lambda x: F.trim(x))
-    test = (
-        F.when(F.col("op") == "=", F.col("value_text") == F.col("value"))
-        .when(F.col("op").isin("in", "not-in"), F.array_contains(listed, F.col("value_text")))
-        .when(F.col("op") == "regex", F.rlike("value_text", F.concat(F.lit("^(?:"), F.col("value"), F.lit(")$"))))
-        .otherwise(F.lit(True))
-    )
-    met = f.join(t.properties, ["system", "property"]).filter(test)
-    negative = (F.col("op") == "not-in") | ((F.col("op") == "exists") & (F.col("value") == "false"))
-    hits = _keyed(met.filter(~negative), F.col("_cond")).distinct()
-    against = _keyed(met.filter(negative), F.col("_cond"))
-    rest = _keyed(f.filter(negative).join(t.concepts.select("system", "code"), "system"), F.col("_cond"))
-    return hits.unionByName(rest.join(against, [*_RULE, "cond", "system", "code"], "left_anti"))
+    """=, in and exists=true on a declared property."""
+    f = _filters(rules).filter(~F.col("property").isin("concept", "code", "parent", "child", "constraint"))
+    held = t.narrowed(t.properties.select("system", "code", "property", F.col("value_text").alias("_value")))
+    equal = _keyed(_listed(f.filter(F.col("op").isin("=", "in"))).join(held, ["system", "property", "_value"]), F.col("_cond"))
+    there = f.filter((F.col("op") == "exists") & (F.col("value") != "false")).join(held.select("system", "property", "code").distinct(), ["system", "property"])
+    return equal.unionByName(_keyed(there, F.col("_cond"))).distinct()
 
 
 def refset_filters(rules: DataFrame, t: SystemTables) -> DataFrame:
     """concept in <reference set>: op `in-refset`."""
     f = _filters(rules).filter("op = 'in-refset'")
-    held = t.members.filter("active").select("system", "code", F.col("refset_id").alias("value"))
+    held = t.narrowed(t.members.filter("active").select("system", "code", F.col("refset_id").alias("value")))
     return _keyed(f.join(held, ["system", "value"]), F.col("_cond")).distinct()
 
 
+def all_refsets(rules: DataFrame, t: SystemTables) -> DataFrame:
+    """Concepts that are reference sets with members: op `is-refset`."""
+    sets = t.members.select("system", F.col("refset_id").alias("code")).distinct()
+    return _keyed(_filters(rules).filter("op = 'is-refset'").join(t.codes.join(sets, ["system", "code"], "left_semi"), "system"), F.col("_cond"))
+
+
+def constraint_filters(rules: DataFrame, t: SystemTables) -> DataFrame:
+    """Codes of a set given by the set operators: property `constraint`, whose value names one of t.sets; an unknown name is an error."""
+    f = _filters(rules).filter("property = 'constraint'")
+    if t.sets is None:
+        raise ValueError("a constraint filter needs the tables' sets")
+    lost = f.select("value").distinct().join(t.sets.select("value"), "value", "left_anti").first()
+    if lost:
+        raise ValueError(f"no set, or none with a code, is named {lost['value']}")
+    return _keyed(f.join(t.narrowed(t.sets), ["system", "value"]).join(t.codes, ["system", "code"], "left_semi"), F.col("_cond")).distinct()
+
+
+def _tested(base: DataFrame, rules: DataFrame, t: SystemTables, kinds: set[str]) -> DataFrame:
+    """base (rule key, system, code, ...) less the codes that fail a negative filter or a pattern of their rule."""
+    f, key = _filters(rules), [*_RULE, "system", "code"]
+    of = lambda kind: _filters(rules.filter(_kind() == kind)).drop("system")
+    if "code-test" in kinds:
+        tests = of("code-test").groupBy(*_RULE).agg(F.collect_list(F.struct("op", "value")).alias("_tests"))
+        listed = lambda x: F.transform(F.split(x["value"], ","), lambda y: F.trim(y))
+
+        def fits(x: Column) -> Column:
+            return (
+                F.when(x["op"] == "regex", F.rlike(F.col("code"), F.concat(F.lit("^(?:"), x["value"], F.lit(")$")))).when(x["op"] == "not-in", ~F.array_contains(listed(x), F.col("code"))).otherwise(x["value"] == "true")
+            )
+
+        base = base.join(small(tests), _RULE, "left").filter(F.col("_tests").isNull() | F.forall("_tests", fits)).drop("_tests")
+    if "is-not-a" in kinds:
+        nots = f.filter("op = 'is-not-a'")
+        inside = nots.join(t.narrowed(_down(t)), ["system", "value"]).select(key).unionByName(nots.withColumn("code", F.col("value")).select(key))
+        base = base.join(inside, key, "left_anti")
+    held = t.properties.select("system", "code", "property", "value_text")
+    if "property-not" in kinds:
+        listed = F.transform(F.split("value", ","), lambda x: F.trim(x))
+        met = base.select(key).join(small(of("property-not")), _RULE).join(held, ["system", "code", "property"])
+        base = base.join(met.filter((F.col("op") == "exists") | F.array_contains(listed, F.col("value_text"))).select(key), key, "left_anti")
+    if "property-regex" in kinds:
+        rules_n = of("property-regex").groupBy(*_RULE).agg(F.count(F.lit(1)).alias("_n"))
+        met = base.select(key).join(small(of("property-regex")), _RULE).join(held, ["system", "code", "property"]).filter(F.rlike(F.col("value_text"), F.concat(F.lit("^(?:"), F.col("value"), F.lit(")$"))))
+        counts = met.groupBy(*key).agg(F.count_distinct("_cond").alias("_met"))
+        base = base.join(small(rules_n), _RULE, "left").join(counts, key, "left").filter("_n IS NULL OR _n = _met").drop("_n", "_met")
+    return base
+
+
 def undeclared(rules: DataFrame, t: SystemTables) -> DataFrame:
     """Filters on a property that the system does not declare, or on an unknown code: url, rule_no, filter_no, reason."""
     f = _filters(rules)
@@ -166,24 +227,29 @@ def undeclared(rules: DataFrame, t: SystemTables) -> DataFrame:
 
 def _evaluate(rules: DataFrame, t: SystemTables, known: DataFrame | None) -> DataFrame:
     """Expansions of the urls in rules, whose references are all in known (url, system, code)."""
-    whole = rules.filter("code IS NULL AND filter_no IS NULL AND ref_url IS NULL").select(*_RULE, "system")
-    kinds = _kinds(rules)
+    kinds = {r[0] for r in rules.select(_kind()).distinct().collect()}  # a few words, whatever the rules: the plan holds no branch without rows
     ways = {
-        "listed": lambda: enumerated(rules, t), "code": lambda: code_filters(rules, t), "property": lambda: property_filters(rules, t), "refset": lambda: refset_filters(rules, t),
-        "all": lambda: _keyed(whole.join(t.concepts.select("system", "code"), "system"), F.lit("all")),
+        "listed": lambda: enumerated(rules, t), "codes": lambda: code_filters(rules, t), "property": lambda: property_filters(rules, t), "refset": lambda: refset_filters(rules, t),
+        "refsets": lambda: all_refsets(rules, t), "constraint": lambda: constraint_filters(rules, t),
     }
     parts = [way() for kind, way in ways.items() if kind in kinds]
-    if kinds & {*TREE_OPS, "parent", "child"}:
-        parts.append(tree_filters(rules, t, kinds))
+    tree = kinds & {*TREE_OPS, "parent", "child"} - {"is-not-a"}
+    if tree:
+        parts.append(tree_filters(rules, t, tree))
     if known is not None and "ref" in kinds:
         refs = rules.filter("ref_url IS NOT NULL").select(*_RULE, F.col("system").alias("_only"), "ref_url")
         held = refs.join(known.select(F.col("url").alias("ref_url"), "system", "code"), "ref_url").filter("_only IS NULL OR _only = system")
         parts.append(_keyed(held, F.concat(F.lit("r"), "ref_url")))
-    conds = F.when(F.col("code").isNotNull(), "listed").when(F.col("filter_no").isNotNull(), F.concat(F.lit("f"), "filter_no")).when(F.col("ref_url").isNotNull(), F.concat(F.lit("r"), "ref_url")).otherwise("all")
-    wanted = rules.groupBy(*_RULE).agg(F.count_distinct(conds).alias("_n"))
-    parts = parts or [_keyed(whole.limit(0).join(t.concepts.select("system", "code"), "system"), F.lit("all"))]
-    met = reduce(DataFrame.unionByName, parts).groupBy(*_RULE, "system", "code").agg(F.count_distinct("cond").alias("_met"), F.min("place").alias("place"), F.max("label").alias("label"))
-    met = met.join(wanted, _RULE).filter("_met = _n")
+    conds = F.when(F.col("code").isNotNull(), "listed").when(F.col("filter_no").isNotNull(), F.concat(F.lit("f"), "filter_no")).when(F.col("ref_url").isNotNull(), F.concat(F.lit("r"), "ref_url"))
+    wanted = small(rules.groupBy(*_RULE).agg(F.max("system").alias("_system"), F.count_distinct(F.when(~_kind().isin(*TESTS), conds)).alias("_n")))
+    base = []
+    if parts:
+        met = reduce(DataFrame.unionByName, parts).groupBy(*_RULE, "system", "code").agg(F.count_distinct("cond").alias("_met"), F.min("place").alias("place"), F.max("label").alias("label"))
+        base.append(met.join(wanted, _RULE).filter("_met = _n").drop("_met", "_n", "_system"))
+    if kinds & set(TESTS) or not parts:
+        whole = wanted.filter("_n = 0").select(*_RULE, F.col("_system").alias("system"))
+        base.append(_keyed(small(whole).join(t.codes, "system"), F.lit("all")).drop("cond"))
+    met = _tested(reduce(DataFrame.unionByName, base), rules, t, kinds)
     first = F.min(F.struct("rule_no", F.coalesce("place", F.lit(0)).alias("place"), "label"))
     inside = met.filter("side = 'include'").groupBy("url", "system", "code").agg(first.alias("_first"))
     outside = met.filter("side = 'exclude'").select("url", "system", "code")
@@ -201,7 +267,8 @@ def expand(rules: DataFrame, t: SystemTables, active_only: bool = False, selecta
     """url, system, code, display, inactive, rule_no, concept_no of every value set in rules.
 
     Rules inside an include intersect, includes unite (the first keeps its place), excludes go.
-    References are resolved from the ones below up; a circle of references is an error.
+    References are resolved from the ones below up; a circle of references is an error. text keeps the
+    codes of which the display, or an active designation where the tables have them, has all its words.
     """
     rules = cut(rules, "rules")
     refs = rules.filter("ref_url IS NOT NULL").select("url", "ref_url").distinct()
@@ -225,26 +292,33 @@ def expand(rules: DataFrame, t: SystemTables, active_only: bool = False, selecta
     if selectable_only:
         out = out.filter("NOT abstract")
     if text:
-        out = out.filter(starts_words(F.col("display"), F.lit(text)))
+        named = starts_words(F.col("display"), F.lit(text))
+        if t.designations is not None:
+            on = keys_of(t.designations)
+            found = t.designations.filter("active").filter(starts_words(F.col("term"), F.lit(text))).select(*on, F.lit(True).alias("_named")).distinct()
+            out, named = out.join(found, on, "left"), named | F.coalesce("_named", F.lit(False))
+        out = out.filter(named)
     return out.select("url", "system", "code", F.coalesce("label", "display").alias("display"), (~F.col("active")).alias("inactive"), "rule_no", "concept_no")
 
 
 def pages(expansion: DataFrame, offset: int, count: int) -> DataFrame:
-    """The same page of every value set, in the order of its compose, with place and total."""
+    """The same page of every value set, in the order of its compose, with place and total; each task keeps the first ones of a value set only."""
     order = Window.partitionBy("url").orderBy("rule_no", "concept_no", "system", "code")
-    placed = expansion.withColumn("place", F.row_number().over(order) - 1).filter(F.col("place").between(offset, offset + count - 1))
+    first = expansion.withColumn("_row", F.row_number().over(order)).filter(F.col("_row") <= offset + count)
+    placed = first.withColumn("place", F.col("_row") - 1).filter(F.col("place") >= offset).drop("_row")
     return placed.join(expansion.groupBy("url").agg(F.count(F.lit(1)).alias("total")), "url")
 
 
 def contains(asked: DataFrame, rules: DataFrame, t: SystemTables) -> DataFrame:
-    """asked (url, system, code) with `inside`: concepts nobody asks about never meet a rule."""
-    wanted = asked.select("system", "code").distinct()
+    """asked (url, system, code) with `inside`: concepts nobody asks about never meet a rule. Codes of case-blind systems are found in any case."""
+    own = cut(with_own(asked.select("system", "code").distinct(), t.concepts, t.systems).filter("_own IS NOT NULL").select("system", "code", F.col("_own.code").alias("_code")), "asked-codes")
     urls = asked.select("url").distinct()
     refs = rules.filter("ref_url IS NOT NULL").select(F.col("url").alias("child"), F.col("ref_url").alias("parent"))
     needed = urls if refs.isEmpty() else urls.unionByName(H.ancestors(urls.select(F.col("url").alias("code")), H.transitive_closure(refs)).select(F.col("code").alias("url"))).distinct()
-    narrow = SystemTables(t.concepts.join(wanted, ["system", "code"], "left_semi"), t.edges, t.closure, t.properties, t.systems, t.members)
-    held = expand(rules.join(needed, "url", "left_semi"), narrow).select("url", "system", "code", F.lit(True).alias("_in"))
-    return asked.join(held, ["url", "system", "code"], "left").withColumn("inside", F.coalesce("_in", F.lit(False))).drop("_in")
+    narrow = replace(t, only=own.select("system", F.col("_code").alias("code")).distinct())
+    held = expand(rules.join(needed, "url", "left_semi"), narrow).select("url", "system", F.col("code").alias("_code"), F.lit(True).alias("_in"))
+    found = held.join(own, ["system", "_code"]).select("url", "system", "code", "_in")
+    return asked.join(found, ["url", "system", "code"], "left").withColumn("inside", F.coalesce("_in", F.lit(False))).drop("_in")
 
 
 def check_rules(rules: DataFrame) -> DataFrame:
@@ -261,8 +335,9 @@ def with_designations(expansion: DataFrame, designations: DataFrame, languages:
     chosen = designations.filter("active")
     chosen = chosen.filter(F.col("language").isin(languages)) if languages else chosen
     chosen = chosen.filter(F.col("use_code").isin(uses)) if uses else chosen
-    lists = chosen.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("language", "use_code", "term"))).alias("designations"))
-    return expansion.join(lists, "code", "left")
+    on = keys_of(chosen, expansion)
+    lists = chosen.join(expansion.select(*on).distinct(), on, "left_semi").groupBy(*on).agg(F.sort_array(F.collect_list(F.struct("language", "use_code", "term"))).alias("designations"))
+    return expansion.join(lists, on, "left")
 
 
 def with_properties(expansion: DataFrame, properties: DataFrame, names: list[str]) -> DataFrame:
@@ -282,24 +357,48 @@ def used_versions(rules: DataFrame, systems: DataFrame) -> DataFrame:
     return own.join(direct, "via").select("url", F.lit("system").alias("kind"), "used").distinct().unionByName(reach.select("url", F.lit("value-set").alias("kind"), F.col("via").alias("used")))
 
 
-def pin_versions(rules: DataFrame, pins: DataFrame, systems: DataFrame) -> DataFrame:
-    """rules with `resolved` and `pin_error`; pins: system, default_version, check_version, force_version.
+def pin_versions(rules: DataFrame, pins: DataFrame, systems: DataFrame, set_pins: DataFrame | None = None, value_sets: DataFrame | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """rules with `resolved` and `pin_error`, without those of systems in exclude.
 
-    A forced version wins over the named one, that over the default, that over the greatest; a
-    result that differs from the checked version is an error row.
+    pins: system, default_version, check_version, force_version; set_pins the same with url, for
+    references (which may name a version after a bar); value_sets: url, version. A forced version wins
+    over the named one, that over the default, that over the greatest; a result that differs from the
+    checked version is an error row.
     """
-    newest = systems.groupBy("system").agg(F.max("version").alias("_newest"))
-    out = rules.join(pins, "system", "left").join(newest, "system", "left")
-    resolved = F.coalesce("force_version", "system_version", "default_version", "_newest")
-    out = out.withColumn("resolved", F.when(F.col("system").isNotNull(), resolved))
-    return out.withColumn("pin_error", F.coalesce(F.col("resolved") != F.col("check_version"), F.lit(False))).drop("_newest", "default_version", "check_version", "force_version")
+    pinned = ["default_version", "check_version", "force_version"]
+    rules = rules.filter(F.col("system").isNull() | ~F.col("system").isin(exclude)) if exclude else rules
+    newest = greatest(systems.select(F.col("system").alias("url"), "version")).select(F.col("url").alias("system"), F.col("version").alias("_newest"))
+    bar = F.split("ref_url", r"\|")
+    out = rules.join(small(pins), "system", "left").join(small(newest), "system", "left").withColumn("_ref", F.get(bar, F.lit(0)))
+    part = F.coalesce("force_version", "system_version", "default_version", "_newest")
+    for frame, names in ((set_pins, pinned), (greatest(value_sets) if value_sets is not None else None, ["version"])):
+        kind = rules.sparkSession.createDataFrame([], "_ref string, " + ", ".join(f"_{n} string" for n in names)) if frame is None else frame.select(F.col("url").alias("_ref"), *[F.col(n).alias(f"_{n}") for n in names])
+        out = out.join(small(kind), "_ref", "left")
+    by_set = F.coalesce("_force_version", F.get(bar, F.lit(1)), "_default_version", "_version")
+    out = out.withColumn("resolved", F.when(F.col("ref_url").isNotNull(), by_set).when(F.col("system").isNotNull(), part))
+    checked = F.when(F.col("ref_url").isNotNull(), F.col("_check_version")).otherwise(F.col("check_version"))
+    return out.withColumn("pin_error", F.coalesce(F.col("resolved") != checked, F.lit(False))).drop("_newest", "_ref", "_version", *pinned, *[f"_{p}" for p in pinned])
+
+
+#: Implicit value sets: kind -> the filters on a value, None for the whole system.
+IMPLICIT: dict[str, Callable[[str | None], list[tuple] | None]] = {
+    "all": lambda v: None,
+    "subtree": lambda v: [("concept", "is-a", v)],
+    "below": lambda v: [("concept", "descendent-of", v)],
+    "members": lambda v: [("concept", "in-refset", v)],
+    "refsets": lambda v: [("concept", "is-refset", "true")],
+    "constraint": lambda v: [("constraint", "=", v)],
+    "answers": lambda v: [("answers", "=", v)],
+}
 
 
 def implicit(kind: str, system: str, value: str | None = None, url: str | None = None) -> list[tuple]:
-    """Rules of an implicit value set: `all`, `subtree` of a code, `members` of a reference set, `answers` (a property's value)."""
-    name = url or f"{system}?{kind}={value or ''}"
-    made = {"all": None, "subtree": [("concept", "is-a", value)], "members": [("concept", "in-refset", value)], "answers": [("answers", "=", value)]}
-    return rule(name, "include", 0, system, filters=made[kind])
+    """Rules of an implicit value set.
+
+    `all` codes, the `subtree` of a code, all `below` it (as terms under a part), `members` of a reference
+    set, all `refsets`, the codes of a `constraint` (a name in the tables' sets), `answers` of a list.
+    """
+    return rule(url or f"{system}?{kind}={value or ''}", "include", 0, system, filters=IMPLICIT[kind](value))
 
 
 def fragment_flags(expansion: DataFrame, systems: DataFrame) -> DataFrame:
@@ -308,5 +407,5 @@ def fragment_flags(expansion: DataFrame, systems: DataFrame) -> DataFrame:
 
 
 def greatest(versions: DataFrame, key: str = "version") -> DataFrame:
-    """Greatest version of each url, segment by segment."""
-    return versions.groupBy("url").agg(F.max_by(key, version_key(F.col(key))).alias(key))
+    """Greatest version of each url, segment by segment; of equal ones the greatest text."""
+    return versions.groupBy("url").agg(F.max_by(key, F.struct(version_key(F.col(key)), key)).alias(key))
