@@ -149,9 +149,24 @@ def read_loinc(v: Views) -> DataFrame:
     )
 
 
+@query("read_loinc_variants", "SELECT 'P' || p_partkey AS code, 'nl-NL' AS language, 'long' AS use_code, 'onderdeel ' || p_name AS term FROM part UNION ALL SELECT 'P' || p_partkey, 'de-AT', 'short', upper(p_name) FROM part WHERE p_size > 10")
+def read_loinc_variants(v: Views) -> DataFrame:
+    """Two languages, of which one has short names alone, and some empty; a file of another name is left out."""
+    folder, p = new_path(v.spark, "loinc"), v.raw("part")
+    rows = lambda long, short: p.select(s("P", "p_partkey").alias("LOINC_NUM"), long.cast("string").alias("LONG_COMMON_NAME"), short.cast("string").alias("SHORTNAME"), F.lit(None).cast("string").alias("LinguisticVariantDisplayName"))
+    _write(rows(F.concat(F.lit("onderdeel "), "p_name"), F.lit(None)), f"{folder}/nlNL22LinguisticVariant.csv")
+    _write(rows(F.lit(None), F.when(F.col("p_size") > 10, F.upper("p_name"))), f"{folder}/deAT24LinguisticVariant.csv")
+    _write(rows(F.col("p_name"), F.col("p_name")), f"{folder}/otherLinguisticVariant.csv")
+    return T.read_loinc_variants(v.spark, folder)
+
+
 @query("read_rxnorm", """
 SELECT 'P' || p_partkey AS concept, 'A' || p_partkey AS atom, p_name AS name FROM part WHERE p_size % 2 = 0 UNION ALL SELECT 'P' || p_partkey, 'M' || p_partkey, upper(p_name) FROM part WHERE p_size % 2 = 0""")
 def read_rxnorm(v: Views) -> DataFrame:
+    return T.read_rxnorm(v.spark, rxnorm_folder(v))["atoms"].select("concept", "atom", "name")
+
+
+def rxnorm_folder(v: Views) -> str:
     """Parts of even size have an own-source atom; every part has one of a free and one of a restricted source."""
     folder, p = new_path(v.spark, "rxnorm"), v.raw("part")
 
@@ -164,10 +179,17 @@ def read_rxnorm(v: Views) -> DataFrame:
         df = p.filter(test).select(line({0: s("P", "p_partkey"), 1: F.lit("ENG"), 7: s(mark, "p_partkey"), 11: F.lit(source), 12: F.lit("SCD"), 13: F.lit("c"), 14: name, 16: F.lit("N")}, 18))
         atoms = df if atoms is None else atoms.union(df)
     atoms.write.text(f"{folder}/RXNCONSO.RRF")
-    p.select(line({0: s("P", "p_partkey"), 8: F.lit("NDC"), 9: F.lit("RXNORM"), 10: F.col("p_type")}, 13)).write.text(f"{folder}/RXNSAT.RRF")
+    values = F.explode(F.array(F.struct(F.lit("RXNORM").alias("s"), F.col("p_type").alias("x")), F.struct(F.lit("MTHSPL").alias("s"), F.col("p_type").alias("x")), F.struct(F.lit("CLOSED").alias("s"), F.col("p_name").alias("x")))).alias("a")
+    p.select("p_partkey", values).select(line({0: s("P", "p_partkey"), 8: F.lit("NDC"), 9: F.col("a.s"), 10: F.col("a.x")}, 13)).write.text(f"{folder}/RXNSAT.RRF")
     p.select(line({0: s("P", "p_partkey"), 1: F.lit("T1"), 3: F.lit("Drug")}, 6)).write.text(f"{folder}/RXNSTY.RRF")
     p.select(line({0: s("P", "p_partkey"), 3: F.lit("RO"), 4: s("P", "p_size"), 7: F.lit("has"), 10: F.lit("RXNORM")}, 16)).write.text(f"{folder}/RXNREL.RRF")
-    return T.read_rxnorm(v.spark, folder)["atoms"].select("concept", "atom", "name")
+    return folder
+
+
+@query("rxnorm_attributes", "SELECT DISTINCT 'P' || p_partkey AS code, 'NDC' AS name, p_type AS value FROM part WHERE p_size % 2 = 0 UNION ALL SELECT 'P' || p_partkey, 'STY', 'Drug' FROM part WHERE p_size % 2 = 0")
+def rxnorm_attributes(v: Views) -> DataFrame:
+    """Distinct attribute values and semantic types of concepts with an own-source atom; a value of a restricted source is left out."""
+    return T.read_rxnorm(v.spark, rxnorm_folder(v))["attributes"]
 
 
 @query("read_icd10cm_order", "SELECT p_partkey AS \"order\", CASE WHEN length(c) > 3 THEN substr(c, 1, 3) || '.' || substr(c, 4) ELSE c END AS code, p_size > 25 AS header, p_name AS long FROM (SELECT *, 'A' || p_partkey AS c FROM part)")
@@ -204,15 +226,67 @@ def read_product_ladder(v: Views) -> DataFrame:
     return T.read_product_ladder(v.spark, path, {"code": (1, 8), "mutation": (9, 1), "name": (10, 40), "ended": (50, 8)}, 64).select("code", "name", "active")
 
 
-@query("read_thesaurus_delivery", "SELECT 'rubric' AS what, 'P' || p_partkey AS code, p_type AS value FROM part WHERE p_size > 20 UNION ALL SELECT 'term', 'P' || p_partkey, p_name FROM part")
+@query("read_ladder", """
+SELECT 'name:' || u AS what, kind, CAST(p_partkey + 1 AS VARCHAR) AS code, CASE u WHEN 'preferred' THEN p_name ELSE upper(p_name) END AS value FROM part, (VALUES ('gpk'), ('prk'), ('hpk'), ('article')) k(kind), (VALUES ('preferred'), ('short')) t(u)
+UNION ALL SELECT 'form', 'gpk', CAST(p_partkey + 1 AS VARCHAR), CASE WHEN p_size > 25 THEN CAST(p_size AS VARCHAR) ELSE 'form ' || p_size END FROM part
+UNION ALL SELECT 'brand', 'hpk', CAST(p_partkey + 1 AS VARCHAR), p_brand FROM part
+UNION ALL SELECT 'gpk', kind, CAST(p_partkey + 1 AS VARCHAR), CAST(p_partkey + 1 AS VARCHAR) FROM part, (VALUES ('prk'), ('hpk'), ('article')) k(kind)
+UNION ALL SELECT 'active', 'article', CAST(p_partkey + 1 AS VARCHAR), CASE WHEN p_size > 30 THEN 'false' ELSE 'true' END FROM part""")
+def read_ladder(v: Views) -> DataFrame:
+    """A part as a product on all four rungs, with one name and one label; forms up to 25 are on the list."""
+    folder, p = new_path(v.spark, "ladder"), v.raw("part")
+
+    def put(kind: str, df: DataFrame, fields: dict[str, Column]) -> None:
+        file, length, places = T.LADDER[kind]
+        cells, at = [F.lit("00010")], 6  # file number and mutation
+        for name, (start, n) in sorted(places.items(), key=lambda x: x[1]):
+            if start >= at:
+                text = fields.get(name, F.lit(""))
+                cells += [F.lit(" " * (start - at)), F.lpad(text, n, "0") if name in ("code", "name", "parent", "list", "form", "form_list", "removed") and name in fields else F.rpad(text, n, " ")]
+                at = start + n
+        df.select(F.rpad(F.concat(*cells), length, ".")).write.text(f"{folder}/{file}")
+
+    key = (F.col("p_partkey") + 1).cast("string")
+    put("gpk", p, {"code": key, "name": key, "form_list": F.lit("7"), "form": F.col("p_size").cast("string")})
+    put("prk", p, {"code": key, "name": key, "parent": key})
+    put("hpk", p, {"code": key, "name": key, "parent": key, "brand": F.col("p_brand")})
+    put("article", p, {"code": key, "name": key, "parent": key, "removed": F.when(F.col("p_size") > 30, "20250101").otherwise("0")})
+    put("names", p, {"code": key, "preferred": F.col("p_name"), "short": F.upper("p_name"), "label": F.col("p_name")})
+    put("items", p.filter("p_size <= 25").select("p_size").distinct(), {"list": F.lit("7"), "code": F.col("p_size").cast("string"), "text": F.concat(F.lit("form  "), F.col("p_size").cast("string"))})
+    t = T.read_ladder(v.spark, folder)
+    row = lambda df, what, value: df.select(what.alias("what"), "kind", "code", value.alias("value"))
+    return (
+        row(t["names"], F.concat(F.lit("name:"), "use_code"), F.col("term")).unionByName(row(t["properties"].filter("property IN ('form', 'brand')"), F.col("property"), F.col("value_text")))
+        .unionByName(row(t["rungs"], F.lit("gpk"), F.col("gpk"))).unionByName(row(t["products"].filter("kind = 'article'"), F.lit("active"), F.col("active").cast("string")))
+    )
+
+
+@query("read_thesaurus_delivery", """
+SELECT 'laterality' AS what, 'P' || p_partkey AS code, p_type AS value FROM part UNION ALL SELECT 'active', 'P' || p_partkey, CASE WHEN p_size > 20 THEN 'true' ELSE 'false' END FROM part
+UNION ALL SELECT 'preferred', 'P' || p_partkey, p_name FROM part UNION ALL SELECT 'replaced-by', 'P' || p_partkey, 'B' || p_brand FROM part WHERE p_size <= 20
+UNION ALL SELECT 'umbrella', 'P' || p_partkey, p_type FROM part WHERE p_size > 10 UNION ALL SELECT 'role', 'P' || p_partkey, 'size=' || p_size || ' [' || p_brand || ']' FROM part
+UNION ALL SELECT 'icd10', 'P' || p_partkey, p_brand FROM part UNION ALL SELECT 'dbc', 'P' || p_partkey, p_size || CASE WHEN p_size > 5 THEN ' (x)' ELSE '' END FROM part
+UNION ALL SELECT 'za', 'P' || p_partkey, p_type FROM part UNION ALL SELECT 'mapping', 'P' || p_partkey, 'other: ' || p_name FROM part UNION ALL SELECT 'snomed', 'P' || p_partkey, 'S' || p_partkey FROM part""")
 def read_thesaurus_delivery(v: Views) -> DataFrame:
     folder, p = new_path(v.spark, "thesaurus"), v.raw("part")
-    code, start = s("P", "p_partkey").alias("ConceptID"), F.lit("20200101").alias("Begindatum")
-    _write(p.select(code, F.lit("D").alias("TypeConcept"), F.col("p_type").alias("Flag"), start, F.when(F.col("p_size") <= 20, "20240101").alias("Einddatum")), f"{folder}/concepts.csv", quoteAll=True)
-    _write(p.select(code, F.lit("pref").alias("TypeTerm"), F.lit("nl").alias("Taal"), F.col("p_name").alias("Omschrijving"), start, F.lit(None).cast("string").alias("Einddatum")), f"{folder}/terms.csv", quoteAll=True)
-    _write(p.select(code, s("B", "p_brand").alias("Target")), f"{folder}/relations.csv", quoteAll=True)
+    code, none = s("P", "p_partkey").alias("ConceptID"), F.lit(None).cast("string").alias("Einddatum")
+    put = lambda df, name: _write(df, f"{folder}/{name}.csv", quoteAll=True)
+    put(p.select(code, F.lit("D").alias("TypeConcept"), F.col("p_type").alias("Lateraliteit"), F.when(F.col("p_size") <= 20, "20240101").alias("Einddatum")), "ThesaurusConcept")
+    term = lambda kind, text, end: p.select(code, F.lit(kind).alias("TypeTerm"), F.lit("nl").alias("TaalCode"), text.alias("Omschrijving"), s("S", "p_partkey").alias("SnomedID"), end.alias("Einddatum"))
+    put(term("Voorkeursterm", F.regexp_replace("p_name", " ", "  "), F.lit("20991231")).unionByName(term("synoniem", F.col("p_name"), F.lit("20240101"))).unionByName(term("FSN", F.col("p_name"), none)).unionByName(term("ander", F.col("p_name"), none)), "ThesaurusTerm")
+    put(p.select(code.alias("ConceptID1"), s("B", "p_brand").alias("ConceptID2"), F.when(F.col("p_size") <= 20, "Vervanging").otherwise("verwant").alias("TypeRelatie"), F.lit("20200101").alias("Einddatum")), "ThesaurusConceptRelaties")
+    put(p.select(F.col("p_type").alias("ConceptID1"), code.alias("ConceptID2"), F.when(F.col("p_size") <= 10, "20240101").alias("Einddatum")), "Parapluterm")
+    put(p.select(code, F.lit("size").alias("Rolnaam"), F.col("p_size").alias("Rolwaarde"), F.col("p_brand").alias("SpecialismeGroepCode"), none), "ThesaurusConceptRol")
+    put(p.select(code, F.col("p_brand").alias("ICD10"), F.lit(1).alias("Volgnummer"), none), "AfleidingICD10")
+    put(p.select(code, F.col("p_size").alias("DBC_ID"), F.when(F.col("p_size") > 5, "x").alias("SpecialismeCode"), none), "AfleidingDBC")
+    put(p.select(code, F.col("p_type").alias("ZA_Code"), none), "AfleidingZA")
+    put(p.select(code, F.lit("other").alias("Codestelsel"), F.col("p_name").alias("Code"), none).unionByName(p.select(F.lit("unknown").alias("ConceptID"), F.lit("other").alias("Codestelsel"), F.col("p_name").alias("Code"), none)), "CodeMapping")
     t = T.read_thesaurus(v.spark, folder, 20250101)
-    return t["rubrics"].select(F.lit("rubric").alias("what"), "code", F.col("text").alias("value")).unionByName(t["terms"].select(F.lit("term").alias("what"), "code", F.col("term").alias("value")))
+    row = lambda df, what, value: df.select(what.alias("what"), "code", value.alias("value"))
+    return (
+        row(t["rubrics"], F.col("kind"), F.col("text")).unionByName(row(t["concepts"], F.lit("active"), F.col("active").cast("string")))
+        .unionByName(row(t["terms"].filter("use_code != 'fsn'"), F.col("use_code"), F.col("term"))).unionByName(row(t["links"], F.col("kind"), F.col("target")))
+    )
 
 
 @query("thesaurus_maps", "SELECT CASE WHEN p_size <= 10 THEN 'equivalent' ELSE 'wider' END AS map, 'P' || p_partkey AS code, p_brand AS target_code FROM part WHERE p_size <= 20")

@@ -42,6 +42,20 @@ def read_loinc(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     }
 
 
+def read_loinc_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Designations (code, language, use_code, term) of the linguistic variant files of a release.
+
+    A file's name begins with its language, as nlNL for nl-NL; a file of another name is left out. A
+    term's long name, short name and display name are told apart by use_code; empty ones are no rows.
+    """
+    df = _csv(spark, f"{folder}/*LinguisticVariant.csv").withColumn("_file", F.col("_metadata.file_path"))
+    name = F.regexp_extract("_file", r"([^/]*)LinguisticVariant\.csv", 1)
+    uses = {"long": "LONG_COMMON_NAME", "short": "SHORTNAME", "display": "LinguisticVariantDisplayName"}
+    terms = F.array(*[F.struct(F.lit(use).alias("use_code"), F.col(c).alias("term")) for use, c in uses.items() if c in df.columns])
+    language = F.concat_ws("-", F.regexp_extract(name, "^([a-z]{2})[A-Z]{2}", 1), F.regexp_extract(name, "^[a-z]{2}([A-Z]{2})", 1))
+    return df.filter(name.rlike("^[a-z]{2}[A-Z]{2}")).select(F.col("LOINC_NUM").alias("code"), language.alias("language"), F.inline(terms)).filter("trim(term) != ''")
+
+
 # piped: drug atoms
 
 # Places (from 0) of the columns of the piped files.
@@ -91,6 +105,66 @@ def read_product_ladder(spark: SparkSession, path: str, places: dict[str, tuple[
     return df.withColumn("active", F.col("ended").isNull()) if "ended" in places else df
 
 
+# Files of the product ladder with their record length and the places (from 1) of their fields.
+LADDER: dict[str, tuple[str, int, dict[str, tuple[int, int]]]] = {
+    "gpk": ("BST711T", 160, {"code": (6, 8), "name": (34, 7), "substance": (41, 7), "strength": (48, 25), "form_list": (22, 3), "form": (25, 3), "route_list": (28, 3), "route": (31, 3), "atc": (119, 8)}),
+    "prk": ("BST052T", 128, {"code": (6, 8), "name": (14, 7), "parent": (21, 8), "unit_list": (49, 4), "unit": (53, 6)}),
+    "hpk": ("BST031T", 480, {"code": (6, 8), "parent": (14, 8), "name": (30, 7), "brand": (37, 50), "firm": (87, 50)}),
+    "article": ("BST004T", 320, {"code": (6, 8), "parent": (14, 8), "name": (22, 7), "removed": (151, 8)}),
+    "names": ("BST020T", 160, {"code": (6, 7), "label": (19, 27), "short": (46, 40), "preferred": (86, 50)}),
+    "items": ("BST902T", 128, {"list": (6, 4), "code": (10, 6), "text": (62, 50)}),
+}
+_NUMBERS = {"code", "name", "parent", "substance", "list", "removed", "form_list", "form", "route_list", "route", "unit_list", "unit"}
+
+
+def read_ladder(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """products (code, kind, active), names (code, kind, use_code, term), properties (code, kind, property, value_text), rungs (code, kind, prk, gpk) of a ladder's files.
+
+    Records that are removed (mutation 9) or have no code are left out; shorter ones are an error. Codes
+    and numbers lose their leading zeros. Names are looked up by number, an equal one counts once;
+    forms, routes and units by list and item, where an unknown item stands for itself. An article
+    that is taken off the market is inactive. A product's rungs are all those above it.
+    """
+
+    def records(kind: str) -> DataFrame:
+        file, length, places = LADDER[kind]
+        lines = spark.read.option("encoding", "ISO-8859-1").text(f"{folder}/{file}").filter(F.trim("value") != "")
+        short = F.raise_error(F.lit(f"a record of {file} is shorter than {length}")).cast("string")
+        lines = lines.withColumn("value", F.when(F.length("value") >= length, F.col("value")).otherwise(short))
+        df = _fixed(lines, {"mutation": (5, 1), **places}).filter(F.coalesce(F.col("mutation") != "9", F.lit(True)))
+        number = lambda c: F.when(F.regexp_like(c, F.lit("^[0-9]*[1-9][0-9]*$")), F.ltrim(F.col(c), F.lit("0")))
+        text = lambda c: F.regexp_replace(c, " +", " ")
+        return df.select(*[(number(c) if c in _NUMBERS else text(c)).alias(c) for c in places]).filter("code IS NOT NULL")
+
+    held = {kind: records(kind) for kind in LADDER}
+    names = held["names"].select(F.col("code").alias("name"), "preferred", "short", "label")
+    items = held["items"].select(F.col("list").alias("_list"), F.col("code").alias("_item"), F.col("text").alias("_text"))
+    kinds = ("gpk", "prk", "hpk", "article")
+    every = {k: held[k].withColumn("kind", F.lit(k)) for k in kinds}
+    products = reduce(DataFrame.unionByName, [df.select("code", "kind", (F.col("removed").isNull() if k == "article" else F.lit(True)).alias("active")) for k, df in every.items()])
+
+    use = lambda c, *before: F.struct(F.lit(c).alias("use_code"), F.when(reduce(lambda a, b: a & b, [~F.col(c).eqNullSafe(F.col(b)) for b in before], F.lit(True)), F.col(c)).alias("term"))
+    by_number = reduce(DataFrame.unionByName, [df.select("code", "kind", "name") for df in every.values()]).join(names, "name")
+    named = by_number.select("code", "kind", F.inline(F.array(use("preferred"), use("short", "preferred"), use("label", "preferred", "short")))).filter("term IS NOT NULL")
+
+    up = lambda k, column: held[k].select(F.col("code").alias(column), F.col("parent").alias("gpk" if k == "prk" else "prk"))
+    none = F.lit(None).cast("string")
+    hpk = every["hpk"].select("code", "kind", none.alias("hpk"), F.col("parent").alias("prk")).join(up("prk", "prk"), "prk", "left")
+    article = every["article"].select("code", "kind", F.col("parent").alias("hpk")).join(up("hpk", "hpk"), "hpk", "left").join(up("prk", "prk"), "prk", "left")
+    prk = every["prk"].select("code", "kind", none.alias("hpk"), none.alias("prk"), F.col("parent").alias("gpk"))
+    rungs = prk.unionByName(hpk).unionByName(article)
+
+    def listed(kind: str, column: str) -> DataFrame:
+        found = every[kind].filter(F.col(column).isNotNull() & F.col(f"{column}_list").isNotNull())
+        found = found.join(items, (F.col(f"{column}_list") == F.col("_list")) & (F.col(column) == F.col("_item")), "left")
+        return found.select("code", "kind", F.lit(column).alias("property"), F.coalesce("_text", column).alias("value_text"))
+
+    own = lambda kind, column: every[kind].select("code", "kind", F.lit(column).alias("property"), F.col(column).alias("value_text")).filter("value_text IS NOT NULL")
+    substance = every["gpk"].join(names.select(F.col("name").alias("substance"), "preferred"), "substance").select("code", "kind", F.lit("substance").alias("property"), F.col("preferred").alias("value_text")).filter("value_text IS NOT NULL")
+    properties = reduce(DataFrame.unionByName, [substance, own("gpk", "strength"), own("gpk", "atc"), listed("gpk", "form"), listed("gpk", "route"), listed("prk", "unit"), own("hpk", "brand"), own("hpk", "firm"), own("article", "removed")])
+    return {"products": products, "names": named, "properties": properties, "rungs": rungs}
+
+
 # classifications
 
 
@@ -121,20 +195,65 @@ def read_claml(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 # thesaurus deliveries
 
 
-def read_thesaurus(spark: SparkSession, folder: str, delivery: int) -> dict[str, DataFrame]:
-    """concepts (flags as rubrics), terms, links of a delivery of quoted tables.
+# Kinds of terms, flag columns of concepts, and kinds of relations.
+TERM_KINDS = {"voorkeursterm": "preferred", "synoniem": "synonym", "pvo": "pvo", "pvt": "pvt", "fsn": "fsn", "zoekterm": "search"}
+FLAGS = {"Complicatie": "complication", "GebruiktImplantaat": "implant", "Gradatie": "grading", "Lateraliteit": "laterality", "LOINCCode": "loinc"}
+RELATIONS = {"vervanging": "replaced-by", "splitsing": "split-into"}
+#: Tables of a delivery besides concepts and terms.
+LINK_TABLES = ("ThesaurusConceptRelaties", "Parapluterm", "ThesaurusConceptRol", "AfleidingICD10", "AfleidingDBC", "AfleidingZA", "CodeMapping")
+
 
-    Rows are current where begin <= delivery < end (no end: forever); relations are exempt.
+def read_thesaurus(spark: SparkSession, folder: str, delivery: int, tables: tuple[str, ...] = LINK_TABLES) -> dict[str, DataFrame]:
+    """concepts (code, kind, active), terms (code, use_code, language, term), rubrics (code, kind, text), links (code, kind, place, target) of a delivery of quoted tables.
+
+    A row is current where it has no end, one in 2099, or one not before the delivery. Concepts that are
+    not are inactive; other rows that are not are left out, but for relations. Rubrics are the flags
+    of concepts. Links are replacements, splits, umbrella terms, roles, derivations and code
+    mappings of known concepts; a term's own foreign id is a link too (snomed).
     """
-    current = lambda df: df.filter((F.col("Begindatum").cast("int") <= delivery) & (F.col("Einddatum").isNull() | (F.col("Einddatum").cast("int") > delivery)))
-    concepts, terms, links = (_csv(spark, f"{folder}/{n}.csv") for n in ("concepts", "terms", "relations"))
-    concepts = current(concepts)
-    flags = [c for c in concepts.columns if c not in ("ConceptID", "TypeConcept", "Begindatum", "Einddatum")]
-    rubrics = concepts.unpivot(["ConceptID"], flags, "kind", "text").filter("text IS NOT NULL").withColumnRenamed("ConceptID", "code")
-    return {
-        "concepts": concepts.select(F.col("ConceptID").alias("code"), F.col("TypeConcept").alias("kind")), "rubrics": rubrics,
-        "terms": current(terms).select(F.col("ConceptID").alias("code"), F.col("TypeTerm").alias("use_code"), F.col("Taal").alias("language"), F.col("Omschrijving").alias("term")), "links": links,
-    }
+
+    def read(name: str, *wanted: str) -> DataFrame:
+        df = _csv(spark, f"{folder}/{name}.csv")
+        return df.select("*", *[F.lit(None).cast("string").alias(c) for c in wanted if c not in df.columns])
+
+    def current(df: DataFrame) -> Column:
+        end = F.col("Einddatum") if "Einddatum" in df.columns else F.lit(None).cast("string")
+        return end.isNull() | F.startswith(end, F.lit("2099")) | (end.cast("int") >= delivery)
+
+    def mapped(c: str, names: dict[str, str]) -> Column:
+        return F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.lower(c)]
+
+    concepts = read("ThesaurusConcept")
+    flags = [c for c in FLAGS if c in concepts.columns]
+    rubrics = concepts.select(F.col("ConceptID").alias("code"), F.inline(F.array(*[F.struct(F.lit(FLAGS[c]).alias("kind"), F.col(c).alias("text")) for c in flags]))).filter("text IS NOT NULL") if flags else spark.createDataFrame([], "code string, kind string, text string")
+    codes = concepts.select(F.col("ConceptID").alias("code"), F.col("TypeConcept").alias("kind"), current(concepts).alias("active"))
+    terms = read("ThesaurusTerm", "TaalCode", "SnomedID")
+    terms = terms.filter(current(terms)).withColumn("use_code", mapped("TypeTerm", TERM_KINDS)).filter("use_code IS NOT NULL").join(codes.select(F.col("code").alias("ConceptID")), "ConceptID", "left_semi")
+    link = lambda df, code, kind, target, place=F.lit(None): df.select(F.col(code).alias("code"), kind.alias("kind"), place.cast("int").alias("place"), target.alias("target"))
+    links = [link(terms.filter("use_code = 'fsn' AND SnomedID IS NOT NULL"), "ConceptID", F.lit("snomed"), F.col("SnomedID"))]
+    note = lambda c, form: F.when(F.col(c).isNull(), "").otherwise(F.format_string(form, c))
+    if "ThesaurusConceptRelaties" in tables:
+        links.append(link(read("ThesaurusConceptRelaties"), "ConceptID1", mapped("TypeRelatie", RELATIONS), F.col("ConceptID2")))
+    if "Parapluterm" in tables:
+        df = read("Parapluterm")
+        links.append(link(df.filter(current(df)), "ConceptID2", F.lit("umbrella"), F.col("ConceptID1")))
+    if "ThesaurusConceptRol" in tables:
+        df = read("ThesaurusConceptRol", "SpecialismeGroepCode")
+        named = df.filter(current(df) & F.col("Rolnaam").isNotNull() & F.col("Rolwaarde").isNotNull())
+        links.append(link(named, "ConceptID", F.lit("role"), F.concat("Rolnaam", F.lit("="), "Rolwaarde", note("SpecialismeGroepCode", " [%s]"))))
+    if "AfleidingICD10" in tables:
+        df = read("AfleidingICD10", "Volgnummer")
+        links.append(link(df.filter(current(df)), "ConceptID", F.lit("icd10"), F.col("ICD10"), F.col("Volgnummer")))
+    for table, kind, column in (("AfleidingDBC", "dbc", "DBC_ID"), ("AfleidingZA", "za", "ZA_Code")):
+        if table in tables:
+            df = read(table, "SpecialismeCode")
+            links.append(link(df.filter(current(df)), "ConceptID", F.lit(kind), F.concat(column, note("SpecialismeCode", " (%s)"))))
+    if "CodeMapping" in tables:
+        df = read("CodeMapping")
+        links.append(link(df.filter(current(df)), "ConceptID", F.lit("mapping"), F.concat("Codestelsel", F.lit(": "), "Code")))
+    joined = reduce(DataFrame.unionByName, links).filter("code IS NOT NULL AND kind IS NOT NULL AND target IS NOT NULL").join(codes.select("code"), "code", "left_semi").distinct()
+    shown = terms.select(F.col("ConceptID").alias("code"), "use_code", F.coalesce("TaalCode", F.lit("nl-NL")).alias("language"), F.trim(F.regexp_replace("Omschrijving", r"\s+", " ")).alias("term")).filter("term IS NOT NULL")
+    return {"concepts": codes, "rubrics": rubrics, "terms": shown, "links": joined}
 
 
 def thesaurus_maps(links: DataFrame, equivalent: str, wider: str) -> DataFrame:
