@@ -12,14 +12,18 @@ from termloom.streaming import streams as St
 from termloom.tables import new_path
 
 
+def _coded(df: DataFrame) -> DataFrame:
+    """event_id, ts, system, code of rows of events."""
+    code = F.concat(F.lit("C:"), (F.col("event_id") % 2000).cast("string"))
+    return df.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.lit("world").alias("system"), code.alias("code"))
+
+
 def events(v: Views) -> DataFrame:
-    """event_id, ts, system, code from the events table's own files, as a stream."""
+    """The events table's own rows, as a stream."""
     schema = v.raw("events").schema
     folder = new_path(v.spark, "events")
     v.raw("events").write.parquet(folder)
-    stream = v.spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(folder)
-    code = F.concat(F.lit("C:"), (F.col("event_id") % 2000).cast("string"))
-    return stream.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.lit("world").alias("system"), code.alias("code"))
+    return _coded(v.spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(folder))
 
 
 @query("stream_validate", sql("SELECT event_id, 'C:' || (event_id % 2000) IN (SELECT code FROM concepts) AS result FROM events", "concepts"))
@@ -29,10 +33,11 @@ def stream_validate(v: Views) -> DataFrame:
     return v.spark.read.parquet(sink).select("event_id", "result")
 
 
-@query("stream_translate", "SELECT event_id, coalesce('N:' || c_nationkey, 'B:OTHER') AS target_code FROM events LEFT JOIN customer ON c_custkey = event_id % 2000 AND c_custkey < 1000")
+@query("stream_translate", "SELECT event_id, coalesce('N:' || c_nationkey, 'B:OTHER') AS target_code FROM events LEFT JOIN customer ON c_custkey = event_id % 2000 AND c_acctbal >= 0")
 def stream_translate(v: Views) -> DataFrame:
+    """Customers to their nations; those in debt have no element, so the map's rule answers."""
     sink = new_path(v.spark, "stream")
-    c = v.raw("customer").filter("c_custkey < 1000")
+    c = v.raw("customer").filter("c_acctbal >= 0")
     elements = c.select(F.lit("part-brand").alias("map"), F.lit("nations").alias("target"), F.concat(F.lit("C:"), F.col("c_custkey").cast("string")).alias("code"), F.concat(F.lit("N:"), F.col("c_nationkey").cast("string")).alias("target_code"), F.lit("wider").alias("relationship"), F.lit(False).alias("no_map"))
     St.stream_translate(events(v), lambda _: (elements, v.map_unmapped), "part-brand", sink, new_path(v.spark, "stream-state")).awaitTermination()
     return v.spark.read.parquet(sink).select("event_id", "target_code")
@@ -43,12 +48,21 @@ coded AS (SELECT date_trunc('hour', ts) AS start, 'C:' || (event_id % 2000) AS c
 up AS (SELECT descendant, ancestor FROM closure UNION SELECT code, code FROM coded)
 SELECT start, ancestor AS code, count(*) AS n FROM coded JOIN up ON descendant = code GROUP BY ALL""", "closure"))
 def stream_rollup(v: Views) -> DataFrame:
-    """Each batch writes the counts that it changed; the last of each window and code holds. No window closes, so all are kept."""
-    sink = new_path(v.spark, "stream")
-    counted = St.stream_rollup(events(v), v.closure, "1 hour", "3650 days")
-    St.for_each_batch(counted, lambda b: b, sink, new_path(v.spark, "stream-state"), mode="update").awaitTermination()
-    last = v.spark.read.parquet(sink).groupBy("start", "code").agg(F.max_by("n", "batch").alias("n"))
-    return last.select(F.col("start").cast("timestamp_ntz").alias("start"), "code", "n")
+    """All events, and then a copy of each that comes too late to count, behind one event of a later day that closes their windows."""
+    folder, sink, state = new_path(v.spark, "events"), new_path(v.spark, "stream"), new_path(v.spark, "stream-state")
+    rows = v.raw("events")
+    rows.write.parquet(folder)
+
+    def go_on() -> None:
+        stream = _coded(v.spark.readStream.schema(rows.schema).parquet(folder))
+        St.for_each_batch(St.stream_rollup(stream, v.closure), lambda b: b, sink, state).awaitTermination()
+
+    go_on()
+    last = rows.agg(F.max("ts")).first()[0]
+    closing = rows.orderBy("event_id").limit(1).withColumn("ts", F.lit(last).cast("timestamp_ntz") + F.expr("INTERVAL 2 DAYS"))
+    rows.filter(F.col("ts") < F.lit(last).cast("timestamp_ntz") - F.expr("INTERVAL 2 HOURS")).unionByName(closing).write.mode("append").parquet(folder)
+    go_on()
+    return v.spark.read.parquet(sink).select(F.col("start").cast("timestamp_ntz").alias("start"), "code", "n")
 
 
 @query("stream_closure_delta", sql("""

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from termloom.operators import codes as K
 from termloom.operators import hierarchy as H
@@ -34,14 +32,16 @@ def stream_translate(events: DataFrame, tables: Callable[[SparkSession], tuple[D
 
 
 def stream_rollup(events: DataFrame, closure: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    """Counts per window and ancestor (or the code itself) of events (ts, code): stream-static join, then a windowed count.
+    """Counts per window and ancestor (or the code itself) of events (ts, code), for append mode: a window's counts come once, when it is over.
 
-    Rows later than the watermark are dropped, as the engine does.
+    Events are first counted by window and code; the counts meet the ancestors and are summed. A
+    window is over once the watermark, `delay` before the latest event of the batches before, has
+    passed its end; rows that come later than that are dropped, as the engine does.
     """
-    late = events.withWatermark("ts", delay)
-    first = closure.groupBy(F.col("descendant").alias("code")).agg(F.array_sort(F.collect_set("ancestor")).alias("up"))
-    spread = late.join(first, "code", "left").select("ts", F.explode(F.concat(F.array("code"), F.coalesce("up", F.array().cast("array<string>")))).alias("code"))
-    return spread.groupBy(F.window("ts", window).alias("w"), "code").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "code", "n")
+    up = closure.groupBy(F.col("descendant").alias("code")).agg(F.array_sort(F.collect_set("ancestor")).alias("up"))
+    counted = events.withWatermark("ts", delay).groupBy(F.window("ts", window).alias("w"), "code").agg(F.count(F.lit(1)).alias("n"))
+    spread = counted.join(up, "code", "left").select("w", "n", F.explode(F.concat(F.array("code"), F.coalesce("up", F.array().cast("array<string>")))).alias("code"))
+    return spread.groupBy("w", "code").agg(F.sum("n").alias("n")).select(F.col("w.start").alias("start"), "code", "n")
 
 
 def stream_closure_delta(new_codes: DataFrame, closure: DataFrame, members_path: str, edges_path: str, checkpoint: str) -> StreamingQuery:
@@ -67,15 +67,6 @@ def stream_closure_delta(new_codes: DataFrame, closure: DataFrame, members_path:
     return new_codes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _newer(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    best = state.get[0] if state.exists else None
-    top = max(frame["date"].max() for frame in frames)
-    if best is None or top > best:
-        state.update((top,))
-        yield pd.DataFrame({"canonical": [key[0]], "version": [key[1]], "date": [top]})
-
-
 def stream_feed_select(offers: DataFrame) -> DataFrame:
-    """Offers (canonical, version, date as text) that are newer than any before of the same pair: one a pair and batch."""
-    out = "canonical string, version string, date string"
-    return offers.groupBy("canonical", "version").applyInPandasWithState(_newer, out, "date string", "update", GroupStateTimeout.NoTimeout)
+    """The newest date of each pair of offers (canonical, version, date as text), for update mode: one row a pair and batch in which the pair had an offer."""
+    return offers.groupBy("canonical", "version").agg(F.max("date").alias("date"))
