@@ -28,15 +28,15 @@ def inverted_index(v: Views) -> DataFrame:
 
 
 def _asked(v: Views) -> DataFrame:
-    """A query a part: the first three letters of its name's two words, the second first."""
+    """A query for every part whose key is divisible by 100: the first three letters of its name's two words, the second first."""
     w = F.split("p_name", " ")
     text = F.concat_ws(" ", F.substring(F.get(w, F.lit(1)), 1, 3), F.upper(F.substring(F.get(w, F.lit(0)), 1, 3)))
-    return v.raw("part").filter("p_partkey % 40 = 1").select(F.col("p_partkey").alias("query_id"), text.alias("text"))
+    return v.raw("part").filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), text.alias("text"))
 
 
 _ASKED = f"""
 asked AS (SELECT query_id, unnest(list_distinct({_WORDS.format('text')})) AS start FROM (
-  SELECT p_partkey AS query_id, substr(string_split(p_name, ' ')[2], 1, 3) || ' ' || upper(substr(string_split(p_name, ' ')[1], 1, 3)) AS text FROM part WHERE p_partkey % 40 = 1)),
+  SELECT p_partkey AS query_id, substr(string_split(p_name, ' ')[2], 1, 3) || ' ' || upper(substr(string_split(p_name, ' ')[1], 1, 3)) AS text FROM part WHERE p_partkey % 100 = 0)),
 words AS (SELECT designation_id, code, term, unnest(list_distinct({_WORDS.format('term')})) AS word FROM designations WHERE active),
 hits AS (SELECT query_id, designation_id, any_value(code) AS code, any_value(term) AS term FROM asked JOIN words ON starts_with(word, start)
   GROUP BY query_id, designation_id HAVING count(DISTINCT start) = (SELECT count(*) FROM asked a WHERE a.query_id = asked.query_id))"""
@@ -91,7 +91,7 @@ SELECT event_id, f.code, CASE WHEN f.system = 'world' THEN display END AS name,
   CASE WHEN active THEN 1 END AS terms FROM facts f LEFT JOIN concepts c ON c.code = f.code""", "concepts"))
 def lookup(v: Views) -> DataFrame:
     s = Sets(v)
-    out = K.lookup(_facts(v), s.tables.concepts, _systems(s), v.designations, s.tables.properties)
+    out = K.lookup(_facts(v), s.tables.concepts, _systems(s), s.designations, s.tables.properties)
     return out.select("event_id", "code", "name", "version", F.nullif(F.size("designations"), F.lit(-1)).alias("terms"))
 
 
@@ -99,10 +99,45 @@ def lookup(v: Views) -> DataFrame:
 def lookup_properties(v: Views) -> DataFrame:
     s = Sets(v)
     facts = v.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.lit("parts").alias("system"), F.concat(F.lit("P:"), F.col("l_partkey").cast("string")).alias("code"))
-    out = K.lookup(facts, s.tables.concepts, _systems(s), v.designations, s.tables.properties, ["brand", "type"]).withColumn("p", F.map_from_entries("properties"))
+    out = K.lookup(facts, s.tables.concepts, _systems(s), s.designations, s.tables.properties, ["brand", "type"]).withColumn("p", F.map_from_entries("properties"))
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "name", F.col("p")["brand"].alias("brand"), F.col("p")["type"].alias("type"), F.size("designations").alias("terms"))
 
 
+_SHARED = """shared AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'colours' ELSE 'shapes' END AS system, CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE 'X' END || (o_custkey) AS code, o_custkey AS k FROM orders)"""
+
+
+def _shared(v: Views) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Facts, concepts, systems and designations of two systems that use the same codes; the second does not mind the case."""
+    k, customers = F.col("c_custkey").cast("string"), v.raw("customer")
+    o = v.raw("orders")
+    facts = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, "colours").otherwise("shapes").alias("system"), F.concat(F.when(F.col("o_orderkey") % 3 == 0, "x").otherwise("X"), F.col("o_custkey").cast("string")).alias("code"), F.concat(F.lit("SHAPES "), F.col("o_custkey").cast("string")).alias("display"))
+    both = F.explode(F.array(F.lit("colours"), F.lit("shapes"))).alias("system")
+    concepts = customers.select(both, F.concat(F.lit("X"), k).alias("code"), F.concat(F.lit("C"), k).alias("display"), (F.col("c_acctbal") >= 0).alias("active"))
+    designations = customers.select(both, F.concat(F.lit("X"), k).alias("code"), F.col("c_custkey").alias("k")).select("system", "code", F.concat_ws(" ", "system", F.col("k").cast("string")).alias("term"), F.lit("en").alias("language"), F.lit("full").alias("use_code"), F.lit(True).alias("active"), F.concat_ws("/", "system", "code").alias("designation_id"))
+    systems = v.spark.createDataFrame([("colours", "1", True, "complete"), ("shapes", "2", False, "complete")], "system string, version string, case_sensitive boolean, content string")
+    return facts, concepts, systems, designations
+
+
+@query("lookup_shared_codes", f"""WITH {_SHARED}
+SELECT id, CASE WHEN system = 'shapes' OR code = 'X' || k THEN system || ' ' || k END AS term, CASE WHEN system = 'colours' THEN '1' ELSE '2' END AS version FROM shared""")
+def lookup_shared_codes(v: Views) -> DataFrame:
+    """Each system's own term for a code that both have; in any case where the system does not mind it."""
+    facts, concepts, systems, designations = _shared(v)
+    none = v.spark.createDataFrame([], "system string, code string, property string, value_text string")
+    return K.lookup(facts.drop("display"), concepts, systems, designations, none).select("id", F.get("designations.term", F.lit(0)).alias("term"), "version")
+
+
+@query("validate_codes_case_blind", f"""WITH {_SHARED}
+SELECT id, (system = 'shapes' OR code = 'X' || k) AND system = 'shapes' AS result,
+  CASE WHEN system = 'colours' THEN CASE WHEN code <> 'X' || k THEN 'unknown-code' WHEN c_acctbal < 0 THEN 'inactive,wrong-display' ELSE 'wrong-display' END
+    ELSE concat_ws(',', CASE WHEN c_acctbal < 0 THEN 'inactive' END, CASE WHEN code <> 'X' || k THEN 'case-differs' END) END AS reasons
+FROM shared JOIN customer ON c_custkey = k""")
+def validate_codes_case_blind(v: Views) -> DataFrame:
+    """Codes in another case, and the other system's display: right only where the system says so."""
+    facts, concepts, systems, designations = _shared(v)
+    return K.validate_codes(facts, concepts, systems, designations).select("id", "result", F.array_join("issues.reason", ",").alias("reasons"))
+
+
 @query("choose_display", sql("""
 SELECT code, CASE WHEN code LIKE 'P:%' THEN coalesce((SELECT term FROM designations d WHERE d.code = c.code AND language = 'es' AND active), display) ELSE display END AS display FROM concepts c""", "concepts", "designations"))
 def choose_display(v: Views) -> DataFrame:
@@ -142,7 +177,19 @@ def validate_display(v: Views) -> DataFrame:
     kind = F.col("l_linenumber") % 4
     display = F.when(kind == 0, F.upper("p_name")).when(kind == 1, F.concat(F.lit(" "), F.regexp_replace("p_name", " ", "  "))).when(kind == 2, F.concat(F.lit("artículo "), F.col("p_name"))).otherwise("nothing")
     facts = v.raw("lineitem").join(part, "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey", F.concat(F.lit("P:"), F.col("l_partkey").cast("string")).alias("code"), display.alias("display"))
-    return K.validate_display(facts, v.designations).select("l_orderkey", "l_linenumber", "l_partkey", "display_outcome")
+    return K.validate_display(facts.withColumn("system", F.lit("parts")), Sets(v).designations).select("l_orderkey", "l_linenumber", "l_partkey", "display_outcome")
+
+
+@query("validate_display_language", """
+SELECT l_orderkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN CASE WHEN p_size <= 25 THEN 'exact' ELSE 'withdrawn-display' END WHEN 1 THEN CASE WHEN p_size <= 25 THEN 'wrong-display' ELSE 'other-language' END ELSE 'wrong-display' END AS display_outcome
+FROM lineitem JOIN part ON l_partkey = p_partkey""")
+def validate_display_language(v: Views) -> DataFrame:
+    """Spanish is asked for: an English term is wrong where a Spanish one holds, and else another language's."""
+    part = v.raw("part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    kind = F.col("l_linenumber") % 3
+    display = F.when(kind == 0, F.concat(F.lit("Artículo "), F.col("p_name"))).when(kind == 1, F.upper("p_name")).otherwise("nothing")
+    facts = v.raw("lineitem").join(part, "l_partkey").select("l_orderkey", "l_linenumber", F.lit("parts").alias("system"), F.concat(F.lit("P:"), F.col("l_partkey").cast("string")).alias("code"), display.alias("display"))
+    return K.validate_display(facts, Sets(v).designations, ["es-MX"]).select("l_orderkey", "l_linenumber", "display_outcome")
 
 
 @query("validate_membership", sql("""
@@ -156,7 +203,8 @@ def validate_membership(v: Views) -> DataFrame:
     code = F.concat(F.when(F.col("event_id") % 2 == 0, "C:").otherwise("O:"), (F.col("event_id") % 2000).cast("string"))
     facts = v.raw("events").select("event_id", url.alias("url"), F.lit("world").alias("system"), code.alias("code"))
     rules = s.rules.filter("url LIKE 'nation%'")
-    return K.validate_membership(facts, VS.expand(rules, s.tables), s.tables.concepts, rules.select("url"), active_only=True).select("event_id", "reason")
+    inside = VS.contains(facts.select("url", "system", "code").distinct(), rules, s.tables).filter("inside")
+    return K.validate_membership(facts, inside, s.tables.concepts, rules.select("url"), active_only=True, systems=s.tables.systems).select("event_id", "reason")
 
 
 _CODEABLE = """SELECT event_id, user_id < 75 OR event_type IN ('view', 'click', 'purchase') AS result,
@@ -198,7 +246,7 @@ def validate_version(v: Views) -> DataFrame:
 
 
 def _part_facts(v: Views) -> DataFrame:
-    return v.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.concat(F.lit("P:"), F.col("l_partkey").cast("string")).alias("code"))
+    return v.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.lit("parts").alias("system"), F.concat(F.lit("P:"), F.col("l_partkey").cast("string")).alias("code"))
 
 
 _PARTS = "facts AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'P:' || l_partkey AS code FROM lineitem)"
@@ -209,10 +257,23 @@ def translate(v: Views) -> DataFrame:
     return K.translate(_part_facts(v), v.map_elements, "part-brand").select("l_orderkey", "l_linenumber", "code", "target_code", "relationship", "no_map")
 
 
+@query("translate_by_group", """
+WITH facts AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'colours' ELSE 'shapes' END AS system, 'X' || o_custkey AS code, o_custkey AS k FROM orders)
+SELECT id, 'hues' AS target, CASE WHEN c_acctbal >= 0 THEN 'H' || c_nationkey ELSE 'H?' END AS target_code, '5' AS target_version FROM facts JOIN customer ON c_custkey = k WHERE system = 'colours'
+UNION ALL SELECT id, 'forms', code, '7' FROM facts WHERE system = 'shapes'""")
+def translate_by_group(v: Views) -> DataFrame:
+    """A map of two groups, of two systems that share their codes; each group's own rule answers for what it does not map."""
+    facts = v.raw("orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, "colours").otherwise("shapes").alias("system"), F.concat(F.lit("X"), F.col("o_custkey").cast("string")).alias("code"))
+    c = v.raw("customer").filter("c_acctbal >= 0").select(F.lit("m").alias("map"), F.lit(0).alias("group_no"), F.lit("colours").alias("source"), F.lit("hues").alias("target"), F.concat(F.lit("X"), F.col("c_custkey").cast("string")).alias("code"), F.concat(F.lit("H"), F.col("c_nationkey").cast("string")).alias("target_code"), F.lit("wider").alias("relationship"), F.lit(False).alias("no_map"), F.lit("5").alias("target_version"))
+    rules = v.spark.createDataFrame([("m", 0, "colours", "hues", "fixed", "H?", None, None, "5"), ("m", 1, "shapes", "forms", "use-source-code", None, None, None, "7")], "map string, group_no int, source string, target string, mode string, fixed_code string, relationship string, other_map string, target_version string")
+    return K.translate_unmapped(facts, c, rules, "m").select("id", "target", "target_code", "target_version")
+
+
 @query("translate_reverse", sql("""
 SELECT DISTINCT 'B:' || p_brand AS code, m.code AS target_code, 'source-is-broader-than-target' AS relationship FROM part JOIN map_elements m ON m.target_code = 'B:' || p_brand WHERE map = 'part-brand'""", "map_elements"))
 def translate_reverse(v: Views) -> DataFrame:
-    return K.translate_reverse(v.concepts.filter("module = 'brand'").select("code"), v.map_elements, "part-brand").select("code", "target_code", "relationship")
+    facts = v.concepts.filter("module = 'brand'").select("code", F.lit("brands").alias("system"))
+    return K.translate_reverse(facts, v.map_elements, "part-brand").select("code", "target_code", "relationship")
 
 
 @query("translate_unmapped", sql(f"""{_PARTS}
@@ -227,7 +288,7 @@ FROM facts f LEFT JOIN map_elements m ON m.code = f.code AND map = 'part-brand'"
 def translate_chain(v: Views) -> DataFrame:
     """Parts without an element go on to the second map, whose rule keeps their own code."""
     rules = v.spark.createDataFrame([("part-brand", "other-map", None, None, "brand-type"), ("brand-type", "use-source-code", None, None, None)], "map string, mode string, fixed_code string, relationship string, other_map string")
-    return K.translate_chain(_part_facts(v), v.map_elements, rules, "part-brand").select("l_orderkey", "l_linenumber", "code", "target_code", F.size("applied").alias("maps"))
+    return K.translate_chain(_part_facts(v).drop("system"), v.map_elements, rules, "part-brand").select("l_orderkey", "l_linenumber", "code", "target_code", F.size("applied").alias("maps"))
 
 
 @query("follow_maps", sql("SELECT 'P:' || p_partkey AS start_code, m.target_code AS code FROM part JOIN map_elements m ON m.code = 'B:' || p_brand WHERE p_size > 3 AND p_size <= 40", "map_elements"))

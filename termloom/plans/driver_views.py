@@ -12,6 +12,10 @@ from termloom.operators.concepts import Terminology
 from termloom.tables import table
 
 
+#: Closures of table folders that the caller has built and written (as a release build does); queries over them build none.
+CLOSURES: dict[str, DataFrame] = {}
+
+
 def _ymd(c: str):  # noqa: ANN202
     return F.date_format(c, "yyyyMMdd").cast("int")
 
@@ -70,7 +74,8 @@ class Views:
 
     @cached_property
     def closure(self) -> DataFrame:
-        return H.transitive_closure(self.edges)
+        """descendant, ancestor, min_depth: a table that was built before (CLOSURES), or built here"""
+        return CLOSURES[self.sf_dir] if self.sf_dir in CLOSURES else H.transitive_closure(self.edges)
 
     @cached_property
     def attributes(self) -> DataFrame:

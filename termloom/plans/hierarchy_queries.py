@@ -300,9 +300,10 @@ def ecl_term_wild(v: Views) -> DataFrame:
 
 @query("ecl_dialect_filter", sql("""
 SELECT DISTINCT code FROM designations JOIN acceptability USING (designation_id)
-WHERE active AND ((refset_id = 'LANG:en' AND acceptability = 'acceptable') OR refset_id = 'LANG:es')""", "designations", "acceptability"))
+WHERE active AND ((refset_id = 'LANG:en' AND acceptability = 'acceptable') OR (refset_id = 'LANG:es' AND acceptability = 'preferred'))""", "designations", "acceptability"))
 def ecl_dialect_filter(v: Views) -> DataFrame:
-    return C.description_filter(v.concepts, v.designations, D(dialects={"LANG:en": ["acceptable"], "LANG:es": None}), v.acceptability)
+    """A set with acceptabilities of its own, and one by alias that takes the shared ones."""
+    return C.description_filter(v.concepts, v.designations, D(dialects={"LANG:en": ["acceptable"], "ES-x": None}, acceptabilities=["preferred"], aliases={"es-x": "LANG:es"}), v.acceptability)
 
 
 @query("ecl_history", sql(f"""

@@ -69,7 +69,7 @@ def apply_supplement(v: Views) -> DataFrame:
                         F.lit("synonym").alias("use_code"), F.lit(True).alias("active"), F.lit("urn:nl").alias("supplement_url"))
     more = part.select(s("P:", "p_partkey").alias("code"), F.lit("colour").alias("property"), F.lit("any").alias("value_text"), F.lit("urn:nl").alias("supplement_url"))
     terms, _ = R.apply_supplement(v.designations.filter("code LIKE 'P:%'"), v.properties, extra, more, extra, ["urn:nl"])
-    return K.choose_display(terms, v.acceptability, K.language_ranks("nl, es;q=0.8, en;q=0.5", ["en", "es", "nl"]))
+    return K.choose_display(terms, v.acceptability, K.language_ranks("nl, es;q=0.8, en;q=0.5", ["en", "es", "nl"])).select("code", "display")
 
 
 @query("revalidate_value_sets", "SELECT 'seg/' || c_mktsegment AS url, 'O:' || o_orderkey AS code, CASE WHEN o_orderkey % 7 = 0 THEN 'unknown' ELSE 'inactive' END AS finding FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 7 = 0 OR o_orderstatus = 'F'")
@@ -312,15 +312,15 @@ def identifier_audit(v: Views) -> DataFrame:
 
 
 @query("identify_edition", """
-SELECT 'O:' || o_orderkey AS module, CAST(strftime(max(o_orderdate), '%Y%m%d') AS INTEGER) AS effective_time, 'O:' || o_orderkey = (SELECT min('O:' || o_orderkey) FROM orders WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders)) AS picked
-FROM orders GROUP BY o_orderkey""")
+WITH roots AS (SELECT o_orderkey, CAST(strftime(o_orderdate, '%Y%m%d') AS INTEGER) AS t, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey || '1000005109' ELSE o_orderkey || '00' || '9' END AS module FROM orders)
+SELECT module, t AS effective_time, module LIKE '%1000005109' AS namespaced, coalesce(module = (SELECT min(module) FROM roots WHERE module LIKE '%1000005109' AND t = (SELECT max(t) FROM roots WHERE o_orderkey % 2 = 0)), false) AS picked FROM roots""")
 def identify_edition(v: Views) -> DataFrame:
-    """Orders as modules that depend on their customer's, and those on a core: only orders are roots; the release date is the last order's."""
-    time = F.date_format("o_orderdate", "yyyyMMdd").cast("int")
-    o = v.raw("orders")
-    deps = o.select(s("O:", "o_orderkey").alias("module"), time.alias("source_time"), s("C:", "o_custkey").alias("target"), time.alias("target_time"))
+    """Orders as modules that depend on their customer's, and those on the core; every second has a namespace, and of these the one of the release date names the edition."""
+    time, key = F.date_format("o_orderdate", "yyyyMMdd").cast("int"), F.col("o_orderkey").cast("string")
+    o = v.raw("orders").withColumn("module", F.when(F.col("o_orderkey") % 2 == 0, F.concat(key, F.lit("1000005109"))).otherwise(F.concat(key, F.lit("009"))))
+    deps = o.select("module", time.alias("source_time"), s("C:", "o_custkey").alias("target"), time.alias("target_time"))
     core = o.select(s("C:", "o_custkey").alias("module"), time.alias("source_time"), F.lit("CORE").alias("target"), time.alias("target_time"))
-    return Y.identify_edition(deps.unionByName(core), "CORE", o.agg(F.max(time)).first()[0])
+    return Y.identify_edition(deps.unionByName(core), "CORE", o.filter("o_orderkey % 2 = 0").agg(F.max(time)).first()[0])
 
 
 @query("check_layer", "SELECT o_orderkey AS module, CASE WHEN o_custkey % 4 = 0 THEN 'missing' WHEN o_orderdate > TIMESTAMP '1998-01-01' THEN 'older' ELSE 'met' END AS outcome FROM orders")

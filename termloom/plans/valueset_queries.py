@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termloom.operators import concepts as C
 from termloom.operators import valuesets as VS
 from termloom.plans.driver_views import SQL, Views, sql
 from termloom.plans.registry import query
@@ -25,10 +27,14 @@ class Sets:
         concepts = v.concepts.withColumn("system", of("code")).withColumn("abstract", F.col("module").isin("root", "region"))
         systems = v.spark.createDataFrame([("parts", "2", True, "complete"), ("world", "1.10", False, "fragment")], "system string, version string, case_sensitive boolean, content string")
         return VS.SystemTables(
-            concepts, v.edges.withColumn("system", of("child")), v.closure.withColumn("system", of("descendant")), v.properties.withColumn("system", F.lit("parts")), systems,
-            v.members.withColumn("system", F.lit("world")),
+            concepts, v.edges.withColumn("system", of("child")), lambda: v.closure.withColumn("system", of("descendant")), v.properties.withColumn("system", F.lit("parts")), systems,
+            v.members.withColumn("system", F.lit("world")), designations=self.designations,
         )
 
+    @property
+    def designations(self) -> DataFrame:
+        return self.v.designations.withColumn("system", F.expr(SYSTEM.format("code")))
+
     @cached_property
     def rules(self) -> DataFrame:
         """A value set a nation (its subtree), a region (references to its nations' sets, less its first order customers) and a brand (listed parts)."""
@@ -109,6 +115,19 @@ def vs_filter_refset(v: Views) -> DataFrame:
     return VS.expand(rules, s.tables).select("url", "code")
 
 
+@query("vs_filter_constraint", sql("""
+SELECT 'constraint' AS url, descendant AS code FROM closure WHERE ancestor = 'R:1' AND descendant NOT IN (SELECT code FROM members WHERE refset_id = 'PRI:1-URGENT' AND active)
+UNION ALL SELECT 'both', descendant FROM closure WHERE ancestor = 'R:1' AND descendant LIKE 'O:%1' AND descendant NOT IN (SELECT code FROM members WHERE refset_id = 'PRI:1-URGENT' AND active)""", "closure", "members"))
+def vs_filter_constraint(v: Views) -> DataFrame:
+    """A set made by the set operators (below a region, less a reference set) in a rule, alone and with a pattern."""
+    s = Sets(v)
+    urgent = C.ConceptSet(v.terminology, C.member_of(v.code("PRI:1-URGENT"), v.members))
+    calm = v.terminology.concept("R:1").descendants().minus(urgent)
+    tables = replace(s.tables, sets=VS.named_sets({"calm": ("world", calm.df)}))
+    rules = s.literal([*VS.implicit("constraint", "world", "calm", "constraint"), *VS.rule("both", "include", 0, "world", filters=[("constraint", "=", "calm"), ("code", "regex", "O:.*1")])])
+    return VS.expand(rules, tables).select("url", "code")
+
+
 @query("vs_enumerated", sql("""
 SELECT 'listed' AS url, code, CASE code WHEN 'N:1' THEN 'First' ELSE display END AS display, concept_no FROM concepts JOIN (VALUES ('N:1', 0), ('R:2', 1), ('PART', 4)) t(c, concept_no) ON c = code""", "concepts"))
 def vs_enumerated(v: Views) -> DataFrame:
@@ -138,10 +157,19 @@ def vs_compose(v: Views) -> DataFrame:
     return VS.expand(s.rules, s.tables).select("url", "code")
 
 
-@query("vs_references", """
+@query("vs_references", sql("""
+nations AS (SELECT 'nation/' || substr(ancestor, 3) AS url, descendant AS code FROM closure WHERE ancestor LIKE 'N:%' UNION SELECT 'nation/' || n_nationkey, 'N:' || n_nationkey FROM nation)
+SELECT 'region/' || n_regionkey AS url, code FROM nations JOIN nation ON url = 'nation/' || n_nationkey WHERE NOT (code LIKE 'O:%7')""", "closure"))
+def vs_references(v: Views) -> DataFrame:
+    """Value sets made of references, resolved from the ones below up."""
+    s = Sets(v)
+    return VS.expand(s.rules.filter("url NOT LIKE 'brand%'"), s.tables).filter("url LIKE 'region%'").select("url", "code")
+
+
+@query("vs_used_versions", """
 SELECT 'region/' || n_regionkey AS url, 'value-set' AS kind, 'nation/' || n_nationkey AS used FROM nation UNION ALL SELECT 'region/' || r_regionkey, 'system', 'world|1.10' FROM region
 UNION ALL SELECT 'nation/' || n_nationkey, 'system', 'world|1.10' FROM nation UNION ALL SELECT DISTINCT 'brand/' || p_brand, 'system', 'parts|2' FROM part""")
-def vs_references(v: Views) -> DataFrame:
+def vs_used_versions(v: Views) -> DataFrame:
     s = Sets(v)
     return VS.used_versions(s.rules, s.tables.systems)
 
@@ -164,8 +192,12 @@ def vs_exclude_abstract(v: Views) -> DataFrame:
     return Sets(v).expand(VS.implicit("all", "world"), selectable_only=True).select("code")
 
 
-@query("vs_text", sql("SELECT code FROM concepts WHERE module IN ('part', 'brand', 'type', 'root') AND code NOT IN ('WORLD') AND len(list_filter(string_split_regex(lower(display), '[^a-z0-9]+'), lambda w: starts_with(w, 'b'))) > 0", "concepts"))
+@query("vs_text", sql("""
+texts AS (SELECT code, display AS term FROM concepts UNION ALL SELECT code, term FROM designations WHERE active)
+SELECT code FROM concepts WHERE module IN ('part', 'brand', 'type', 'root') AND code NOT IN ('WORLD') AND code IN (
+  SELECT code FROM texts WHERE len(list_filter(string_split_regex(lower(term), '[^a-z0-9]+'), lambda w: starts_with(w, 'b'))) > 0)""", "concepts", "designations"))
 def vs_text(v: Views) -> DataFrame:
+    """Words of the display or of any active designation."""
     return Sets(v).expand(VS.implicit("all", "parts"), text="B").select("code")
 
 
@@ -183,7 +215,7 @@ def vs_page(v: Views) -> DataFrame:
 SELECT code, list(term ORDER BY use_code, term) AS terms FROM designations WHERE active AND language = 'en' AND code IN (SELECT 'P:' || p_partkey FROM part WHERE p_size <= 10 OR p_size = 20) GROUP BY code""", "designations"))
 def vs_designations(v: Views) -> DataFrame:
     s = Sets(v)
-    out = VS.with_designations(VS.expand(s.rules.filter("url LIKE 'brand%'"), s.tables), v.designations, languages=["en"])
+    out = VS.with_designations(VS.expand(s.rules.filter("url LIKE 'brand%'"), s.tables), s.designations, languages=["en"])
     return out.select("code", F.col("designations.term").alias("terms"))
 
 
@@ -198,11 +230,16 @@ def vs_properties(v: Views) -> DataFrame:
 
 @query("vs_pin_versions", """
 SELECT url, CASE system WHEN 'world' THEN '9' ELSE '2' END AS resolved, system = 'parts' AS pin_error FROM (
-  SELECT 'nation/' || n_nationkey AS url, 'world' AS system FROM nation UNION ALL SELECT DISTINCT 'brand/' || p_brand, 'parts' FROM part)""")
+  SELECT 'nation/' || n_nationkey AS url, 'world' AS system FROM nation UNION ALL SELECT DISTINCT 'brand/' || p_brand, 'parts' FROM part)
+UNION ALL SELECT DISTINCT 'region/' || n_regionkey, CASE WHEN n_nationkey = 3 THEN '2.10' ELSE '2.9' END, n_nationkey = 4 FROM nation
+UNION ALL SELECT DISTINCT 'region/' || n_regionkey, '9', false FROM nation""")
 def vs_pin_versions(v: Views) -> DataFrame:
     s = Sets(v)
     pins = v.spark.createDataFrame([("world", "8", None, "9"), ("parts", None, "1", None)], "system string, default_version string, check_version string, force_version string")
-    return VS.pin_versions(s.rules.filter("url NOT LIKE 'region%'"), pins, s.tables.systems).select("url", "resolved", "pin_error").distinct()
+    names = v.raw("nation").select(F.concat(F.lit("nation/"), F.col("n_nationkey").cast("string")).alias("url"))
+    value_sets = names.withColumn("version", F.explode(F.array(F.lit("2.9"), F.lit("1.30"))))
+    set_pins = v.spark.createDataFrame([("nation/3", None, None, "2.10"), ("nation/4", None, "1.30", None)], "url string, default_version string, check_version string, force_version string")
+    return VS.pin_versions(s.rules, pins, s.tables.systems, set_pins, value_sets, ["elsewhere"]).select("url", "resolved", "pin_error").distinct()
 
 
 @query("vs_contains", sql(f"""{_ALL},
@@ -216,9 +253,9 @@ def vs_contains(v: Views) -> DataFrame:
 
 @query("vs_implicit", sql("""
 SELECT 'all' AS url, code FROM concepts WHERE module IN ('part', 'brand', 'type') OR code = 'PART' UNION ALL SELECT 'sub', code FROM (SELECT descendant AS code FROM closure WHERE ancestor = 'R:3' UNION SELECT 'R:3')
-UNION ALL SELECT DISTINCT 'mem', code FROM members WHERE active AND refset_id = 'PRI:2-HIGH'""", "concepts", "closure", "members"))
+UNION ALL SELECT DISTINCT 'mem', code FROM members WHERE active AND refset_id = 'PRI:2-HIGH' UNION ALL SELECT 'below', descendant FROM closure WHERE ancestor = 'R:3'""", "concepts", "closure", "members"))
 def vs_implicit(v: Views) -> DataFrame:
-    return Sets(v).expand(VS.implicit("all", "parts", url="all"), VS.implicit("subtree", "world", "R:3", "sub"), VS.implicit("members", "world", "PRI:2-HIGH", "mem")).select("url", "code")
+    return Sets(v).expand(VS.implicit("all", "parts", url="all"), VS.implicit("subtree", "world", "R:3", "sub"), VS.implicit("members", "world", "PRI:2-HIGH", "mem"), VS.implicit("below", "world", "R:3", "below")).select("url", "code")
 
 
 @query("vs_fragment_flag", sql("SELECT code, module IN ('part', 'brand', 'type') OR code = 'PART' AS provable FROM concepts", "concepts"))

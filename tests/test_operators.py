@@ -97,7 +97,7 @@ def test_version_patterns(spark, version: str, pattern: str, fits: bool) -> None
 
 
 def test_identifiers(spark) -> None:  # noqa: ANN001
-    ids = {"138875005": None, "404684003": None, "138875006": "check-digit", "0138875005": "leading-zero", "12": "length", "x": "not-digits", "138875995": "partition"}
+    ids = {"138875005": None, "404684003": None, "138875006": "check-digit", "0138875005": "leading-zero", "12": "length", "x": "not-digits", "138875995": "partition", "900000000000000167": "check-digit"}
     df = spark.createDataFrame([(k,) for k in ids], "c string").select("c", I.concept_id_reason(F.col("c")).alias("r"), I.component_kind(F.col("c")).alias("k"))
     assert {r.c: r.r for r in df.collect()} == ids
     assert spark.range(1).select(I.mod10_digit(F.lit("7992739871"))).first()[0] == 3
@@ -129,3 +129,135 @@ def test_core_plans_hold_no_python(spark) -> None:  # noqa: ANN001
     for name in ("rollup_counts", "translate", "validate_codes", "prefix_search", "ecl_attribute_group"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Cartesian" not in plan, name
+
+
+def test_identifier_kinds(spark) -> None:  # noqa: ANN001
+    from termloom.operators import systems as Y
+
+    def with_digit(body: str) -> str:
+        df = spark.createDataFrame([(body + str(d),) for d in range(10)], "c string")
+        return df.filter(I.concept_id_reason(F.col("c")).isNull()).first().c
+
+    expression = with_digit("1" + "1000005" + "16")  # a long identifier of an expression
+    row = spark.createDataFrame([(expression,)], "c string").select(I.component_kind(F.col("c")).alias("k"), I.namespace(F.col("c")).alias("n")).first()
+    assert (row.k, row.n) == ("expression", "1000005")
+    numbers = spark.createDataFrame([("10449-7",), ("LP7751-1",), ("10449-6",), ("10449",), (None,)], "id string")
+    assert {r.reason: r.n for r in Y.identifier_audit(numbers, kind="number").collect()} == {"ok": 2, "check-digit": 1, "shape": 2}
+
+
+def test_editions(spark) -> None:  # noqa: ANN001
+    """A namespaced root, the one of the release date among several, the core module, and what cannot be told."""
+    from termloom.operators import systems as Y
+
+    core, model, mapping = "900000000000207008", "900000000000012004", "449080006"
+    dutch, other = "11000146104", "21000172104"
+    kind = "module string, source_time int, target string, target_time int"
+    base = [(core, 1, model, 1), (mapping, 1, core, 1), (mapping, 1, model, 1)]
+
+    def picked(rows: list[tuple], date: int, strict: bool = False) -> list[str]:
+        return [r.module for r in Y.identify_edition(spark.createDataFrame(rows, kind), core, date, strict).collect() if r.picked]
+
+    assert picked(base, 1) == [core]  # the mapping module is the only root, and not the edition
+    assert picked([*base, (dutch, 2, core, 1)], 9) == [dutch]
+    both = [*base, (dutch, 2, core, 1), (other, 3, core, 1)]
+    assert picked(both, 3) == [other] and picked(both, 9) == []
+    with pytest.raises(Y.AmbiguousEdition):
+        picked(both, 9, strict=True)
+    assert picked([("449080006", 1, "450828004", 1)], 1) == ["449080006"]
+
+
+def test_dialects(spark) -> None:  # noqa: ANN001
+    terms = spark.createDataFrame([("d1", "c1"), ("d2", "c2"), ("d3", "c3")], "designation_id string, code string").withColumn("active", F.lit(True))
+    sets = spark.createDataFrame([("d1", "900000000000508004", "preferred"), ("d2", "900000000000508004", "acceptable"), ("d3", "31000146106", "acceptable")], "designation_id string, refset_id string, acceptability string")
+    found = lambda **more: {r.code for r in C.DescriptionTest(**more).rows(terms, sets).collect()}
+    assert found(dialects={"en-GB": None}, acceptabilities=["preferred"]) == {"c1"}
+    assert found(dialects={"en-gb": ["acceptable"], "NL-nl": None}, acceptabilities=["preferred"]) == {"c2"}
+    assert found(dialects={"900000000000508004": None}) == {"c1", "c2"}
+    with pytest.raises(C.UnknownConcept, match="alias"):
+        found(dialects={"xx": None})
+
+
+def test_folding_of_other_scripts(spark) -> None:  # noqa: ANN001
+    rows = {"Ἀθῆναι": "αθηναι", "Ёлка": "елка", "שָׁלוֹם": "שלום", "ガ": "カ", "한글": "한글", "Łódź": "łodz", "क़": "क"}
+    got = spark.createDataFrame([(k,) for k in rows], "c string").select("c", fold(F.col("c")).alias("f")).collect()
+    assert {r.c: r.f for r in got} == rows
+
+
+def test_versions_of_several_patterns(spark) -> None:  # noqa: ANN001
+    facts = spark.createDataFrame([(1, "s", "1.2"), (2, "s", "2.9"), (3, "s", "3.0"), (4, "t", "5"), (5, "s", None)], "id int, system string, version string")
+    used = spark.createDataFrame([("s", "1.x"), ("s", "2.x"), ("t", None)], "system string, pattern string")
+    assert {r.id: r.version_ok for r in K.validate_version(facts, used).collect()} == {1: True, 2: True, 3: False, 4: True, 5: True}
+
+
+def _tables(spark) -> VS.SystemTables:  # noqa: ANN001
+    concepts = spark.createDataFrame([("s", c, f"name {c}", c != "D4") for c in ("A1", "B2", "C3", "D4")], "system string, code string, display string, active boolean").withColumn("abstract", F.lit(False))
+    edges = spark.createDataFrame([("s", "B2", "A1"), ("s", "C3", "B2")], "system string, child string, parent string")
+    closure = spark.createDataFrame([("s", "B2", "A1"), ("s", "C3", "A1"), ("s", "C3", "B2")], "system string, descendant string, ancestor string")
+    properties = spark.createDataFrame([("s", "A1", "p", "x"), ("s", "B2", "p", "y"), ("s", "B2", "p", "z"), ("s", "C3", "q", "x")], "system string, code string, property string, value_text string")
+    systems = spark.createDataFrame([("s", "1", False, "complete")], "system string, version string, case_sensitive boolean, content string")
+    terms = spark.createDataFrame([("s", "C3", "Third thing", True), ("s", "D4", "Third old", False)], "system string, code string, term string, active boolean")
+    return VS.SystemTables(concepts, edges, closure, properties, systems, designations=terms)
+
+
+def test_filters_of_one_rule_meet_together(spark) -> None:  # noqa: ANN001
+    """Positive, negative and pattern filters, alone and together, in whole expansions and for asked codes."""
+    t = _tables(spark)
+    cases = {
+        "not": ([("p", "not-in", "y, w")], {"A1", "C3", "D4"}), "none": ([("p", "exists", "false")], {"C3", "D4"}), "any": ([("p", "exists", "true")], {"A1", "B2"}),
+        "below-not": ([("concept", "is-a", "A1"), ("p", "not-in", "y"), ("code", "regex", "[AC].")], {"A1", "C3"}), "outside": ([("concept", "is-not-a", "B2")], {"A1", "D4"}),
+        "both": ([("p", "regex", "[yz]"), ("p", "regex", "x|y")], {"B2"}), "one": ([("p", "in", "x, z"), ("concept", "descendent-of", "A1")], {"B2"}),
+        "code": ([("concept", "in", "A1, D4"), ("code", "not-in", "A1")], {"D4"}), "never": ([("code", "exists", "false")], set()), "leaf": ([("concept", "descendent-leaf", "A1")], {"C3"}),
+    }
+    rules = spark.createDataFrame([r for k, (f, _) in cases.items() for r in VS.rule(k, "include", 0, "s", filters=f)], VS.RULES)
+    got: dict[str, set] = {k: set() for k in cases}
+    for r in VS.expand(rules, t).collect():
+        got[r.url].add(r.code)
+    assert got == {k: want for k, (_, want) in cases.items()}
+    asked = spark.createDataFrame([(k, "s", c) for k in cases for c in ("a1", "b2", "C3", "d4", "none")], "url string, system string, code string")
+    assert {(r.url, r.code.upper()) for r in VS.contains(asked, rules, t).collect() if r.inside} == {(k, c) for k, (_, want) in cases.items() for c in want}
+
+
+def test_text_looks_at_designations(spark) -> None:  # noqa: ANN001
+    t = _tables(spark)
+    rules = spark.createDataFrame(VS.implicit("all", "s", url="u"), VS.RULES)
+    assert {r.code for r in VS.expand(rules, t, text="third").collect()} == {"C3"} and VS.expand(rules, t, text="nam").count() == 4
+
+
+def test_constraints_need_a_known_set(spark) -> None:  # noqa: ANN001
+    from dataclasses import replace
+
+    t = _tables(spark)
+    rules = spark.createDataFrame(VS.implicit("constraint", "s", "mine", "u"), VS.RULES)
+    named = VS.named_sets({"mine": ("s", spark.createDataFrame([("A1",), ("gone",)], "code string"))})
+    assert [r.code for r in VS.expand(rules, replace(t, sets=named)).collect()] == ["A1"]
+    for sets in (None, named.withColumn("value", F.lit("other"))):
+        with pytest.raises(ValueError, match="set"):
+            VS.expand(rules, replace(t, sets=sets)).collect()
+
+
+def test_closure_of_a_long_chain_and_a_circle(spark) -> None:  # noqa: ANN001
+    chain = [(f"{i}", f"{i + 1}") for i in range(200)]
+    got = {(r[0], r[1]): r[2] for r in H.transitive_closure(spark.createDataFrame(chain, "child string, parent string")).collect()}
+    assert got == {(f"{i}", f"{j}"): j - i for i in range(201) for j in range(i + 1, 201)}
+    circle = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")], "child string, parent string")
+    assert {(r[0], r[1]): r[2] for r in H.transitive_closure(circle).collect()} == {("a", "b"): 1, ("a", "c"): 2, ("b", "c"): 1, ("b", "a"): 2, ("c", "a"): 1, ("c", "b"): 2, ("d", "a"): 1, ("d", "b"): 2, ("d", "c"): 3}
+
+
+def test_optional_part_only_hides_its_absence(monkeypatch) -> None:  # noqa: ANN001
+    import importlib
+
+    import __spark_entry__ as entry
+
+    def missing(name: str):  # noqa: ANN202
+        def load(_: str) -> None:
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+
+        return load
+
+    for name in ("termloom.part", "termloom.part.queries"):
+        monkeypatch.setattr(entry, "import_module", missing(name))
+        assert entry._optional("termloom.part.queries") is None
+    monkeypatch.setattr(entry, "import_module", missing("numpy"))
+    with pytest.raises(ModuleNotFoundError):
+        entry._optional("termloom.part.queries")
+    monkeypatch.setattr(entry, "import_module", importlib.import_module)
