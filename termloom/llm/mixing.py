@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.common import ROWS_PER_BUCKET, buckets_for, cut, rows_each, running
@@ -33,7 +33,7 @@ class Mix:
     span: int
     #: row_id, source_no, block, slot, epoch, first_word, n_words: what of which document a slot holds
     segments: DataFrame
-    #: row_id, doc_id, text_crc32, source, size, source_size, target, taken, first_slot
+    #: row_id, doc_id, text_crc32, text_hash, source, size, source_size, target, taken, first_slot
     documents: DataFrame
 
 
@@ -77,7 +77,7 @@ def _mix(rows: DataFrame, weights: tuple[int, ...], share: float, cap: float, bl
     spark = rows.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
-    base = cut(rows.select("row_id", "doc_id", "source", size.alias("size"), crc.alias("text_crc32")), "mix-rows")
+    base = cut(rows.select("row_id", "doc_id", "source", size.alias("size"), crc.alias("text_crc32"), F.xxhash64("text").alias("text_hash")), "mix-rows")
     rows_held = base.count()
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.ceil(F.count(F.lit(1)) / rows_each(spark, rows_held)).alias("buckets"))
     sources = cut(
@@ -116,7 +116,7 @@ def _mix(rows: DataFrame, weights: tuple[int, ...], share: float, cap: float, bl
     segments = pieces.join(schedule, ["source_no", "block"]).select("row_id", "source_no", "block", "slot", "epoch", "first_word", "n_words")
     taken = segments.groupBy("row_id").agg(F.sum("n_words").alias("taken"), F.min("slot").alias("first_slot"))
     out = (
-        placed.select("row_id", "doc_id", "text_crc32", "source", "size", "source_size", "target")
+        placed.select("row_id", "doc_id", "text_crc32", "text_hash", "source", "size", "source_size", "target")
         .join(taken, "row_id", "left")
         .withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
     )
@@ -131,16 +131,32 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     other. Documents without words (or text) stay once, at places of their hash: they take no part in
     the mix and no room in it. Repeated rows and null ids are rows of their own; all columns, whatever
     their names, are passed on. An empty table gives an empty result.
+
+    Rows meet their places by id and text hash; only where these repeat are rows written with a number
+    first, to be told apart by it.
     """
-    whole = cut(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("row_id")), "mix-whole")
-    mix = _mix(whole.select("row.doc_id", "row.source", "row.text", "row_id"), weights, share, cap, 256, 11, 1.0)
+    mix = mix_sources(docs, weights, share, cap)
+    key, rows = ["_key", "text_hash"], docs.select(_whole(docs), _key("doc_id"), F.xxhash64("text").alias("text_hash"))
+    n, several = mix.documents.groupBy(_key("doc_id"), "text_hash").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    if several > 1:
+        key, rows = ["row_id"], cut(docs.select(_whole(docs), F.monotonically_increasing_id().alias("row_id")), "mix-whole")
+        mix = _mix(rows.select("row.doc_id", "row.source", "row.text", "row_id"), weights, share, cap, 256, 11, 1.0)
+    known = mix.documents.select("row_id", _key("doc_id"), "text_hash", "size")
     met = mix.segments.groupBy("row_id", "epoch").agg(F.sum("n_words").alias("_words"), F.min("slot").alias("_slot"))
-    wordy = met.join(mix.documents.select("row_id", "size"), "row_id").filter("_words * 2 > size").select("row_id", "_slot")
-    bare = mix.documents.filter("size = 0").select("row_id", F.pmod(F.xxhash64("row_id"), F.lit(mix.span)).alias("_slot"))
-    copies = wordy.unionByName(bare)
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-whole.count() // ROWS_PER_BUCKET))
-    ordered = whole.join(copies.hint("merge"), "row_id").repartitionById(parts, F.floor(F.col("_slot") / mix.span * parts).cast("int")).sortWithinPartitions("_slot", "row_id")
-    return ordered.select("row.*")
+    wordy = met.join(known, "row_id").filter("_words * 2 > size").select(*key, "_slot")
+    bare = known.filter("size = 0").select(*key, F.pmod(F.xxhash64("row_id"), F.lit(mix.span)).alias("_slot"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS_PER_BUCKET))
+    placed = rows.join(wordy.unionByName(bare).hint("merge"), key)
+    return placed.repartitionById(parts, F.floor(F.col("_slot") / mix.span * parts).cast("int")).sortWithinPartitions("_slot", *key).select("row.*")
+
+
+def _whole(docs: DataFrame) -> Column:
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
+def _key(c: str) -> Column:
+    """An id of any type, or none, as text."""
+    return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias("_key")
 
 
 def source_schedule(sources: DataFrame, buckets: int, part: float = 1.0) -> tuple[DataFrame, int]:
