@@ -225,9 +225,8 @@ def undeclared(rules: DataFrame, t: SystemTables) -> DataFrame:
     return props.select(*_RULE, "filter_no", "reason").unionByName(codes.select(*_RULE, "filter_no", "reason"))
 
 
-def _evaluate(rules: DataFrame, t: SystemTables, known: DataFrame | None) -> DataFrame:
-    """Expansions of the urls in rules, whose references are all in known (url, system, code)."""
-    kinds = {r[0] for r in rules.select(_kind()).distinct().collect()}  # a few words, whatever the rules: the plan holds no branch without rows
+def _met(rules: DataFrame, t: SystemTables, known: DataFrame | None, kinds: set[str], whole: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(rule key, system, code, place, label) of the codes that meet all conditions of a rule; whole gives those that rules (rule key, system) without a condition that gives codes start from."""
     ways = {
         "listed": lambda: enumerated(rules, t), "codes": lambda: code_filters(rules, t), "property": lambda: property_filters(rules, t), "refset": lambda: refset_filters(rules, t),
         "refsets": lambda: all_refsets(rules, t), "constraint": lambda: constraint_filters(rules, t),
@@ -247,13 +246,22 @@ def _evaluate(rules: DataFrame, t: SystemTables, known: DataFrame | None) -> Dat
         met = reduce(DataFrame.unionByName, parts).groupBy(*_RULE, "system", "code").agg(F.count_distinct("cond").alias("_met"), F.min("place").alias("place"), F.max("label").alias("label"))
         base.append(met.join(wanted, _RULE).filter("_met = _n").drop("_met", "_n", "_system"))
     if kinds & set(TESTS) or not parts:
-        whole = wanted.filter("_n = 0").select(*_RULE, F.col("_system").alias("system"))
-        base.append(_keyed(small(whole).join(t.codes, "system"), F.lit("all")).drop("cond"))
-    met = _tested(reduce(DataFrame.unionByName, base), rules, t, kinds)
+        base.append(_keyed(whole(small(wanted.filter("_n = 0").select(*_RULE, F.col("_system").alias("system")))), F.lit("all")).drop("cond"))
+    return _tested(reduce(DataFrame.unionByName, base), rules, t, kinds)
+
+
+def _evaluate(rules: DataFrame, t: SystemTables, known: DataFrame | None) -> DataFrame:
+    """Expansions of the urls in rules, whose references are all in known (url, system, code)."""
+    kinds: dict[str, set[str]] = {"include": set(), "exclude": set()}
+    for side, kind in rules.select("side", _kind()).distinct().collect():  # a few words, whatever the rules: the plan holds no branch without rows
+        kinds[side].add(kind)
+    met = _met(rules.filter("side = 'include'"), t, known, kinds["include"], lambda whole: whole.join(t.codes, "system"))
     first = F.min(F.struct("rule_no", F.coalesce("place", F.lit(0)).alias("place"), "label"))
-    inside = met.filter("side = 'include'").groupBy("url", "system", "code").agg(first.alias("_first"))
-    outside = met.filter("side = 'exclude'").select("url", "system", "code")
-    kept = inside.join(outside, ["url", "system", "code"], "left_anti")
+    kept = met.groupBy("url", "system", "code").agg(first.alias("_first"))
+    if kinds["exclude"]:
+        kept = cut(kept, "included")  # what is not included need not be excluded
+        out = _met(rules.filter("side = 'exclude'"), t, known, kinds["exclude"], lambda whole: whole.join(kept.select("url", "system", "code"), ["url", "system"]))
+        kept = kept.join(out.select("url", "system", "code"), ["url", "system", "code"], "left_anti")
     return kept.select("url", "system", "code", F.col("_first.rule_no").alias("rule_no"), F.col("_first.place").alias("concept_no"), F.col("_first.label").alias("label"))
 
 

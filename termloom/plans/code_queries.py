@@ -88,7 +88,7 @@ def _systems(s: Sets, content: str = "complete") -> DataFrame:
 
 @query("lookup", sql(f"""{_FACTS}
 SELECT event_id, f.code, CASE WHEN f.system = 'world' THEN display END AS name, CASE WHEN f.system = 'world' THEN '1.10' END AS version,
-  CASE WHEN active THEN 1 END AS terms FROM facts f LEFT JOIN concepts c ON c.code = f.code""", "concepts"))
+  CASE WHEN active AND f.system = 'world' THEN 1 END AS terms FROM facts f LEFT JOIN concepts c ON c.code = f.code""", "concepts"))
 def lookup(v: Views) -> DataFrame:
     s = Sets(v)
     out = K.lookup(_facts(v), s.tables.concepts, _systems(s), s.designations, s.tables.properties)
