@@ -2,6 +2,7 @@
 
 Facts carry a row key and system, code and, where they have them, version and display. Every
 operation is a left join with outcome columns: bad rows become rows with reasons, never errors.
+Tables of systems have one row a system; Spark broadcasts them by their size, without a hint.
 """
 
 from __future__ import annotations
@@ -28,13 +29,13 @@ def code_key(code: Column, case_sensitive: Column) -> Column:
 
 def known_codes(concepts: DataFrame, systems: DataFrame, *columns: str) -> DataFrame:
     """(system, _key, _own): each known code by its key, with its own spelling and columns; of codes that differ in case alone in a case-blind system, the least."""
-    keyed = concepts.join(small(systems.select("system", "case_sensitive")), "system", "left")
+    keyed = concepts.join(systems.select("system", "case_sensitive"), "system", "left")
     return keyed.groupBy("system", code_key(F.col("code"), F.col("case_sensitive")).alias("_key")).agg(F.min(F.struct("code", *columns)).alias("_own"))
 
 
 def with_own(facts: DataFrame, concepts: DataFrame, systems: DataFrame, *columns: str) -> DataFrame:
     """facts (system, code) with _own: the code in the system's own spelling, and columns of its concept; null where it is not known."""
-    keyed = facts.join(small(systems.select("system", "case_sensitive")), "system", "left").withColumn("_key", code_key(F.col("code"), F.col("case_sensitive")))
+    keyed = facts.join(systems.select("system", "case_sensitive"), "system", "left").withColumn("_key", code_key(F.col("code"), F.col("case_sensitive")))
     return keyed.join(known_codes(concepts, systems, *columns), ["system", "_key"], "left").drop("_key", "case_sensitive")
 
 
@@ -56,7 +57,7 @@ def lookup(facts: DataFrame, concepts: DataFrame, systems: DataFrame, designatio
     chosen = properties if names is None else properties.filter(F.col("property").isin(names))
     props = chosen.join(asked, ["system", "code"], "left_semi").groupBy("system", "code").agg(F.sort_array(F.collect_list(F.struct("property", "value_text"))).alias("properties"))
     about = asked.join(terms, on, "left").join(props, ["system", "code"], "left").withColumnRenamed("code", "_code")
-    found = own.withColumn("_code", F.col("_own.code")).join(about, ["system", "_code"], "left").join(small(systems.select("system", "version")), "system", "left")
+    found = own.withColumn("_code", F.col("_own.code")).join(about, ["system", "_code"], "left").join(systems.select("system", "version"), "system", "left")
     return facts.join(found.select("system", "code", F.col("_own.display").alias("name"), F.col("_own.active").alias("active"), "designations", "properties", "version"), ["system", "code"], "left")
 
 
@@ -109,7 +110,7 @@ def validate_codes(facts: DataFrame, concepts: DataFrame, systems: DataFrame, de
     withdrawn term, or no term at all (of the languages, if any are asked for) are errors, or warnings
     if lenient; a code without any term of these languages passes with another's, with a note.
     """
-    known = small(systems.select("system", F.col("content").alias("_content")))
+    known = systems.select("system", F.col("content").alias("_content"))
     out = with_own(facts, concepts, systems, "active").join(known, "system", "left")
     found, vague = F.col("_own").isNotNull(), F.col("_content").isin("fragment", "example", "not-present")
     issue = lambda severity, reason: F.struct(F.lit(severity).alias("severity"), F.lit(reason).alias("reason"))
@@ -176,7 +177,7 @@ def validate_membership(facts: DataFrame, expansion: DataFrame, concepts: DataFr
     abstract, not-in-value-set.
     """
     held = expansion.select("url", "system", F.col("code").alias("_code"), F.lit(True).alias("_in"))
-    exists = small(value_sets.select("url", F.lit(True).alias("_set")).distinct())
+    exists = value_sets.select("url", F.lit(True).alias("_set")).distinct()
     if systems is None:
         own = concepts.select("system", "code", F.struct("code", "active", "abstract").alias("_own"))
         out = facts.join(own, ["system", "code"], "left")

@@ -23,7 +23,7 @@ from termloom.functions.text import starts_words
 from termloom.functions.versions import version_key
 from termloom.operators import hierarchy as H
 from termloom.operators.codes import keys_of, with_own
-from termloom.tables import cut, small
+from termloom.tables import cut
 
 RULES = (
     "url string, side string, rule_no int, system string, system_version string, concept_no int, code string, display string, "
@@ -197,7 +197,7 @@ def _tested(base: DataFrame, rules: DataFrame, t: SystemTables, kinds: set[str])
                 F.when(x["op"] == "regex", F.rlike(F.col("code"), F.concat(F.lit("^(?:"), x["value"], F.lit(")$")))).when(x["op"] == "not-in", ~F.array_contains(listed(x), F.col("code"))).otherwise(x["value"] == "true")
             )
 
-        base = base.join(small(tests), _RULE, "left").filter(F.col("_tests").isNull() | F.forall("_tests", fits)).drop("_tests")
+        base = base.join(tests, _RULE, "left").filter(F.col("_tests").isNull() | F.forall("_tests", fits)).drop("_tests")
     if "is-not-a" in kinds:
         nots = f.filter("op = 'is-not-a'")
         inside = nots.join(t.narrowed(_down(t)), ["system", "value"]).select(key).unionByName(nots.withColumn("code", F.col("value")).select(key))
@@ -205,13 +205,13 @@ def _tested(base: DataFrame, rules: DataFrame, t: SystemTables, kinds: set[str])
     held = t.properties.select("system", "code", "property", "value_text")
     if "property-not" in kinds:
         listed = F.transform(F.split("value", ","), lambda x: F.trim(x))
-        met = base.select(key).join(small(of("property-not")), _RULE).join(held, ["system", "code", "property"])
+        met = base.select(key).join(of("property-not"), _RULE).join(held, ["system", "code", "property"])
         base = base.join(met.filter((F.col("op") == "exists") | F.array_contains(listed, F.col("value_text"))).select(key), key, "left_anti")
     if "property-regex" in kinds:
         rules_n = of("property-regex").groupBy(*_RULE).agg(F.count(F.lit(1)).alias("_n"))
-        met = base.select(key).join(small(of("property-regex")), _RULE).join(held, ["system", "code", "property"]).filter(F.rlike(F.col("value_text"), F.concat(F.lit("^(?:"), F.col("value"), F.lit(")$"))))
+        met = base.select(key).join(of("property-regex"), _RULE).join(held, ["system", "code", "property"]).filter(F.rlike(F.col("value_text"), F.concat(F.lit("^(?:"), F.col("value"), F.lit(")$"))))
         counts = met.groupBy(*key).agg(F.count_distinct("_cond").alias("_met"))
-        base = base.join(small(rules_n), _RULE, "left").join(counts, key, "left").filter("_n IS NULL OR _n = _met").drop("_n", "_met")
+        base = base.join(rules_n, _RULE, "left").join(counts, key, "left").filter("_n IS NULL OR _n = _met").drop("_n", "_met")
     return base
 
 
@@ -240,13 +240,13 @@ def _met(rules: DataFrame, t: SystemTables, known: DataFrame | None, kinds: set[
         held = refs.join(known.select(F.col("url").alias("ref_url"), "system", "code"), "ref_url").filter("_only IS NULL OR _only = system")
         parts.append(_keyed(held, F.concat(F.lit("r"), "ref_url")))
     conds = F.when(F.col("code").isNotNull(), "listed").when(F.col("filter_no").isNotNull(), F.concat(F.lit("f"), "filter_no")).when(F.col("ref_url").isNotNull(), F.concat(F.lit("r"), "ref_url"))
-    wanted = small(rules.groupBy(*_RULE).agg(F.max("system").alias("_system"), F.count_distinct(F.when(~_kind().isin(*TESTS), conds)).alias("_n")))
+    wanted = rules.groupBy(*_RULE).agg(F.max("system").alias("_system"), F.count_distinct(F.when(~_kind().isin(*TESTS), conds)).alias("_n"))
     base = []
     if parts:
         met = reduce(DataFrame.unionByName, parts).groupBy(*_RULE, "system", "code").agg(F.count_distinct("cond").alias("_met"), F.min("place").alias("place"), F.max("label").alias("label"))
         base.append(met.join(wanted, _RULE).filter("_met = _n").drop("_met", "_n", "_system"))
     if kinds & set(TESTS) or not parts:
-        base.append(_keyed(whole(small(wanted.filter("_n = 0").select(*_RULE, F.col("_system").alias("system")))), F.lit("all")).drop("cond"))
+        base.append(_keyed(whole(wanted.filter("_n = 0").select(*_RULE, F.col("_system").alias("system"))), F.lit("all")).drop("cond"))
     return _tested(reduce(DataFrame.unionByName, base), rules, t, kinds)
 
 
@@ -377,11 +377,11 @@ def pin_versions(rules: DataFrame, pins: DataFrame, systems: DataFrame, set_pins
     rules = rules.filter(F.col("system").isNull() | ~F.col("system").isin(exclude)) if exclude else rules
     newest = greatest(systems.select(F.col("system").alias("url"), "version")).select(F.col("url").alias("system"), F.col("version").alias("_newest"))
     bar = F.split("ref_url", r"\|")
-    out = rules.join(small(pins), "system", "left").join(small(newest), "system", "left").withColumn("_ref", F.get(bar, F.lit(0)))
+    out = rules.join(pins, "system", "left").join(newest, "system", "left").withColumn("_ref", F.get(bar, F.lit(0)))
     part = F.coalesce("force_version", "system_version", "default_version", "_newest")
     for frame, names in ((set_pins, pinned), (greatest(value_sets) if value_sets is not None else None, ["version"])):
         kind = rules.sparkSession.createDataFrame([], "_ref string, " + ", ".join(f"_{n} string" for n in names)) if frame is None else frame.select(F.col("url").alias("_ref"), *[F.col(n).alias(f"_{n}") for n in names])
-        out = out.join(small(kind), "_ref", "left")
+        out = out.join(kind, "_ref", "left")
     by_set = F.coalesce("_force_version", F.get(bar, F.lit(1)), "_default_version", "_version")
     out = out.withColumn("resolved", F.when(F.col("ref_url").isNotNull(), by_set).when(F.col("system").isNotNull(), part))
     checked = F.when(F.col("ref_url").isNotNull(), F.col("_check_version")).otherwise(F.col("check_version"))

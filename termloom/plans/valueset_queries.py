@@ -25,7 +25,7 @@ class Sets:
         v = self.v
         of = lambda c: F.expr(SYSTEM.format(c))
         concepts = v.concepts.withColumn("system", of("code")).withColumn("abstract", F.col("module").isin("root", "region"))
-        systems = v.spark.createDataFrame([("parts", "2", True, "complete"), ("world", "1.10", False, "fragment")], "system string, version string, case_sensitive boolean, content string")
+        systems = v.spark.sql("SELECT * FROM VALUES ('parts', '2', true, 'complete'), ('world', '1.10', false, 'fragment') AS t(system, version, case_sensitive, content)")
         return VS.SystemTables(
             concepts, v.edges.withColumn("system", of("child")), lambda: v.closure.withColumn("system", of("descendant")), v.properties.withColumn("system", F.lit("parts")), systems,
             v.members.withColumn("system", F.lit("world")), designations=self.designations,
