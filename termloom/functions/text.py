@@ -37,7 +37,7 @@ def words(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Distinct folded words, sorted."""
-    return F.array_sort(F.array_distinct(words(c)))
+    return F.sort_array(F.array_distinct(words(c)))
 
 
 def starts_words(term: Column, query: Column) -> Column:

@@ -184,22 +184,35 @@ class AttributeTest:
     least: int = 1
     most: int | None = None
 
-    def rows(self, attributes: DataFrame) -> DataFrame:
-        out = attributes if self.kinds is None else attributes.filter(F.col("kind").isin(self.kinds))
-        if self.values is None:
-            return out
+    @property
+    def named(self) -> Column:
+        """Rows of the kinds asked for."""
+        return F.lit(True) if self.kinds is None else F.col("kind").isin(self.kinds)
+
+    @property
+    def condition(self) -> Column | None:
+        """The test as a condition on a row; None where the values are a table."""
         if isinstance(self.values, DataFrame):
-            other = self.values.select(F.col("code").alias("target"))
-            return out.filter("target IS NOT NULL").join(other, "target", "left_anti" if self.negate else "left_semi")
+            return None
+        if self.values is None:
+            return self.named
         how, value = self.values
         if isinstance(value, bool):
-            return out.filter(compare(F.lower("text").isin("true", "1"), how, F.lit(value)) & F.col("text").isNotNull())
-        if isinstance(value, (int, float)):
-            return out.filter(F.col("number").isNotNull() & compare_numbers(F.col("number"), how, F.lit(float(value))))
-        if isinstance(value, (list, tuple, set)):
+            fits = compare(F.lower("text").isin("true", "1"), how, F.lit(value))
+        elif isinstance(value, (int, float)):
+            fits = compare_numbers(F.col("number"), how, F.lit(float(value)))
+        elif isinstance(value, (list, tuple, set)):
             inside = F.col("text").isin(list(value))
-            return out.filter(F.col("text").isNotNull() & (inside if how == "=" else ~inside))
-        return out.filter(F.col("text").isNotNull() & compare(F.col("text"), how, F.lit(value)))
+            fits = inside if how == "=" else ~inside
+        else:
+            fits = compare(F.col("text"), how, F.lit(value))
+        return self.named & fits
+
+    def rows(self, attributes: DataFrame) -> DataFrame:
+        if isinstance(self.values, DataFrame):
+            other = self.values.select(F.col("code").alias("target"))
+            return attributes.filter(self.named & F.col("target").isNotNull()).join(other, "target", "left_anti" if self.negate else "left_semi")
+        return attributes.filter(self.condition)
 
     def within(self, n: Column) -> Column:
         n = F.coalesce(n, F.lit(0))
@@ -218,17 +231,26 @@ def refine_group(focus: DataFrame, attributes: DataFrame, tests: list[AttributeT
     """Sources in focus with a fitting number of role groups that meet the tests together.
 
     Each row of group 0 is a group of its own. Within a group each test counts its own matching
-    rows; how joins the tests. With least above 0 only sources that have every needed row at all are
-    grouped; with least 0 sources without any group count as having none that fits.
+    rows; how joins the tests. Rows that no test matches are read only where a group may fit without
+    any match. All tests of rows are asked in one scan, those of tables in one more each, and
+    groups are counted before they meet focus. With least 0 sources without any group count as
+    having none that fits.
     """
-    key = F.when(F.col("role_group") == 0, F.concat(F.lit("r"), F.col("row_id").cast("string"))).otherwise(F.concat(F.lit("g"), F.col("role_group").cast("string")))
-    rows = attributes.join(focus.select(F.col("code").alias("source")), "source", "left_semi")
-    marked = [t.rows(rows).select("source", key.alias("g"), F.lit(i).alias("_test")) for i, t in enumerate(tests)]
-    everything = rows.select("source", key.alias("g"), F.lit(-1).alias("_test"))
-    counts = [F.count_if(F.col("_test") == i) for i in range(len(tests))]
-    fits = [t.within(c) for t, c in zip(tests, counts)]
+    group = ["source", F.col("role_group").alias("_group"), F.when(F.col("role_group") == 0, F.col("row_id")).alias("_row")]
+    empty = [t.least == 0 for t in tests]
+    alone = all(empty) if how == "and" else any(empty)
+
+    def marks(hit: dict[int, Column]) -> list[Column]:
+        return [hit.get(i, F.lit(False)).alias(f"_t{i}") for i in range(len(tests))]
+
+    own = {i: t.condition for i, t in enumerate(tests) if t.condition is not None}
+    scans = [t.rows(attributes).select(*group, *marks({i: F.lit(True)})) for i, t in enumerate(tests) if i not in own]
+    if own or alone:
+        rows = attributes if alone else attributes.filter(reduce(lambda a, b: a | b, own.values()))
+        scans.append(rows.select(*group, *marks(own)))
+    fits = [t.within(F.count_if(f"_t{i}")) for i, t in enumerate(tests)]
     whole = reduce((lambda a, b: a & b) if how == "and" else (lambda a, b: a | b), fits)
-    groups = reduce(DataFrame.unionByName, [everything, *marked]).groupBy("source", "g").agg(whole.alias("_fits"))
+    groups = reduce(DataFrame.unionByName, scans).groupBy("source", "_group", "_row").agg(whole.alias("_fits"))
     per_source = groups.groupBy("source").agg(F.count_if("_fits").alias("n")).withColumnRenamed("source", "code")
     n = F.coalesce("n", F.lit(0))
     return focus.select("code").join(per_source, "code", "left").filter((n >= least) if most is None else n.between(least, most)).select("code")

@@ -143,14 +143,15 @@ def axis_value_check(asked: DataFrame, scales: DataFrame, closure: DataFrame) ->
 
 def normal_form_table(edges: DataFrame, attributes: DataFrame) -> DataFrame:
     """(code, form): parents, then ungrouped attributes, then role groups in braces, all in order."""
-    value = F.coalesce("target", F.when(F.col("number").isNotNull(), F.concat(F.lit("#"), F.format_string("%.2f", "number"))), F.concat(F.lit('"'), "text", F.lit('"')))
+    number = F.coalesce(F.col("number").try_cast("decimal(38,2)").cast("string"), F.format_string("%.2f", "number"))  # the second for what no decimal holds
+    value = F.coalesce("target", F.when(F.col("number").isNotNull(), F.concat(F.lit("#"), number)), F.concat(F.lit('"'), "text", F.lit('"')))
     pair = F.concat("kind", F.lit("="), value)
-    groups = attributes.withColumn("_pair", pair).groupBy("source", "role_group").agg(F.array_join(F.array_sort(F.collect_list("_pair")), ",").alias("_text"))
+    groups = attributes.withColumn("_pair", pair).groupBy("source", "role_group").agg(F.array_join(F.sort_array(F.collect_list("_pair")), ",").alias("_text"))
     per = groups.groupBy(F.col("source").alias("code")).agg(
         F.max(F.when(F.col("role_group") == 0, F.col("_text"))).alias("_plain"),
-        F.array_sort(F.collect_list(F.when(F.col("role_group") != 0, F.concat(F.lit("{"), "_text", F.lit("}"))))).alias("_groups"),
+        F.sort_array(F.collect_list(F.when(F.col("role_group") != 0, F.concat(F.lit("{"), "_text", F.lit("}"))))).alias("_groups"),
     )
-    up = edges.groupBy(F.col("child").alias("code")).agg(F.array_join(F.array_sort(F.collect_set("parent")), "+").alias("_up"))
+    up = edges.groupBy(F.col("child").alias("code")).agg(F.array_join(F.sort_array(F.collect_set("parent")), "+").alias("_up"))
     right = F.array_join(F.filter(F.concat(F.array("_plain"), F.coalesce("_groups", F.array().cast("array<string>"))), lambda x: x.isNotNull()), ",")
     return up.join(per, "code", "full_outer").select("code", F.concat_ws(":", "_up", F.nullif(right, F.lit(""))).alias("form"))
 

@@ -83,23 +83,26 @@ def rule(url: str, side: str, no: int, system: str | None, codes: list | None =
     return out or [(*head, None, None, None, None, None, None, None, None)]
 
 
-# Conditions that give codes: (rule key, cond, system, code, place, label). What is negative, or a
-# pattern, gives none: it is tested on the codes that a rule's other conditions leave, or on its whole
-# system where there are no others.
+# Conditions that give codes: (rule key, cond, system, code, place, label), a row perhaps more than
+# once. What is negative, or a pattern, gives none: it is tested on the codes that a rule's other
+# conditions leave, or on its whole system where there are no others.
 
 
 def _keyed(df: DataFrame, cond: Column, place: Column | None = None, label: Column | None = None) -> DataFrame:
-    return df.select(*_RULE, cond.alias("cond"), "system", "code", (F.lit(None) if place is None else place).cast("int").alias("place"), (F.lit(None) if label is None else label).cast("string").alias("label"))
+    return df.select(*_RULE, *[c for c in df.columns if c == "_n"], cond.alias("cond"), "system", "code", (F.lit(None) if place is None else place).cast("int").alias("place"), (F.lit(None) if label is None else label).cast("string").alias("label"))
 
 
 def enumerated(rules: DataFrame, t: SystemTables) -> DataFrame:
-    """Listed concepts that exist, in the system's own spelling; unknown ones are dropped."""
-    listed = with_own(rules.filter("code IS NOT NULL"), t.concepts, t.systems).filter("_own IS NOT NULL")
+    """Listed concepts that exist, in the system's own spelling; unknown ones are dropped. Only concepts that are listed in some case are keyed."""
+    rows = rules.filter("code IS NOT NULL")
+    named = rows.select("system", F.lower("code").alias("_low")).distinct()
+    concepts = t.concepts.select("system", "code", F.lower("code").alias("_low")).join(named, ["system", "_low"], "left_semi")
+    listed = with_own(rows, concepts, t.systems).filter("_own IS NOT NULL")
     return t.narrowed(_keyed(listed.withColumn("code", F.col("_own.code")), F.lit("listed"), F.col("concept_no"), F.col("display")))
 
 
 def _filters(rules: DataFrame) -> DataFrame:
-    return rules.filter("filter_no IS NOT NULL").select(*_RULE, "system", "filter_no", "property", "op", "value").withColumn("_cond", F.concat(F.lit("f"), "filter_no"))
+    return rules.filter("filter_no IS NOT NULL").select(*_RULE, *[c for c in rules.columns if c == "_n"], "system", "filter_no", "property", "op", "value").withColumn("_cond", F.concat(F.lit("f"), "filter_no"))
 
 
 def _kind() -> Column:
@@ -138,7 +141,7 @@ def tree_filters(rules: DataFrame, t: SystemTables, kinds: set[str]) -> DataFram
         ({"descendent-leaf"}, op == "descendent-leaf", lambda: _down(t).join(parent.select("system", "code"), ["system", "code"], "left_anti")),
     ]
     used = [_keyed(f.filter(test).join(t.narrowed(other()), on), F.col("_cond")) for own, test, other in branches if own & kinds]
-    return reduce(DataFrame.unionByName, used).distinct()
+    return reduce(DataFrame.unionByName, used)
 
 
 def _down(t: SystemTables) -> DataFrame:
@@ -157,14 +160,14 @@ def property_filters(rules: DataFrame, t: SystemTables) -> DataFrame:
     held = t.narrowed(t.properties.select("system", "code", "property", F.col("value_text").alias("_value")))
     equal = _keyed(_listed(f.filter(F.col("op").isin("=", "in"))).join(held, ["system", "property", "_value"]), F.col("_cond"))
     there = f.filter((F.col("op") == "exists") & (F.col("value") != "false")).join(held.select("system", "property", "code").distinct(), ["system", "property"])
-    return equal.unionByName(_keyed(there, F.col("_cond"))).distinct()
+    return equal.unionByName(_keyed(there, F.col("_cond")))
 
 
 def refset_filters(rules: DataFrame, t: SystemTables) -> DataFrame:
     """concept in <reference set>: op `in-refset`."""
     f = _filters(rules).filter("op = 'in-refset'")
     held = t.narrowed(t.members.filter("active").select("system", "code", F.col("refset_id").alias("value")))
-    return _keyed(f.join(held, ["system", "value"]), F.col("_cond")).distinct()
+    return _keyed(f.join(held, ["system", "value"]), F.col("_cond"))
 
 
 def all_refsets(rules: DataFrame, t: SystemTables) -> DataFrame:
@@ -181,7 +184,7 @@ def constraint_filters(rules: DataFrame, t: SystemTables) -> DataFrame:
     lost = f.select("value").distinct().join(t.sets.select("value"), "value", "left_anti").first()
     if lost:
         raise ValueError(f"no set, or none with a code, is named {lost['value']}")
-    return _keyed(f.join(t.narrowed(t.sets), ["system", "value"]).join(t.codes, ["system", "code"], "left_semi"), F.col("_cond")).distinct()
+    return _keyed(f.join(t.narrowed(t.sets), ["system", "value"]).join(t.codes, ["system", "code"], "left_semi"), F.col("_cond"))
 
 
 def _tested(base: DataFrame, rules: DataFrame, t: SystemTables, kinds: set[str]) -> DataFrame:
@@ -225,8 +228,18 @@ def undeclared(rules: DataFrame, t: SystemTables) -> DataFrame:
     return props.select(*_RULE, "filter_no", "reason").unionByName(codes.select(*_RULE, "filter_no", "reason"))
 
 
+def _counted(rules: DataFrame) -> DataFrame:
+    """rules with _n, the number of conditions of their rule that give codes."""
+    conds = F.when(F.col("code").isNotNull(), "listed").when(F.col("filter_no").isNotNull(), F.concat(F.lit("f"), "filter_no")).when(F.col("ref_url").isNotNull(), F.concat(F.lit("r"), "ref_url"))
+    return rules.join(rules.groupBy(*_RULE).agg(F.count_distinct(F.when(~_kind().isin(*TESTS), conds)).cast("int").alias("_n")), _RULE)
+
+
 def _met(rules: DataFrame, t: SystemTables, known: DataFrame | None, kinds: set[str], whole: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(rule key, system, code, place, label) of the codes that meet all conditions of a rule; whole gives those that rules (rule key, system) without a condition that gives codes start from."""
+    """(rule key, system, code, place, label) of the codes that meet all conditions of a rule; whole gives those that rules (rule key, system) without a condition that gives codes start from.
+
+    Rules know the number of their conditions (see _counted). What these give moves once, to the tasks
+    of (url, system, code), where conditions are counted and rules united.
+    """
     ways = {
         "listed": lambda: enumerated(rules, t), "codes": lambda: code_filters(rules, t), "property": lambda: property_filters(rules, t), "refset": lambda: refset_filters(rules, t),
         "refsets": lambda: all_refsets(rules, t), "constraint": lambda: constraint_filters(rules, t),
@@ -236,18 +249,17 @@ def _met(rules: DataFrame, t: SystemTables, known: DataFrame | None, kinds: set[
     if tree:
         parts.append(tree_filters(rules, t, tree))
     if known is not None and "ref" in kinds:
-        refs = rules.filter("ref_url IS NOT NULL").select(*_RULE, F.col("system").alias("_only"), "ref_url")
+        refs = rules.filter("ref_url IS NOT NULL").select(*_RULE, "_n", F.col("system").alias("_only"), "ref_url")
         held = refs.join(known.select(F.col("url").alias("ref_url"), "system", "code"), "ref_url").filter("_only IS NULL OR _only = system")
         parts.append(_keyed(held, F.concat(F.lit("r"), "ref_url")))
-    conds = F.when(F.col("code").isNotNull(), "listed").when(F.col("filter_no").isNotNull(), F.concat(F.lit("f"), "filter_no")).when(F.col("ref_url").isNotNull(), F.concat(F.lit("r"), "ref_url"))
-    wanted = rules.groupBy(*_RULE).agg(F.max("system").alias("_system"), F.count_distinct(F.when(~_kind().isin(*TESTS), conds)).alias("_n"))
     base = []
     if parts:
-        met = reduce(DataFrame.unionByName, parts).groupBy(*_RULE, "system", "code").agg(F.count_distinct("cond").alias("_met"), F.min("place").alias("place"), F.max("label").alias("label"))
-        base.append(met.join(wanted, _RULE).filter("_met = _n").drop("_met", "_n", "_system"))
+        together = reduce(DataFrame.unionByName, parts).repartition("url", "system", "code")
+        met = together.groupBy(*_RULE, "_n", "system", "code").agg(F.count_distinct("cond").alias("_met"), F.min("place").alias("place"), F.max("label").alias("label"))
+        base.append(met.filter("_met = _n").drop("_met", "_n"))
     if kinds & set(TESTS) or not parts:
-        base.append(_keyed(whole(wanted.filter("_n = 0").select(*_RULE, F.col("_system").alias("system"))), F.lit("all")).drop("cond"))
-    return _tested(reduce(DataFrame.unionByName, base), rules, t, kinds)
+        base.append(_keyed(whole(rules.filter("_n = 0").groupBy(*_RULE).agg(F.max("system").alias("system"))), F.lit("all")).drop("cond"))
+    return _tested(reduce(DataFrame.unionByName, base), rules.drop("_n"), t, kinds)
 
 
 def _evaluate(rules: DataFrame, t: SystemTables, known: DataFrame | None) -> DataFrame:
@@ -278,7 +290,7 @@ def expand(rules: DataFrame, t: SystemTables, active_only: bool = False, selecta
     References are resolved from the ones below up; a circle of references is an error. text keeps the
     codes of which the display, or an active designation where the tables have them, has all its words.
     """
-    rules = cut(rules, "rules")
+    rules = cut(_counted(rules), "rules")
     refs = rules.filter("ref_url IS NOT NULL").select("url", "ref_url").distinct()
     if refs.isEmpty():
         out = _evaluate(rules, t, None)

@@ -153,7 +153,7 @@ def build_members(members: DataFrame, concepts: DataFrame) -> DataFrame:
     """Active members of content sets; concept_fields names the fields whose value is a known concept."""
     rows = members.filter("active AND kind NOT IN ('language', 'module-dependency', 'descriptor', 'description-type', 'owl')")
     spread = rows.select("member_id", F.explode("fields").alias("name", "value")).join(concepts.select(F.col("code").alias("value")), "value", "left_semi")
-    tagged = spread.groupBy("member_id").agg(F.array_sort(F.collect_set("name")).alias("concept_fields"))
+    tagged = spread.groupBy("member_id").agg(F.sort_array(F.collect_set("name")).alias("concept_fields"))
     return rows.join(tagged, "member_id", "left").withColumn("concept_fields", F.coalesce("concept_fields", F.array().cast("array<string>")))
 
 

@@ -38,7 +38,7 @@ def stream_rollup(events: DataFrame, closure: DataFrame, window: str = "1 hour",
     window is over once the watermark, `delay` before the latest event of the batches before, has
     passed its end; rows that come later than that are dropped, as the engine does.
     """
-    up = closure.groupBy(F.col("descendant").alias("code")).agg(F.array_sort(F.collect_set("ancestor")).alias("up"))
+    up = closure.groupBy(F.col("descendant").alias("code")).agg(F.sort_array(F.collect_set("ancestor")).alias("up"))
     counted = events.withWatermark("ts", delay).groupBy(F.window("ts", window).alias("w"), "code").agg(F.count(F.lit(1)).alias("n"))
     spread = counted.join(up, "code", "left").select("w", "n", F.explode(F.concat(F.array("code"), F.coalesce("up", F.array().cast("array<string>")))).alias("code"))
     return spread.groupBy("w", "code").agg(F.sum("n").alias("n")).select(F.col("w.start").alias("start"), "code", "n")
