@@ -56,6 +56,19 @@ def test_groups(t) -> None:  # noqa: ANN001
     assert codes(t.all().where_attribute(C.AttributeTest(["legs"], None, least=0, most=0))) == {"top", "animal", "pets", "fish"}
 
 
+def test_groups_by_table_and_value(t) -> None:  # noqa: ANN001
+    """Tests of tables and of values in one group, joined by or, and groups that fit without a match."""
+    fur, legs = C.AttributeTest(["covering"], t.concept("fur").df), C.AttributeTest(["legs"], ("=", 4))
+    assert codes(t.all().where_group([fur, legs], "or", least=2)) == {"dog", "fur"}
+    assert codes(t.all().where_group([fur, C.AttributeTest(["legs"], None, least=0, most=0)])) == {"dog", "fur"}
+    none = C.AttributeTest(["color"], None, least=0, most=0)
+    assert codes(t.all().where_group([none])) == {"cat", "dog", "fur"}
+    assert codes(t.all().where_group([none, C.AttributeTest(["legs"], ("=", 4))], "or", least=2)) == {"dog", "fur"}
+    assert codes(t.all().where_group([none, C.AttributeTest(["legs"], ("!=", 4))])) == set()
+    outside = C.AttributeTest(["covering"], t.concept("fur").df, negate=True)
+    assert codes(t.all().where_group([outside])) == set()
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.sets(st.tuples(st.integers(0, 12), st.integers(0, 12)).filter(lambda e: e[0] < e[1]), min_size=1, max_size=20))
 def test_closure_is_reachability(spark, pairs: set[tuple[int, int]]) -> None:  # noqa: ANN001
@@ -217,6 +230,14 @@ def test_filters_of_one_rule_meet_together(spark) -> None:  # noqa: ANN001
     assert {(r.url, r.code.upper()) for r in VS.contains(asked, rules, t).collect() if r.inside} == {(k, c) for k, (_, want) in cases.items() for c in want}
 
 
+def test_listed_codes_in_any_case_and_twice(spark) -> None:  # noqa: ANN001
+    """A code that one rule lists twice, in two cases, and another rule once more comes once, at its first place and with the greater label of that rule."""
+    t = _tables(spark)
+    made = [*VS.rule("u", "include", 0, "s", codes=[("none", None), ("b2", "first"), ("B2", "second")]), *VS.rule("u", "include", 1, "s", codes=["B2", "C3"])]
+    rows = {(r.code, r.rule_no, r.concept_no, r.display) for r in VS.expand(spark.createDataFrame(made, VS.RULES), t).collect()}
+    assert rows == {("B2", 0, 1, "second"), ("C3", 1, 1, "name C3")}
+
+
 def test_text_looks_at_designations(spark) -> None:  # noqa: ANN001
     t = _tables(spark)
     rules = spark.createDataFrame(VS.implicit("all", "s", url="u"), VS.RULES)
