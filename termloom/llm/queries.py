@@ -14,6 +14,7 @@ from termloom.llm.linededup import drop_common_lines
 from termloom.llm.mixing import mix_sources
 from termloom.llm.neardup import near_duplicates
 from termloom.llm.packing import pack_documents
+from termloom.llm.repair import damage, repair_conversations
 from termloom.llm.sharding import shard_documents
 from termloom.llm.topk import integer_vectors, top_k
 from termloom.llm.urls import filter_urls
@@ -88,6 +89,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fixed = repair_conversations(damage(table(spark, sf_dir, "conversations")), gone=F.col("gone"))
+    return fixed.digests()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_language_id": op2_language_id,
@@ -99,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_exact_topk": op9_exact_topk,
     "op10_mixing": op10_mixing,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 #: What trims and lower-cases as the operators do, in DuckDB.
 _SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
