@@ -19,6 +19,7 @@ from termloom.llm.repair import damage, repair_conversations
 from termloom.llm.sharding import shard_documents
 from termloom.llm.topk import integer_vectors, top_k
 from termloom.llm.urls import filter_urls
+from termloom.llm.whitening import whiten, whole_vectors
 
 #: Verdict, host, path.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -108,6 +109,12 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """deviation is null where it is no long; deviation_exact holds it then."""
+    out = whiten(whole_vectors(table(spark, sf_dir, "embeddings")))
+    return out.withColumnRenamed("deviation", "deviation_exact").withColumn("deviation", F.expr("try_cast(deviation_exact AS bigint)"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_language_id": op2_language_id,
@@ -121,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_chat_format": op12_chat_format,
+    "op13_whitening": op13_whitening,
 }
 #: What trims and lower-cases as the operators do, in DuckDB.
 _SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"

@@ -19,7 +19,7 @@ DATA = "/root/testdata/sf0.001"
 
 def test_registered() -> None:
     names = set(entry.queries())
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 11)) and "pipeline" in names
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 14)) and "pipeline" in names
     assert [s[0] for s in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "mixing", "packing"]
 
 
