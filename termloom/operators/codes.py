@@ -2,7 +2,8 @@
 
 Facts carry a row key and system, code and, where they have them, version and display. Every
 operation is a left join with outcome columns: bad rows become rows with reasons, never errors.
-Tables of systems have one row a system; Spark broadcasts them by their size, without a hint.
+Tables of systems may have several versions of one; the greatest counts, unless concepts come as intervals
+(see versioned.code_intervals): then each fact counts in the version that it names. A fact stays one row.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.text import primary_language
-from termloom.functions.versions import version_matches
+from termloom.functions.versions import version_key, version_matches
 from termloom.tables import cut, small
 
 # codes
@@ -27,6 +28,18 @@ def code_key(code: Column, case_sensitive: Column) -> Column:
     return F.when(F.coalesce(case_sensitive, F.lit(True)), code).otherwise(F.lower(code))
 
 
+def current(systems: DataFrame) -> DataFrame:
+    """One row a system: that of its greatest version, by segments."""
+    rest = [c for c in systems.columns if c != "system"]
+    order = F.struct(version_key(F.col("version")), "version") if "version" in rest else F.struct(*rest)
+    return systems.groupBy("system").agg(F.max_by(F.struct(*rest), order).alias("_row")).select("system", "_row.*")
+
+
+def by_version(concepts: DataFrame) -> bool:
+    """Whether concepts are intervals of releases."""
+    return "from_no" in concepts.columns
+
+
 def known_codes(concepts: DataFrame, systems: DataFrame, *columns: str) -> DataFrame:
     """(system, _key, _own): each known code by its key, with its own spelling and columns; of codes that differ in case alone in a case-blind system, the least."""
     keyed = concepts.join(systems.select("system", "case_sensitive"), "system", "left")
@@ -34,31 +47,55 @@ def known_codes(concepts: DataFrame, systems: DataFrame, *columns: str) -> DataF
 
 
 def with_own(facts: DataFrame, concepts: DataFrame, systems: DataFrame, *columns: str) -> DataFrame:
-    """facts (system, code) with _own: the code in the system's own spelling, and columns of its concept; null where it is not known."""
+    """facts (system, code) with _own: the code in the system's own spelling, and columns of its concept; null where it is not known.
+
+    Where concepts are intervals, facts have release_no and systems are numbered releases.
+    """
+    if by_version(concepts):
+        keyed = facts.join(systems.select("system", "release_no", "case_sensitive"), ["system", "release_no"], "left").withColumn("_key", code_key(F.col("code"), F.col("case_sensitive")))
+        known = concepts.select(F.col("system").alias("_k_system"), F.col("key").alias("_k_key"), "from_no", "to_no", F.struct("code", *columns).alias("_own"))
+        on = (F.col("system") == F.col("_k_system")) & (F.col("_key") == F.col("_k_key")) & F.col("release_no").between(F.col("from_no"), F.col("to_no"))
+        return keyed.join(known, on, "left").drop("_k_system", "_k_key", "from_no", "to_no", "_key", "case_sensitive")
+    systems = current(systems)
     keyed = facts.join(systems.select("system", "case_sensitive"), "system", "left").withColumn("_key", code_key(F.col("code"), F.col("case_sensitive")))
     return keyed.join(known_codes(concepts, systems, *columns), ["system", "_key"], "left").drop("_key", "case_sensitive")
 
 
+def _resolved(facts: DataFrame, concepts: DataFrame, systems: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """facts with what their version resolves to, where concepts are intervals; systems with one row for each of the keys that follow."""
+    if not by_version(concepts):
+        return facts, current(systems), ["system"]
+    from termloom.operators.versioned import resolve_releases
+
+    return resolve_releases(facts, systems), systems, ["system", "release_no"]
+
+
 # lookup and displays
 
 
 def lookup(facts: DataFrame, concepts: DataFrame, systems: DataFrame, designations: DataFrame, properties: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """facts with name, version, display, active, designations and properties of their code.
+    """facts with name, version, display, active, designations and properties of their code, and its definition where concepts have one.
 
     Codes of case-blind systems are found in any case. Designations and properties are gathered for
     the codes that facts hold, one row a code, before they meet the facts; designations with a system
-    meet codes of that system only.
+    meet codes of that system only. Where concepts are intervals, facts may name a version, and version
+    tells the one that counts; a version that is not there leaves everything null.
     """
-    wanted = facts.select("system", "code").distinct()
-    own = with_own(wanted, concepts, systems, "display", "active").select("system", "code", "_own")
+    facts, systems, keys = _resolved(facts, concepts, systems)
+    wanted = facts.select(*keys, "code").distinct()
+    told = [c for c in ("display", "active", "definition") if c in concepts.columns]
+    own = with_own(wanted, concepts, systems, *told).select(*keys, "code", "_own")
     asked = own.filter("_own IS NOT NULL").select("system", F.col("_own.code").alias("code")).distinct()
     on = keys_of(designations)
     terms = designations.filter("active").join(asked.select(*on).distinct(), on, "left_semi").groupBy(*on).agg(F.sort_array(F.collect_list(F.struct("language", "use_code", "term"))).alias("designations"))
     chosen = properties if names is None else properties.filter(F.col("property").isin(names))
     props = chosen.join(asked, ["system", "code"], "left_semi").groupBy("system", "code").agg(F.sort_array(F.collect_list(F.struct("property", "value_text"))).alias("properties"))
     about = asked.join(terms, on, "left").join(props, ["system", "code"], "left").withColumnRenamed("code", "_code")
-    found = own.withColumn("_code", F.col("_own.code")).join(about, ["system", "_code"], "left").join(systems.select("system", "version"), "system", "left")
-    return facts.join(found.select("system", "code", F.col("_own.display").alias("name"), F.col("_own.active").alias("active"), "designations", "properties", "version"), ["system", "code"], "left")
+    found = own.withColumn("_code", F.col("_own.code")).join(about, ["system", "_code"], "left").join(systems.select(*keys, F.col("version").alias("_version")), keys, "left")
+    more = [F.col("_own.definition").alias("definition")] if "definition" in told else []
+    found = found.select(*keys, "code", F.col("_own.display").alias("name"), F.col("_own.active").alias("active"), *more, "designations", "properties", "_version")
+    out = facts.drop("version").join(found, [*keys, "code"], "left").withColumnRenamed("_version", "version")
+    return out.drop("release_no", "release", "release_error")
 
 
 def language_ranks(header: str, available: list[str]) -> list[tuple[str, int]]:
@@ -108,14 +145,19 @@ def validate_codes(facts: DataFrame, concepts: DataFrame, systems: DataFrame, de
     inactive code passes with a warning. Codes of case-blind systems are known in any case, with a note
     where the system writes them otherwise. Displays compare without regard to case; white space, a
     withdrawn term, or no term at all (of the languages, if any are asked for) are errors, or warnings
-    if lenient; a code without any term of these languages passes with another's, with a note.
+    if lenient; a code without any term of these languages passes with another's, with a note. Where
+    concepts are intervals, facts may name a version; `release` tells the one that counts, and one that is not there is an error.
     """
-    known = systems.select("system", F.col("content").alias("_content"))
-    out = with_own(facts, concepts, systems, "active").join(known, "system", "left")
+    facts, systems, keys = _resolved(facts, concepts, systems)
+    known = systems.select(*keys, F.col("content").alias("_content"))
+    out = with_own(facts, concepts, systems, "active").join(known, keys, "left")
+    absent = (F.col("release_error") == "unknown-version") if by_version(concepts) else F.lit(False)
+    absent = F.coalesce(absent, F.lit(False))
     found, vague = F.col("_own").isNotNull(), F.col("_content").isin("fragment", "example", "not-present")
     issue = lambda severity, reason: F.struct(F.lit(severity).alias("severity"), F.lit(reason).alias("reason"))
     checks = [
-        F.when(F.col("_content").isNull(), issue("error", "unknown-system")),
+        F.when(absent, issue("error", "unknown-version")),
+        F.when(F.col("_content").isNull() & ~absent, issue("error", "unknown-system")),
         F.when(F.col("_content").isNotNull() & ~found & vague, issue("warning", "unknown-code-in-fragment")),
         F.when(F.col("_content").isNotNull() & ~found & ~vague, issue("error", "unknown-code")),
         F.when(found & ~F.col("_own.active"), issue("warning", "inactive")),
@@ -129,7 +171,7 @@ def validate_codes(facts: DataFrame, concepts: DataFrame, systems: DataFrame, de
         checks.append(F.when(found & (F.col("display_outcome") == "other-language"), issue("information", "other-language")))
     out = out.withColumn("issues", F.filter(F.array(*checks), lambda x: x.isNotNull()))
     passes = (found | F.coalesce(vague, F.lit(False))) & ~F.exists("issues", lambda x: x["severity"] == "error")
-    return out.withColumn("result", passes).drop("_content", "_own")
+    return out.withColumn("result", passes).drop("_content", "_own", "release_no", "release_error")
 
 
 def _squeezed(c: Column) -> Column:
@@ -173,25 +215,30 @@ def validate_membership(facts: DataFrame, expansion: DataFrame, concepts: DataFr
 
     expansion is (url, system, code), at least of the codes that facts hold (valuesets.contains gives
     it without expanding the rest); value_sets (url) names those that exist; with systems, codes of
-    case-blind ones are found in any case. Reasons: unknown-value-set, unknown-code, inactive,
-    abstract, not-in-value-set.
+    case-blind ones are found in any case. Reasons: unknown-value-set, unknown-version (where concepts
+    are intervals and facts name a version), unknown-code, inactive, abstract, not-in-value-set.
     """
     held = expansion.select("url", "system", F.col("code").alias("_code"), F.lit(True).alias("_in"))
     exists = value_sets.select("url", F.lit(True).alias("_set")).distinct()
-    if systems is None:
+    if by_version(concepts):
+        facts, systems, _ = _resolved(facts, concepts, systems)
+        out = with_own(facts, concepts, systems, "active", "abstract").drop("release_no", "release")
+    elif systems is None:
         own = concepts.select("system", "code", F.struct("code", "active", "abstract").alias("_own"))
         out = facts.join(own, ["system", "code"], "left")
     else:
         out = with_own(facts, concepts, systems, "active", "abstract")
     out = out.withColumn("_code", F.col("_own.code")).join(exists, "url", "left").join(held, ["url", "system", "_code"], "left")
+    absent = F.coalesce(F.col("release_error") == "unknown-version", F.lit(False)) if by_version(concepts) else F.lit(False)
     reason = (
         F.when(F.col("_set").isNull(), "unknown-value-set")
+        .when(absent, "unknown-version")
         .when(F.col("_own").isNull(), "unknown-code")
         .when(F.col("_in").isNull(), "not-in-value-set")
         .when(F.lit(active_only) & ~F.col("_own.active"), "inactive")
         .when(F.lit(selectable_only) & F.col("_own.abstract"), "abstract")
     )
-    return out.withColumn("reason", reason).withColumn("result", F.col("reason").isNull()).drop("_set", "_own", "_code", "_in")
+    return out.withColumn("reason", reason).withColumn("result", F.col("reason").isNull()).drop("_set", "_own", "_code", "_in", "release_error")
 
 
 def validate_codeable(rows: DataFrame, row_key: str, validate) -> DataFrame:  # noqa: ANN001
