@@ -5,6 +5,8 @@ edges are (child, parent); a closure is (descendant, ancestor, min_depth) withou
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,10 +95,11 @@ def descendant_leaves(codes: DataFrame, closure: DataFrame, edges: DataFrame) ->
 
 
 def subsumes_pairs(pairs: DataFrame, closure: DataFrame) -> DataFrame:
-    """pairs (a, b, optionally system_a, system_b) with `outcome`."""
+    """pairs (a, b, optionally system_a, system_b and version_a, version_b) with `outcome`; two systems, or two versions of one, are refused."""
     up = closure.select(F.col("descendant").alias("b"), F.col("ancestor").alias("a"), F.lit(True).alias("_ab"))
     down = closure.select(F.col("descendant").alias("a"), F.col("ancestor").alias("b"), F.lit(True).alias("_ba"))
-    refused = F.coalesce(F.col("system_a") != F.col("system_b"), F.lit(False)) if "system_a" in pairs.columns else F.lit(False)
+    differ = [F.coalesce(F.col(f"{c}_a") != F.col(f"{c}_b"), F.lit(False)) for c in ("system", "version") if f"{c}_a" in pairs.columns]
+    refused = reduce(lambda x, y: x | y, differ, F.lit(False))
     outcome = F.when(refused, "refused").when(F.col("a") == F.col("b"), "equivalent").when(F.col("_ab"), "subsumes").when(F.col("_ba"), "subsumed-by").otherwise("not-subsumed")
     return pairs.join(up, ["a", "b"], "left").join(down, ["a", "b"], "left").withColumn("outcome", outcome).drop("_ab", "_ba")
 
@@ -138,29 +141,155 @@ def preorder(codes: DataFrame, edges: DataFrame) -> DataFrame:
     return first.withColumn("loose", F.lit(False)).unionByName(loose).select("code", (F.size("path") - 1).alias("depth"), "path", "loose")
 
 
+def _ranged(df: DataFrame, by: list[Column]) -> tuple[DataFrame, DataFrame, list[tuple[int, int, int]], int]:
+    """df dealt out by ranges of its order (with _part), the first place of each range (_part, _first), the ranges (part, first, rows), and all rows."""
+    ranged = cut(df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes, total = [], 0
+    for part, n in sorted(map(tuple, ranged.groupBy("_part").count().collect())):  # a row a partition
+        sizes.append((part, total, n))
+        total += n
+    firsts = df.sparkSession.createDataFrame([x[:2] for x in sizes], "_part int, _first long")
+    return ranged, firsts, sizes, total
+
+
+def numbered(df: DataFrame, by: list[Column], name: str) -> DataFrame:
+    """df with its place (from 0) in the order given, which must tell all rows apart; ranges of the order are numbered side by side."""
+    ranged, firsts, _, _ = _ranged(df, by)
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*by)) - 1
+    return ranged.withColumn(name, within).join(F.broadcast(firsts), "_part").withColumn(name, F.col(name) + F.col("_first")).drop("_part", "_first")
+
+
 def page(ordered: DataFrame, by: list[Column], offset: int, count: int) -> DataFrame:
-    """Rows offset.. of count by the order given, with `place` (from 0) and `total`."""
-    top = ordered.orderBy(*by).limit(offset + count)  # each task sends its first ones only
-    placed = top.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*by)) - 1).filter(F.col("place") >= offset)
-    return placed.withColumn("total", F.lit(ordered.count()).cast("long"))
+    """Rows offset.. of count by the order given, with `place` (from 0) and `total`. Only the ranges of the order that hold the page are sorted, however deep it lies."""
+    ranged, firsts, sizes, total = _ranged(ordered, by)
+    wanted = [part for part, first, n in sizes if first < offset + count and first + n > offset]
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*by)) - 1
+    placed = ranged.filter(F.col("_part").isin(wanted)).withColumn("place", within).join(F.broadcast(firsts), "_part").withColumn("place", F.col("place") + F.col("_first"))
+    return placed.filter((F.col("place") >= offset) & (F.col("place") < offset + count)).withColumn("total", F.lit(total).cast("long")).drop("_part", "_first")
 
 
 def preorder_page(codes: DataFrame, edges: DataFrame, offset: int, count: int) -> DataFrame:
     return page(preorder(codes, edges), [F.col("loose"), F.col("path")], offset, count).select("place", "code", "depth", "total")
 
 
-def closure_delta(held: DataFrame, new: DataFrame, closure: DataFrame) -> DataFrame:
+# Interval labels: a code's tree interval holds the numbers of what lies below it in the walk; what is
+# reached by other parents only adds further intervals.
+
+#: Numbers of one bin of the range test.
+BIN = 4_096
+
+
+def interval_labels(codes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """labels (code, place, last) and cover (code, low, high): a code is b or below b if its place is in one of b's intervals.
+
+    place numbers the preorder walk and last is the greatest place below a code in it. A code with
+    several parents is walked below one of them; the others, and all that reach them, get the
+    code's interval too, unless they hold it already. Intervals that lie in or next to each other become one.
+    Tests of subsumption are then range tests, without a closure, which has a row a pair. Codes on a circle, which no root
+    reaches, are below each other, and so below themselves.
+    """
+    walk = cut(numbered(preorder(codes, edges), [F.col("loose"), F.col("path")], "place"), "walk-places")
+    below = walk.filter("NOT loose").select(F.explode("path").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("size"))
+    labels = cut(walk.join(below, "code", "left").select("code", "place", (F.col("place") + F.coalesce("size", F.lit(1)) - 1).alias("last"), "path"), "labels")
+    inside = edges.select("child", "parent").distinct().filter("child != parent")
+    at = lambda side, *more: labels.select(F.col("code").alias(side), *more)
+    tree_parent = F.get("path", F.size("path") - 2)
+    others = inside.join(at("child", tree_parent.alias("_own")), "child").filter("_own IS NULL OR _own != parent").select("child", "parent")
+    direct = cut(others.join(at("parent", "path"), "parent").select(F.explode("path").alias("code"), "child").distinct(), "label-entries")
+    entries = direct.select(F.col("child").alias("code")).distinct()
+    links = direct.join(entries, "code", "left_semi").select(F.col("child").alias("parent"), F.col("code").alias("child"))
+    further = transitive_closure(links).select(F.col("descendant").alias("child"), F.col("ancestor").alias("_next"))
+    reached = direct.unionByName(direct.join(further, "child").select("code", F.col("_next").alias("child"))).distinct()
+    spans = labels.select("code", F.col("place").alias("low"), F.col("last").alias("high"))
+    extra = reached.join(labels.select(F.col("code").alias("child"), F.col("place").alias("low"), F.col("last").alias("high")), "child").join(labels.select("code", "place", "last"), "code")
+    extra = extra.filter("low < place OR high > last").select("code", "low", "high")
+    by = Window.partitionBy("code").orderBy("low", F.col("high").desc())
+    seen = F.max("high").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    runs = spans.unionByName(extra).withColumn("_new", F.coalesce((F.col("low") > seen + 1).cast("int"), F.lit(1)))
+    cover = runs.withColumn("_run", F.sum("_new").over(by)).groupBy("code", "_run").agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("_run")
+    return labels.select("code", "place", "last"), cover
+
+
+def subsumes_by_labels(pairs: DataFrame, labels: DataFrame, cover: DataFrame) -> DataFrame:
+    """pairs (a, b) with `outcome`, as subsumes_pairs, from interval_labels. Intervals meet places by code and bin, so that a code of many intervals is not read through for a pair."""
+    cells = cover.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("low") / BIN), F.floor(F.col("high") / BIN))))
+
+    def below(df: DataFrame, one: str, other: str, out: str) -> DataFrame:
+        place = labels.select(F.col("code").alias(one), F.col("place").alias("_place"), F.floor(F.col("place") / BIN).alias("_bin"))
+        found = df.select("a", "b").distinct().join(place, one).join(cells.withColumnRenamed("code", other), [other, "_bin"]).filter("_place BETWEEN low AND high")
+        return df.join(found.select("a", "b", F.lit(True).alias(out)).distinct(), ["a", "b"], "left")
+
+    out = below(below(pairs, "b", "a", "_ab"), "a", "b", "_ba")
+    outcome = F.when(F.col("a") == F.col("b"), "equivalent").when(F.col("_ab"), "subsumes").when(F.col("_ba"), "subsumed-by").otherwise("not-subsumed")
+    return out.withColumn("outcome", outcome).drop("_ab", "_ba")
+
+
+# Closures that follow their edges, and closure tables.
+
+
+def maintain_closure(closure: DataFrame, edges: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The closure and the edges after edges have been added and removed, from those before.
+
+    Only codes at or below the child of a changed edge can have other ancestors than before. Their
+    pairs are derived again: the ways inside of them by path doubling, and where a way leaves them, the
+    closure that is there already goes on. All other pairs stay as they are.
+    """
+    none = edges.select("child", "parent").limit(0)
+    added, removed = (none if x is None else x.select("child", "parent").distinct() for x in (added, removed))
+    after = cut(edges.select("child", "parent").distinct().join(removed, ["child", "parent"], "left_anti").unionByName(added).distinct(), "edges-after")
+    touched = added.unionByName(removed).select(F.col("child").alias("code")).distinct()
+    stale = cut(descendants(touched, closure, or_self=True), "stale")
+    own = after.join(stale.select(F.col("code").alias("child")), "child", "left_semi").filter("child != parent AND child IS NOT NULL AND parent IS NOT NULL")
+    inner = own.join(stale.select(F.col("code").alias("parent")), "parent", "left_semi")
+    leaving = own.join(stale.select(F.col("code").alias("parent")), "parent", "left_anti")
+    inside = cut(transitive_closure(inner.select("child", "parent")), "inside")
+    # ways that leave: to the first code outside, and on with its closure
+    starts = inside.select("descendant", F.col("ancestor").alias("child"), F.col("min_depth").alias("_up")).unionByName(stale.select(F.col("code").alias("descendant"), F.col("code").alias("child"), F.lit(0).alias("_up")))
+    out = starts.join(leaving, "child").groupBy("descendant", F.col("parent").alias("_exit")).agg(F.min("_up").alias("_up"))
+    above = closure.select(F.col("descendant").alias("_exit"), "ancestor", "min_depth")
+    on = out.join(above, "_exit").select("descendant", "ancestor", (F.col("_up") + 1 + F.col("min_depth")).alias("min_depth"))
+    made = inside.unionByName(out.select("descendant", F.col("_exit").alias("ancestor"), (F.col("_up") + 1).alias("min_depth"))).unionByName(on)
+    again = made.filter("descendant != ancestor").groupBy("descendant", "ancestor").agg(F.min("min_depth").cast("int").alias("min_depth"))
+    kept = closure.join(stale.select(F.col("code").alias("descendant")), "descendant", "left_anti").select("descendant", "ancestor", "min_depth")
+    return cut(kept.unionByName(again), "closure-after"), after
+
+
+def closure_delta(held: DataFrame, new: DataFrame, closure: DataFrame, concepts: DataFrame | None = None, systems: DataFrame | None = None) -> DataFrame:
     """Edges (source, target, relation) that new codes add to a closure table that holds codes already.
 
     New codes that are held add nothing. Each is paired with every held code and every other new
-    code that the closure relates it to; the source is the one below.
+    code that the closure relates it to; the source is the one below. Where held and closure name a system, so
+    do the edges, and codes of two systems are never related. With concepts and systems, codes of
+    case-blind systems count as their system writes them, and two that are written differently are `equal`.
     """
-    fresh = new.select("code").distinct().join(held.select("code"), "code", "left_anti")
-    everyone = held.select("code").unionByName(fresh).distinct()
-    down = closure.join(fresh.select(F.col("code").alias("descendant")), "descendant", "left_semi").join(everyone.select(F.col("code").alias("ancestor")), "ancestor", "left_semi")
-    up = closure.join(fresh.select(F.col("code").alias("ancestor")), "ancestor", "left_semi").join(everyone.select(F.col("code").alias("descendant")), "descendant", "left_semi")
-    both = down.select("descendant", "ancestor").unionByName(up.select("descendant", "ancestor")).distinct()
-    return both.select(F.col("descendant").alias("source"), F.col("ancestor").alias("target"), F.lit("specializes").alias("relation"))
+    keys = ["system", "code"] if "system" in held.columns and "system" in closure.columns else ["code"]
+    place = keys[:-1]
+    fresh = new.select(*keys).distinct().join(held.select(*keys), keys, "left_anti").withColumn("_fresh", F.lit(True))
+    everyone = held.select(*keys).distinct().withColumn("_fresh", F.lit(False)).unionByName(fresh)
+    if concepts is not None and systems is not None:
+        from termloom.operators.codes import with_own
+
+        everyone = with_own(everyone, concepts, systems).select(*keys, "_fresh", F.coalesce("_own.code", "code").alias("_own"))
+    else:
+        everyone = everyone.withColumn("_own", F.col("code"))
+    everyone = cut(everyone, "closure-codes")
+
+    def named(side: str, name: str, only_fresh: bool = False) -> DataFrame:
+        rows = everyone.filter("_fresh") if only_fresh else everyone
+        return rows.select(*place, F.col("_own").alias(side), F.col("code").alias(name))
+
+    pairs = closure.select(*place, "descendant", "ancestor")
+    down = pairs.join(named("descendant", "source", True), [*place, "descendant"]).join(named("ancestor", "target"), [*place, "ancestor"])
+    up = pairs.join(named("ancestor", "target", True), [*place, "ancestor"]).join(named("descendant", "source"), [*place, "descendant"])
+    both = down.select(*place, "source", "target").unionByName(up.select(*place, "source", "target")).distinct().withColumn("relation", F.lit("specializes"))
+    if concepts is None or systems is None:
+        return both
+    several = everyone.groupBy(*place, "_own").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")  # few codes are held in two spellings
+    same = everyone.join(several, [*place, "_own"])
+    left = same.select(*place, "_own", F.col("code").alias("source"), F.col("_fresh").alias("_a"))
+    right = same.select(*place, "_own", F.col("code").alias("target"), F.col("_fresh").alias("_b"))
+    equal = left.join(right, [*place, "_own"]).filter("_a AND source != target AND (NOT _b OR source < target)")
+    return both.unionByName(equal.select(*place, "source", "target", F.lit("equal").alias("relation")))
 
 
 class ClosureTable:
@@ -171,22 +300,25 @@ class ClosureTable:
 
     @classmethod
     def init(cls, closure: DataFrame, content: str) -> ClosureTable:
+        """An empty table; with systems, where the closure names them."""
         spark = closure.sparkSession
         kind = closure.schema["descendant"].dataType.simpleString()
+        system = "system string, " if "system" in closure.columns else ""
         return cls(
-            spark.createDataFrame([], f"code {kind}, version int"),
-            spark.createDataFrame([], f"source {kind}, target {kind}, relation string, version int"), 0, content,
+            spark.createDataFrame([], f"{system}code {kind}, version int"),
+            spark.createDataFrame([], f"{system}source {kind}, target {kind}, relation string, version int"), 0, content,
         )
 
-    def extend(self, new: DataFrame, closure: DataFrame, content: str) -> ClosureTable:
+    def extend(self, new: DataFrame, closure: DataFrame, content: str, concepts: DataFrame | None = None, systems: DataFrame | None = None) -> ClosureTable:
         """The next version; the same one where every code is held already. Content that has changed since init is refused."""
         if content != self.content:
             raise ValueError("the content has changed since this closure table was begun")
-        fresh = cut(new.select("code").distinct().join(self.members.select("code"), "code", "left_anti"), "closure-members")
+        keys = [c for c in self.members.columns if c != "version"]
+        fresh = cut(new.select(*keys).distinct().join(self.members.select(*keys), keys, "left_anti"), "closure-members")
         if fresh.isEmpty():
             return self
         version = self.version + 1
-        added = cut(closure_delta(self.members, fresh, closure).withColumn("version", F.lit(version)), "closure-edges")
+        added = cut(closure_delta(self.members, fresh, closure, concepts, systems).withColumn("version", F.lit(version)), "closure-edges")
         members = self.members.unionByName(fresh.withColumn("version", F.lit(version)))
         return ClosureTable(members, self.edges.unionByName(added), version, self.content)
 

@@ -9,7 +9,7 @@ from termloom.operators import concepts as C
 from termloom.operators import hierarchy as H
 from termloom.operators.concepts import AttributeTest as A
 from termloom.operators.concepts import DescriptionTest as D
-from termloom.plans.driver_views import Views, sql
+from termloom.plans.driver_views import SQL, Views, sql
 from termloom.plans.registry import query
 
 ASIA = "SELECT descendant AS code FROM closure WHERE ancestor = 'R:2'"
@@ -65,18 +65,26 @@ def ancestors(v: Views) -> DataFrame:
     return H.ancestors(v.concepts.filter("NOT active"), v.closure, True)
 
 
-@query("subsumes_pairs", sql("""
-pairs AS (SELECT 'O:' || l_orderkey AS a, 'C:' || (l_partkey % 100) AS b FROM lineitem UNION ALL SELECT 'C:' || o_custkey, 'O:' || o_orderkey FROM orders UNION ALL SELECT 'N:' || n_nationkey, 'N:' || n_nationkey FROM nation)
-SELECT a, b, CASE WHEN a = b THEN 'equivalent' WHEN x.ancestor IS NOT NULL THEN 'subsumes' WHEN y.ancestor IS NOT NULL THEN 'subsumed-by' ELSE 'not-subsumed' END AS outcome
-FROM pairs LEFT JOIN closure x ON x.descendant = b AND x.ancestor = a LEFT JOIN closure y ON y.descendant = a AND y.ancestor = b""", "closure"))
-def subsumes_pairs(v: Views) -> DataFrame:
+_PAIRS = """
+pairs AS (SELECT 'O:' || l_orderkey AS a, 'C:' || (l_partkey % 100) AS b FROM lineitem UNION ALL SELECT 'C:' || o_custkey, 'O:' || o_orderkey FROM orders UNION ALL SELECT 'N:' || n_nationkey, 'N:' || n_nationkey FROM nation)"""
+_OUTCOMES = """
+outcomes AS (SELECT a, b, CASE WHEN a = b THEN 'equivalent' WHEN x.ancestor IS NOT NULL THEN 'subsumes' WHEN y.ancestor IS NOT NULL THEN 'subsumed-by' ELSE 'not-subsumed' END AS outcome
+  FROM pairs LEFT JOIN closure x ON x.descendant = b AND x.ancestor = a LEFT JOIN closure y ON y.descendant = a AND y.ancestor = b)
+SELECT * FROM outcomes"""
+
+
+def _pairs(v: Views) -> DataFrame:
     s = lambda p, c: F.concat(F.lit(p), c.cast("string"))
-    pairs = (
+    return (
         v.raw("lineitem").select(s("O:", F.col("l_orderkey")).alias("a"), s("C:", F.col("l_partkey") % 100).alias("b"))
         .unionByName(v.raw("orders").select(s("C:", F.col("o_custkey")).alias("a"), s("O:", F.col("o_orderkey")).alias("b")))
         .unionByName(v.raw("nation").select(s("N:", F.col("n_nationkey")).alias("a"), s("N:", F.col("n_nationkey")).alias("b")))
     )
-    return H.subsumes_pairs(pairs, v.closure)
+
+
+@query("subsumes_pairs", sql(f"{_PAIRS}, {_OUTCOMES}", "closure"))
+def subsumes_pairs(v: Views) -> DataFrame:
+    return H.subsumes_pairs(_pairs(v), v.closure)
 
 
 @query("any_parent_in", sql("""
@@ -100,34 +108,89 @@ def rollup_counts(v: Views) -> DataFrame:
     return H.rollup_counts(facts, v.closure, "code", {"revenue": F.col("l_extendedprice") * (1 - F.col("l_discount")), "quantity": F.col("l_quantity")})
 
 
-@query("preorder_page", sql("""
-chosen AS (SELECT code FROM concepts WHERE module <> 'orders'),
-inside AS (SELECT DISTINCT child, parent FROM edges WHERE child IN (SELECT code FROM chosen) AND parent IN (SELECT code FROM chosen)),
-walk AS (SELECT code, [code] AS path FROM chosen WHERE code NOT IN (SELECT child FROM inside) UNION ALL SELECT i.child, list_append(w.path, i.child) FROM walk w JOIN inside i ON i.parent = w.code),
+_WALK = """
+inside AS (SELECT DISTINCT child, parent FROM edges),
+walk AS (SELECT code, [code] AS path FROM concepts WHERE code NOT IN (SELECT child FROM inside) UNION ALL SELECT i.child, list_append(w.path, i.child) FROM walk w JOIN inside i ON i.parent = w.code),
 firsts AS (SELECT code, min(path) AS path FROM walk GROUP BY code),
-placed AS (SELECT code, len(path) - 1 AS depth, row_number() OVER (ORDER BY path) - 1 AS place, count(*) OVER () AS total FROM firsts)
-SELECT place, code, depth, total FROM placed WHERE place >= 40 AND place < 140""", "concepts", "edges"))
+placed AS (SELECT code, len(path) - 1 AS depth, row_number() OVER (ORDER BY path) - 1 AS place, count(*) OVER () AS total FROM firsts)"""
+
+
+@query("preorder_page", sql(f"{_WALK} SELECT place, code, depth, total FROM placed WHERE place >= total * 2 // 3 AND place < total * 2 // 3 + 100", "concepts", "edges"))
 def preorder_page(v: Views) -> DataFrame:
-    return H.preorder_page(v.concepts.filter("module != 'orders'"), v.edges, 40, 100)
+    """A page deep inside the walk over all modules."""
+    return H.preorder_page(v.concepts, v.edges, v.concepts.count() * 2 // 3, 100)
+
+
+@query("preorder_numbers", sql(f"{_WALK} SELECT code, place, place + (SELECT count(*) FROM firsts f WHERE list_contains(f.path, p.code)) - 1 AS last FROM placed p WHERE code NOT LIKE 'O:%'", "concepts", "edges"))
+def preorder_numbers(v: Views) -> DataFrame:
+    """Every code's place in the walk, and the last place below it."""
+    return H.interval_labels(v.concepts, v.edges)[0].filter("code NOT LIKE 'O:%'")
+
+
+@query("subsumes_labels", sql(f"{_PAIRS}, {_OUTCOMES}", "closure"))
+def subsumes_labels(v: Views) -> DataFrame:
+    """Subsumption as a range test on interval labels, without the closure."""
+    return H.subsumes_by_labels(_pairs(v), *H.interval_labels(v.concepts, v.edges))
+
+
+@query("subsumes_versions", """
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'refused' WHEN o_orderkey % 3 = 1 AND o_orderkey % 5 = 0 THEN 'refused' ELSE 'subsumes' END AS outcome FROM orders""")
+def subsumes_versions(v: Views) -> DataFrame:
+    """Pairs of two versions of a system, or of two systems, are refused."""
+    k = F.col("o_orderkey")
+    pairs = v.raw("orders").select(
+        k.alias("id"), F.concat(F.lit("C:"), F.col("o_custkey").cast("string")).alias("a"), F.concat(F.lit("O:"), k.cast("string")).alias("b"), F.lit("world").alias("system_a"), F.when((k % 3 == 1) & (k % 5 == 0), "parts").otherwise("world").alias("system_b"),
+        F.when(k % 3 != 2, "1").alias("version_a"), F.when(k % 3 == 0, "2").otherwise("1").alias("version_b"),
+    )
+    return H.subsumes_pairs(pairs, v.closure).select("id", "outcome")
+
+
+_CHANGES = """
+removed AS (SELECT child, parent FROM edges WHERE child LIKE 'C:%0' OR (child LIKE 'O:%77' AND parent LIKE 'C:%') OR (child LIKE 'P:%3' AND parent LIKE 'T:%') OR (child = 'R:4' AND parent = 'WORLD')),
+added AS (SELECT code AS child, 'N:7' AS parent FROM concepts WHERE code LIKE 'C:%0' UNION ALL SELECT code, 'S:1' FROM concepts WHERE code LIKE 'O:%77' UNION ALL SELECT 'R:4', 'R:3' UNION ALL SELECT code, 'PART' FROM concepts WHERE code LIKE 'P:%99' UNION ALL SELECT 'B:Brand#11', 'T:STANDARD')"""
+
+
+@query("closure_maintained", f"""WITH RECURSIVE concepts AS ({SQL['concepts']}), edges AS ({SQL['edges']}), {_CHANGES},
+after_edges AS (SELECT * FROM edges EXCEPT SELECT * FROM removed UNION SELECT * FROM added),
+walks AS (SELECT child AS descendant, parent AS ancestor, 1 AS depth FROM after_edges UNION SELECT w.descendant, e.parent, w.depth + 1 FROM walks w JOIN after_edges e ON w.ancestor = e.child)
+SELECT descendant, ancestor, min(depth) AS min_depth FROM walks GROUP BY ALL""")
+def closure_maintained(v: Views) -> DataFrame:
+    """All modules after customers, orders, parts and a region have moved: the closure before, changed where the edges were."""
+    code = lambda pattern: v.concepts.filter(F.col("code").like(pattern)).select(F.col("code").alias("child"))
+    removed = v.edges.filter("child LIKE 'C:%0' OR (child LIKE 'O:%77' AND parent LIKE 'C:%') OR (child LIKE 'P:%3' AND parent LIKE 'T:%') OR (child = 'R:4' AND parent = 'WORLD')")
+    moved = v.spark.sql("SELECT * FROM VALUES ('R:4', 'R:3'), ('B:Brand#11', 'T:STANDARD') AS t(child, parent)")
+    added = code("C:%0").withColumn("parent", F.lit("N:7")).unionByName(code("O:%77").withColumn("parent", F.lit("S:1"))).unionByName(code("P:%99").withColumn("parent", F.lit("PART"))).unionByName(moved)
+    return H.maintain_closure(v.closure, v.edges, added, removed)[0]
+
+
+_OF = "CASE WHEN {0} LIKE 'P:%' OR {0} LIKE 'B:%' OR {0} LIKE 'T:%' OR {0} = 'PART' THEN 'parts' ELSE 'world' END".format
 
 
-@query("closure_delta", sql("""
-held AS (SELECT code FROM concepts WHERE module IN ('region', 'customer')), fresh AS (SELECT code FROM concepts WHERE module IN ('nation', 'brand', 'root')),
-everyone AS (SELECT * FROM held UNION SELECT * FROM fresh)
-SELECT DISTINCT descendant AS source, ancestor AS target, 'specializes' AS relation FROM closure
-WHERE descendant IN (SELECT code FROM everyone) AND ancestor IN (SELECT code FROM everyone) AND (descendant IN (SELECT code FROM fresh) OR ancestor IN (SELECT code FROM fresh))""", "concepts", "closure"))
+@query("closure_delta", sql(f"""
+held AS (SELECT code, code AS own FROM concepts WHERE module IN ('region', 'customer', 'orders', 'part')),
+fresh AS (SELECT code, code AS own FROM concepts WHERE module IN ('nation', 'brand', 'type', 'root', 'supplier') UNION ALL SELECT lower(code), code FROM concepts WHERE module = 'customer' AND code LIKE '%5'),
+everyone AS (SELECT *, false AS is_new FROM held UNION ALL SELECT *, true FROM fresh)
+SELECT {_OF('d.code')} AS system, d.code AS source, a.code AS target, 'specializes' AS relation FROM closure JOIN everyone d ON d.own = descendant JOIN everyone a ON a.own = ancestor WHERE d.is_new OR a.is_new
+UNION ALL SELECT 'world', f.code, h.code, 'equal' FROM fresh f JOIN held h ON h.own = f.own""", "concepts", "closure"))
 def closure_delta(v: Views) -> DataFrame:
-    return H.closure_delta(v.concepts.filter("module IN ('region', 'customer')"), v.concepts.filter("module IN ('region', 'nation', 'brand', 'root')"), v.closure)
+    """All modules, in two systems; some customers come once more in another case, which their system does not mind."""
+    of = lambda c: F.expr(_OF(c)).alias("system")
+    concepts = v.concepts.select(of("code"), "code", "module")
+    held = concepts.filter("module IN ('region', 'customer', 'orders', 'part')")
+    again = concepts.filter("module = 'customer' AND code LIKE '%5'").withColumn("code", F.lower("code"))
+    new = concepts.filter("module IN ('region', 'nation', 'brand', 'type', 'root', 'supplier')").unionByName(again)
+    systems = v.spark.sql("SELECT * FROM VALUES ('parts', true), ('world', false) AS t(system, case_sensitive)")
+    return H.closure_delta(held, new, v.closure.withColumn("system", of("descendant")), concepts, systems)
 
 
 @query("closure_table_versions", sql("""
-named AS (SELECT code, CASE module WHEN 'region' THEN 1 WHEN 'nation' THEN 2 ELSE 3 END AS version FROM concepts WHERE module IN ('region', 'nation', 'customer'))
+named AS (SELECT code, CASE WHEN module IN ('region', 'part') THEN 1 WHEN module IN ('nation', 'brand') THEN 2 WHEN module IN ('customer', 'type') THEN 3 WHEN module = 'orders' THEN 4 ELSE 5 END AS version FROM concepts)
 SELECT descendant AS source, ancestor AS target, 'specializes' AS relation, greatest(a.version, b.version) AS version
 FROM closure JOIN named a ON a.code = descendant JOIN named b ON b.code = ancestor WHERE greatest(a.version, b.version) > 1""", "concepts", "closure"))
 def closure_table_versions(v: Views) -> DataFrame:
     t = H.ClosureTable.init(v.closure, "1")
-    for module in ("region", "nation", "nation", "customer"):
-        t = t.extend(v.concepts.filter(F.col("module") == module), v.closure, "1")
+    for modules in (["region", "part"], ["nation", "brand"], ["nation"], ["customer", "type"], ["orders"], ["supplier", "root"]):
+        t = t.extend(v.concepts.filter(F.col("module").isin(modules)), v.closure, "1")
     return t.since(1)
 
 
