@@ -304,11 +304,17 @@ def inverse(c: Column) -> Column:
     return _mapped(c, INVERSE)
 
 
-def _of_source(facts: DataFrame, elements: DataFrame) -> tuple[list[Column], Column]:
-    """The source column of elements to join with, and the test that it is the facts' system; elements without a source take any system."""
-    if "system" not in facts.columns or "source" not in elements.columns:
-        return [], F.lit(True)
-    return [F.col("source").alias("_source")], F.col("_source").isNull() | (F.col("_source") == F.col("system"))
+def _source(facts: DataFrame, elements: DataFrame) -> list[Column]:
+    """The source system of elements, as _source, where facts have a system to meet it."""
+    return [F.col("source").alias("_source")] if "system" in facts.columns and "source" in elements.columns else []
+
+
+def _meet(facts: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """facts and rows by keys and, where rows have a _source, by the facts' system; rows without a source take any system. Codes that many systems share meet in their own system only."""
+    if "_source" not in rows.columns:
+        return facts.join(rows, keys)
+    named = facts.join(rows.filter("_source IS NOT NULL").withColumnRenamed("_source", "system"), [*keys, "system"])
+    return named.unionByName(facts.join(rows.filter("_source IS NULL").drop("_source"), keys))
 
 
 def translate(facts: DataFrame, elements: DataFrame, name: str, target: str | None = None, version: str | None = None) -> DataFrame:
@@ -320,20 +326,17 @@ def translate(facts: DataFrame, elements: DataFrame, name: str, target: str | No
     rows = elements.filter(F.col("map") == name)
     rows = rows.filter(F.col("target") == target) if target else rows
     rows = rows.filter(F.col("source_version") == version) if version else rows
-    source, own = _of_source(facts, rows)
     versions = [c for c in ("source_version", "target_version") if c in rows.columns]
-    rows = rows.select("code", *source, "target", "target_code", relationship(F.col("relationship")).alias("relationship"), "no_map", *versions).distinct()
-    return facts.join(rows, "code").filter(own).drop("_source")
+    rows = rows.select("code", *_source(facts, rows), "target", "target_code", relationship(F.col("relationship")).alias("relationship"), "no_map", *versions).distinct()
+    return _meet(facts, rows, ["code"])
 
 
 def translate_reverse(facts: DataFrame, elements: DataFrame, name: str) -> DataFrame:
     """Sources whose target is the fact's code (of the fact's system, where it has one), with the relationship turned round."""
     rows = elements.filter((F.col("map") == name) & F.col("target_code").isNotNull())
-    known = "system" in facts.columns and "target" in rows.columns
-    side = [F.col("target").alias("_side")] if known else []
-    rows = rows.select(F.col("target_code").alias("code"), *side, F.col("source").alias("target"), F.col("code").alias("_source"), inverse(relationship(F.col("relationship"))).alias("relationship")).distinct()
-    own = F.col("_side").isNull() | (F.col("_side") == F.col("system")) if known else F.lit(True)
-    return facts.join(rows, "code").filter(own).drop("_side").withColumnRenamed("_source", "target_code")
+    side = [F.col("target").alias("_source")] if "system" in facts.columns and "target" in rows.columns else []
+    rows = rows.select(F.col("target_code").alias("code"), *side, F.col("source").alias("target"), F.col("code").alias("_found"), inverse(relationship(F.col("relationship"))).alias("relationship")).distinct()
+    return _meet(facts, rows, ["code"]).withColumnRenamed("_found", "target_code")
 
 
 def _grouped(df: DataFrame) -> DataFrame:
@@ -350,14 +353,14 @@ def _in_maps(facts: DataFrame, elements: DataFrame, unmapped: DataFrame) -> Data
     Rules have one row a group of a map; they are broadcast where they are few.
     """
     rows, null = _grouped(elements), F.lit(None).cast("string")
-    source, own = _of_source(facts, rows)
-    found = rows.select(F.col("map").alias("_map"), *source, "code", "target", "target_version", "target_code", relationship(F.col("relationship")).alias("relationship"), "no_map").distinct()
-    hit = facts.join(found, ["_map", "code"]).filter(own).drop("_source").withColumn("other_map", null)
+    found = rows.select(F.col("map").alias("_map"), *_source(facts, rows), "code", "target", "target_version", "target_code", relationship(F.col("relationship")).alias("relationship"), "no_map").distinct()
+    hit = _meet(facts, found, ["_map", "code"]).withColumn("other_map", null)
     groups = rows.groupBy("map", "group_no").agg(F.min("source").alias("_source"), F.min("target").alias("_target"), F.min("target_version").alias("_version"))
     rules = _grouped(unmapped).join(groups, ["map", "group_no"], "left").select(
         F.col("map").alias("_map"), F.col("group_no").alias("_group"), F.coalesce("source", "_source").alias("_source"), F.coalesce("target", "_target").alias("target"), F.coalesce("target_version", "_version").alias("target_version"),
         F.col("mode").alias("_mode"), F.col("fixed_code").alias("_fixed"), relationship(F.col("relationship")).alias("_rel"), F.when(F.col("mode") == "other-map", F.col("other_map")).alias("other_map"),
     ).filter("_mode IS NULL OR _mode != 'other-map' OR other_map IS NOT NULL").distinct()
+    own = F.col("_source").isNull() | (F.col("_source") == F.col("system")) if "system" in facts.columns else F.lit(True)
     asked = facts.join(small(rules), "_map").filter(own)
     left = asked.join(rows.select(F.col("map").alias("_map"), F.col("group_no").alias("_group"), "code"), ["_map", "_group", "code"], "left_anti")
     same, fixed, on = F.col("_mode").isin("use-source-code", "provided"), F.col("_mode") == "fixed", F.col("_mode") == "other-map"
@@ -411,6 +414,23 @@ def in_scope(facts: DataFrame, scope: DataFrame) -> DataFrame:
     return facts.join(scope.select("system", "code"), ["system", "code"], "left_semi")
 
 
+def translate_by_scope(facts: DataFrame, elements: DataFrame, scopes: DataFrame, held: DataFrame) -> DataFrame:
+    """Targets of each fact in every map whose scopes hold the fact and the target: facts' columns, map, target, target_code, relationship, no_map.
+
+    scopes (map, source_scope, target_scope) has a row a map; a null scope holds everything. held (url,
+    system, code) tells what the scopes hold, at least of the codes of facts and of targets (valuesets.holding gives it for all
+    scopes at once). A map's elements that name no source take any system. A stated no-map has no target to be held.
+    """
+    inside = held.select("url", "system", "code").distinct()
+    rows = elements.select("map", "code", *_source(facts, elements), "target", "target_code", relationship(F.col("relationship")).alias("relationship"), "no_map").distinct()
+    found = _meet(facts.select("system", "code").distinct(), rows, ["code"]).join(small(scopes.select("map", "source_scope", "target_scope")), "map")
+    sources = inside.select(F.col("url").alias("source_scope"), "system", "code", F.lit(True).alias("_source_held"))
+    aims = inside.select(F.col("url").alias("target_scope"), F.col("system").alias("target"), F.col("code").alias("target_code"), F.lit(True).alias("_target_held"))
+    found = found.join(sources, ["source_scope", "system", "code"], "left").filter("source_scope IS NULL OR _source_held")
+    found = found.join(aims, ["target_scope", "target", "target_code"], "left").filter("target_scope IS NULL OR target_code IS NULL OR _target_held")
+    return facts.join(found.drop("_source_held", "_target_held", "source_scope", "target_scope"), ["system", "code"])
+
+
 def translate_result(facts: DataFrame, key: str, matches: DataFrame) -> DataFrame:
     """One row a fact: result (some match relates) and reason (matched, explicit-no-map, unrelated, no-element)."""
     relates = ~F.coalesce(F.col("relationship").isin("no-map", "not-related-to"), F.lit(False)) & ~F.coalesce("no_map", F.lit(False)) & F.col("target_code").isNotNull()
@@ -425,13 +445,14 @@ def successors(concepts: DataFrame, members: DataFrame, sets: list[str]) -> Data
     return rows.filter("successor IS NOT NULL").join(concepts.filter("NOT active").select("code"), "code", "left_semi")
 
 
-def refset_as_map(members: DataFrame, relationships: dict[str, str], target_field: str = "targetComponentId", target: str = "world", products: list[str] | None = None) -> DataFrame:
-    """Association or map sets as map elements; relationships by set id; other fields as product."""
+def refset_as_map(members: DataFrame, relationships: dict[str, str], target_field: str = "targetComponentId", target: str | dict[str, str] = "world", products: list[str] | None = None) -> DataFrame:
+    """Association or map sets as map elements; relationships, and target systems where they differ, by set id; other fields as product. A set without a target system of its own keeps null."""
     table = F.create_map(*[F.lit(x) for kv in relationships.items() for x in kv])
     rows = members.filter("active").filter(F.col("refset_id").isin(list(relationships)))
+    into = F.lit(target) if isinstance(target, str) else F.create_map(*[F.lit(x) for kv in target.items() for x in kv])[F.col("refset_id")]
     product = F.array(*[F.struct(F.lit(p).alias("property"), F.col("fields")[p].alias("value")) for p in products or []]) if products else F.array().cast("array<struct<property:string,value:string>>")
     return rows.select(
-        F.col("refset_id").alias("map"), F.lit(0).alias("group_no"), "code", F.lit(target).alias("target"), F.col("fields")[target_field].alias("target_code"),
+        F.col("refset_id").alias("map"), F.lit(0).alias("group_no"), "code", into.alias("target"), F.col("fields")[target_field].alias("target_code"),
         table[F.col("refset_id")].alias("relationship"), F.col("fields")[target_field].isNull().alias("no_map"), product.alias("product"),
     )
 

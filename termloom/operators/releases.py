@@ -65,13 +65,26 @@ def apply_supplement(designations: DataFrame, properties: DataFrame, extra_terms
 # quality
 
 
-def revalidate_value_sets(rules: DataFrame, release: DataFrame, release_name: str) -> DataFrame:
-    """Listed codes that the release does not know or has made inactive: url, code, finding, release."""
-    listed = rules.filter("code IS NOT NULL").select("url", "system", "code").distinct()
+def _findings(listed: DataFrame, release: DataFrame, inside: DataFrame | None = None) -> DataFrame:
+    """listed (system, code, and others) of systems that the release has, with finding; rows without one are left out."""
     now = release.select("system", "code", F.col("active").alias("_active"))
-    finding = F.when(F.col("_active").isNull(), "unknown").when(~F.col("_active"), "inactive")
-    served = listed.join(release.select("system").distinct(), "system", "left_semi")
-    return served.join(now, ["system", "code"], "left").withColumn("finding", finding).filter("finding IS NOT NULL").select("url", "system", "code", "finding", F.lit(release_name).alias("release"))
+    served = listed.join(release.select("system").distinct(), "system", "left_semi").join(now, ["system", "code"], "left")
+    if inside is not None:
+        served = served.join(inside.select("url", "system", "code", F.lit(True).alias("_in")).distinct(), ["url", "system", "code"], "left")
+    out = F.col("_in").isNull() if inside is not None else F.lit(False)
+    finding = F.when(F.col("_active").isNull(), "unknown").when(out, "outside").when(~F.col("_active"), "inactive")
+    return served.withColumn("finding", finding).filter("finding IS NOT NULL").drop("_active", "_in")
+
+
+def revalidate_value_sets(rules: DataFrame, release: DataFrame, release_name: str, expansion: DataFrame | None = None) -> DataFrame:
+    """Listed codes that the release does not know or has made inactive, or that their value set no longer holds: url, code, finding, release.
+
+    The finding is unknown, outside or inactive, the first that fits. outside needs the expansion (url, system, code) of
+    the value sets over the release: a listed code may fail the set's excludes, filters or references.
+    """
+    listed = rules.filter("code IS NOT NULL").filter(F.col("side") == "include") if "side" in rules.columns else rules.filter("code IS NOT NULL")
+    found = _findings(listed.select("url", "system", "code").distinct(), release, expansion)
+    return found.select("url", "system", "code", "finding", F.lit(release_name).alias("release"))
 
 
 def revalidate_maps(elements: DataFrame, release: DataFrame, release_name: str) -> DataFrame:
@@ -79,9 +92,7 @@ def revalidate_maps(elements: DataFrame, release: DataFrame, release_name: str)
     sides = elements.select("map", F.lit("source").alias("side"), F.col("source_system").alias("system"), "code").unionByName(
         elements.filter("target_code IS NOT NULL").select("map", F.lit("target").alias("side"), F.col("target_system").alias("system"), F.col("target_code").alias("code"))
     )
-    rules = sides.distinct().withColumn("url", F.concat_ws("|", "map", "side"))
-    found = revalidate_value_sets(rules, release, release_name)
-    return found.select(F.get(F.split("url", r"\|"), F.lit(0)).alias("map"), F.get(F.split("url", r"\|"), F.lit(1)).alias("side"), "system", "code", "finding", "release")
+    return _findings(sides.distinct(), release).select("map", "side", "system", "code", "finding", F.lit(release_name).alias("release"))
 
 
 def feed_select(offered: DataFrame, subscribed: DataFrame, held: DataFrame, categories: list[str]) -> DataFrame:

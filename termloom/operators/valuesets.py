@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from termloom.functions.text import starts_words
 from termloom.functions.versions import version_key
 from termloom.operators import hierarchy as H
-from termloom.operators.codes import keys_of, with_own
+from termloom.operators.codes import current, keys_of, with_own
 from termloom.tables import cut
 
 RULES = (
@@ -228,6 +228,41 @@ def undeclared(rules: DataFrame, t: SystemTables) -> DataFrame:
     return props.select(*_RULE, "filter_no", "reason").unionByName(codes.select(*_RULE, "filter_no", "reason"))
 
 
+#: Operators that are known: on the code, on a property, and those of implicit value sets.
+CODE_OPS = (*TREE_OPS, "=", "in", "not-in", "regex", "exists")
+PROPERTY_OPS = ("=", "in", "not-in", "regex", "exists")
+OWN_OPS = ("in-refset", "is-refset")
+
+
+def refused(rules: DataFrame, t: SystemTables) -> DataFrame:
+    """Filters that are refused, rather than read as something else or answered with nothing: url, side, rule_no, filter_no, property, op, value, reason.
+
+    unknown-operator; unsupported-operator (one that the property does not take: parent and child take `=` alone, declared
+    properties no tree operators); bad-value (`exists` with neither true nor false); undeclared-property; unknown-code (of
+    those that tree operators, `=`, `in` and `not-in` name). The properties of a system are those that its tables hold.
+    """
+    f = _filters(rules)
+    op, prop, on_code = F.col("op"), F.col("property"), F.col("property").isin("concept", "code")
+    hop, constraint, own = prop.isin("parent", "child"), prop == "constraint", op.isin(*OWN_OPS)
+    known = op.isin(*CODE_OPS, *OWN_OPS)
+    unsupported = F.when(on_code | own, F.lit(False)).when(hop | constraint, op != "=").otherwise(~op.isin(*PROPERTY_OPS))
+    shape = (
+        F.when(~F.coalesce(known, F.lit(False)), "unknown-operator").when(unsupported, "unsupported-operator")
+        .when((op == "exists") & ~F.coalesce(F.trim("value").isin("true", "false"), F.lit(False)), "bad-value")
+    )
+    columns = [*_RULE, "filter_no", "property", "op", "value", "reason"]
+    misshapen = f.withColumn("reason", shape).filter("reason IS NOT NULL").select(columns)
+    sound = f.withColumn("_shape", shape).filter("_shape IS NULL")
+    declared = t.properties.select("system", "property").distinct()
+    props = sound.filter(~(on_code | hop | constraint | own)).join(declared, ["system", "property"], "left_anti").withColumn("reason", F.lit("undeclared-property")).select(columns)
+    values = F.when(op.isin("in", "not-in"), F.filter(F.transform(F.split("value", ","), lambda x: F.trim(x)), lambda x: x != "")).otherwise(F.array("value"))
+    named = sound.filter((on_code & op.isin(*TREE_OPS, "=", "in", "not-in")) | hop).withColumn("_value", F.explode(values))
+    wanted = named.select("system", F.lower("_value").alias("_low")).distinct()
+    there = t.concepts.select("system", "code", F.lower("code").alias("_low")).join(wanted, ["system", "_low"], "left_semi").select("system", "code")
+    codes = named.join(there.withColumnRenamed("code", "_value"), ["system", "_value"], "left_anti").withColumn("reason", F.lit("unknown-code")).select(columns).distinct()
+    return misshapen.unionByName(props).unionByName(codes)
+
+
 def _counted(rules: DataFrame) -> DataFrame:
     """rules with _n, the number of conditions of their rule that give codes."""
     conds = F.when(F.col("code").isNotNull(), "listed").when(F.col("filter_no").isNotNull(), F.concat(F.lit("f"), "filter_no")).when(F.col("ref_url").isNotNull(), F.concat(F.lit("r"), "ref_url"))
@@ -283,14 +318,23 @@ def reference_cycles(rules: DataFrame) -> DataFrame:
     return H.detect_cycles(refs.select(F.col("parent").alias("child"), F.col("child").alias("parent"))).select(F.col("node").alias("url"))
 
 
-def expand(rules: DataFrame, t: SystemTables, active_only: bool = False, selectable_only: bool = False, text: str | None = None) -> DataFrame:
+def expand(rules: DataFrame, t: SystemTables, active_only: bool = False, selectable_only: bool = False, text: str | None = None, refuse: bool = True) -> DataFrame:
     """url, system, code, display, inactive, rule_no, concept_no of every value set in rules.
 
     Rules inside an include intersect, includes unite (the first keeps its place), excludes go.
-    References are resolved from the ones below up; a circle of references is an error. text keeps the
+    References are resolved from the ones below up; a circle of references is an error, and so is a filter that is
+    refused (see `refused`), unless refuse is false: then the rules that have one give nothing. text keeps the
     codes of which the display, or an active designation where the tables have them, has all its words.
     """
     rules = cut(_counted(rules), "rules")
+    if not rules.filter("filter_no IS NOT NULL").isEmpty():
+        bad = refused(rules, t)
+        if refuse:
+            first = bad.orderBy("url", "rule_no", "filter_no").first()
+            if first:
+                raise ValueError(f"{first['url']}: {first['reason']}: {first['property']} {first['op']} {first['value']}")
+        else:
+            rules = cut(rules.join(bad.filter("reason != 'unknown-code' OR NOT op IN ('in', 'not-in')").select(*_RULE).distinct(), _RULE, "left_anti"), "rules-sound")
     refs = rules.filter("ref_url IS NOT NULL").select("url", "ref_url").distinct()
     if refs.isEmpty():
         out = _evaluate(rules, t, None)
@@ -329,15 +373,25 @@ def pages(expansion: DataFrame, offset: int, count: int) -> DataFrame:
     return placed.join(expansion.groupBy("url").agg(F.count(F.lit(1)).alias("total")), "url")
 
 
-def contains(asked: DataFrame, rules: DataFrame, t: SystemTables) -> DataFrame:
-    """asked (url, system, code) with `inside`: concepts nobody asks about never meet a rule. Codes of case-blind systems are found in any case."""
-    own = cut(with_own(asked.select("system", "code").distinct(), t.concepts, t.systems).filter("_own IS NOT NULL").select("system", "code", F.col("_own.code").alias("_code")), "asked-codes")
-    urls = asked.select("url").distinct()
+def _drawn_on(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """urls (url) and all that they refer to."""
     refs = rules.filter("ref_url IS NOT NULL").select(F.col("url").alias("child"), F.col("ref_url").alias("parent"))
-    needed = urls if refs.isEmpty() else urls.unionByName(H.ancestors(urls.select(F.col("url").alias("code")), H.transitive_closure(refs)).select(F.col("code").alias("url"))).distinct()
+    if refs.isEmpty():
+        return urls
+    return urls.unionByName(H.ancestors(urls.select(F.col("url").alias("code")), H.transitive_closure(refs)).select(F.col("code").alias("url"))).distinct()
+
+
+def holding(codes: DataFrame, urls: DataFrame, rules: DataFrame, t: SystemTables) -> DataFrame:
+    """(url, system, code): which of codes (system, code) the value sets urls hold. Concepts nobody asks about never meet a rule; codes of case-blind systems are found in any case."""
+    own = cut(with_own(codes.select("system", "code").distinct(), t.concepts, t.systems).filter("_own IS NOT NULL").select("system", "code", F.col("_own.code").alias("_code")), "asked-codes")
     narrow = replace(t, only=own.select("system", F.col("_code").alias("code")).distinct())
-    held = expand(rules.join(needed, "url", "left_semi"), narrow).select("url", "system", F.col("code").alias("_code"), F.lit(True).alias("_in"))
-    found = held.join(own, ["system", "_code"]).select("url", "system", "code", "_in")
+    held = expand(rules.join(_drawn_on(urls.select("url").distinct(), rules), "url", "left_semi"), narrow).select("url", "system", F.col("code").alias("_code"))
+    return held.join(own, ["system", "_code"]).select("url", "system", "code")
+
+
+def contains(asked: DataFrame, rules: DataFrame, t: SystemTables) -> DataFrame:
+    """asked (url, system, code) with `inside`: concepts nobody asks about never meet a rule. Codes of case-blind systems are found in any case."""
+    found = holding(asked, asked, rules, t).withColumn("_in", F.lit(True))
     return asked.join(found, ["url", "system", "code"], "left").withColumn("inside", F.coalesce("_in", F.lit(False))).drop("_in")
 
 
@@ -423,7 +477,7 @@ def implicit(kind: str, system: str, value: str | None = None, url: str | None =
 
 def fragment_flags(expansion: DataFrame, systems: DataFrame) -> DataFrame:
     """Expansion rows with `provable`: a system of content fragment, example or not-present cannot prove a code wrong."""
-    return expansion.join(systems.select("system", (~F.col("content").isin("fragment", "example", "not-present")).alias("provable")), "system", "left")
+    return expansion.join(current(systems).select("system", (~F.col("content").isin("fragment", "example", "not-present")).alias("provable")), "system", "left")
 
 
 def greatest(versions: DataFrame, key: str = "version") -> DataFrame:

@@ -118,6 +118,17 @@ def _shared(v: Views) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     return facts, concepts, systems, designations
 
 
+@query("lookup_definition", """
+SELECT l_orderkey, l_linenumber, p_name AS name, CASE WHEN p_size % 2 = 0 THEN 'A ' || lower(p_type) || ' part of ' || p_brand END AS definition FROM lineitem JOIN part ON l_partkey = p_partkey""")
+def lookup_definition(v: Views) -> DataFrame:
+    s, part = Sets(v), v.raw("part")
+    text = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("A "), F.lower("p_type"), F.lit(" part of "), F.col("p_brand")))
+    defined = part.select(F.concat(F.lit("P:"), F.col("p_partkey").cast("string")).alias("code"), text.alias("definition"))
+    facts = v.raw("lineitem").select("l_orderkey", "l_linenumber", F.lit("parts").alias("system"), F.concat(F.lit("P:"), F.col("l_partkey").cast("string")).alias("code"))
+    out = K.lookup(facts, s.tables.concepts.join(defined, "code", "left"), _systems(s), s.designations, s.tables.properties, [])
+    return out.select("l_orderkey", "l_linenumber", "name", "definition")
+
+
 @query("lookup_shared_codes", f"""WITH {_SHARED}
 SELECT id, CASE WHEN system = 'shapes' OR code = 'X' || k THEN system || ' ' || k END AS term, CASE WHEN system = 'colours' THEN '1' ELSE '2' END AS version FROM shared""")
 def lookup_shared_codes(v: Views) -> DataFrame:
@@ -304,6 +315,27 @@ def translate_scope(v: Views) -> DataFrame:
     return K.translate(facts, v.map_elements, "part-brand").select("l_orderkey", "l_linenumber", "code", "target_code")
 
 
+@query("translate_maps_by_scope", sql(f"""{_PARTS},
+large AS (SELECT code FROM properties WHERE property = 'size' AND TRY_CAST(value_text AS INTEGER) > 20),
+standard AS (SELECT code FROM properties WHERE property = 'type' AND value_text = 'STANDARD')
+SELECT l_orderkey, l_linenumber, f.code, 'sized' AS map, target_code FROM facts f JOIN map_elements m USING (code) WHERE map = 'part-brand' AND f.code IN (SELECT code FROM large)
+UNION ALL SELECT l_orderkey, l_linenumber, f.code, 'plain', target_code FROM facts f JOIN map_elements m USING (code) WHERE map = 'part-brand' AND (target_code IS NULL OR target_code LIKE 'B:%1')
+UNION ALL SELECT l_orderkey, l_linenumber, f.code, 'typed', 'T:STANDARD' FROM facts f WHERE f.code IN (SELECT code FROM standard)""", "map_elements", "properties"))
+def translate_maps_by_scope(v: Views) -> DataFrame:
+    """Three maps: of large parts, of all parts to brands that end with 1, and of parts of a type; each fact takes those whose scopes hold it."""
+    s, e = Sets(v), v.map_elements
+    brands = e.filter("map = 'part-brand'").withColumns({"source": F.lit("parts"), "target": F.lit("parts")})
+    typed = v.properties.filter("property = 'type'").select(F.lit("typed").alias("map"), F.lit(None).cast("string").alias("source"), F.lit("parts").alias("target"), "code", F.lit("T:STANDARD").alias("target_code"), F.lit("broader").alias("relationship"), F.lit(False).alias("no_map"), F.lit(0).alias("group_no"))
+    elements = brands.withColumn("map", F.lit("sized")).unionByName(brands.withColumn("map", F.lit("plain"))).unionByName(typed)
+    sizes = v.properties.filter("property = 'size' AND try_cast(value_text AS INT) > 20").agg(F.array_join(F.sort_array(F.collect_set("value_text")), ",")).first()[0] or "none"
+    rules = s.literal([*VS.rule("large", "include", 0, "parts", filters=[("size", "in", sizes)]), *VS.rule("ones", "include", 0, "parts", filters=[("code", "regex", "B:.*1")]), *VS.rule("standard", "include", 0, "parts", filters=[("type", "=", "STANDARD")])])
+    scopes = v.spark.createDataFrame([("sized", "large", None), ("plain", None, "ones"), ("typed", "standard", None)], "map string, source_scope string, target_scope string")
+    facts = _part_facts(v)
+    codes = facts.select("system", "code").unionByName(elements.filter("target_code IS NOT NULL").select(F.col("target").alias("system"), F.col("target_code").alias("code"))).distinct()
+    held = VS.holding(codes, scopes.select(F.explode(F.array("source_scope", "target_scope")).alias("url")).filter("url IS NOT NULL"), rules, s.tables)
+    return K.translate_by_scope(facts, elements, scopes, held).select("l_orderkey", "l_linenumber", "code", "map", "target_code")
+
+
 @query("translate_result", "SELECT 'P:' || p_partkey AS code, p_size > 3 AND p_size <= 40 AS result, CASE WHEN p_size > 40 THEN 'no-element' WHEN p_size > 3 THEN 'matched' ELSE 'explicit-no-map' END AS reason FROM part")
 def translate_result(v: Views) -> DataFrame:
     facts = v.concepts.filter("module = 'part'").select("code")
@@ -318,9 +350,11 @@ def successors(v: Views) -> DataFrame:
     return K.successors(gone, members, ["same-as", "replaced-by"]).select("code", "successor")
 
 
-@query("refset_as_map", sql("SELECT refset_id AS map, code, targetComponentId AS target_code, 'equivalent' AS relationship FROM members WHERE active AND refset_id IN ('PRI:1-URGENT', 'PRI:5-LOW')", "members"))
+@query("refset_as_map", sql("SELECT refset_id AS map, code, CASE refset_id WHEN 'PRI:5-LOW' THEN 'low' ELSE 'urgent' END AS target, targetComponentId AS target_code, 'equivalent' AS relationship FROM members WHERE active AND refset_id IN ('PRI:1-URGENT', 'PRI:5-LOW')", "members"))
 def refset_as_map(v: Views) -> DataFrame:
-    return K.refset_as_map(v.members, {"PRI:1-URGENT": "equivalent", "PRI:5-LOW": "equivalent"}).select("map", "code", "target_code", "relationship")
+    """Two sets with a target system each."""
+    sets = {"PRI:1-URGENT": "equivalent", "PRI:5-LOW": "equivalent"}
+    return K.refset_as_map(v.members, sets, target={"PRI:1-URGENT": "urgent", "PRI:5-LOW": "low"}).select("map", "code", "target", "target_code", "relationship")
 
 
 @query("map_rule_rows", "SELECT 'O:' || l_orderkey AS code, l_linenumber AS map_group, 'P:' || l_partkey AS map_target, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_suppkey, 'P:' || l_partkey) AS place FROM lineitem")

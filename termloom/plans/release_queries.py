@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from termloom.functions.versions import version_matches
 from termloom.operators import codes as K
 from termloom.operators import releases as R
 from termloom.operators import systems as Y
+from termloom.operators import valuesets as VS
 from termloom.plans.driver_views import Views, sql
 from termloom.plans.registry import query
 from termloom.plans.valueset_queries import SYSTEM, Sets
@@ -72,20 +75,29 @@ def apply_supplement(v: Views) -> DataFrame:
     return K.choose_display(terms, v.acceptability, K.language_ranks("nl, es;q=0.8, en;q=0.5", ["en", "es", "nl"])).select("code", "display")
 
 
-@query("revalidate_value_sets", "SELECT 'seg/' || c_mktsegment AS url, 'O:' || o_orderkey AS code, CASE WHEN o_orderkey % 7 = 0 THEN 'unknown' ELSE 'inactive' END AS finding FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 7 = 0 OR o_orderstatus = 'F'")
+@query("revalidate_value_sets", """
+SELECT 'seg/' || c_mktsegment AS url, 'O:' || o_orderkey AS code, CASE WHEN o_orderkey % 7 = 0 THEN 'unknown' WHEN o_orderkey % 11 = 0 THEN 'outside' ELSE 'inactive' END AS finding
+FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 OR o_orderstatus = 'F'""")
 def revalidate_value_sets(v: Views) -> DataFrame:
-    """Orders listed by market segment, against a release without every seventh order."""
+    """Orders listed by market segment, against a release without every seventh order; every eleventh is excluded again."""
     t = Sets(v)
-    listed = v.raw("orders").join(v.raw("customer"), F.col("o_custkey") == F.col("c_custkey")).select(s("seg/", "c_mktsegment").alias("url"), F.lit("world").alias("system"), s("O:", "o_orderkey").alias("code"))
+    orders = v.raw("orders").join(v.raw("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    head = t.literal([]).columns
+    of = lambda df, side: df.select(s("seg/", "c_mktsegment").alias("url"), F.lit(side).alias("side"), F.lit(0).alias("rule_no"), F.lit("world").alias("system"), F.lit(0).alias("concept_no"), s("O:", "o_orderkey").alias("code"))
+    rules = t.literal([]).unionByName(of(orders, "include"), allowMissingColumns=True).unionByName(of(orders.filter("o_orderkey % 11 = 0"), "exclude"), allowMissingColumns=True).select(*head)
     release = t.tables.concepts.filter("NOT (module = 'orders' AND CAST(substr(code, 3) AS BIGINT) % 7 = 0)")
-    return R.revalidate_value_sets(listed, release, "2").select("url", "code", "finding")
+    expansion = VS.expand(rules, replace(t.tables, concepts=release))
+    return R.revalidate_value_sets(rules, release, "2", expansion).select("url", "code", "finding")
 
 
 @query("revalidate_maps", sql("""
-SELECT map, 'source' AS side, code, 'unknown' AS finding FROM map_elements WHERE map = 'part-brand' AND code LIKE '%3'
-UNION SELECT map, 'target', target_code, 'unknown' FROM map_elements WHERE map = 'part-brand' AND target_code LIKE '%3'""", "map_elements"))
+named AS (SELECT 'http://map|' || substr(code, 3, 1) AS map, code, target_code FROM map_elements WHERE map = 'part-brand')
+SELECT map, 'source' AS side, code, 'unknown' AS finding FROM named WHERE code LIKE '%3'
+UNION SELECT map, 'target', target_code, 'unknown' FROM named WHERE target_code LIKE '%3'""", "map_elements"))
 def revalidate_maps(v: Views) -> DataFrame:
+    """Maps by their names with a version after a bar."""
     elements = v.map_elements.filter("map = 'part-brand'").withColumn("source_system", F.lit("parts")).withColumn("target_system", F.lit("parts"))
+    elements = elements.withColumn("map", F.concat(F.lit("http://map|"), F.substring("code", 3, 1)))
     release = Sets(v).tables.concepts.filter("code NOT LIKE '%3'")
     return R.revalidate_maps(elements, release, "2").select("map", "side", "code", "finding")
 

@@ -66,16 +66,20 @@ def stream_rollup(v: Views) -> DataFrame:
 
 
 @query("stream_closure_delta", sql("""
-held AS (SELECT code FROM concepts WHERE module IN ('region', 'nation', 'customer'))
-SELECT descendant AS source, ancestor AS target FROM closure WHERE descendant IN (SELECT code FROM held) AND ancestor IN (SELECT code FROM held)""", "closure", "concepts"))
+named AS (SELECT code, CASE WHEN module IN ('nation', 'part') THEN 0 WHEN module IN ('orders', 'brand') THEN 1 ELSE 2 END AS batch FROM concepts)
+SELECT descendant AS source, ancestor AS target, greatest(a.batch, b.batch) AS batch FROM closure JOIN named a ON a.code = descendant JOIN named b ON b.code = ancestor
+WHERE greatest(a.batch, b.batch) = 2 OR ancestor NOT LIKE 'N:%'""", "closure", "concepts"))
 def stream_closure_delta(v: Views) -> DataFrame:
+    """All modules in three batches; nations have nothing below them until the last one's hierarchy."""
     folder, members, edges = new_path(v.spark, "codes"), new_path(v.spark, "members"), new_path(v.spark, "edges")
-    state = new_path(v.spark, "stream-state")
-    for module in ("nation", "customer", "region"):  # a batch a module: the stream goes on after the files it has seen
-        v.concepts.filter(F.col("module") == module).select("code").write.mode("append").parquet(folder)
+    state, now = new_path(v.spark, "stream-state"), {}
+    seen = lambda batch: v.closure if batch == 2 else v.closure.filter("ancestor NOT LIKE 'N:%'")
+    for batch, modules in enumerate((["nation", "part"], ["orders", "brand"], ["customer", "region", "supplier", "type", "root"])):  # a batch each: the stream goes on after the files it has seen
+        now["closure"] = seen(batch)
+        v.concepts.filter(F.col("module").isin(modules)).select("code").write.mode("append").parquet(folder)
         stream = v.spark.readStream.schema("code string").parquet(folder)
-        St.stream_closure_delta(stream, v.closure, members, edges, state).awaitTermination()
-    return v.spark.read.parquet(edges).select("source", "target")
+        St.stream_closure_delta(stream, lambda _: now["closure"], members, edges, state).awaitTermination()
+    return v.spark.read.parquet(edges).select("source", "target", F.col("version").cast("int").alias("batch"))
 
 
 @query("stream_feed_select", "SELECT CAST(o_custkey AS VARCHAR) AS canonical, o_orderpriority AS version, strftime(max(o_orderdate), '%Y-%m-%d') AS date FROM orders GROUP BY ALL")

@@ -76,7 +76,7 @@ SELECT 'a' AS url, code FROM concepts WHERE regexp_full_match(code, 'P:1.*') UNI
 UNION ALL SELECT 'c', code FROM concepts WHERE (code LIKE 'B:%' OR code LIKE 'T:%' OR code LIKE 'P:%' OR code = 'PART') AND code NOT IN ('PART')""", "concepts"))
 def vs_filter_code(v: Views) -> DataFrame:
     made = VS.rule("a", "include", 0, "parts", filters=[("code", "regex", "P:1.*")]), VS.rule("b", "include", 0, "parts", filters=[("concept", "in", "B:Brand#11, T:STANDARD, none")]), VS.rule("c", "include", 0, "parts", filters=[("code", "not-in", "PART")])
-    return Sets(v).expand(*made).select("url", "code")
+    return Sets(v).expand(*made, refuse=False).select("url", "code")  # one listed code is unknown
 
 
 @query("vs_filter_hierarchy", sql("""
@@ -282,3 +282,16 @@ def vs_undeclared(v: Views) -> DataFrame:
     s = Sets(v)
     rules = s.rules.filter("filter_no = 0 AND url NOT LIKE 'region%'").withColumn("property", F.when(F.col("property") == "size", "weight").otherwise(F.col("property"))).withColumn("value", F.concat("value", F.lit("?")))
     return VS.undeclared(rules, s.tables).select("url", "reason")
+
+
+@query("vs_refused", """
+SELECT 'op/' || n_nationkey AS url, 0 AS rule_no, CASE n_nationkey % 7 WHEN 0 THEN 'unknown-operator' WHEN 1 THEN 'unknown-operator' WHEN 2 THEN 'unknown-code' WHEN 3 THEN 'unsupported-operator' WHEN 4 THEN 'undeclared-property' WHEN 5 THEN 'bad-value' ELSE 'unsupported-operator' END AS reason FROM nation
+UNION ALL SELECT 'list', 0, 'unknown-code' FROM nation WHERE n_nationkey = 0""")
+def vs_refused(v: Views) -> DataFrame:
+    """A rule a nation that is refused, one with an absent code in a list, and the rules of all value sets, which are sound."""
+    s, k = Sets(v), F.col("n_nationkey") % 7
+    kinds = [("concept", "frobnicate", "true"), ("type", "about", "x"), ("concept", "is-a", "N:none"), ("parent", "in", "R:1"), ("weight", "=", "1"), ("type", "exists", "perhaps"), ("type", "is-a", "STANDARD")]
+    chosen = F.get(F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("property", "op", "value"), f)]) for f in kinds]), k)
+    rules = v.raw("nation").select(F.concat(F.lit("op/"), F.col("n_nationkey").cast("string")).alias("url"), F.lit("include").alias("side"), F.lit(0).alias("rule_no"), F.lit("parts").alias("system"), F.lit(0).alias("filter_no"), chosen.alias("f")).select("*", "f.*").drop("f")
+    more = s.literal(VS.rule("list", "include", 0, "world", filters=[("code", "not-in", "N:0, N:none")]))
+    return VS.refused(more.unionByName(rules, allowMissingColumns=True).unionByName(s.rules), s.tables).select("url", "rule_no", "reason")

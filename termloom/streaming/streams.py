@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from termloom.operators import codes as K
 from termloom.operators import hierarchy as H
+from termloom.tables import cut
 
 
 def for_each_batch(stream: DataFrame, work: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
@@ -44,23 +45,22 @@ def stream_rollup(events: DataFrame, closure: DataFrame, window: str = "1 hour",
     return spread.groupBy("w", "code").agg(F.sum("n").alias("n")).select(F.col("w.start").alias("start"), "code", "n")
 
 
-def stream_closure_delta(new_codes: DataFrame, closure: DataFrame, members_path: str, edges_path: str, checkpoint: str) -> StreamingQuery:
-    """Edges that each batch of new codes adds to a kept closure table; the version is the batch id, so a replay writes the same rows again."""
-    spark = new_codes.sparkSession
+def stream_closure_delta(new_codes: DataFrame, tables: Callable[[SparkSession], DataFrame], members_path: str, edges_path: str, checkpoint: str) -> StreamingQuery:
+    """Edges that each batch of new codes adds to a kept closure table; the version is the batch id, so a replay writes the same rows again.
 
-    def held_before(batch_id: int) -> DataFrame:
-        empty = spark.createDataFrame([], "code string, version long")
-        try:
-            return spark.read.schema(empty.schema).parquet(members_path).filter(F.col("version") < batch_id)
-        except Exception as error:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            return empty
+    tables() gives the closure anew for every batch, so that the stream follows a hierarchy that changes.
+    Of the codes held before, only those that the closure relates to the batch's are looked at.
+    """
+    spark = new_codes.sparkSession
+    kind = "code string"
+    spark.createDataFrame([], kind).write.mode("overwrite").parquet(f"{members_path}/version=-1")  # so that the first batch, too, finds a table
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        held = held_before(batch_id)
-        fresh = batch.select("code").distinct().join(held.select("code"), "code", "left_anti")
-        delta = H.closure_delta(held, fresh, closure)
+        closure = tables(batch.sparkSession)
+        held = batch.sparkSession.read.schema(f"{kind}, version long").parquet(members_path).filter(F.col("version") < batch_id).select("code")
+        fresh = cut(batch.select("code").distinct().join(held, "code", "left_anti"), "stream-codes")
+        related = H.ancestors(fresh, closure).unionByName(H.descendants(fresh, closure)).distinct()
+        delta = H.closure_delta(held.join(related, "code", "left_semi"), fresh, closure)
         delta.write.mode("overwrite").parquet(f"{edges_path}/version={batch_id}")
         fresh.write.mode("overwrite").parquet(f"{members_path}/version={batch_id}")
 

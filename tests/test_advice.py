@@ -108,8 +108,3 @@ def test_edition_and_closure_stream_use_more_than_one_task(spark, monkeypatch) -
     assert {f.split("version=")[1][0] for f in files} == {"0", "1", "2"}  # still a batch a module
 
 
-def test_near_dedup_margin_is_wide() -> None:
-    from termloom.llm import neardup as N
-
-    error = (0.75 * 0.25 / N.M) ** 0.5  # of an estimate at the threshold
-    assert N.MARGIN > 5 * error
