@@ -51,13 +51,14 @@ def running(df: DataFrame, key: str, bucket: str, order: list[str], size: Column
     Two levels, so that no task holds a whole group: running sums inside each (key, bucket), and
     running sums over the bucket totals of each key. `key` and `bucket` hold no nulls.
     """
+    own, total, before, local = free_names(df.select(*[c for c in df.columns if c != out]), "_size", "_total", "_before", "_local")
     inner = Window.partitionBy(key, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     outer = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sized = df.withColumn("_size", size.cast("long"))
-    totals = sized.groupBy(key, bucket).agg(F.sum("_size").alias("_total"))
-    before = totals.select(key, bucket, (F.sum("_total").over(outer) - F.col("_total")).alias("_before"))
-    local = sized.withColumn("_local", F.sum("_size").over(inner) - F.col("_size"))
-    return local.join(before, [key, bucket]).withColumn(out, F.col("_before") + F.col("_local")).drop("_size", "_local", "_before")
+    sized = df.withColumn(own, size.cast("long"))
+    totals = sized.groupBy(key, bucket).agg(F.sum(own).alias(total))
+    earlier = totals.select(key, bucket, (F.sum(total).over(outer) - F.col(total)).alias(before))
+    placed = sized.withColumn(local, F.sum(own).over(inner) - F.col(own))
+    return placed.join(earlier, [key, bucket]).withColumn(out, F.col(before) + F.col(local)).drop(own, local, before)
 
 
 def small_frame(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:

@@ -30,8 +30,10 @@ START = "▁"
 UNKNOWN = "und"
 #: Words whose scores a task keeps.
 KEPT_WORDS = 100_000
-#: Texts whose new words are scored together, and the longest words that are (their probabilities stay within range).
-TEXTS, TOGETHER = 256, 40
+#: Texts whose new words are scored together.
+TEXTS = 256
+#: A pass brings its sums back to 1 after so many letters, so that none leaves the range of a double; letters that are laid out at once.
+RESCALE, LAID_OUT = 8, 256
 
 
 def vocabulary(path: str) -> list[str]:
@@ -73,118 +75,103 @@ class LanguageModel:
         return places, np.array([*rows, (self.floor,) * len(self.languages)]), max(map(len, places), default=1)
 
     def words(self, words: list[str]) -> np.ndarray:
-        """`word` of many words: one forward pass for all words of a length."""
+        """Log probability of each word in each language, summed over all segmentations; one forward pass for all words of a length.
+
+        The pass keeps the sums of the last few letters only, and scales them for each word and language on its own: words of any length follow one law.
+        """
         out = np.empty((len(words), len(self.languages)))
         places, p, longest = self._rows
-        get, floor = places.get, len(p) - 1
         by_length: dict[int, list[int]] = {}
         for i, w in enumerate(words):
-            if len(w) > TOGETHER:
-                out[i] = self.word(w)
-            else:
-                by_length.setdefault(len(w) + 1, []).append(i)
+            by_length.setdefault(len(w) + 1, []).append(i)
         for n, at in by_length.items():
-            wide, where, what = min(n, longest), [], []
-            for column, i in enumerate(at):
-                text = START + words[i]
-                for a in range(n):
-                    for b in range(a + 1, min(n, a + wide) + 1):
-                        row = get(text[a:b])
-                        if row or b == a + 1:
-                            where.append((a * wide + b - a - 1) * len(at) + column)
-                            what.append(row or floor)
-                        if row is None:
-                            break
-            steps = np.zeros(n * wide * len(at), np.int64)
-            steps[where] = what
-            steps = steps.reshape(n, wide, len(at))
-            ahead = np.zeros((n + 1, len(at), len(self.languages)))
+            texts, wide = [START + words[i] for i in at], min(n, longest)
+            ahead = np.zeros((wide + 1, len(at), len(self.languages)))  # of letter a in row a % (wide + 1)
             ahead[0] = 1
-            for a in range(n):
-                for k in range(min(wide, n - a)):
-                    if steps[a, k].any():
-                        ahead[a + k + 1] += ahead[a] * p[steps[a, k]]
-            out[at] = np.log(np.maximum(ahead[n], 1e-300))
+            logs = np.zeros((len(at), len(self.languages)))
+            for first in range(0, n, LAID_OUT):
+                last = min(n, first + LAID_OUT)
+                steps = self._steps(texts, first, last, wide, places, len(p) - 1)
+                for a in range(first, last):
+                    here = ahead[a % (wide + 1)]
+                    if a % RESCALE == RESCALE - 1:  # never 0: each letter has a way to the next
+                        scale = here.copy()
+                        logs += np.log(scale)
+                        ahead /= scale
+                    for k in range(min(wide, n - a)):
+                        if steps[a - first, k].any():
+                            ahead[(a + k + 1) % (wide + 1)] += here * p[steps[a - first, k]]
+                    here[...] = 0
+            out[at] = np.log(ahead[n % (wide + 1)]) + logs
         return out
 
+    @staticmethod
+    def _steps(texts: list[str], first: int, last: int, wide: int, places: dict[str, int], floor: int) -> np.ndarray:
+        """(letter, piece length - 1, word) -> row of the piece that begins at the letter; 0 where there is none."""
+        get, n, where, what = places.get, len(texts[0]), [], []
+        for column, text in enumerate(texts):
+            for a in range(first, last):
+                for b in range(a + 1, min(n, a + wide) + 1):
+                    row = get(text[a:b])
+                    if row or b == a + 1:
+                        where.append(((a - first) * wide + b - a - 1) * len(texts) + column)
+                        what.append(row or floor)
+                    if row is None:
+                        break
+        steps = np.zeros((last - first) * wide * len(texts), np.int64)
+        steps[where] = what
+        return steps.reshape(last - first, wide, len(texts))
+
     def word(self, word: str) -> list[float]:
-        """Log probability in each language, summed over all segmentations."""
-        text, get, k = START + word, self.prefixes.get, len(self.languages)
-        n, logs = len(text), 0.0
-        ahead: dict[int, list[float]] = {0: [1.0] * k}
-        missing = (self.floor,) * k
-        for i in range(n):
-            here = ahead.pop(i, None)
-            if here is None:
-                continue
-            if max(here) < 1e-150:  # keep long words within range; every entry takes the same factor
-                logs += 150 * math.log(10)
-                here = [x * 1e150 for x in here]
-                ahead = {j: [x * 1e150 for x in row] for j, row in ahead.items()}
-            for j in range(i + 1, n + 1):
-                part = text[i:j]
-                if part not in self.prefixes:
-                    p = missing if j == i + 1 else None
-                    last = True
-                else:
-                    p, last = get(part), False
-                    if p is None and j == i + 1:
-                        p = missing
-                if p is not None:
-                    if j in ahead:
-                        ahead[j] = [a + x * y for a, x, y in zip(ahead[j], here, p)]
-                    else:
-                        ahead[j] = [x * y for x, y in zip(here, p)]
-                if last:
-                    break
-        return [math.log(max(x, 1e-300)) - logs for x in ahead[n]]
+        return self.words([word])[0].tolist()
 
 
 def expected_pieces(model: LanguageModel, language: int, word: str) -> dict[str, float]:
     """How often each piece is expected in the word, over all its segmentations in one language.
 
-    Long words are summed by logarithms, so that no word is too long for it.
+    Sums are brought back to 1 where they become small, with the logarithm of what was taken out, so that no word is too long.
     """
     text, n = START + word, len(word) + 1
-    edges: list[tuple[int, int, str, float]] = []
+    starts: list[list[tuple[int, str, float]]] = []
     for i in range(n):
+        edges = []
         for j in range(i + 1, n + 1):
             part = text[i:j]
             known = part in model.prefixes
             p = model.prefixes[part] if known else None
             if p is not None:
-                edges.append((i, j, part, p[language]))
+                edges.append((j, part, p[language]))
             elif j == i + 1:
-                edges.append((i, j, "", model.floor))
+                edges.append((j, "", model.floor))
             if not known:
                 break
-    out: dict[str, float] = {}
-    if n <= TOGETHER:
-        ahead, behind = [1.0] + [0.0] * n, [0.0] * n + [1.0]
-        for i, j, _, p in edges:
+        starts.append(edges)
+    ahead, lift, log, far = [1.0] + [0.0] * n, [0.0] * (n + 1), 0.0, 0
+    for i, edges in enumerate(starts):
+        if ahead[i] < 1e-100:
+            scale = ahead[i]
+            log += math.log(scale)
+            for j in range(i, far + 1):
+                ahead[j] /= scale
+        lift[i] = log
+        for j, _, p in edges:
             ahead[j] += ahead[i] * p
-        for i, j, _, p in reversed(edges):
-            behind[i] += behind[j] * p
-        for i, j, part, p in edges:
+            far = max(far, j)
+    lift[n] = log
+    behind, fall = [0.0] * n + [1.0], [0.0] * (n + 1)  # each with its own logarithm
+    for i in range(n - 1, -1, -1):
+        log = fall[i + 1]
+        here = sum(behind[j] * p if fall[j] == log else behind[j] * math.exp(fall[j] - log) * p for j, _, p in starts[i])
+        behind[i], fall[i] = (1.0, log + math.log(here)) if here < 1e-100 else (here, log)
+    out: dict[str, float] = {}
+    for i, edges in enumerate(starts):
+        for j, part, p in edges:
             if part:
-                out[part] = out.get(part, 0.0) + ahead[i] * p * behind[j] / ahead[n]
-        return out
-    ahead, behind = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
-    for i, j, _, p in edges:
-        ahead[j] = _log_sum(ahead[j], ahead[i] + math.log(p))
-    for i, j, _, p in reversed(edges):
-        behind[i] = _log_sum(behind[i], behind[j] + math.log(p))
-    for i, j, part, p in edges:
-        if part:
-            out[part] = out.get(part, 0.0) + math.exp(ahead[i] + math.log(p) + behind[j] - ahead[n])
+                x = ahead[i] * p * behind[j] / ahead[n]
+                out[part] = out.get(part, 0.0) + (x if lift[i] + fall[j] == lift[n] else x * math.exp(lift[i] + fall[j] - lift[n]))
     return out
 
 
-def _log_sum(a: float, b: float) -> float:
-    a, b = max(a, b), min(a, b)
-    return a + math.log1p(math.exp(b - a)) if b > -math.inf else a
-
-
 def train(docs: DataFrame, pieces: list[str], docs_each: int = 1_000, rounds: int = 2, seed: int = 5) -> LanguageModel | None:
     """Fits piece probabilities from docs (text, lang, doc_id); None without a labelled word.
 

@@ -33,7 +33,7 @@ class Mix:
     span: int
     #: row_id, source_no, block, slot, epoch, first_word, n_words: what of which document a slot holds
     segments: DataFrame
-    #: row_id, doc_id, text_crc32, text_hash, source, size, source_size, target, taken, first_slot
+    #: row_id, doc_id, text_crc32, text_hash, source, size, source_size, target, taken, first_slot, slots (all that hold words of it; null, like first_slot, where none does)
     documents: DataFrame
 
 
@@ -114,7 +114,7 @@ def _mix(rows: DataFrame, weights: tuple[int, ...], share: float, cap: float, bl
         )
     )
     segments = pieces.join(schedule, ["source_no", "block"]).select("row_id", "source_no", "block", "slot", "epoch", "first_word", "n_words")
-    taken = segments.groupBy("row_id").agg(F.sum("n_words").alias("taken"), F.min("slot").alias("first_slot"))
+    taken = segments.groupBy("row_id").agg(F.sum("n_words").alias("taken"), F.min("slot").alias("first_slot"), F.sort_array(F.collect_set("slot")).alias("slots"))
     out = (
         placed.select("row_id", "doc_id", "text_crc32", "text_hash", "source", "size", "source_size", "target")
         .join(taken, "row_id", "left")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termloom.llm.arrow import map_slices, utf8
-from termloom.llm.common import cut, rows_each, running
+from termloom.llm.common import cut, free_names, rows_each, running
 
 SPECIAL = "<|endoftext|>"
 
@@ -218,10 +218,13 @@ def pack(pieces: DataFrame, size: int = 1024) -> DataFrame:
     """pieces (with length, 1 to size) and sequence_id, offset: as few sequences as the plan finds.
 
     Rows with a null length, or one outside 1 to size, raise an error. Equal pieces are told apart by
-    a row number. Columns sequence_id and offset are replaced. An empty table gives an empty result.
+    a row number. Columns sequence_id and offset are replaced; all others are passed on, whatever their
+    names. An empty table gives an empty result.
     """
     spark = pieces.sparkSession
-    base = cut(pieces.drop("sequence_id", "offset").withColumn("_p_row", F.monotonically_increasing_id()), "pack-pieces")
+    pieces = pieces.drop("sequence_id", "offset")
+    row, bucket, order = free_names(pieces, "_p_row", "_p_bucket", "_p_rank")
+    base = cut(pieces.withColumn(row, F.monotonically_increasing_id()), "pack-pieces")
     counts = np.zeros(size + 1, np.int64)
     bad = F.col("length").isNull() | ~F.col("length").between(1, size)
     for length, n in base.groupBy(F.when(bad, F.lit(-1)).otherwise(F.col("length"))).count().collect():  # size + 1 rows at most
@@ -232,18 +235,18 @@ def pack(pieces: DataFrame, size: int = 1024) -> DataFrame:
     # a length has buckets by its own count, so that rare ones make few totals
     each = rows_each(spark, int(counts.sum()))
     buckets = F.from_json(F.lit(json.dumps([max(1, -(-int(n) // each)) for n in counts])), "array<int>")
-    spread = base.withColumn("_p_bucket", F.pmod(F.xxhash64("_p_row"), F.get(buckets, F.col("length").cast("int"))))
-    ranked = running(spread, "length", "_p_bucket", ["_p_row"], F.lit(1), "_p_rank").drop("_p_bucket", "_p_row")
-    keep = [f for f in base.schema if f.name != "_p_row"]
+    spread = base.withColumn(bucket, F.pmod(F.xxhash64(row), F.get(buckets, F.col("length").cast("int"))))
+    ranked = running(spread, "length", bucket, [row], F.lit(1), order).drop(bucket, row)
+    keep = list(pieces.schema)
 
     def place(batch: pa.RecordBatch) -> dict[str, object]:
         column = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names}
-        held, length, rank = places.value, np.asarray(column["length"], np.int64), np.asarray(column["_p_rank"], np.int64)
+        held, length, rank = places.value, np.asarray(column["length"], np.int64), np.asarray(column[order], np.int64)
         at = np.searchsorted(held.keys, held.key(length, rank), side="right") - 1
         return column | {"sequence_id": pa.array(held.sequences[at] + rank - held.ranks[at]), "offset": pa.array(held.offsets[at])}
 
     schema = T.StructType([*keep, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return map_slices(ranked.select(*[f.name for f in keep], "_p_rank"), place, schema)
+    return map_slices(ranked.select(*[F.col(f"`{f.name}`") for f in keep], order), place, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 1024) -> DataFrame:

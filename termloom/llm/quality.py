@@ -76,7 +76,7 @@ class Trees:
 
 
 def train(labelled: DataFrame, max_rows: int = 20_000, trees: int = 20, depth: int = 3, rate: float = 0.3, ridge: float = 1.0, seed: int = 3) -> Trees:
-    """Trees from labelled (doc_id, text, label 0/1); labels that are null are left out.
+    """Trees from labelled (doc_id, text, label 0/1); labels that are null or NaN are left out.
 
     max_rows bounds the sample, taken by hash of doc_id with the chance that gives so many rows in
     expectation; their texts are whole. A null text counts as an empty one; repeated rows count again;
@@ -84,7 +84,7 @@ def train(labelled: DataFrame, max_rows: int = 20_000, trees: int = 20, depth: i
     base alone decides. Equal gains go to the first statistic and the lowest limit.
     """
     spark = labelled.sparkSession
-    labelled = labelled.filter("label IS NOT NULL")
+    labelled = labelled.filter(F.col("label").isNotNull() & ~F.isnan(F.col("label").cast("double")))
     n, ones = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     base = float(np.log((ones + 0.5) / (n - ones + 0.5)))
     inner, width = 2**depth - 1, len(STATISTICS)

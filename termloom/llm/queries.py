@@ -88,7 +88,7 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mix_sources(table(spark, sf_dir, "documents"))
-    return mix.documents.select("doc_id", "size", "source_size", "target", "taken")
+    return mix.documents.select("doc_id", "size", "source_size", "target", "taken", "first_slot", "slots")
 
 
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.llm.common import buckets_for, cut, running, small_frame
+from termloom.llm.common import buckets_for, cut, free_names, running, small_frame
 
 MAX_PARTS = 16_384
 
@@ -75,27 +75,28 @@ def shard_rows(df: DataFrame, shards: int = 24, seed: int = 7) -> DataFrame:
     later passes, and tasks that are run again after an executor is lost, see the same row numbers.
     Nulls, repeated rows and ties need no care: rows are told apart by their row number. An empty
     table gives an empty result. Columns named shard or slot in df are replaced; other columns keep
-    their names, whatever they are (working columns start with _s_).
+    their names, whatever they are: working columns take names that are free.
     """
     spark = df.sparkSession
     keep = [c for c in df.columns if c not in ("shard", "slot")]
-    base = cut(df.select(*[F.col(f"`{c}`") for c in keep]).withColumn("_s_id", F.monotonically_increasing_id()), "shard-rows")
+    row, part, end, rank, key, bucket = free_names(df, "_s_id", "_s_part", "_s_ends", "_s_rank", "_s_key", "_s_bucket")
+    base = cut(df.select(*[F.col(f"`{c}`") for c in keep]).withColumn(row, F.monotonically_increasing_id()), "shard-rows")
     rows = base.count()
     parts = min(MAX_PARTS, buckets_for(spark, rows))
-    dealt = base.withColumn("_s_part", F.pmod(F.xxhash64(F.lit(seed), "_s_id"), F.lit(parts)).cast("int"))
-    held = {r[0]: r[1] for r in dealt.groupBy("_s_part").count().collect()}  # at most MAX_PARTS rows
+    dealt = base.withColumn(part, F.pmod(F.xxhash64(F.lit(seed), row), F.lit(parts)).cast("int"))
+    held = {r[0]: r[1] for r in dealt.groupBy(part).count().collect()}  # at most MAX_PARTS rows
     matrix = communication_matrix([held.get(p, 0) for p in range(parts)], shards, seed)
-    ends = [{"_s_part": p, "_s_ends": np.cumsum(row).tolist()} for p, row in enumerate(matrix)]
-    plan = F.broadcast(small_frame(spark, ends, "_s_part int, _s_ends array<bigint>"))  # MAX_PARTS x shards numbers at most
-    local = Window.partitionBy("_s_part").orderBy(F.xxhash64(F.lit(seed + 1), "_s_id"), "_s_id")
+    ends = [{part: p, end: np.cumsum(counts).tolist()} for p, counts in enumerate(matrix)]
+    plan = F.broadcast(small_frame(spark, ends, f"{part} int, {end} array<bigint>"))  # MAX_PARTS x shards numbers at most
+    local = Window.partitionBy(part).orderBy(F.xxhash64(F.lit(seed + 1), row), row)
     sent = (
-        dealt.withColumn("_s_rank", F.row_number().over(local))
-        .join(plan, "_s_part")
-        .withColumn("shard", F.size(F.filter("_s_ends", lambda e: e < F.col("_s_rank"))))
-        .withColumn("_s_key", F.xxhash64(F.lit(seed + 2), "_s_id"))
-        .withColumn("_s_bucket", F.pmod(F.xxhash64(F.lit(seed + 3), "_s_id"), F.lit(parts)))
+        dealt.withColumn(rank, F.row_number().over(local))
+        .join(plan, part)
+        .withColumn("shard", F.size(F.filter(end, lambda e: e < F.col(rank))))
+        .withColumn(key, F.xxhash64(F.lit(seed + 2), row))
+        .withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed + 3), row), F.lit(parts)))
     )
-    placed = running(sent, "shard", "_s_bucket", ["_s_key", "_s_id"], F.lit(1), "slot")
+    placed = running(sent, "shard", bucket, [key, row], F.lit(1), "slot")
     return placed.select(*[F.col(f"`{c}`") for c in keep], "shard", "slot")
 
 

@@ -117,7 +117,7 @@ def score_urls(urls: DataFrame, weights: list[float]) -> DataFrame:
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, labelled: DataFrame | None = None, max_rows: int = 2_000) -> DataFrame:
-    """pages (with url) and host, path, rule, verdict, p_block; columns of these names are replaced.
+    """pages (with url) and host, path, rule, verdict, p_block; columns of these names are replaced, and one named rule_verdict goes.
 
     The verdict is the rule's where one fits and otherwise the classifier's (block above 0.5). With
     no labelled table the urls that a rule fits, with the rule's verdict, serve as one, up to
