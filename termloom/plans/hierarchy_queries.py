@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.operators import concepts as C
+from termloom.operators import constraints as CS
 from termloom.operators import hierarchy as H
 from termloom.operators.concepts import AttributeTest as A
 from termloom.operators.concepts import DescriptionTest as D
@@ -375,3 +376,43 @@ SELECT code FROM asia UNION SELECT code FROM members WHERE active AND refset_id
 def ecl_history(v: Views) -> DataFrame:
     asia = C.both(H.descendants(v.code("R:2"), v.closure), v.concepts.filter("module = 'customer'"))
     return C.with_history(asia, v.members, ["PRI:1-URGENT", "PRI:2-HIGH"])
+
+
+_LINES = """
+lines AS (SELECT 'O:' || l_orderkey AS code, l_linenumber AS no, p_brand AS brand, s_nationkey AS nation, l_returnflag AS flag, l_quantity AS q, l_discount AS d
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey),
+big AS (SELECT DISTINCT code FROM lines WHERE q >= 45),
+by_group AS (SELECT code, no, bool_or(flag = 'R') AS r, bool_or(q < 10 OR d > 0.08) AS low, bool_or(brand = 'Brand#11') AS b11 FROM lines WHERE no > 1 GROUP BY code, no),
+brands AS (SELECT DISTINCT code, no, brand FROM lines WHERE no > 1),
+nations AS (SELECT DISTINCT code, no, nation FROM lines WHERE no > 1)"""
+
+
+@query("ecl_constraints", sql(f"""{_LINES}
+SELECT DISTINCT 'returned/' || brand AS constraint_id, code FROM brands JOIN by_group USING (code, no) WHERE r AND code NOT IN (SELECT code FROM big)
+UNION ALL (SELECT 'often/' || brand, code FROM brands JOIN by_group USING (code, no) WHERE low GROUP BY brand, code HAVING count(*) >= 2 UNION SELECT 'often/' || brand, code FROM lines GROUP BY brand, code HAVING count(*) >= 3)
+UNION ALL SELECT 'once/' || nation, code FROM (
+  SELECT nation, code FROM nations JOIN by_group USING (code, no) WHERE NOT b11 UNION ALL SELECT nation, code FROM lines WHERE no = 1) JOIN concepts USING (code) WHERE active GROUP BY nation, code HAVING count(*) = 1
+UNION ALL SELECT 'without', code FROM (SELECT code, 1 AS n FROM by_group WHERE NOT r UNION ALL SELECT code, 4 + CASE WHEN flag <> 'R' THEN 1 ELSE 0 END FROM lines WHERE no = 1) GROUP BY code HAVING sum(n) >= 8""", "concepts"))
+def ecl_constraints(v: Views) -> DataFrame:
+    """Three constraints a brand or nation (nested and, or and not inside role groups, counts of groups and rows), and one that role groups meet by what they lack, in one plan."""
+    part, both = v.raw("part"), lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
+    brands, nations = part.select("p_brand").distinct(), v.raw("nation")
+    sets = part.select(F.col("p_brand").alias("set_name"), both("P:", "p_partkey").alias("code")).unionByName(v.raw("supplier").select(F.col("s_nationkey").cast("string").alias("set_name"), both("S:", "s_suppkey").alias("code")))
+    # trees once for a set that stands for all, whose name then comes from the tables
+    returned = CS.And(CS.Group(CS.And(CS.Test("has_part", "?"), CS.Test("returnflag", ("=", "R")))), CS.Not(CS.Test("quantity", (">=", 45))))
+    often = CS.Or(CS.Group(CS.And(CS.Test("has_part", "?"), CS.Or(CS.Test("quantity", ("<", 10)), CS.Test("discount", (">", 0.08)))), least=2), CS.Test("has_part", "?", least=3))
+    once = CS.Group(CS.And(CS.Test("has_supplier", "?"), CS.Not(CS.Test("has_part", "Brand#11"))), least=1, most=1)
+    without = CS.Group(CS.Not(CS.Test("returnflag", ("=", "R"))), least=8)
+    made = CS.frames(v.spark, {"returned": returned, "often": often, "once": once, "without": without})
+    names = brands.select(F.explode(F.array(F.lit("returned"), F.lit("often"))).alias("shape"), F.col("p_brand").alias("own")).unionByName(nations.select(F.lit("once").alias("shape"), F.col("n_nationkey").cast("string").alias("own")))
+    names = names.withColumn("name", F.concat_ws("/", "shape", "own")).unionByName(v.spark.sql("SELECT 'without' AS shape, '' AS own, 'without' AS name"))
+
+    def each(df: DataFrame) -> DataFrame:
+        columns = [c for c in df.columns if c != "constraint_id"]
+        out = df.join(names, F.col("constraint_id") == F.col("shape")).select(F.col("name").alias("constraint_id"), "own", *columns)
+        return (out.withColumn("set_name", F.when(F.col("set_name") == "?", F.col("own")).otherwise(F.col("set_name"))) if "set_name" in columns else out).drop("own")
+
+    orders = v.concepts.filter("module = 'orders'").select("code", F.explode(F.when(F.col("active"), F.array(F.lit("all"), F.lit("active"))).otherwise(F.array(F.lit("all")))).alias("domain"))
+    asked = names.select(F.col("name").alias("constraint_id"), F.when(F.col("shape") == "once", "active").otherwise("all").alias("domain"))
+    focus = asked.join(orders, "domain").select("constraint_id", "code")
+    return CS.select_all(focus, v.attributes, *[each(df) for df in made], sets)
