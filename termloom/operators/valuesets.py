@@ -297,11 +297,8 @@ def _met(rules: DataFrame, t: SystemTables, known: DataFrame | None, kinds: set[
     return _tested(reduce(DataFrame.unionByName, base), rules.drop("_n"), t, kinds)
 
 
-def _evaluate(rules: DataFrame, t: SystemTables, known: DataFrame | None) -> DataFrame:
-    """Expansions of the urls in rules, whose references are all in known (url, system, code)."""
-    kinds: dict[str, set[str]] = {"include": set(), "exclude": set()}
-    for side, kind in rules.select("side", _kind()).distinct().collect():  # a few words, whatever the rules: the plan holds no branch without rows
-        kinds[side].add(kind)
+def _evaluate(rules: DataFrame, t: SystemTables, known: DataFrame | None, kinds: dict[str, set[str]]) -> DataFrame:
+    """Expansions of the urls in rules, whose references are all in known (url, system, code); kinds of a side that no rule has only cost planning."""
     met = _met(rules.filter("side = 'include'"), t, known, kinds["include"], lambda whole: whole.join(t.codes, "system"))
     first = F.min(F.struct("rule_no", F.coalesce("place", F.lit(0)).alias("place"), "label"))
     kept = met.groupBy("url", "system", "code").agg(first.alias("_first"))
@@ -312,6 +309,55 @@ def _evaluate(rules: DataFrame, t: SystemTables, known: DataFrame | None) -> Dat
     return kept.select("url", "system", "code", F.col("_first.rule_no").alias("rule_no"), F.col("_first.place").alias("concept_no"), F.col("_first.label").alias("label"))
 
 
+def _kinds(rules: DataFrame) -> dict[str, set[str]]:
+    """The kinds of rows that each side has: a few words, whatever the rules, so that plans hold no branch without rows."""
+    found: dict[str, set[str]] = {"include": set(), "exclude": set()}
+    for side, kind in rules.select("side", _kind()).distinct().collect():
+        found[side].add(kind)
+    return found
+
+
+def _with_references(rules: DataFrame, t: SystemTables) -> DataFrame:
+    """Expansions of rules that refer to each other.
+
+    A value set is plain if it excludes nothing and each of its references stands alone in an include: what
+    it refers to is then only united, however long the chain. The rules of plain sets without references are evaluated once,
+    and each plain set takes what lies at the end of its ways through plain sets. The others (an exclude or an
+    intersection ends a stratum) are evaluated stratum by stratum, all at once whose references are known by then.
+    """
+    shape = rules.groupBy(*_RULE).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("ref_url").isNotNull()).alias("refers"), F.max("system").alias("system"))
+    mixed = (F.col("side") == "exclude") | (F.col("refers") & ((F.col("n") > 1) | F.col("system").isNotNull()))
+    urls = cut(shape.groupBy("url").agg((~F.max(mixed)).alias("plain")), "value-sets")
+    strict, plain = urls.filter("NOT plain").select("url"), urls.filter("plain").select("url")
+    refs = cut(rules.filter("ref_url IS NOT NULL").select("url", "rule_no", "ref_url").distinct().join(urls, "url"), "references")
+    ways = H.transitive_closure(refs.filter("plain").select(F.col("url").alias("child"), F.col("ref_url").alias("parent"))).select(F.col("descendant").alias("ref_url"), F.col("ancestor").alias("end"))
+    loops = ways.join(ways.select(F.col("end").alias("ref_url"), F.col("ref_url").alias("end")), ["ref_url", "end"]).select("ref_url").unionByName(refs.filter("url = ref_url").select("ref_url"))
+    if not loops.isEmpty():
+        raise ValueError("value sets refer to each other in a circle")
+    reach = ways.unionByName(urls.select(F.col("url").alias("ref_url"), F.col("url").alias("end")))  # what a reference draws on
+    own = rules.join(plain, "url", "left_semi").filter("ref_url IS NULL")
+    kinds = _kinds(own)
+    base = cut(_evaluate(own, t, None, kinds), "expansion") if any(kinds.values()) else None
+    done, left, size = base, strict, strict.count()
+    while size:
+        waiting = refs.join(left, "url", "left_semi").join(reach, "ref_url").join(left.select(F.col("url").alias("end")), "end", "left_semi").select("url").distinct()
+        ready = cut(left.join(waiting, "url", "left_anti"), "stratum")
+        now = rules.join(ready, "url", "left_semi")
+        needed = now.filter("ref_url IS NOT NULL").select("ref_url").distinct().join(reach, "ref_url")
+        known = needed.join(done.select(F.col("url").alias("end"), "system", "code"), "end").select(F.col("ref_url").alias("url"), "system", "code").distinct() if done is not None else None
+        made = cut(_evaluate(now, t, known, _kinds(now)), "expansion")
+        done, left = made if done is None else done.unionByName(made), cut(waiting, "strata-left")
+        before, size = size, left.count()
+        if size == before:
+            raise ValueError("value sets refer to each other in a circle")
+    if done is None or refs.filter("plain").isEmpty():
+        return done
+    drawn = refs.filter("plain").select("url", "rule_no", "ref_url").join(reach, "ref_url").join(done.select(F.col("url").alias("end"), "system", "code"), "end")
+    drawn = drawn.select("url", "system", "code", "rule_no", F.lit(0).alias("concept_no"), F.lit(None).cast("string").alias("label"))
+    first = F.min(F.struct("rule_no", "concept_no", "label"))
+    return done.unionByName(drawn).groupBy("url", "system", "code").agg(first.alias("_first")).select("url", "system", "code", "_first.*")
+
+
 def reference_cycles(rules: DataFrame) -> DataFrame:
     """Value sets that reach themselves through references, or refer to one that does."""
     refs = rules.filter("ref_url IS NOT NULL").select(F.col("url").alias("parent"), F.col("ref_url").alias("child")).distinct()
@@ -335,21 +381,8 @@ def expand(rules: DataFrame, t: SystemTables, active_only: bool = False, selecta
                 raise ValueError(f"{first['url']}: {first['reason']}: {first['property']} {first['op']} {first['value']}")
         else:
             rules = cut(rules.join(bad.filter("reason != 'unknown-code' OR NOT op IN ('in', 'not-in')").select(*_RULE).distinct(), _RULE, "left_anti"), "rules-sound")
-    refs = rules.filter("ref_url IS NOT NULL").select("url", "ref_url").distinct()
-    if refs.isEmpty():
-        out = _evaluate(rules, t, None)
-    else:
-        if not reference_cycles(rules).isEmpty():
-            raise ValueError("value sets refer to each other in a circle")
-        left, done = rules, None
-        while True:
-            waiting = left.select("url", "ref_url").filter("ref_url IS NOT NULL").join(left.select(F.col("url").alias("ref_url")).distinct(), "ref_url", "left_semi").select("url").distinct()
-            ready = cut(_evaluate(left.join(waiting, "url", "left_anti"), t, done), "expansion")
-            done = ready if done is None else done.unionByName(ready)
-            left = cut(left.join(waiting, "url", "left_semi"), "rules")
-            if left.isEmpty():
-                break
-        out = done
+    kinds = _kinds(rules)
+    out = _with_references(rules, t) if "ref" in kinds["include"] | kinds["exclude"] else _evaluate(rules, t, None, kinds)
     out = out.join(t.concepts.select("system", "code", "display", "active", "abstract"), ["system", "code"])
     if active_only:
         out = out.filter("active")

@@ -9,6 +9,7 @@ from termloom.plans.driver_views import Views, sql
 from termloom.plans.registry import query
 from termloom.sources import rf2
 from termloom.sources import terminologies as T
+from termloom.sources import written as W
 from termloom.tables import new_path
 
 
@@ -348,4 +349,23 @@ def read_fhir_concept_map(v: Views) -> DataFrame:
 @query("write_tables", sql("SELECT 'concepts' AS name, count(*) AS rows FROM concepts UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'members', count(*) FROM members", "concepts", "edges", "members"))
 def write_tables(v: Views) -> DataFrame:
     path = new_path(v.spark, "release")
-    return T.write_tables({"concepts": v.concepts.drop("module"), "edges": v.edges, "members": v.members}, path, "tpch", "1")
+    return W.write_tables({"concepts": v.concepts.drop("module"), "edges": v.edges, "members": v.members}, path, "tpch", "1")
+
+
+@query("read_tables", sql("""
+held AS (
+  SELECT 'world' AS system, '1' AS version, code FROM concepts WHERE module IN ('orders', 'customer') AND code NOT LIKE '%3' UNION ALL SELECT 'world', '2', code FROM concepts WHERE module IN ('orders', 'customer')
+  UNION ALL SELECT 'parts', '1', code FROM concepts WHERE module = 'part')
+SELECT l_orderkey, l_linenumber, l_partkey, code, count(*) FILTER (system = 'world') AS world, count(*) FILTER (system = 'parts') AS parts, max(version) AS newest
+FROM (SELECT *, unnest(['O:' || l_orderkey, 'P:' || l_partkey]) AS code FROM lineitem) JOIN held USING (code) GROUP BY ALL""", "concepts"))
+def read_tables(v: Views) -> DataFrame:
+    """Two systems and two versions are written, one version twice; all are read again and meet the line items in their buckets."""
+    path, c = new_path(v.spark, "releases"), v.concepts
+    world = c.filter("module IN ('orders', 'customer')")
+    for system, version, rows in (("world", "1", world), ("parts", "1", c.filter("module = 'part'")), ("world", "2", world), ("world", "1", world.filter("code NOT LIKE '%3'"))):
+        W.write_tables({"concepts": rows.select("code", "display", "active")}, path, system, version, buckets=8)
+    lines = v.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.explode(F.array(s("O:", "l_orderkey"), s("P:", "l_partkey"))).alias("code"))
+    held = W.read_tables(v.spark, path, "concepts")
+    found = lines.join(held.hint("merge"), "code")
+    count = lambda x: F.count_if(F.col("_system") == x)
+    return found.groupBy("l_orderkey", "l_linenumber", "l_partkey", "code").agg(count("world").alias("world"), count("parts").alias("parts"), F.max("_version").alias("newest"))

@@ -384,19 +384,3 @@ def read_fhir_concept_map(spark: SparkSession, path: str) -> tuple[DataFrame, Da
     flat = flat.select("map", "group_no", "source", "target", "element_no", "code", "no_map", "target_no", F.col("t.code").alias("target_code"), F.col("t.display").alias("target_display"), relationship(F.coalesce("t.relationship", "t.equivalence")).alias("relationship"))
     rules = groups.filter("g.unmapped IS NOT NULL").select("map", "group_no", F.col("g.source").alias("source"), F.col("g.target").alias("target"), F.col("g.unmapped.mode").alias("mode"), F.col("g.unmapped.code").alias("fixed_code"), F.col("g.unmapped.relationship").alias("relationship"), F.col("g.unmapped.otherMap").alias("other_map"))
     return flat, rules
-
-
-# sinks
-
-
-def write_tables(tables: dict[str, DataFrame], path: str, system: str, version: str, sort: dict[str, list[str]] | None = None) -> DataFrame:
-    """Each table under path/name, by system and version, sorted by code inside files; returns the manifest (name, rows)."""
-    spark = next(iter(tables.values())).sparkSession
-    counts = []
-    for name, df in tables.items():
-        keys = (sort or {}).get(name) or [c for c in ("code", "ancestor", "parent", "source") if c in df.columns][:1]
-        out = df.withColumn("_system", F.lit(system)).withColumn("_version", F.lit(version))
-        out = out.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else out
-        out.write.mode("overwrite").partitionBy("_system", "_version").parquet(f"{path}/{name}")
-        counts.append((name, spark.read.parquet(f"{path}/{name}").filter((F.col("_system") == system) & (F.col("_version") == version)).count()))
-    return spark.createDataFrame(counts, "name string, rows long")
