@@ -11,7 +11,6 @@ deletions. Cleaning asks the filters about every line and the exact counts about
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,11 +23,12 @@ from pyspark.sql import types as T
 from termloom.llm.arrow import map_slices, slices, utf8
 from termloom.llm.common import BROADCAST_BYTES, cut, free_names
 from termloom.llm.cuckoo import CuckooFilter
-from termloom.tables import new_path
 
 SPACE = b" \t\n\x0b\x0c\r"
 #: Keys of one filter, about.
 SHARD_KEYS = 32_768
+#: Tasks that the lines of one shard are dealt over, beyond the limits of what is sent to all executors.
+SALTS = 16
 #: Up to so many bytes of exact common keys (16 each) go to every executor; more are met by a join.
 EXACT_BYTES = 32_000_000
 _KEY = np.dtype([("h1", "<u8"), ("h2", "<u8")])
@@ -160,16 +160,16 @@ def drop_common_lines(
     their own; doc_id may be null. An empty table gives an empty result.
 
     Every line first meets the filters. Where exact keys (16 bytes each) and filters (about 3) are
-    within their limits, both go to all executors, and the text never moves. Beyond exact_bytes, the
-    lines that pass the filters meet the exact keys in a join (hot keys are split by AQE), and the
-    numbers of the lines to drop meet the text by hashes of id and text. Beyond filter_bytes, the keys
-    of all lines are written by groups of shards first, and each group meets its own filters.
+    within their limits, both go to all executors, and the text never moves. Beyond exact_bytes or
+    filter_bytes, line keys meet the filters by shard and salt, those that pass meet the exact keys in a
+    join (hot keys are split by AQE), and the numbers of the lines to drop meet the text by hashes of id
+    and text: neither filters nor keys pass the driver then.
     """
     docs = docs.drop(*names)
     index = index or LineIndex.of(docs, min_docs)
     held = index.filters.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
     if index.common.count() * 16 > exact_bytes or held > filter_bytes:
-        return _drop_by_join(docs, index, -(-held // filter_bytes), names)
+        return _drop_by_join(docs, index, names)
     keys = index.common.toArrow()  # exact_bytes at most
     exact = np.empty(keys.num_rows, _KEY)
     exact["h1"], exact["h2"] = (keys.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
@@ -220,22 +220,41 @@ def _drop_at(docs: DataFrame, names: tuple[str, str], gone: str | None, lines_to
     return docs.mapInArrow(run, schema)
 
 
-def _passing(keyed: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    """Those rows of keyed (with h1, h2) that the filters may hold."""
-    kept = keyed.sparkSession.sparkContext.broadcast(_collected(filters))
+def _passing(keyed: DataFrame, filters: DataFrame, shards: int, by: list[str]) -> DataFrame:
+    """Those rows of keyed (with h1, h2) that the filters may hold.
+
+    Lines and filters meet by (shard, salt): each task streams a filter and then its lines, so that it holds
+    one filter at a time and none passes the driver. A line takes its salt from the columns `by`, so that one that all documents share
+    is dealt over SALTS tasks; each filter goes to all of them. A common key has three bytes or so in a filter and at least
+    min_docs lines of forty, so the copies stay a small part of what moves.
+    """
+    shard, salt, data = free_names(keyed, "shard", "salt", "data")
+    lines = keyed.withColumns({shard: _shard(shards), salt: F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"), data: F.lit(None).cast("binary")})
+    copies = filters.select(F.col("shard").alias(shard), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt), F.col("data").alias(data))
+    both = lines.unionByName(copies, allowMissingColumns=True).repartition(shard, salt).sortWithinPartitions(shard, salt, F.col(data).isNull())
+    schema = keyed.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {s: CuckooFilter.load(x) for s, x in kept.value.items()}
+        held, of = None, None  # the filter that was seen last, and whose it is
         for batch in batches:
-            keys = np.empty(batch.num_rows, _KEY)
-            keys["h1"], keys["h2"] = (batch.column(batch.schema.get_field_index(c)).to_numpy().view(np.uint64) for c in ("h1", "h2"))
-            yield batch.filter(pa.array(_passes(held, shards, keys)))
-
-    return keyed.mapInArrow(run, keyed.schema)
-
-
-def _drop_by_join(docs: DataFrame, index: LineIndex, groups: int, names: tuple[str, str]) -> DataFrame:
-    """The way for any number of common keys: filters in `groups` groups of shards, then a join with the exact keys."""
+            column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            group = np.asarray(column[shard], np.int64) * SALTS + np.asarray(column[salt], np.int64)
+            starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            keys = column["h1"].fill_null(0).to_numpy().view(np.uint64)
+            keep = np.zeros(batch.num_rows, bool)
+            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
+                if column[data][start].is_valid:
+                    held, of = CuckooFilter.load(column[data][start].as_py()), int(group[start])
+                    start += 1
+                if of == int(group[end - 1]) and start < end:  # a shard without common keys has no filter
+                    keep[start:end] = held.contains(keys[start:end])
+            yield batch.filter(pa.array(keep)).select([f.name for f in schema])
+
+    return both.mapInArrow(run, schema)
+
+
+def _drop_by_join(docs: DataFrame, index: LineIndex, names: tuple[str, str]) -> DataFrame:
+    """The way for any number of common keys: lines meet their shard's filter in a stream, and what passes meets the exact keys in a join."""
     by_id, by_text, gone = free_names(docs, "_id", "_hash", "_gone")
     named = docs.withColumn(by_id, F.xxhash64("doc_id")).withColumn(by_text, F.xxhash64("text"))
 
@@ -251,15 +270,7 @@ def _drop_by_join(docs: DataFrame, index: LineIndex, groups: int, names: tuple[s
         return {k: pa.array(v[keep]) for k, v in made.items()}
 
     spread = map_slices(named.select(by_id, by_text, F.col("text").cast("binary")), lines, f"{by_id} long, {by_text} long, line long, h1 long, h2 long")
-    if groups <= 1:
-        passed = _passing(spread, index.filters, index.shards)
-    else:  # a group's lines lie in many files, so that a line that all documents share is no hot group
-        at = lambda c: F.floor(F.col(c) * groups / index.shards).cast("int")
-        folder = new_path(docs.sparkSession, "line-groups")
-        spread.withColumn("shard", _shard(index.shards)).withColumn("part", at("shard")).drop("shard").write.partitionBy("part").parquet(folder)
-        written = docs.sparkSession.read.schema(f"{by_id} long, {by_text} long, line long, h1 long, h2 long, part int").parquet(folder)
-        each = [_passing(written.filter(F.col("part") == g).drop("part"), index.filters.filter(at("shard") == g), index.shards) for g in range(groups)]
-        passed = reduce(DataFrame.unionByName, each)
+    passed = _passing(spread, index.filters, index.shards, [by_id, by_text, "line"])
     found = passed.join(index.common, ["h1", "h2"], "left_semi").groupBy(by_id, by_text).agg(F.collect_set("line").alias(gone))
     met = named.join(found, [by_id, by_text], "left").drop(by_id, by_text)
     return _drop_at(met, names, gone, lambda batch, parts: [set(x or ()) for x in batch.column(batch.schema.get_field_index(gone)).to_pylist()])

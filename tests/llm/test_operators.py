@@ -822,3 +822,21 @@ def test_near_dedup_margin_is_wide() -> None:
 
     error = (0.75 * 0.25 / N.M) ** 0.5  # of an estimate at the threshold
     assert N.MARGIN > 5 * error
+
+
+def test_filters_never_pass_the_driver_beyond_their_limit(spark, monkeypatch) -> None:  # noqa: ANN001
+    """Many small filters, a line that a third of all documents share, and nothing collected: the result of the small way."""
+    from termloom.llm import linededup
+
+    rows = [(i, "\n".join([f"line {i % 40}", f"own {i}", "everywhere" if i % 3 == 0 else f"rare {i // 15}", ""])) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("shard", "salt", "data")})
+    index = LineIndex.of(docs, 10, shard_keys=4)
+    assert index.shards > 5
+    small = {tuple(r) for r in drop_common_lines(docs, index).collect()}
+
+    def refuse(*_: object) -> None:
+        raise AssertionError("filters on the driver")
+
+    monkeypatch.setattr(linededup, "_collected", refuse)
+    assert {tuple(r) for r in drop_common_lines(docs, index, exact_bytes=0, filter_bytes=0).collect()} == small
+    assert sum(r[-1] for r in small) >= 600
