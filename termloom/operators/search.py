@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.text import primary_language, tokens
 
+#: Query words whose ranges an index file is read by.
+FEW = 32
+
 
 def inverted_index(designations: DataFrame, key: str = "designation_id") -> DataFrame:
     """(word, key): one row a distinct word of a term."""
@@ -21,15 +26,19 @@ def write_index(index: DataFrame, path: str) -> None:
 def prefix_search(queries: DataFrame, index: DataFrame, key: str = "designation_id") -> DataFrame:
     """(query_id, key): terms in which every word of the query (query_id, text) starts some word.
 
-    Queries of the same words are asked once. Each word of the vocabulary, cut to every length up to
-    that of the longest query word, meets the query words as a whole, and only the words found meet the
-    index. Queries without a word match nothing.
+    Queries of the same words are asked once. Each word of the vocabulary, cut to the lengths that query words
+    have, meets the query words as a whole, and only the words found meet the index. Where query words are few, the
+    index is read by their ranges, so that of a sorted file few row groups are touched. Queries without a word match nothing.
     """
     asked = queries.select("query_id", tokens(F.col("text")).alias("_words")).filter(F.size("_words") > 0)
     texts = asked.select("_words").distinct().withColumn("start", F.explode("_words"))
     starts = texts.select("start").distinct()
-    longest = starts.agg(F.coalesce(F.max(F.length("start")), F.lit(0))).first()[0]
-    cuts = F.transform(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(max(1, longest)))), lambda n: F.substring("word", F.lit(1), n))
+    lengths, few = starts.agg(F.sort_array(F.collect_set(F.length("start"))), F.slice(F.sort_array(F.collect_set(F.when(F.length("start") <= 64, F.col("start")))), 1, FEW + 1)).first()
+    if not lengths:
+        return asked.join(index.limit(0).select(key), F.lit(False)).select("query_id", key)
+    if len(few) <= FEW and lengths[-1] <= 64:
+        index = index.filter(reduce(lambda a, b: a | b, [F.col("word").between(w, w + chr(0x10FFFF)) for w in few]))
+    cuts = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("word")), lambda n: F.substring("word", F.lit(1), n))
     pairs = index.select("word").distinct().filter("word != ''").withColumn("start", F.explode(cuts)).join(starts, "start", "left_semi")
     hits = texts.join(pairs, "start").join(index, "word").select("_words", "start", key).distinct()
     found = hits.groupBy("_words", key).agg(F.count(F.lit(1)).alias("_met")).filter(F.col("_met") == F.size("_words"))

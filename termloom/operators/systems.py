@@ -141,17 +141,34 @@ def axis_value_check(asked: DataFrame, scales: DataFrame, closure: DataFrame) ->
 # definitions
 
 
-def normal_form_table(edges: DataFrame, attributes: DataFrame) -> DataFrame:
-    """(code, form): parents, then ungrouped attributes, then role groups in braces, all in order."""
+def normal_form_table(edges: DataFrame, attributes: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(code, form): parents, then ungrouped attributes, then role groups in braces, all in the order of their codes.
+
+    With terms (code, display) every code that has one is followed by it between bars; kinds of attributes too, where they are codes with terms.
+    """
     number = F.coalesce(F.col("number").try_cast("decimal(38,2)").cast("string"), F.format_string("%.2f", "number"))  # the second for what no decimal holds
-    value = F.coalesce("target", F.when(F.col("number").isNotNull(), F.concat(F.lit("#"), number)), F.concat(F.lit('"'), "text", F.lit('"')))
-    pair = F.concat("kind", F.lit("="), value)
-    groups = attributes.withColumn("_pair", pair).groupBy("source", "role_group").agg(F.array_join(F.sort_array(F.collect_list("_pair")), ",").alias("_text"))
+    plain = F.coalesce("target", F.when(F.col("number").isNotNull(), F.concat(F.lit("#"), number)), F.concat(F.lit('"'), "text", F.lit('"')))
+
+    def shown(df: DataFrame, column: str, name: str) -> DataFrame:
+        """df with `name`: the code in a column with its term."""
+        if terms is None:
+            return df.withColumn(name, F.col(column))
+        term = terms.select(F.col("code").alias("_code"), F.col("display").alias("_term"))
+        named = df.join(term, F.col(column) == F.col("_code"), "left")
+        return named.withColumn(name, F.when(F.col("_term").isNull(), F.col(column)).otherwise(F.concat(F.col(column), F.lit(" |"), "_term", F.lit("|")))).drop("_code", "_term")
+
+    rows = shown(shown(attributes, "kind", "_kind"), "target", "_target")
+    pair = F.struct(F.concat("kind", F.lit("="), plain).alias("order"), F.concat("_kind", F.lit("="), F.coalesce("_target", plain)).alias("text"))
+    texts = lambda c: F.transform(F.sort_array(c), lambda x: x["text"])
+    orders = lambda c: F.array_join(F.transform(F.sort_array(c), lambda x: x["order"]), ",")
+    groups = rows.withColumn("_pair", pair).groupBy("source", "role_group").agg(F.collect_list("_pair").alias("_pairs"))
+    groups = groups.select("source", "role_group", F.array_join(texts(F.col("_pairs")), ",").alias("_text"), orders(F.col("_pairs")).alias("_order"))
+    braced = F.struct(F.concat(F.lit("{"), "_order", F.lit("}")).alias("order"), F.concat(F.lit("{"), "_text", F.lit("}")).alias("text"))
     per = groups.groupBy(F.col("source").alias("code")).agg(
-        F.max(F.when(F.col("role_group") == 0, F.col("_text"))).alias("_plain"),
-        F.sort_array(F.collect_list(F.when(F.col("role_group") != 0, F.concat(F.lit("{"), "_text", F.lit("}"))))).alias("_groups"),
+        F.max(F.when(F.col("role_group") == 0, F.col("_text"))).alias("_plain"), texts(F.collect_list(F.when(F.col("role_group") != 0, braced))).alias("_groups"),
     )
-    up = edges.groupBy(F.col("child").alias("code")).agg(F.array_join(F.sort_array(F.collect_set("parent")), "+").alias("_up"))
+    parents = shown(edges.select("child", "parent").distinct(), "parent", "_parent")
+    up = parents.groupBy(F.col("child").alias("code")).agg(F.array_join(texts(F.collect_list(F.struct(F.col("parent").alias("order"), F.col("_parent").alias("text")))), "+").alias("_up"))
     right = F.array_join(F.filter(F.concat(F.array("_plain"), F.coalesce("_groups", F.array().cast("array<string>"))), lambda x: x.isNotNull()), ",")
     return up.join(per, "code", "full_outer").select("code", F.concat_ws(":", "_up", F.nullif(right, F.lit(""))).alias("form"))
 

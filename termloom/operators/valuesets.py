@@ -19,10 +19,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.functions.text import starts_words
+from termloom.functions.text import tokens
 from termloom.functions.versions import version_key
 from termloom.operators import hierarchy as H
 from termloom.operators.codes import current, keys_of, with_own
+from termloom.operators.search import inverted_index, prefix_search
 from termloom.tables import cut
 
 RULES = (
@@ -38,8 +39,8 @@ class SystemTables:
     """The tables of all systems. closure may be a function that gives it: it is called where a rule needs it.
 
     sets (value, system, code) are the sets that `constraint` filters name (see named_sets);
-    designations (code, term, active, perhaps system) take part in text filters; only (system, code)
-    narrows every rule to these codes.
+    designations (code, term, active, perhaps system; those of supplements too) take part in text filters, through
+    index, where it has been built before (text_index); only (system, code) narrows every rule to these codes.
     """
 
     concepts: DataFrame
@@ -51,6 +52,7 @@ class SystemTables:
     sets: DataFrame | None = None
     designations: DataFrame | None = None
     only: DataFrame | None = None
+    index: DataFrame | None = None
 
     @property
     def reach(self) -> DataFrame:
@@ -364,13 +366,14 @@ def reference_cycles(rules: DataFrame) -> DataFrame:
     return H.detect_cycles(refs.select(F.col("parent").alias("child"), F.col("child").alias("parent"))).select(F.col("node").alias("url"))
 
 
-def expand(rules: DataFrame, t: SystemTables, active_only: bool = False, selectable_only: bool = False, text: str | None = None, refuse: bool = True) -> DataFrame:
+def expand(rules: DataFrame, t: SystemTables, active_only: bool = False, selectable_only: bool = False, text: str | DataFrame | None = None, refuse: bool = True) -> DataFrame:
     """url, system, code, display, inactive, rule_no, concept_no of every value set in rules.
 
     Rules inside an include intersect, includes unite (the first keeps its place), excludes go.
     References are resolved from the ones below up; a circle of references is an error, and so is a filter that is
-    refused (see `refused`), unless refuse is false: then the rules that have one give nothing. text keeps the
-    codes of which the display, or an active designation where the tables have them, has all its words.
+    refused (see `refused`), unless refuse is false: then the rules that have one give nothing. text, one for all or
+    a table (url, text), keeps the codes of which the display, or an active designation where the tables have
+    them, has all its words. Texts meet the tables' word index, not terms one by one.
     """
     rules = cut(_counted(rules), "rules")
     if not rules.filter("filter_no IS NOT NULL").isEmpty():
@@ -388,16 +391,25 @@ def expand(rules: DataFrame, t: SystemTables, active_only: bool = False, selecta
         out = out.filter("active")
     if selectable_only:
         out = out.filter("NOT abstract")
-    if text:
-        named = starts_words(F.col("display"), F.lit(text))
-        if t.designations is not None:
-            on = keys_of(t.designations)
-            found = t.designations.filter("active").filter(starts_words(F.col("term"), F.lit(text))).select(*on, F.lit(True).alias("_named")).distinct()
-            out, named = out.join(found, on, "left"), named | F.coalesce("_named", F.lit(False))
-        out = out.filter(named)
+    if text is not None:
+        texts = out.select("url").distinct().withColumn("text", F.lit(text)) if isinstance(text, str) else text
+        wordy = texts.select(F.col("url").alias("query_id"), "text").filter(F.size(tokens(F.col("text"))) > 0)
+        found = prefix_search(wordy, text_index(t) if t.index is None else t.index, "key").select(F.col("query_id").alias("url"), "key.system", "key.code").distinct().withColumn("_named", F.lit(True))
+        asked = wordy.select(F.col("query_id").alias("url"), F.lit(True).alias("_asked")).distinct()
+        out = out.join(found, ["url", "system", "code"], "left").join(asked, "url", "left").filter("_asked IS NULL OR _named").drop("_named", "_asked")
     return out.select("url", "system", "code", F.coalesce("label", "display").alias("display"), (~F.col("active")).alias("inactive"), "rule_no", "concept_no")
 
 
+def text_index(t: SystemTables) -> DataFrame:
+    """(word, key): the words of displays and active designations; key is the term's system, code and id. Written sorted by word (search.write_index), a prefix reads few row groups of it."""
+    rows = t.concepts.select("system", "code", F.lit(None).cast("string").alias("id"), F.col("display").alias("term"))
+    if t.designations is not None:
+        d = t.designations.filter("active")
+        named = d if "system" in d.columns else d.join(t.concepts.select("system", "code"), "code")
+        rows = rows.unionByName(named.select("system", "code", (F.col("designation_id") if "designation_id" in d.columns else F.col("term")).cast("string").alias("id"), "term"))
+    return inverted_index(t.narrowed(rows).withColumn("key", F.struct("system", "code", "id")), "key")
+
+
 def pages(expansion: DataFrame, offset: int, count: int) -> DataFrame:
     """The same page of every value set, in the order of its compose, with place and total; each task keeps the first ones of a value set only."""
     order = Window.partitionBy("url").orderBy("rule_no", "concept_no", "system", "code")
@@ -455,13 +467,45 @@ def with_properties(expansion: DataFrame, properties: DataFrame, names: list[str
     return expansion.join(lists, ["system", "code"], "left").withColumn("properties", F.map_from_entries(F.concat(own, status))).drop("_p")
 
 
-def used_versions(rules: DataFrame, systems: DataFrame) -> DataFrame:
-    """url, kind, used: the system versions and value sets that each value set draws on, itself and through references."""
+def used_versions(rules: DataFrame, systems: DataFrame, supplements: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """url, kind, used: what each value set draws on, itself and through references.
+
+    Kinds are system (url and version; the one that a rule names, else the greatest), fragment (the same again where that version's content is
+    a fragment), value-set, and supplement: those of supplements (system, supplement_url, version) that asked (url, supplement_url) asks for
+    of a system that is drawn on.
+    """
     refs = rules.filter("ref_url IS NOT NULL").select(F.col("url").alias("child"), F.col("ref_url").alias("parent")).distinct()
     reach = H.transitive_closure(refs).select(F.col("descendant").alias("url"), F.col("ancestor").alias("via"))
     own = rules.select("url", F.col("url").alias("via")).distinct().unionByName(reach)
-    direct = rules.filter("system IS NOT NULL").join(systems.select("system", "version"), "system").select(F.col("url").alias("via"), F.concat_ws("|", "system", F.coalesce("system_version", "version")).alias("used")).distinct()
-    return own.join(direct, "via").select("url", F.lit("system").alias("kind"), "used").distinct().unionByName(reach.select("url", F.lit("value-set").alias("kind"), F.col("via").alias("used")))
+    newest = current(systems.select("system", "version")).select("system", F.col("version").alias("_newest"))
+    named = rules.filter("system IS NOT NULL").select(F.col("url").alias("via"), "system", "system_version").distinct().join(newest, "system")
+    drawn = cut(own.join(named, "via").select("url", "system", F.coalesce("system_version", "_newest").alias("version")).distinct(), "systems-drawn")
+    canonical = F.concat_ws("|", "system", "version").alias("used")
+    out = drawn.select("url", F.lit("system").alias("kind"), canonical).unionByName(reach.select("url", F.lit("value-set").alias("kind"), F.col("via").alias("used")))
+    if "content" in systems.columns:
+        partial = systems.filter("content = 'fragment'").select("system", "version")
+        out = out.unionByName(drawn.join(partial, ["system", "version"]).select("url", F.lit("fragment").alias("kind"), canonical))
+    if supplements is not None and asked is not None:
+        wanted = own.join(asked.select(F.col("url").alias("via"), "supplement_url"), "via").select("url", "supplement_url").distinct()
+        held = wanted.join(supplements.select("system", "supplement_url", F.col("version").alias("_version")), "supplement_url").join(drawn.select("url", "system").distinct(), ["url", "system"])
+        out = out.unionByName(held.select("url", F.lit("supplement").alias("kind"), F.concat_ws("|", "supplement_url", "_version").alias("used")).distinct())
+    return out
+
+
+#: What a value set or a system may state on a concept, to be echoed in expansions.
+ECHOES = ("label", "concept_order", "style", "xhtml", "definition")
+
+
+def with_echoes(expansion: DataFrame, stated: DataFrame, defined: DataFrame, definitions: bool = False) -> DataFrame:
+    """expansion with label, concept_order, style, xhtml and definition: what its value set states (url, system, code, ...), else what its system does (system, code, ...).
+
+    Each is taken on its own; columns that either table lacks count as null. definition comes only where it is asked for.
+    """
+    names = [e for e in ECHOES if definitions or e != "definition"]
+    pick = lambda df, keys, p: df.select(*keys, *[(F.col(e) if e in df.columns else F.lit(None)).cast("int" if e == "concept_order" else "string").alias(f"{p}{e}") for e in names])
+    out = expansion.drop(*ECHOES).join(pick(stated, ["url", "system", "code"], "_own_"), ["url", "system", "code"], "left").join(pick(defined, ["system", "code"], "_def_"), ["system", "code"], "left")
+    out = out.withColumns({e: F.coalesce(f"_own_{e}", f"_def_{e}") for e in names})
+    return out.drop(*[f"_{p}_{e}" for p in ("own", "def") for e in names])
 
 
 def pin_versions(rules: DataFrame, pins: DataFrame, systems: DataFrame, set_pins: DataFrame | None = None, value_sets: DataFrame | None = None, exclude: list[str] | None = None) -> DataFrame:

@@ -301,6 +301,19 @@ def normal_form_table(v: Views) -> DataFrame:
     return Y.normal_form_table(v.edges, v.attributes)
 
 
+@query("normal_form_terms", sql("""
+named AS (SELECT code, any_value(display) AS display FROM concepts GROUP BY code),
+pairs AS (SELECT source, role_group, kind || '=' || coalesce(target, '#' || printf('%.2f', number), '"' || text || '"') AS o,
+  kind || '=' || coalesce(target || coalesce(' |' || display || '|', ''), '#' || printf('%.2f', number), '"' || text || '"') AS pair FROM attributes LEFT JOIN named ON code = target),
+groups AS (SELECT source, role_group, string_agg(pair, ',' ORDER BY o, pair) AS t, string_agg(o, ',' ORDER BY o) AS o FROM pairs GROUP BY ALL),
+per AS (SELECT source AS code, max(t) FILTER (role_group = 0) AS plain, string_agg('{' || t || '}', ',' ORDER BY '{' || o || '}', '{' || t || '}') FILTER (role_group <> 0) AS braced FROM groups GROUP BY source),
+up AS (SELECT child AS code, string_agg(parent || ' |' || display || '|', '+' ORDER BY parent) AS u FROM (SELECT DISTINCT child, parent FROM edges) JOIN named ON code = parent GROUP BY child)
+SELECT code, concat_ws(':', u, nullif(concat_ws(',', plain, braced), '')) AS form FROM up FULL JOIN per USING (code)""", "concepts", "attributes", "edges"))
+def normal_form_terms(v: Views) -> DataFrame:
+    """The forms with the terms of parents and targets."""
+    return Y.normal_form_table(v.edges, v.attributes, v.concepts)
+
+
 @query("classification_properties", sql("SELECT code, max(value_text) FILTER (property = 'brand') AS usage, max(value_text) FILTER (property = 'type') AS kind FROM properties GROUP BY code", "properties"))
 def classification_properties(v: Views) -> DataFrame:
     return v.properties.groupBy("code").pivot("property", ["brand", "type"]).agg(F.max("value_text")).select("code", F.col("brand").alias("usage"), F.col("type").alias("kind"))

@@ -167,11 +167,17 @@ def vs_references(v: Views) -> DataFrame:
 
 
 @query("vs_used_versions", """
-SELECT 'region/' || n_regionkey AS url, 'value-set' AS kind, 'nation/' || n_nationkey AS used FROM nation UNION ALL SELECT 'region/' || r_regionkey, 'system', 'world|1.10' FROM region
-UNION ALL SELECT 'nation/' || n_nationkey, 'system', 'world|1.10' FROM nation UNION ALL SELECT DISTINCT 'brand/' || p_brand, 'system', 'parts|2' FROM part""")
+SELECT 'region/' || n_regionkey AS url, 'value-set' AS kind, 'nation/' || n_nationkey AS used FROM nation
+UNION ALL SELECT 'region/' || r_regionkey, kind, 'world|1.10' FROM region, (VALUES ('system'), ('fragment')) t(kind) UNION ALL SELECT 'nation/' || n_nationkey, kind, 'world|1.10' FROM nation, (VALUES ('system'), ('fragment')) t(kind)
+UNION ALL SELECT DISTINCT 'brand/' || p_brand, 'system', 'parts|2' FROM part UNION ALL SELECT DISTINCT 'brand/' || p_brand, 'supplement', 'urn:es|3' FROM part
+UNION ALL SELECT 'nation/3', 'supplement', 'urn:names|1' UNION ALL SELECT 'region/' || n_regionkey, 'supplement', 'urn:names|1' FROM nation WHERE n_nationkey = 3""")
 def vs_used_versions(v: Views) -> DataFrame:
+    """Systems, fragments, value sets and the supplements that sets ask for; a supplement of another system than a set draws on is not used."""
     s = Sets(v)
-    return VS.used_versions(s.rules, s.tables.systems)
+    supplements = v.spark.createDataFrame([("parts", "urn:es", "3"), ("world", "urn:names", "1")], "system string, supplement_url string, version string")
+    both = F.explode(F.array(F.lit("urn:es"), F.lit("urn:other"))).alias("supplement_url")
+    asked = s.rules.filter("url LIKE 'brand/%'").select("url").distinct().select("url", both).unionByName(v.spark.sql("SELECT * FROM VALUES ('nation/3', 'urn:names'), ('nation/3', 'urn:es') AS t(url, supplement_url)"))
+    return VS.used_versions(s.rules, s.tables.systems, supplements, asked)
 
 
 @query("vs_reference_cycles", "SELECT 'nation/' || n_nationkey AS url FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'region/1'")
@@ -192,12 +198,30 @@ def vs_exclude_abstract(v: Views) -> DataFrame:
     return Sets(v).expand(VS.implicit("all", "world"), selectable_only=True).select("code")
 
 
-@query("vs_text", sql("""
+_WORDS = "list_filter(string_split_regex(lower(term), '[^a-záéíóú0-9]+'), lambda w: w <> '')"
+
+
+@query("vs_text", sql(f"""
+texts AS (SELECT code, display AS term FROM concepts UNION ALL SELECT code, term FROM designations WHERE active),
+words AS (SELECT DISTINCT code, unnest({_WORDS}) AS word FROM texts WHERE code LIKE 'P:%' OR code LIKE 'B:%'),
+asked AS (SELECT p_brand, lower(substr(min(p_name), 1, 2)) AS start FROM part GROUP BY p_brand),
+inside AS (SELECT 'B:' || p_brand AS brand, 'B:' || p_brand AS code FROM part UNION SELECT 'B:' || p_brand, 'P:' || p_partkey FROM part)
+SELECT DISTINCT p_brand AS url, code FROM asked JOIN inside ON brand = 'B:' || p_brand JOIN words USING (code) WHERE starts_with(word, start)""", "concepts", "designations"))
+def vs_text(v: Views) -> DataFrame:
+    """A set and a text of its own for each brand: words of the display or of any active designation, met through the word index."""
+    s, brands = Sets(v), v.raw("part").groupBy("p_brand").agg(F.substring(F.min("p_name"), 1, 2).alias("text"))
+    head = s.literal([]).columns
+    rules = brands.select(F.col("p_brand").alias("url"), F.lit("include").alias("side"), F.lit(0).alias("rule_no"), F.lit("parts").alias("system"), F.lit(0).alias("filter_no"), F.lit("concept").alias("property"), F.lit("is-a").alias("op"), F.concat(F.lit("B:"), "p_brand").alias("value"))
+    rules = s.literal([]).unionByName(rules, allowMissingColumns=True).select(*head)
+    return VS.expand(rules, s.tables, text=brands.select(F.col("p_brand").alias("url"), "text")).select("url", "code")
+
+
+@query("vs_text_all", sql("""
 texts AS (SELECT code, display AS term FROM concepts UNION ALL SELECT code, term FROM designations WHERE active)
 SELECT code FROM concepts WHERE module IN ('part', 'brand', 'type', 'root') AND code NOT IN ('WORLD') AND code IN (
   SELECT code FROM texts WHERE len(list_filter(string_split_regex(lower(term), '[^a-z0-9]+'), lambda w: starts_with(w, 'b'))) > 0)""", "concepts", "designations"))
-def vs_text(v: Views) -> DataFrame:
-    """Words of the display or of any active designation."""
+def vs_text_all(v: Views) -> DataFrame:
+    """One text for the whole system."""
     return Sets(v).expand(VS.implicit("all", "parts"), text="B").select("code")
 
 
@@ -264,10 +288,17 @@ def vs_fragment_flag(v: Views) -> DataFrame:
     return VS.fragment_flags(s.expand(VS.implicit("all", "world", url="u"), VS.implicit("all", "parts", url="u2")), s.tables.systems).select("code", "provable")
 
 
-@query("vs_echo", "SELECT 'P:' || p_partkey AS code, CASE WHEN p_size = 1 THEN upper(p_name) ELSE p_name END AS display FROM part WHERE p_size <= 10 OR p_size = 20")
+@query("vs_echo", """
+SELECT 'P:' || p_partkey AS code, CASE WHEN p_size = 1 THEN upper(p_name) ELSE p_name END AS display, CASE WHEN p_size <= 3 THEN 'own ' || p_size ELSE 'size ' || p_size END AS label,
+  CASE WHEN p_size <= 3 THEN p_partkey WHEN p_size <> 20 THEN p_size END AS concept_order, CASE WHEN p_size = 20 THEN 'bold' END AS style, CASE WHEN p_size = 2 THEN 'two' ELSE p_type END AS definition FROM part WHERE p_size <= 10 OR p_size = 20""")
 def vs_echo(v: Views) -> DataFrame:
-    s = Sets(v)
-    return VS.expand(s.rules.filter("url LIKE 'brand%'"), s.tables).select("code", "display")
+    """What small parts' sets state on them, and what the system states on all."""
+    s, part = Sets(v), v.raw("part")
+    code, size = F.concat(F.lit("P:"), F.col("p_partkey").cast("string")).alias("code"), F.col("p_size").cast("string")
+    stated = part.filter("p_size <= 3").select(F.concat(F.lit("brand/"), "p_brand").alias("url"), F.lit("parts").alias("system"), code, F.concat(F.lit("own "), size).alias("label"), F.col("p_partkey").alias("concept_order"), F.when(F.col("p_size") == 2, "two").alias("definition"))
+    defined = part.select(F.lit("parts").alias("system"), code, F.concat(F.lit("size "), size).alias("label"), F.when(F.col("p_size") != 20, F.col("p_size")).alias("concept_order"), F.when(F.col("p_size") == 20, "bold").alias("style"), F.col("p_type").alias("definition"))
+    out = VS.with_echoes(VS.expand(s.rules.filter("url LIKE 'brand%'"), s.tables), stated, defined, definitions=True)
+    return out.select("code", "display", "label", "concept_order", "style", "definition")
 
 
 @query("vs_check_rules", "SELECT 'brand/' || p_brand AS url, 'include' AS side, 0 AS rule_no, 'vsd-2' AS error FROM part WHERE p_size <= 10 GROUP BY ALL UNION ALL SELECT 'brand/' || p_brand, 'include', 0, 'vsd-1' FROM part WHERE p_size <= 10 GROUP BY ALL UNION ALL SELECT 'both', 'include', 0, 'vsd-3'")
