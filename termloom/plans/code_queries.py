@@ -44,7 +44,7 @@ hits AS (SELECT query_id, designation_id, any_value(code) AS code, any_value(ter
 
 @query("prefix_search", sql(f"{_ASKED} SELECT query_id, designation_id FROM hits", "designations"))
 def prefix_search(v: Views) -> DataFrame:
-    return S.prefix_search(_asked(v), S.inverted_index(v.designations.filter("active")))
+    return S.prefix_search(_asked(v), v.word_index)
 
 
 @query("search_filters", sql("SELECT designation_id FROM designations WHERE active AND language = 'en' AND use_code = 'synonym'", "designations"))
@@ -56,7 +56,7 @@ def search_filters(v: Views) -> DataFrame:
 SELECT * FROM (SELECT query_id, code, term, row_number() OVER (PARTITION BY query_id ORDER BY length(term), code, designation_id) - 1 AS place, count(*) OVER (PARTITION BY query_id) AS total FROM hits) WHERE place BETWEEN 2 AND 6""", "designations"))
 def search_rank_page(v: Views) -> DataFrame:
     chosen = v.designations.filter("active")
-    return S.rank_page(S.prefix_search(_asked(v), S.inverted_index(chosen)), chosen, 2, 5)
+    return S.rank_page(S.prefix_search(_asked(v), v.word_index), chosen, 2, 5)
 
 
 @query("match_all_terms", sql(f"""{_ASKED}

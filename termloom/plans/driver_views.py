@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from termloom.operators import hierarchy as H
 from termloom.operators.concepts import Terminology
+from termloom.operators.search import inverted_index
 from termloom.tables import table
 
 
 #: Closures of table folders that the caller has built and written (as a release build does); queries over them build none.
 CLOSURES: dict[str, DataFrame] = {}
+#: Word indexes (word, designation_id) of active designations, in the same way.
+INDEXES: dict[str, DataFrame] = {}
 
 
 def _ymd(c: str):  # noqa: ANN202
@@ -127,6 +130,11 @@ class Views:
             rows(self.raw("supplier"), "S:", "s_suppkey", F.col("s_name"), "en", "full"),
         ])
 
+    @cached_property
+    def word_index(self) -> DataFrame:
+        """word, designation_id of active designations: a sorted file that was written before (INDEXES), or made here"""
+        return INDEXES[self.sf_dir] if self.sf_dir in INDEXES else inverted_index(self.designations.filter("active"))
+
     @cached_property
     def acceptability(self) -> DataFrame:
         """designation_id, refset_id, acceptability: synonyms preferred in their language's set, full names acceptable"""

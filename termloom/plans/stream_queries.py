@@ -65,6 +65,19 @@ def stream_rollup(v: Views) -> DataFrame:
     return v.spark.read.parquet(sink).select(F.col("start").cast("timestamp_ntz").alias("start"), "code", "n")
 
 
+@query("stream_late_rows", """
+SELECT date_trunc('hour', ts) AS start, 'C:' || (event_id % 2000) AS code, count(*) AS n FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 2 HOUR GROUP BY ALL""")
+def stream_late_rows(v: Views) -> DataFrame:
+    """All events, and then a copy of each whose window is over: the copies, counted in a table of their own."""
+    folder, sink, marks, state = (new_path(v.spark, x) for x in ("events", "stream", "stream-marks", "stream-state"))
+    rows = v.raw("events")
+    last = rows.agg(F.max("ts")).first()[0]
+    for part in (rows, rows.filter(F.col("ts") < F.lit(last).cast("timestamp_ntz") - F.expr("INTERVAL 2 HOURS"))):
+        part.write.mode("append").parquet(folder)
+        St.stream_late(_coded(v.spark.readStream.schema(rows.schema).parquet(folder)), sink, marks, state).awaitTermination()
+    return v.spark.read.parquet(sink).select(F.col("start").cast("timestamp_ntz").alias("start"), "code", "n")
+
+
 @query("stream_closure_delta", sql("""
 named AS (SELECT code, CASE WHEN module IN ('nation', 'part') THEN 0 WHEN module IN ('orders', 'brand') THEN 1 ELSE 2 END AS batch FROM concepts)
 SELECT descendant AS source, ancestor AS target, greatest(a.batch, b.batch) AS batch FROM closure JOIN named a ON a.code = descendant JOIN named b ON b.code = ancestor

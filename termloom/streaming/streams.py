@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from termloom.operators import codes as K
 from termloom.operators import hierarchy as H
-from termloom.tables import cut
+from termloom.tables import cut, forget
 
 
 def for_each_batch(stream: DataFrame, work: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
@@ -67,6 +67,36 @@ def stream_closure_delta(new_codes: DataFrame, tables: Callable[[SparkSession],
     return new_codes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_feed_select(offers: DataFrame) -> DataFrame:
-    """The newest date of each pair of offers (canonical, version, date as text), for update mode: one row a pair and batch in which the pair had an offer."""
-    return offers.groupBy("canonical", "version").agg(F.max("date").alias("date"))
+def stream_late(events: DataFrame, sink: str, marks: str, checkpoint: str, window: str = "1 hour", delay: str = "10 minutes") -> StreamingQuery:
+    """Counts per window and code of the events (ts, code) that come too late for stream_rollup, one row a batch, window and code.
+
+    An event is late if its window had ended by the watermark of the batches before: the latest event
+    among them less the delay. marks keeps that latest event for each batch, and only as long as a replay of the batch
+    after may ask for it, so that what is kept does not grow with the stream.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        folder = lambda i: f"{marks}/batch={i}"
+        before = spark.read.parquet(folder(batch_id - 1)).first()["latest"] if batch_id else None
+        batch = batch.select("ts", "code").persist()
+        latest = batch.agg(F.max("ts").alias("latest")).select(F.greatest("latest", F.lit(before).cast("timestamp")).alias("latest"))
+        latest.write.mode("overwrite").parquet(folder(batch_id))
+        windowed = batch.select(F.window("ts", window).alias("w"), "code")
+        late = windowed.filter(F.col("w.end") <= F.lit(before).cast("timestamp") - F.expr(f"INTERVAL {delay}")).groupBy("w", "code").agg(F.count(F.lit(1)).alias("n"))
+        late.select(F.col("w.start").alias("start"), "code", "n").write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        batch.unpersist()
+        forget(spark, folder(batch_id - 2))
+
+    return events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_feed_select(offers: DataFrame, keep: str = "30 days") -> DataFrame:
+    """The newest date of each pair of offers (canonical, version, date as text), for update mode: one row a pair, span of `keep` and batch in which the pair had an offer.
+
+    What is kept ends: a pair's offers are summed up by spans of time, and a span is given up once the latest offer of
+    the batches before is further ahead of its end than it is long. Offers that are older than that can be no
+    pair's newest but that of one that has long been silent; they are dropped.
+    """
+    timed = offers.withColumn("ts", F.to_timestamp("date")).withWatermark("ts", keep)
+    return timed.groupBy("canonical", "version", F.window("ts", keep).alias("w")).agg(F.max("date").alias("date")).drop("w")
