@@ -65,6 +65,26 @@ def rank_page(hits: DataFrame, designations: DataFrame, offset: int, count: int)
     return placed.join(totals, "query_id").select("query_id", "code", "term", "place", "total")
 
 
+def ranked_index(designations: DataFrame) -> DataFrame:
+    """(word, rank): an inverted index whose key is what hits are ranked by, so that hits need no terms to be put in order: length of the term, code, designation_id."""
+    rank = F.struct(F.length("term").alias("length"), "code", "designation_id")
+    return inverted_index(designations.withColumn("rank", rank), "rank")
+
+
+def first_page(queries: DataFrame, index: DataFrame, designations: DataFrame, offset: int, count: int) -> DataFrame:
+    """prefix_search and rank_page in one: query_id, code, term, place, total.
+
+    index is a ranked_index. Each task passes on no more than a query's first offset + count hits,
+    and only the page's own meet designations, for their terms; the rest are counted.
+    """
+    hits = prefix_search(queries, index, "rank")
+    order = Window.partitionBy("query_id").orderBy("rank")
+    first = hits.withColumn("_row", F.row_number().over(order)).filter(F.col("_row") <= offset + count)  # cut off before and after the shuffle
+    page = first.filter(F.col("_row") > offset).select("query_id", (F.col("_row") - 1).alias("place"), "rank.designation_id", "rank.code")
+    totals = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
+    return page.join(designations.select("designation_id", "term"), "designation_id").join(totals, "query_id").select("query_id", "code", "term", "place", "total")
+
+
 def match_all_terms(queries: DataFrame, designations: DataFrame) -> DataFrame:
     """(query_id, code): concepts where every query word starts a word of some active term, not always the same one."""
     return prefix_search(queries, inverted_index(designations.filter("active"), "code").distinct(), "code")

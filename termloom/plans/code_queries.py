@@ -52,13 +52,23 @@ def search_filters(v: Views) -> DataFrame:
     return S.search_filters(v.designations, "EN-us", v.acceptability.filter("acceptability = 'preferred'"), ["synonym"]).select("designation_id")
 
 
-@query("search_rank_page", sql(f"""{_ASKED}
-SELECT * FROM (SELECT query_id, code, term, row_number() OVER (PARTITION BY query_id ORDER BY length(term), code, designation_id) - 1 AS place, count(*) OVER (PARTITION BY query_id) AS total FROM hits) WHERE place BETWEEN 2 AND 6""", "designations"))
+_PAGE = sql(f"""{_ASKED}
+SELECT * FROM (SELECT query_id, code, term, row_number() OVER (PARTITION BY query_id ORDER BY length(term), code, designation_id) - 1 AS place, count(*) OVER (PARTITION BY query_id) AS total FROM hits) WHERE place BETWEEN 2 AND 6""", "designations")
+
+
+@query("search_rank_page", _PAGE)
 def search_rank_page(v: Views) -> DataFrame:
     chosen = v.designations.filter("active")
     return S.rank_page(S.prefix_search(_asked(v), v.word_index), chosen, 2, 5)
 
 
+@query("search_first_page", _PAGE)
+def search_first_page(v: Views) -> DataFrame:
+    """The same pages from an index in the order of ranks."""
+    chosen = v.designations.filter("active")
+    return S.first_page(_asked(v), S.ranked_index(chosen), chosen, 2, 5)
+
+
 @query("match_all_terms", sql(f"""{_ASKED}
 SELECT query_id, code FROM asked JOIN words ON starts_with(word, start) GROUP BY query_id, code
 HAVING count(DISTINCT start) = (SELECT count(*) FROM asked a WHERE a.query_id = asked.query_id)""", "designations"))
