@@ -65,14 +65,17 @@ class LanguageModel:
         return cls(languages, priors, prefixes, floor)
 
     @cached_property
-    def _rows(self) -> tuple[dict[str, int], np.ndarray, int]:
-        """Row of each prefix (0: no piece), the rows' probabilities (the last is the floor's), and the longest piece."""
-        places, rows = {}, [(0.0,) * len(self.languages)]
-        for prefix, p in self.prefixes.items():
-            places[prefix] = len(rows) if p is not None else 0
+    def _rows(self) -> tuple[dict, np.ndarray, int]:
+        """A tree of the pieces' letters: letter -> (row, further letters), row 0 where no piece ends; the rows' probabilities (the last is the floor's), and the longest piece."""
+        root, rows = {}, [(0.0,) * len(self.languages)]
+        for prefix, p in sorted(self.prefixes.items(), key=lambda x: len(x[0])):
+            node = root
+            for letter in prefix[:-1]:
+                node = node[letter][1]
+            node[prefix[-1]] = (len(rows) if p is not None else 0, {})
             if p is not None:
                 rows.append(p)
-        return places, np.array([*rows, (self.floor,) * len(self.languages)]), max(map(len, places), default=1)
+        return root, np.array([*rows, (self.floor,) * len(self.languages)]), max(map(len, self.prefixes), default=1)
 
     def words(self, words: list[str]) -> np.ndarray:
         """Log probability of each word in each language, summed over all segmentations; one forward pass for all words of a length.
@@ -80,7 +83,7 @@ class LanguageModel:
         The pass keeps the sums of the last few letters only, and scales them for each word and language on its own: words of any length follow one law.
         """
         out = np.empty((len(words), len(self.languages)))
-        places, p, longest = self._rows
+        tree, p, longest = self._rows
         by_length: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             by_length.setdefault(len(w) + 1, []).append(i)
@@ -91,7 +94,7 @@ class LanguageModel:
             logs = np.zeros((len(at), len(self.languages)))
             for first in range(0, n, LAID_OUT):
                 last = min(n, first + LAID_OUT)
-                steps = self._steps(texts, first, last, wide, places, len(p) - 1)
+                steps = self._steps(texts, first, last, wide, tree, len(p) - 1)
                 for a in range(first, last):
                     here = ahead[a % (wide + 1)]
                     if a % RESCALE == RESCALE - 1:  # never 0: each letter has a way to the next
@@ -106,21 +109,28 @@ class LanguageModel:
         return out
 
     @staticmethod
-    def _steps(texts: list[str], first: int, last: int, wide: int, places: dict[str, int], floor: int) -> np.ndarray:
+    def _steps(texts: list[str], first: int, last: int, wide: int, tree: dict, floor: int) -> np.ndarray:
         """(letter, piece length - 1, word) -> row of the piece that begins at the letter; 0 where there is none."""
-        get, n, where, what = places.get, len(texts[0]), [], []
+        where, what, width = [], [], len(texts)
         for column, text in enumerate(texts):
             for a in range(first, last):
-                for b in range(a + 1, min(n, a + wide) + 1):
-                    row = get(text[a:b])
-                    if row or b == a + 1:
-                        where.append(((a - first) * wide + b - a - 1) * len(texts) + column)
-                        what.append(row or floor)
-                    if row is None:
-                        break
-        steps = np.zeros((last - first) * wide * len(texts), np.int64)
+                at = (a - first) * wide * width + column
+                row, further = tree.get(text[a], (0, None))
+                where.append(at)
+                what.append(row or floor)
+                if further:
+                    for letter in text[a + 1 : a + wide]:
+                        found = further.get(letter)
+                        if found is None:
+                            break
+                        at += width
+                        row, further = found
+                        if row:
+                            where.append(at)
+                            what.append(row)
+        steps = np.zeros((last - first) * wide * width, np.int64)
         steps[where] = what
-        return steps.reshape(last - first, wide, len(texts))
+        return steps.reshape(last - first, wide, width)
 
     def word(self, word: str) -> list[float]:
         return self.words([word])[0].tolist()
