@@ -332,27 +332,29 @@ def _with_references(rules: DataFrame, t: SystemTables) -> DataFrame:
     urls = cut(shape.groupBy("url").agg((~F.max(mixed)).alias("plain")), "value-sets")
     strict, plain = urls.filter("NOT plain").select("url"), urls.filter("plain").select("url")
     refs = cut(rules.filter("ref_url IS NOT NULL").select("url", "rule_no", "ref_url").distinct().join(urls, "url"), "references")
-    ways = H.transitive_closure(refs.filter("plain").select(F.col("url").alias("child"), F.col("ref_url").alias("parent"))).select(F.col("descendant").alias("ref_url"), F.col("ancestor").alias("end"))
-    loops = ways.join(ways.select(F.col("end").alias("ref_url"), F.col("ref_url").alias("end")), ["ref_url", "end"]).select("ref_url").unionByName(refs.filter("url = ref_url").select("ref_url"))
-    if not loops.isEmpty():
-        raise ValueError("value sets refer to each other in a circle")
-    reach = ways.unionByName(urls.select(F.col("url").alias("ref_url"), F.col("url").alias("end")))  # what a reference draws on
+    reach, united = urls.select(F.col("url").alias("ref_url"), F.col("url").alias("end")), not refs.filter("plain").isEmpty()  # what a reference draws on
+    if united:
+        ways = H.transitive_closure(refs.filter("plain").select(F.col("url").alias("child"), F.col("ref_url").alias("parent"))).select(F.col("descendant").alias("ref_url"), F.col("ancestor").alias("end"))
+        loops = ways.join(ways.select(F.col("end").alias("ref_url"), F.col("ref_url").alias("end")), ["ref_url", "end"]).select("ref_url").unionByName(refs.filter("url = ref_url").select("ref_url"))
+        if not loops.isEmpty():
+            raise ValueError("value sets refer to each other in a circle")
+        reach = ways.unionByName(reach)
     own = rules.join(plain, "url", "left_semi").filter("ref_url IS NULL")
     kinds = _kinds(own)
     base = cut(_evaluate(own, t, None, kinds), "expansion") if any(kinds.values()) else None
     done, left, size = base, strict, strict.count()
     while size:
         waiting = refs.join(left, "url", "left_semi").join(reach, "ref_url").join(left.select(F.col("url").alias("end")), "end", "left_semi").select("url").distinct()
-        ready = cut(left.join(waiting, "url", "left_anti"), "stratum")
-        now = rules.join(ready, "url", "left_semi")
+        waiting = cut(waiting, "stratum")
+        before, size = size, waiting.count()
+        if size == before:
+            raise ValueError("value sets refer to each other in a circle")
+        now = rules.join(left.join(waiting, "url", "left_anti") if size else left, "url", "left_semi")
         needed = now.filter("ref_url IS NOT NULL").select("ref_url").distinct().join(reach, "ref_url")
         known = needed.join(done.select(F.col("url").alias("end"), "system", "code"), "end").select(F.col("ref_url").alias("url"), "system", "code").distinct() if done is not None else None
         made = cut(_evaluate(now, t, known, _kinds(now)), "expansion")
-        done, left = made if done is None else done.unionByName(made), cut(waiting, "strata-left")
-        before, size = size, left.count()
-        if size == before:
-            raise ValueError("value sets refer to each other in a circle")
-    if done is None or refs.filter("plain").isEmpty():
+        done, left = made if done is None else done.unionByName(made), waiting
+    if done is None or not united:
         return done
     drawn = refs.filter("plain").select("url", "rule_no", "ref_url").join(reach, "ref_url").join(done.select(F.col("url").alias("end"), "system", "code"), "end")
     drawn = drawn.select("url", "system", "code", "rule_no", F.lit(0).alias("concept_no"), F.lit(None).cast("string").alias("label"))
@@ -376,7 +378,8 @@ def expand(rules: DataFrame, t: SystemTables, active_only: bool = False, selecta
     them, has all its words. Texts meet the tables' word index, not terms one by one.
     """
     rules = cut(_counted(rules), "rules")
-    if not rules.filter("filter_no IS NOT NULL").isEmpty():
+    kinds = _kinds(rules)
+    if (kinds["include"] | kinds["exclude"]) - {"listed", "ref", "all"}:
         bad = refused(rules, t)
         if refuse:
             first = bad.orderBy("url", "rule_no", "filter_no").first()
@@ -384,7 +387,7 @@ def expand(rules: DataFrame, t: SystemTables, active_only: bool = False, selecta
                 raise ValueError(f"{first['url']}: {first['reason']}: {first['property']} {first['op']} {first['value']}")
         else:
             rules = cut(rules.join(bad.filter("reason != 'unknown-code' OR NOT op IN ('in', 'not-in')").select(*_RULE).distinct(), _RULE, "left_anti"), "rules-sound")
-    kinds = _kinds(rules)
+            kinds = _kinds(rules)
     out = _with_references(rules, t) if "ref" in kinds["include"] | kinds["exclude"] else _evaluate(rules, t, None, kinds)
     out = out.join(t.concepts.select("system", "code", "display", "active", "abstract"), ["system", "code"])
     if active_only:
