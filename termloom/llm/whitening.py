@@ -24,8 +24,10 @@ from termloom.tables import cut
 BLOCK_BYTES = 2_000_000
 #: Residuals as a share of the greatest eigenvalue that count as double precision: rounding of a product is a few units of 2**-52.
 PRECISION = 64 * 2.0**-52
-#: MINRES steps of a correction, and the share of its residual at which it stops before.
-INNER_STEPS, INNER_SHARE = 6, 0.05
+#: MINRES steps of a correction, and the share of its residual at which it stops before. A step reads all vectors, as does a round, so few steps and a wide subspace take the fewest reads.
+INNER_STEPS, INNER_SHARE = 2, 0.05
+#: Columns of the subspace for each pair that is sought, at which it starts again.
+COLUMNS_EACH = 8
 #: A direction with less than this share of the whole variance counts as having none.
 NO_VARIANCE = 1e-12
 _EXACT, _FAR = 2**62, 2.0**52
@@ -195,7 +197,7 @@ def leading_eigenpairs(multiply: Multiply, width: int, k: int, widest: int = 0,
     """
     k = min(k, width)
     sought = min(width, k + 2)
-    widest = min(width, widest or 4 * sought)
+    widest = min(width, widest or COLUMNS_EACH * sought)
     random = np.random.default_rng(seed)
     locked, values = np.zeros((width, 0)), []
     basis = _orthonormal(random.standard_normal((width, sought)))
