@@ -21,6 +21,8 @@ from termloom.llm.common import cut
 BINS = 4_096
 #: Vectors of one block, of candidates and of queries.
 BLOCK, QUERIES = 4_096, 512
+#: Bytes (as doubles) of the query vectors that a cell of the grid holds, and of the candidates that pass by them.
+CELL_QUERIES, CELL_CANDIDATES = 64_000_000, 256_000_000
 #: Scores are held in a long; what is beyond its ends counts as them.
 _END = 2**63 - 1
 #: Whole numbers up to here are exact as doubles, and so are their sums.
@@ -61,6 +63,22 @@ def _blocks(rows: DataFrame, width: int, parts: int, name: str) -> DataFrame:
     return dealt.repartition(parts, "_at").mapInPandas(pack, f"{name} int, ids binary, data binary")
 
 
+def grid(q_parts: int, c_parts: int, width: int, tasks: int) -> tuple[int, int]:
+    """Rows (of query blocks) and columns (of candidate blocks) of the cells in which blocks meet.
+
+    Candidates move once a row and queries once a column. Cells keep to their bytes (or hold one block), and there are at
+    least `tasks` of them, or one a pair of blocks; of rows and columns, those are added that move fewer bytes.
+    """
+    rows = -(-q_parts // max(1, CELL_QUERIES // (8 * width * QUERIES)))
+    columns = -(-c_parts // max(1, CELL_CANDIDATES // (8 * width * BLOCK)))
+    while rows * columns < min(tasks, q_parts * c_parts):
+        if columns < c_parts and (rows == q_parts or q_parts * QUERIES * columns <= c_parts * BLOCK * rows):
+            columns = min(c_parts, 2 * columns)
+        else:
+            rows = min(q_parts, 2 * rows)
+    return rows, columns
+
+
 def _matrix(data: bytes, rows: int, width: int) -> np.ndarray:
     return np.frombuffer(data, np.int32 if len(data) == 4 * rows * width else np.float64).reshape(rows, width).astype(np.float64)
 
@@ -110,6 +128,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
     width = max(1, c_width, q_width)
     bound = min(_END, width * int(c_most or 0) * int(q_most or 0) + 1)  # no score is beyond
     c_parts, q_parts = -(-n // BLOCK), -(-m // QUERIES)
+    rows, columns = grid(q_parts, c_parts, width, 3 * spark.sparkContext.defaultParallelism)
     c_blocks = cut(_blocks(candidates, width, c_parts, "cb"), "top-candidates")
     q_blocks = cut(_blocks(queries.dropDuplicates(["vec_id"]), width, q_parts, "qb"), "top-queries")
 
@@ -132,7 +151,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
                 yield pd.DataFrame({"qb": row.qb, "query_id": q_ids[cell // (BINS + 1)], "bin": cell % (BINS + 1), "n": sums})
 
     def met(ranges: DataFrame) -> DataFrame:
-        """Cells (query block, candidate block) with the ranges of the block's queries, in the order of its ids."""
+        """Each query block beside each candidate block, with the ranges of the block's queries in the order of its ids."""
         lists = ranges.groupBy("qb").agg(F.sort_array(F.collect_list(F.struct("query_id", "low", "step"))).alias("r"))  # a block's queries
         packed = q_blocks.join(lists, "qb").select(
             "qb", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("r.low").alias("lows"), F.col("r.step").alias("steps")
@@ -145,9 +164,11 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
                 yield f[["qb", "q_ids", "q_data", "low", "step"]]
 
         packed = packed.mapInPandas(flat, "qb int, q_ids binary, q_data binary, low binary, step binary")
-        # every block of queries goes to every block of candidates: a stated query set, in blocks
-        spread = packed.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_parts - 1))))
-        return spread.join(c_blocks, "cb")
+        # every block of queries meets every block of candidates: a stated query set, in blocks. A cell's candidates stream past its queries
+        asked = packed.withColumn("row", F.pmod("qb", F.lit(rows))).withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+        offered = c_blocks.select("ids", "data", F.pmod("cb", F.lit(columns)).alias("column"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("row"))
+        offered, asked = (x.repartition(rows * columns, "row", "column") for x in (offered, asked))
+        return offered.hint("merge").join(asked, ["row", "column"])
 
     step = -(-2 * bound // BINS)
     number = lambda c: F.col(c).cast("decimal(38,0)")

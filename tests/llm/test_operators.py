@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from termloom.llm import langid, mixing, quality
+from termloom.llm import langid, mixing, quality, topk
 from termloom.llm.cuckoo import CuckooFilter
 from termloom.llm.fingerprints import canonical, digest, edited_text, fingerprint, fingerprint_edits
 from termloom.llm.linededup import LineIndex, build_filters, drop_common_lines, line_keys, update_filters
@@ -666,6 +666,27 @@ def test_top_k(spark) -> None:  # noqa: ANN001
     assert top_k(few.limit(0), few, 20).count() == 0
 
 
+def test_top_k_on_a_grid(spark, monkeypatch) -> None:  # noqa: ANN001
+    """Several rows and columns of small blocks give what one cell gives; a grid moves few copies and keeps to its bytes."""
+    for q, c, width, tasks in ((1, 1, 64, 24), (6, 13, 64, 18), (9_766, 24_415, 64, 3_000), (5, 5, 100_000, 4), (40, 2, 8, 60)):
+        rows, columns = topk.grid(q, c, width, tasks)
+        assert 1 <= rows <= q and 1 <= columns <= c and rows * columns >= min(tasks, q * c)
+        assert rows == q or -(-q // rows) * topk.QUERIES * 8 * width <= topk.CELL_QUERIES
+        assert columns == c or -(-c // columns) * topk.BLOCK * 8 * width <= topk.CELL_CANDIDATES
+    assert topk.grid(9_766, 24_415, 64, 3_000) == (41, 201)  # 1e8 vectors: a query moves 201 times, not 24,415 times
+    rng = np.random.default_rng(21)
+    v = rng.integers(-1, 2, (300, 5))
+    ints = spark.createDataFrame([(i, x.astype(float).tolist()) for i, x in enumerate(v)], "vec_id long, v array<double>")
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    got = defaultdict(list)
+    for r in top_k(ints.filter("vec_id % 20 = 0"), ints, 20).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    for q in range(0, 300, 20):
+        best = sorted((-int(v[q] @ v[c]), c) for c in range(300) if c != q)[:20]
+        assert sorted(got[q]) == [(i + 1, c, -s) for i, (s, c) in enumerate(best)]
+
+
 def test_top_k_of_odd_vectors(spark) -> None:  # noqa: ANN001
     """Unequal and empty vectors, scores beyond doubles' whole numbers and beyond a long, an empty table's neighbours."""
 
