@@ -11,6 +11,8 @@ from termloom.functions.text import primary_language, tokens
 
 #: Query words whose ranges an index file is read by.
 FEW = 32
+#: Letters of the longest starts whose first hits short_pages keeps, and how many it keeps of each.
+SHORT, KEPT = 3, 1_000
 
 
 def inverted_index(designations: DataFrame, key: str = "designation_id") -> DataFrame:
@@ -71,18 +73,59 @@ def ranked_index(designations: DataFrame) -> DataFrame:
     return inverted_index(designations.withColumn("rank", rank), "rank")
 
 
-def first_page(queries: DataFrame, index: DataFrame, designations: DataFrame, offset: int, count: int) -> DataFrame:
+def short_pages(index: DataFrame, longest: int = SHORT, keep: int = KEPT) -> DataFrame:
+    """(start, place, rank, total): of each start of up to `longest` letters, the first `keep` hits in a ranked_index, and how many it has.
+
+    Starts so short are few and have the most hits; each task passes on no more than `keep` of a start's.
+    """
+    cuts = F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word"))), lambda n: F.substring("word", F.lit(1), n))
+    hits = index.filter("word != ''").select("rank", F.explode(cuts).alias("start")).distinct()
+    order = Window.partitionBy("start").orderBy("rank")
+    first = hits.withColumn("_row", F.row_number().over(order)).filter(F.col("_row") <= keep)
+    totals = hits.groupBy("start").agg(F.count(F.lit(1)).alias("total"))
+    return first.join(totals, "start").select("start", (F.col("_row") - 1).alias("place"), "rank", "total")
+
+
+def first_page(
+    queries: DataFrame, index: DataFrame, designations: DataFrame, offset: int, count: int, short: DataFrame | None = None, longest: int = SHORT, keep: int = KEPT
+) -> DataFrame:
     """prefix_search and rank_page in one: query_id, code, term, place, total.
 
-    index is a ranked_index. Each task passes on no more than a query's first offset + count hits,
-    and only the page's own meet designations, for their terms; the rest are counted.
+    index is a ranked_index of designations. Each task passes on no more than a query's first offset + count
+    hits, and only the page's own meet designations, for their terms; the rest are counted. With `short` (short_pages of
+    the index, with the same `longest` and `keep`) the many hits of short words are never built: a query of one
+    short word reads its page, and beside longer words short ones are tested on the hits of those. Pages
+    that end beyond `keep` take the general way.
     """
-    hits = prefix_search(queries, index, "rank")
+    if short is None or offset + count > keep:
+        return _named_page(*_page_of_hits(prefix_search(queries, index, "rank"), offset, count), designations)
+    asked = queries.select("query_id", tokens(F.col("text")).alias("_words")).withColumn("_long", F.filter("_words", lambda w: F.length(w) > longest))
+    alone = (F.size("_words") == 1) & (F.size("_long") == 0)
+    driving = F.when(F.size("_long") > 0, F.col("_long")).otherwise(F.col("_words"))
+    hits = prefix_search(asked.filter(~alone).select("query_id", F.array_join(driving, " ").alias("text")), index, "rank")
+    beside = asked.filter((F.size("_long") > 0) & (F.size("_long") < F.size("_words"))).select("query_id", F.array_except("_words", "_long").alias("_short"))
+    terms = designations.select("designation_id", tokens(F.col("term")).alias("_have"))
+    met = F.forall("_short", lambda w: F.exists("_have", lambda t: F.startswith(t, w)))
+    tested = hits.join(beside, "query_id").withColumn("designation_id", F.col("rank.designation_id")).join(terms, "designation_id").filter(met)
+    hits = hits.join(beside.select("query_id"), "query_id", "left_anti").unionByName(tested.select("query_id", "rank"))
+    pages = asked.filter(alone).select("query_id", F.col("_words")[0].alias("start")).join(short, "start")
+    page, totals = _page_of_hits(hits, offset, count)
+    read = pages.filter((F.col("place") >= offset) & (F.col("place") < offset + count)).select("query_id", "place", "rank", "total")
+    return _named_page(page.join(totals, "query_id").unionByName(read), None, designations)
+
+
+def _page_of_hits(hits: DataFrame, offset: int, count: int) -> tuple[DataFrame, DataFrame]:
+    """The page (query_id, place, rank) and the totals (query_id, total) of hits (query_id, rank)."""
     order = Window.partitionBy("query_id").orderBy("rank")
     first = hits.withColumn("_row", F.row_number().over(order)).filter(F.col("_row") <= offset + count)  # cut off before and after the shuffle
-    page = first.filter(F.col("_row") > offset).select("query_id", (F.col("_row") - 1).alias("place"), "rank.designation_id", "rank.code")
-    totals = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
-    return page.join(designations.select("designation_id", "term"), "designation_id").join(totals, "query_id").select("query_id", "code", "term", "place", "total")
+    page = first.filter(F.col("_row") > offset).select("query_id", (F.col("_row") - 1).alias("place"), "rank")
+    return page, hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
+
+
+def _named_page(page: DataFrame, totals: DataFrame | None, designations: DataFrame) -> DataFrame:
+    page = page if totals is None else page.join(totals, "query_id")
+    page = page.select("query_id", "place", "rank.designation_id", "rank.code", "total")
+    return page.join(designations.select("designation_id", "term"), "designation_id").select("query_id", "code", "term", "place", "total")
 
 
 def match_all_terms(queries: DataFrame, designations: DataFrame) -> DataFrame:

@@ -34,14 +34,18 @@ def _asked(v: Views) -> DataFrame:
     return v.raw("part").filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), text.alias("text"))
 
 
-_ASKED = f"""
-asked AS (SELECT query_id, unnest(list_distinct({_WORDS.format('text')})) AS start FROM (
-  SELECT p_partkey AS query_id, substr(string_split(p_name, ' ')[2], 1, 3) || ' ' || upper(substr(string_split(p_name, ' ')[1], 1, 3)) AS text FROM part WHERE p_partkey % 100 = 0)),
+def _asked_sql(text: str) -> str:
+    """The words of what is asked (text of a row of part), the words of terms, and the hits."""
+    return f"""
+asked AS (SELECT query_id, unnest(list_distinct({_WORDS.format('text')})) AS start FROM (SELECT p_partkey AS query_id, {text} AS text FROM part WHERE p_partkey % 100 = 0)),
 words AS (SELECT designation_id, code, term, unnest(list_distinct({_WORDS.format('term')})) AS word FROM designations WHERE active),
 hits AS (SELECT query_id, designation_id, any_value(code) AS code, any_value(term) AS term FROM asked JOIN words ON starts_with(word, start)
   GROUP BY query_id, designation_id HAVING count(DISTINCT start) = (SELECT count(*) FROM asked a WHERE a.query_id = asked.query_id))"""
 
 
+_ASKED = _asked_sql("substr(string_split(p_name, ' ')[2], 1, 3) || ' ' || upper(substr(string_split(p_name, ' ')[1], 1, 3))")
+
+
 @query("prefix_search", sql(f"{_ASKED} SELECT query_id, designation_id FROM hits", "designations"))
 def prefix_search(v: Views) -> DataFrame:
     return S.prefix_search(_asked(v), v.word_index)
@@ -52,10 +56,14 @@ def search_filters(v: Views) -> DataFrame:
     return S.search_filters(v.designations, "EN-us", v.acceptability.filter("acceptability = 'preferred'"), ["synonym"]).select("designation_id")
 
 
-_PAGE = sql(f"""{_ASKED}
+def _page_sql(asked: str) -> str:
+    return sql(f"""{asked}
 SELECT * FROM (SELECT query_id, code, term, row_number() OVER (PARTITION BY query_id ORDER BY length(term), code, designation_id) - 1 AS place, count(*) OVER (PARTITION BY query_id) AS total FROM hits) WHERE place BETWEEN 2 AND 6""", "designations")
 
 
+_PAGE = _page_sql(_ASKED)
+
+
 @query("search_rank_page", _PAGE)
 def search_rank_page(v: Views) -> DataFrame:
     chosen = v.designations.filter("active")
@@ -69,6 +77,26 @@ def search_first_page(v: Views) -> DataFrame:
     return S.first_page(_asked(v), S.ranked_index(chosen), chosen, 2, 5)
 
 
+_SHORT = """CASE p_partkey // 100 % 3 WHEN 0 THEN upper(substr(p_name, 1, 1)) WHEN 1 THEN substr(p_name, 1, 2) || ' ' || substr(string_split(p_name, ' ')[2], 1, 2)
+  ELSE string_split(p_name, ' ')[2] || ' ' || substr(p_name, 1, 1) END"""
+
+
+@query("search_short_page", _page_sql(_asked_sql(_SHORT)))
+def search_short_page(v: Views) -> DataFrame:
+    """Pages of one letter, of two starts of two letters, and of a whole word beside one letter."""
+    w, kind = F.split("p_name", " "), F.floor(F.col("p_partkey") / 100) % 3
+    start = lambda c, n: F.substring(c, 1, n)
+    other = F.get(w, F.lit(1))
+    text = (
+        F.when(kind == 0, F.upper(start("p_name", 1))).when(kind == 1, F.concat_ws(" ", start("p_name", 2), start(other, 2)))
+        .otherwise(F.concat_ws(" ", other, start("p_name", 1)))
+    )
+    asked = v.raw("part").filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), text.alias("text"))
+    chosen = v.designations.filter("active")
+    index = S.ranked_index(chosen)
+    return S.first_page(asked, index, chosen, 2, 5, S.short_pages(index))
+
+
 @query("match_all_terms", sql(f"""{_ASKED}
 SELECT query_id, code FROM asked JOIN words ON starts_with(word, start) GROUP BY query_id, code
 HAVING count(DISTINCT start) = (SELECT count(*) FROM asked a WHERE a.query_id = asked.query_id)""", "designations"))

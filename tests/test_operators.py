@@ -13,6 +13,7 @@ from termloom.functions.versions import version_matches
 from termloom.operators import codes as K
 from termloom.operators import concepts as C
 from termloom.operators import hierarchy as H
+from termloom.operators import search as S
 from termloom.operators import valuesets as VS
 from termloom.sources import rf2
 
@@ -282,3 +283,19 @@ def test_optional_part_only_hides_its_absence(monkeypatch) -> None:  # noqa: ANN
     with pytest.raises(ModuleNotFoundError):
         entry._optional("termloom.part.queries")
     monkeypatch.setattr(entry, "import_module", importlib.import_module)
+
+
+def test_short_pages(spark) -> None:  # noqa: ANN001
+    """Pages from kept first hits equal those of all hits: short words alone, beside longer ones, repeated, without hits, with marks, and beyond what is kept."""
+    made = ["Élan vital", "elk", "elk elm", "elder elm tree", "ash tree", "ash", "Ash grove elm", "", None, "el", "e", "oak-tree elm", "elm elm"] * 3
+    names = spark.createDataFrame([(i, f"c{i % 7}", t) for i, t in enumerate(made)], "designation_id long, code string, term string")
+    asked = ["e", "El", "é", "elm", "elm e", "a elm", "tree a", "tree e el", "el e", "x", "", None, "elder tr", "xylem e", "e e"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    index = S.ranked_index(names)
+    short = S.short_pages(index, 2, 9)
+    assert short.groupBy("start").count().filter("count > 9").isEmpty()
+    hits = S.prefix_search(queries, S.inverted_index(names))
+    for offset, count in ((0, 5), (4, 5), (2, 7), (6, 20)):
+        want = sorted(map(tuple, S.rank_page(hits, names, offset, count).collect()))
+        assert want and sorted(map(tuple, S.first_page(queries, index, names, offset, count, short, 2, 9).collect())) == want
+        assert sorted(map(tuple, S.first_page(queries, index, names, offset, count).collect())) == want
