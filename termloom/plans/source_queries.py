@@ -197,8 +197,8 @@ def rxnorm_attributes(v: Views) -> DataFrame:
 def read_icd10cm_order(v: Views) -> DataFrame:
     path, p = new_path(v.spark, "order"), v.raw("part")
     pad = lambda c, n: F.rpad(c, n, " ")
-    p.select(F.concat(F.lpad(F.col("p_partkey").cast("string"), 5, "0"), F.lit(" "), pad(s("A", "p_partkey"), 7), F.lit(" "), F.when(F.col("p_size") > 25, "0").otherwise("1"), F.lit(" "), pad(F.upper("p_name"), 60), F.lit(" "), F.col("p_name"))).write.text(path)
-    return T.read_icd10cm_order(v.spark, path).select("order", "code", "header", "long")
+    p.select(F.concat(F.lpad(F.col("p_partkey").cast("string"), 19, "0"), F.lit(" "), pad(s("A", "p_partkey"), 20), F.lit(" "), F.when(F.col("p_size") > 25, "0").otherwise("1"), F.lit(" "), pad(F.upper("p_name"), 60), F.lit(" "), F.col("p_name"))).write.text(path)
+    return T.read_icd10cm_order(v.spark, path, order=19, code=20).select("order", "code", "header", "long")
 
 
 @query("read_atc", "SELECT 'class' AS what, p_brand AS code, 'level ' || p_brand AS value FROM part GROUP BY p_brand UNION ALL SELECT 'dose', p_brand, CAST(p_size AS VARCHAR) FROM part WHERE p_size > 5")

@@ -91,11 +91,12 @@ def _fixed(df: DataFrame, places: dict[str, tuple[int, int]]) -> DataFrame:
     return df.select(*[F.nullif(F.trim(F.substring("value", start, n)), F.lit("")).alias(name) for name, (start, n) in places.items()])
 
 
-def read_icd10cm_order(spark: SparkSession, path: str) -> DataFrame:
-    """(order, code, header, short, long); codes over three characters get their period."""
-    df = _fixed(spark.read.text(path), {"order": (1, 5), "code": (7, 7), "flag": (15, 1), "short": (17, 60), "long": (78, 400)})
-    code = F.when(F.length("code") > 3, F.concat(F.substring("code", 1, 3), F.lit("."), F.substring("code", 4, 10))).otherwise(F.col("code"))
-    return df.select(F.col("order").cast("int").alias("order"), code.alias("code"), (F.col("flag") == "0").alias("header"), "short", "long")
+def read_icd10cm_order(spark: SparkSession, path: str, order: int = 5, code: int = 7) -> DataFrame:
+    """(order, code, header, short, long); codes over three characters get their period. order and code are the widths of these fields, for files of more rows than five digits number."""
+    flag = order + code + 3
+    df = _fixed(spark.read.text(path), {"order": (1, order), "code": (order + 2, code), "flag": (flag, 1), "short": (flag + 2, 60), "long": (flag + 63, 400)})
+    code = F.when(F.length("code") > 3, F.concat(F.substring("code", 1, 3), F.lit("."), F.expr("substring(code, 4)"))).otherwise(F.col("code"))
+    return df.select(F.col("order").cast("long").alias("order"), code.alias("code"), (F.col("flag") == "0").alias("header"), "short", "long")
 
 
 def read_product_ladder(spark: SparkSession, path: str, places: dict[str, tuple[int, int]], length: int) -> DataFrame:
