@@ -152,11 +152,11 @@ def definition_diff(old: DataFrame, new: DataFrame, keys: list[str], ignore: lis
     return both.withColumn("change", change).withColumn("fields", F.when(F.col("change") == "changed", fields)).filter("change IS NOT NULL").select(*keys, "change", "fields")
 
 
-def snapshot_from_full(full: DataFrame, key: str, as_of: int, time: str = "effective_time") -> DataFrame:
-    """Of every id the latest row up to a date; of several of one time that of the greatest text, so that reruns agree."""
+def snapshot_from_full(full: DataFrame, key: str, as_of: int, time: str = "effective_time", released: str | None = None) -> DataFrame:
+    """Of every id the latest row up to a date; of several of one time that of the greatest text, so that reruns agree. as_of bounds `released`, where that is another column than the time rows are ordered by."""
     rest = [c for c in full.columns if c != key]
     order = F.struct(F.col(time), F.to_json(F.struct(*rest)))
-    return full.filter(F.col(time) <= as_of).groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_row")).select(key, "_row.*")
+    return full.filter(F.col(released or time) <= as_of).groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_row")).select(key, "_row.*")
 
 
 def release_diff(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -151,9 +151,10 @@ def definition_diff(v: Views) -> DataFrame:
 
 @query("snapshot_from_full", "SELECT o_custkey AS id, max(CAST(strftime(o_orderdate, '%Y%m%d') AS BIGINT) * 1000000 + o_orderkey) AS effective_time FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY o_custkey")
 def snapshot_from_full(v: Views) -> DataFrame:
-    time = F.date_format("o_orderdate", "yyyyMMdd").cast("long") * 1_000_000 + F.col("o_orderkey")
-    full = v.raw("orders").select(F.col("o_custkey").alias("id"), time.alias("effective_time"), "o_orderstatus")
-    return R.snapshot_from_full(full, "id", 19971231_999_999).select("id", "effective_time")
+    """Orders by their date; keys of over six digits reach into the days after it, so the date alone says what is released."""
+    date = F.date_format("o_orderdate", "yyyyMMdd").cast("long")
+    full = v.raw("orders").select(F.col("o_custkey").alias("id"), (date * 1_000_000 + F.col("o_orderkey")).alias("effective_time"), date.alias("released"), "o_orderstatus")
+    return R.snapshot_from_full(full, "id", 19971231, released="released").select("id", "effective_time")
 
 
 @query("release_diff", "SELECT 'O:' || o_orderkey AS code, CASE WHEN o_orderkey % 10 = 0 THEN 'added' WHEN o_orderkey % 10 = 1 THEN 'removed' WHEN o_orderkey % 10 = 2 THEN 'moved' ELSE 'retired' END AS change FROM orders WHERE o_orderkey % 10 < 3 OR (o_orderkey % 10 > 2 AND o_orderstatus = 'F')")

@@ -38,3 +38,7 @@ def same(spark, name: str, folder: str) -> None:  # noqa: ANN001
 @pytest.mark.parametrize("name", ["read_icd10cm_order"])
 def test_part_keys_of_seven_digits(spark, tmp_path, name: str) -> None:  # noqa: ANN001
     same(spark, name, shifted(tmp_path, {"part": "p_partkey + 7199900 AS p_partkey"}))
+
+
+def test_order_keys_of_seven_digits(spark, tmp_path) -> None:  # noqa: ANN001
+    same(spark, "snapshot_from_full", shifted(tmp_path, {"orders": "o_orderkey + 8999000 AS o_orderkey"}))
