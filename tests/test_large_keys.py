@@ -8,6 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from termloom.operators import search as S
 from termloom.plans import ORACLES, QUERIES
 from tests.test_queries import DATA, shown
 
@@ -42,3 +43,15 @@ def test_part_keys_of_seven_digits(spark, tmp_path, name: str) -> None:  # noqa:
 
 def test_order_keys_of_seven_digits(spark, tmp_path) -> None:  # noqa: ANN001
     same(spark, "snapshot_from_full", shifted(tmp_path, {"orders": "o_orderkey + 8999000 AS o_orderkey"}))
+
+
+def test_equal_queries_are_ranked_once(spark) -> None:  # noqa: ANN001
+    """Hits are of distinct lists of words, however many queries have them."""
+    names = spark.range(60).selectExpr("concat('d', id) AS designation_id", "concat('c', id) AS code", "concat(CASE WHEN id % 2 = 0 THEN 'large' ELSE 'small' END, ' ring ', id % 7) AS term")
+    queries = spark.range(90).selectExpr("id AS query_id", "CASE WHEN id % 3 = 0 THEN 'R lar' WHEN id % 3 = 1 THEN 'LAR r' ELSE 'sm' END AS text")
+    index = S.ranked_index(names)
+    assert S._found(S._asked(queries), index, "rank").groupBy("_words").count().select("count").collect() == [(30,), (30,)]
+    want = sorted(map(tuple, S.rank_page(S.prefix_search(queries, S.inverted_index(names)), names, 2, 5).collect()))
+    assert len(want) == 450 and sorted(map(tuple, S.search_page(queries, S.inverted_index(names), names, 2, 5).collect())) == want
+    for short in (None, S.short_pages(index, 2, 9)):
+        assert sorted(map(tuple, S.first_page(queries, index, names, 2, 5, short, 2, 9).collect())) == want
