@@ -361,9 +361,10 @@ FROM (SELECT *, unnest(['O:' || l_orderkey, 'P:' || l_partkey]) AS code FROM lin
 def read_tables(v: Views) -> DataFrame:
     """Two systems and two versions are written, one version twice; all are read again and meet the line items in their buckets."""
     path, c = new_path(v.spark, "releases"), v.concepts
-    world = c.filter("module IN ('orders', 'customer')")
-    for system, version, rows in (("world", "1", world), ("parts", "1", c.filter("module = 'part'")), ("world", "2", world), ("world", "1", world.filter("code NOT LIKE '%3'"))):
-        W.write_tables({"concepts": rows.select("code", "display", "active")}, path, system, version, buckets=8)
+    world, parts = c.filter("module IN ('orders', 'customer')"), c.filter("module = 'part'")
+    buckets = W.buckets_for(world.count() + parts.count())
+    for system, version, rows in (("world", "1", world), ("parts", "1", parts), ("world", "2", world), ("world", "1", world.filter("code NOT LIKE '%3'"))):
+        W.write_tables({"concepts": rows.select("code", "display", "active")}, path, system, version, buckets=buckets)
     lines = v.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.explode(F.array(s("O:", "l_orderkey"), s("P:", "l_partkey"))).alias("code"))
     held = W.read_tables(v.spark, path, "concepts")
     found = lines.join(held.hint("merge"), "code")

@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 
 from termloom.tables import forget
 
-#: Buckets of a written table.
+#: Buckets of a written table, where no number is given; and the rows of a bucket that buckets_for reckons with.
 BUCKETS = 64
+BUCKET_ROWS = 50_000
 _MANIFEST = "no long, name string, system string, version string, folder string, key string, buckets int, rows long, schema string"
 
 
@@ -29,6 +30,11 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return _manifest(spark, path).drop("no", "schema")
 
 
+def buckets_for(rows: int, least: int = 8) -> int:
+    """Buckets of tables of so many rows in all: a task reads one bucket of all of them, so their number grows with the rows."""
+    return max(least, -(-rows // BUCKET_ROWS))
+
+
 def write_tables(tables: dict[str, DataFrame], path: str, system: str, version: str, keys: dict[str, str] | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Writes the tables of one version of a system below path and returns its manifest rows (name, rows).
 

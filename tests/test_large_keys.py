@@ -10,6 +10,7 @@ import pytest
 
 from termloom.operators import search as S
 from termloom.plans import ORACLES, QUERIES
+from termloom.sources import written as W
 from tests.test_queries import DATA, shown
 
 
@@ -55,3 +56,8 @@ def test_equal_queries_are_ranked_once(spark) -> None:  # noqa: ANN001
     assert len(want) == 450 and sorted(map(tuple, S.search_page(queries, S.inverted_index(names), names, 2, 5).collect())) == want
     for short in (None, S.short_pages(index, 2, 9)):
         assert sorted(map(tuple, S.first_page(queries, index, names, 2, 5, short, 2, 9).collect())) == want
+
+
+def test_buckets_grow_with_rows() -> None:
+    """A task reads one bucket of all versions, so that its rows stay about the same."""
+    assert [W.buckets_for(n) for n in (0, 400_000, 400_001, 59_000_000)] == [8, 8, 9, 1180]
