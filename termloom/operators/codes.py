@@ -46,9 +46,10 @@ def known_codes(concepts: DataFrame, systems: DataFrame, *columns: str) -> DataF
     return keyed.groupBy("system", code_key(F.col("code"), F.col("case_sensitive")).alias("_key")).agg(F.min(F.struct("code", *columns)).alias("_own"))
 
 
-def with_own(facts: DataFrame, concepts: DataFrame, systems: DataFrame, *columns: str) -> DataFrame:
+def with_own(facts: DataFrame, concepts: DataFrame, systems: DataFrame, *columns: str, by_shuffle: bool = False) -> DataFrame:
     """facts (system, code) with _own: the code in the system's own spelling, and columns of its concept; null where it is not known.
 
+    by_shuffle: many codes are known, so that they are not to be sent to every executor, however small they are when compressed.
     Where concepts are intervals, facts have release_no and systems are numbered releases.
     """
     if by_version(concepts):
@@ -58,7 +59,8 @@ def with_own(facts: DataFrame, concepts: DataFrame, systems: DataFrame, *columns
         return keyed.join(known, on, "left").drop("_k_system", "_k_key", "from_no", "to_no", "_key", "case_sensitive")
     systems = current(systems)
     keyed = facts.join(systems.select("system", "case_sensitive"), "system", "left").withColumn("_key", code_key(F.col("code"), F.col("case_sensitive")))
-    return keyed.join(known_codes(concepts, systems, *columns), ["system", "_key"], "left").drop("_key", "case_sensitive")
+    known = known_codes(concepts, systems, *columns)
+    return keyed.join(known.hint("merge") if by_shuffle else known, ["system", "_key"], "left").drop("_key", "case_sensitive")
 
 
 def _resolved(facts: DataFrame, concepts: DataFrame, systems: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:

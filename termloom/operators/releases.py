@@ -68,9 +68,9 @@ def apply_supplement(designations: DataFrame, properties: DataFrame, extra_terms
 def _findings(listed: DataFrame, release: DataFrame, inside: DataFrame | None = None) -> DataFrame:
     """listed (system, code, and others) of systems that the release has, with finding; rows without one are left out."""
     now = release.select("system", "code", F.col("active").alias("_active"))
-    served = listed.join(release.select("system").distinct(), "system", "left_semi").join(now, ["system", "code"], "left")
+    served = listed.join(release.select("system").distinct(), "system", "left_semi").join(now.hint("merge"), ["system", "code"], "left")  # whole releases: not for the driver
     if inside is not None:
-        served = served.join(inside.select("url", "system", "code", F.lit(True).alias("_in")).distinct(), ["url", "system", "code"], "left")
+        served = served.join(inside.select("url", "system", "code", F.lit(True).alias("_in")).distinct().hint("merge"), ["url", "system", "code"], "left")
     out = F.col("_in").isNull() if inside is not None else F.lit(False)
     finding = F.when(F.col("_active").isNull(), "unknown").when(out, "outside").when(~F.col("_active"), "inactive")
     return served.withColumn("finding", finding).filter("finding IS NOT NULL").drop("_active", "_in")

@@ -24,7 +24,7 @@ from termloom.functions.versions import version_key
 from termloom.operators import hierarchy as H
 from termloom.operators.codes import current, keys_of, with_own
 from termloom.operators.search import inverted_index, prefix_search
-from termloom.tables import cut
+from termloom.tables import BROADCAST_ROWS, cut
 
 RULES = (
     "url string, side string, rule_no int, system string, system_version string, concept_no int, code string, display string, "
@@ -95,11 +95,16 @@ def _keyed(df: DataFrame, cond: Column, place: Column | None = None, label: Colu
 
 
 def enumerated(rules: DataFrame, t: SystemTables) -> DataFrame:
-    """Listed concepts that exist, in the system's own spelling; unknown ones are dropped. Only concepts that are listed in some case are keyed."""
+    """Listed concepts that exist, in the system's own spelling; unknown ones are dropped. Only concepts that are listed in some case are keyed.
+
+    Lists of more than BROADCAST_ROWS meet concepts by shuffle, however small they are when compressed, and never pass the driver.
+    """
     rows = rules.filter("code IS NOT NULL")
+    many = rows.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS
     named = rows.select("system", F.lower("code").alias("_low")).distinct()
+    named = named.hint("merge") if many else named
     concepts = t.concepts.select("system", "code", F.lower("code").alias("_low")).join(named, ["system", "_low"], "left_semi")
-    listed = with_own(rows, concepts, t.systems).filter("_own IS NOT NULL")
+    listed = with_own(rows, concepts, t.systems, by_shuffle=many).filter("_own IS NOT NULL")
     return t.narrowed(_keyed(listed.withColumn("code", F.col("_own.code")), F.lit("listed"), F.col("concept_no"), F.col("display")))
 
 
@@ -307,7 +312,7 @@ def _evaluate(rules: DataFrame, t: SystemTables, known: DataFrame | None, kinds:
     if kinds["exclude"]:
         kept = cut(kept, "included")  # what is not included need not be excluded
         out = _met(rules.filter("side = 'exclude'"), t, known, kinds["exclude"], lambda whole: whole.join(kept.select("url", "system", "code"), ["url", "system"]))
-        kept = kept.join(out.select("url", "system", "code"), ["url", "system", "code"], "left_anti")
+        kept = kept.join(out.select("url", "system", "code").hint("merge"), ["url", "system", "code"], "left_anti")  # as many as excludes give: not for the driver
     return kept.select("url", "system", "code", F.col("_first.rule_no").alias("rule_no"), F.col("_first.place").alias("concept_no"), F.col("_first.label").alias("label"))
 
 
@@ -389,7 +394,9 @@ def expand(rules: DataFrame, t: SystemTables, active_only: bool = False, selecta
             rules = cut(rules.join(bad.filter("reason != 'unknown-code' OR NOT op IN ('in', 'not-in')").select(*_RULE).distinct(), _RULE, "left_anti"), "rules-sound")
             kinds = _kinds(rules)
     out = _with_references(rules, t) if "ref" in kinds["include"] | kinds["exclude"] else _evaluate(rules, t, None, kinds)
-    out = out.join(t.concepts.select("system", "code", "display", "active", "abstract"), ["system", "code"])
+    concepts = t.concepts.select("system", "code", "display", "active", "abstract")
+    many = rules.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS  # so many rules mostly list codes: their expansion is as large
+    out = out.join(concepts.hint("merge") if many else concepts, ["system", "code"])
     if active_only:
         out = out.filter("active")
     if selectable_only:

@@ -81,7 +81,7 @@ FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 7 = 0 OR o
 def revalidate_value_sets(v: Views) -> DataFrame:
     """Orders listed by market segment, against a release without every seventh order; every eleventh is excluded again."""
     t = Sets(v)
-    orders = v.raw("orders").join(v.raw("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    orders = v.raw("orders").join(v.raw("customer").hint("merge"), F.col("o_custkey") == F.col("c_custkey"))
     head = t.literal([]).columns
     of = lambda df, side: df.select(s("seg/", "c_mktsegment").alias("url"), F.lit(side).alias("side"), F.lit(0).alias("rule_no"), F.lit("world").alias("system"), F.lit(0).alias("concept_no"), s("O:", "o_orderkey").alias("code"))
     rules = t.literal([]).unionByName(of(orders, "include"), allowMissingColumns=True).unionByName(of(orders.filter("o_orderkey % 11 = 0"), "exclude"), allowMissingColumns=True).select(*head)

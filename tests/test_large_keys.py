@@ -7,8 +7,11 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from termloom.operators import hierarchy as H
 from termloom.operators import search as S
+from termloom.operators import valuesets as VS
 from termloom.plans import ORACLES, QUERIES
 from termloom.sources import written as W
 from tests.test_queries import DATA, shown
@@ -61,3 +64,25 @@ def test_equal_queries_are_ranked_once(spark) -> None:  # noqa: ANN001
 def test_buckets_grow_with_rows() -> None:
     """A task reads one bucket of all versions, so that its rows stay about the same."""
     assert [W.buckets_for(n) for n in (0, 400_000, 400_001, 59_000_000)] == [8, 8, 9, 1180]
+
+
+def test_leaves_move_a_parent_once(spark) -> None:  # noqa: ANN001
+    """Parents are made distinct before they are met, so that the children of one parent do not fill a task."""
+    edges = spark.range(50).selectExpr("concat('c', id) AS child", "'top' AS parent")
+    found = H.leaves(edges.select(F.col("child").alias("code")).unionByName(edges.select(F.col("parent").alias("code")).distinct()), edges)
+    assert found.count() == 50 and "Deduplicate" in found._jdf.queryExecution().logical().toString()
+
+
+def test_long_lists_do_not_pass_the_driver(spark, monkeypatch) -> None:  # noqa: ANN001
+    """Beyond BROADCAST_ROWS listed codes and excluded ones are joined by shuffle, with the same result."""
+    rules = spark.createDataFrame([r for side, codes in (("include", "abcd"), ("exclude", "d")) for r in VS.rule("u", side, 0, "s", codes=list(codes.upper()))], VS.RULES)
+    concepts = spark.createDataFrame([("s", c, c, True, False, "m") for c in "abdef"], "system string, code string, display string, active boolean, abstract boolean, module string")
+    none = spark.createDataFrame([], "system string, code string, property string, value_text string")
+    edges = spark.createDataFrame([], "system string, child string, parent string")
+    systems = spark.createDataFrame([("s", "1", False)], "system string, version string, case_sensitive boolean")
+    t = VS.SystemTables(concepts, edges, lambda: None, none, systems)
+    for rows, hinted in ((100, False), (2, True)):
+        monkeypatch.setattr(VS, "BROADCAST_ROWS", rows)
+        out = VS.expand(rules, t)
+        assert sorted(r["code"] for r in out.collect()) == ["a", "b"]
+        assert ("strategy=merge" in VS.enumerated(VS._counted(rules), t)._jdf.queryExecution().analyzed().toString()) is hinted
