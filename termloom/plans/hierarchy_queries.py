@@ -413,6 +413,5 @@ def ecl_constraints(v: Views) -> DataFrame:
         return (out.withColumn("set_name", F.when(F.col("set_name") == "?", F.col("own")).otherwise(F.col("set_name"))) if "set_name" in columns else out).drop("own")
 
     orders = v.concepts.filter("module = 'orders'").select("code", F.explode(F.when(F.col("active"), F.array(F.lit("all"), F.lit("active"))).otherwise(F.array(F.lit("all")))).alias("domain"))
-    asked = names.select(F.col("name").alias("constraint_id"), F.when(F.col("shape") == "once", "active").otherwise("all").alias("domain"))
-    focus = asked.join(orders, "domain").select("constraint_id", "code")
-    return CS.select_all(focus, v.attributes, *[each(df) for df in made], sets)
+    focus = names.select(F.col("name").alias("constraint_id"), F.when(F.col("shape") == "once", "active").otherwise("all").alias("domain"))
+    return CS.select_all(focus, v.attributes, *[each(df) for df in made], sets, orders)

@@ -156,3 +156,25 @@ def test_constraints_against_brute_force(spark) -> None:  # noqa: ANN001
     assert 100 < len(want) < 60 * 26 - 100
     with pytest.raises(ValueError):
         CS.as_rows("t", CS.Group(CS.Group(CS.Test("a"))))
+
+
+def test_constraints_of_domains(spark) -> None:  # noqa: ANN001
+    """Constraints that share tests and are asked of shared domains, short ones and ones of many tokens: what matches does not multiply by the constraints that share a test."""
+    pick, sets = random.Random(5), {"one": {"x"}, "two": {"x", "y"}}
+    by = {f"s{i}": [(pick.randrange(3), 100 * i + r, *pick.choice([("a", pick.choice("xyz"), None, None), ("b", None, float(pick.randrange(5)), None)])) for r in range(i % 7)] for i in range(25)}
+    trees = {f"t{i}": CS.And(CS.Group(CS.And(CS.Test("a", pick.choice(["one", "two"])), CS.Test("b", (">", 1))), least=pick.choice([0, 1, 2])), CS.Not(CS.Test("b", ("=", i % 5)))) for i in range(30)}
+    trees |= {f"o{i}": CS.Or(CS.Test("a", "one", least=2), CS.Group(CS.Not(CS.Test("b", ("<", i))), least=2)) for i in range(5)}
+    trees["long"] = CS.And(*[CS.Or(CS.Test("a", "two"), CS.Not(CS.Test("b", ("=", i % 4)))) for i in range(40)])
+    rows = spark.createDataFrame([(s, *r) for s, own in by.items() for r in own], "source string, role_group int, row_id long, kind string, target string, number double, text string")
+    held = spark.createDataFrame([(n, c) for n, x in sets.items() for c in x], "set_name string, code string")
+    codes = {"all": [*by, "bare"], "odd": [s for s in by if int(s[1:]) % 2]}
+    domains = spark.createDataFrame([(d, c) for d, x in codes.items() for c in x], "domain string, code string")
+    asked = [(t, "odd" if i % 2 else "all") for i, t in enumerate(trees)] + [("t1", "all")]
+    tests, groups, constraints = CS.frames(spark, trees)
+    got = [tuple(r) for r in CS.select_all(spark.createDataFrame(asked, "constraint_id string, domain string"), rows, tests, groups, constraints, held, domains).collect()]
+    want = {(t, c) for t, d in asked for c in codes[d] if brute(trees[t], [r for r in by.get(c, [])], sets)}
+    assert len(got) == len(set(got)) and set(got) == want
+    apart = CS.numbered_tests(tests)[0]
+    distinct = apart.count()
+    assert distinct < tests.count() / 3 and CS.matching(rows, apart, held).count() <= distinct * rows.count()
+    assert CS.matching(rows, apart, held).groupBy("test", "source", "role_group", "row").count().filter("row IS NOT NULL AND count > 1").isEmpty()
