@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions.identifiers import checked_number_reason, concept_id_reason, namespace
 from termloom.operators import hierarchy as H
-from termloom.tables import cut
+from termloom.tables import cut, small
 
 # LOINC-like tables: terms (code, columns...), links (code, part, axis), parts (part, name), answers (list, answer, sequence), lists (code, list)
 
@@ -145,30 +145,37 @@ def normal_form_table(edges: DataFrame, attributes: DataFrame, terms: DataFrame
     """(code, form): parents, then ungrouped attributes, then role groups in braces, all in the order of their codes.
 
     With terms (code, display) every code that has one is followed by it between bars; kinds of attributes too, where they are codes with terms.
+    Rows move once, to the task of their source, and only those with a target move to its term before.
     """
     number = F.coalesce(F.col("number").try_cast("decimal(38,2)").cast("string"), F.format_string("%.2f", "number"))  # the second for what no decimal holds
     plain = F.coalesce("target", F.when(F.col("number").isNotNull(), F.concat(F.lit("#"), number)), F.concat(F.lit('"'), "text", F.lit('"')))
-
-    def shown(df: DataFrame, column: str, name: str) -> DataFrame:
-        """df with `name`: the code in a column with its term."""
-        if terms is None:
-            return df.withColumn(name, F.col(column))
-        term = terms.select(F.col("code").alias("_code"), F.col("display").alias("_term"))
-        named = df.join(term, F.col(column) == F.col("_code"), "left")
-        return named.withColumn(name, F.when(F.col("_term").isNull(), F.col(column)).otherwise(F.concat(F.col(column), F.lit(" |"), "_term", F.lit("|")))).drop("_code", "_term")
-
-    rows = shown(shown(attributes, "kind", "_kind"), "target", "_target")
-    pair = F.struct(F.concat("kind", F.lit("="), plain).alias("order"), F.concat("_kind", F.lit("="), F.coalesce("_target", plain)).alias("text"))
-    texts = lambda c: F.transform(F.sort_array(c), lambda x: x["text"])
-    orders = lambda c: F.array_join(F.transform(F.sort_array(c), lambda x: x["order"]), ",")
-    groups = rows.withColumn("_pair", pair).groupBy("source", "role_group").agg(F.collect_list("_pair").alias("_pairs"))
-    groups = groups.select("source", "role_group", F.array_join(texts(F.col("_pairs")), ",").alias("_text"), orders(F.col("_pairs")).alias("_order"))
-    braced = F.struct(F.concat(F.lit("{"), "_order", F.lit("}")).alias("order"), F.concat(F.lit("{"), "_text", F.lit("}")).alias("text"))
-    per = groups.groupBy(F.col("source").alias("code")).agg(
-        F.max(F.when(F.col("role_group") == 0, F.col("_text"))).alias("_plain"), texts(F.collect_list(F.when(F.col("role_group") != 0, braced))).alias("_groups"),
-    )
-    parents = shown(edges.select("child", "parent").distinct(), "parent", "_parent")
-    up = parents.groupBy(F.col("child").alias("code")).agg(F.array_join(texts(F.collect_list(F.struct(F.col("parent").alias("order"), F.col("_parent").alias("text")))), "+").alias("_up"))
+    rows, parents = attributes.select("source", "role_group", "kind", plain.alias("_plain"), "target"), edges.select("child", "parent")
+    if terms is None:
+        # forms of codes are their own order
+        rows = rows.select("source", "role_group", F.concat("kind", F.lit("="), "_plain").alias("_pair")).repartition("source")
+        ordered = F.sort_array
+        pair, parent = F.col("_pair"), F.col("parent")
+        parents = parents.repartition("child").distinct()
+    else:
+        term = lambda code, name: terms.select(F.col("code").alias(code), F.col("display").alias(name))
+        shown = lambda c, t: F.when(F.col(t).isNull(), F.col(c)).otherwise(F.concat(F.col(c), F.lit(" |"), t, F.lit("|")))
+        kinds = small(attributes.select("kind").distinct().join(term("kind", "_of_kind"), "kind"))
+        known = rows.filter("target IS NOT NULL").join(term("target", "_of_target"), "target", "left").select("source", "role_group", "kind", "_plain", "_of_target")
+        rest = rows.filter("target IS NULL").select("source", "role_group", "kind", "_plain", F.lit(None).cast("string").alias("_of_target"))
+        rows = known.unionByName(rest).repartition("source").join(kinds, "kind", "left")
+        ordered = lambda c: F.transform(F.sort_array(c), lambda x: x["text"])
+        pair = F.struct(F.concat("kind", F.lit("="), "_plain").alias("order"), F.concat(shown("kind", "_of_kind"), F.lit("="), shown("_plain", "_of_target")).alias("text"))
+        parents = parents.distinct().join(term("parent", "_of_parent"), "parent", "left")
+        parent = F.struct(F.col("parent").alias("order"), shown("parent", "_of_parent").alias("text"))
+    groups = rows.groupBy("source", "role_group").agg(F.collect_list(pair).alias("_pairs"))
+    braces = lambda c: F.concat(F.lit("{"), F.array_join(c, ","), F.lit("}"))
+    braced = braces(ordered("_pairs"))
+    if terms is not None:
+        braced = F.struct(braces(F.transform(F.sort_array("_pairs"), lambda x: x["order"])).alias("order"), braced.alias("text"))
+    plainly = F.col("role_group") == 0
+    groups = groups.select("source", F.when(plainly, F.array_join(ordered("_pairs"), ",")).alias("_text"), F.when(F.col("role_group") != 0, braced).alias("_braced"))
+    per = groups.groupBy(F.col("source").alias("code")).agg(F.max("_text").alias("_plain"), ordered(F.collect_list("_braced")).alias("_groups"))
+    up = parents.groupBy(F.col("child").alias("code")).agg(F.array_join(ordered(F.collect_list(parent)), "+").alias("_up"))
     right = F.array_join(F.filter(F.concat(F.array("_plain"), F.coalesce("_groups", F.array().cast("array<string>"))), lambda x: x.isNotNull()), ",")
     return up.join(per, "code", "full_outer").select("code", F.concat_ws(":", "_up", F.nullif(right, F.lit(""))).alias("form"))
 
