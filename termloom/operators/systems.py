@@ -131,11 +131,12 @@ def axis_value_check(asked: DataFrame, scales: DataFrame, closure: DataFrame) ->
     scales are (stem, axis, required, declared, entity). A listed entity holds itself and all below
     it; an unfilled axis comes first, then required ones, then the declared order.
     """
-    below = closure.select(F.col("descendant").alias("value"), F.col("ancestor").alias("entity")).unionByName(scales.select(F.col("entity").alias("value"), "entity").distinct())
-    met = asked.join(below, "value").join(scales, ["stem", "entity"])
-    order = F.struct(F.array_contains("filled", F.col("axis")).cast("int"), (~F.col("required")).cast("int"), "declared", "axis")
-    best = met.groupBy("id").agg(F.min_by("axis", order).alias("axis"))
-    return asked.join(best, "id", "left")
+    entities = scales.select("entity").distinct()
+    below = closure.select(F.col("descendant").alias("value"), F.col("ancestor").alias("entity")).join(small(entities), "entity").unionByName(entities.select(F.col("entity").alias("value"), "entity"))
+    order = F.struct((~F.col("required")).cast("int").alias("optional"), "declared", "axis")
+    axes = below.join(small(scales), "entity").groupBy("stem", "value").agg(F.sort_array(F.collect_set(order)).alias("_axes"))  # one row a value, however many ask for it
+    free = F.get(F.filter("_axes", lambda x: ~F.coalesce(F.array_contains("filled", x["axis"]), F.lit(False))), F.lit(0))
+    return asked.join(axes, ["stem", "value"], "left").withColumn("axis", F.coalesce(free, F.get("_axes", F.lit(0)))["axis"]).select(*asked.columns, "axis")
 
 
 # definitions

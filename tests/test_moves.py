@@ -20,3 +20,12 @@ def test_normal_forms_move_once_by_source(spark) -> None:  # noqa: ANN001
     named = Y.normal_form_table(edges, attributes, terms)
     assert dict(map(tuple, named.collect())) == {"a": 'p |pa|+q:k |kind|=t |tea|,n=#1.50,{k |kind|=u},{s="x"}', "b": "{k |kind|=t |tea|}", "c": "p |pa|"}
     assert not any("role_group" in line for line in exchanges(named))
+
+
+def test_axes_are_found_once_a_value(spark) -> None:  # noqa: ANN001
+    scales = spark.createDataFrame([("s", "one", True, 0, "x"), ("s", "two", False, 1, "x"), ("s", "two", False, 1, "y"), ("other", "one", True, 0, "z")], "stem string, axis string, required boolean, declared int, entity string")
+    closure = spark.createDataFrame([("v", "x"), ("v", "y"), ("w", "y"), ("u", "z")], "descendant string, ancestor string")
+    asked = spark.createDataFrame([(1, "s", "v", []), (2, "s", "v", ["one"]), (3, "s", "v", ["one", "two"]), (4, "s", "w", None), (5, "s", "u", []), (6, "other", "z", [None])], "id int, stem string, value string, filled array<string>")
+    got = Y.axis_value_check(asked, scales, closure)
+    assert {r.id: r.axis for r in got.collect()} == {1: "one", 2: "two", 3: "one", 4: "two", 5: None, 6: "one"}
+    assert not any("(id" in line for line in exchanges(got))
