@@ -49,7 +49,7 @@ def stream_closure_delta(new_codes: DataFrame, tables: Callable[[SparkSession],
     """Edges that each batch of new codes adds to a kept closure table; the version is the batch id, so a replay writes the same rows again.
 
     tables() gives the closure anew for every batch, so that the stream follows a hierarchy that changes.
-    Of the codes held before, only those that the closure relates to the batch's are looked at.
+    Only the closure's pairs that have one of the batch's codes give edges.
     """
     spark = new_codes.sparkSession
     kind = "code string"
@@ -59,8 +59,7 @@ def stream_closure_delta(new_codes: DataFrame, tables: Callable[[SparkSession],
         closure = tables(batch.sparkSession)
         held = batch.sparkSession.read.schema(f"{kind}, version long").parquet(members_path).filter(F.col("version") < batch_id).select("code")
         fresh = cut(batch.select("code").distinct().join(held, "code", "left_anti"), "stream-codes")
-        related = H.ancestors(fresh, closure).unionByName(H.descendants(fresh, closure)).distinct()
-        delta = H.closure_delta(held.join(related, "code", "left_semi"), fresh, closure)
+        delta = H.closure_delta(held, fresh, closure)
         delta.write.mode("overwrite").parquet(f"{edges_path}/version={batch_id}")
         fresh.write.mode("overwrite").parquet(f"{members_path}/version={batch_id}")
 

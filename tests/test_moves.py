@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from termloom.operators import hierarchy as H
 from termloom.operators import systems as Y
 
 
@@ -29,3 +30,11 @@ def test_axes_are_found_once_a_value(spark) -> None:  # noqa: ANN001
     got = Y.axis_value_check(asked, scales, closure)
     assert {r.id: r.axis for r in got.collect()} == {1: "one", 2: "two", 3: "one", 4: "two", 5: None, 6: "one"}
     assert not any("(id" in line for line in exchanges(got))
+
+
+def test_closure_pairs_meet_new_codes_once(spark) -> None:  # noqa: ANN001
+    closure = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "c"), ("d", "c")], "descendant string, ancestor string")
+    code = lambda *x: spark.createDataFrame([(c,) for c in x], "code string")
+    got = H.closure_delta(code("a", "c"), code("b", "c", "e"), closure)
+    assert sorted((r.source, r.target) for r in got.collect()) == [("a", "b"), ("b", "c")]
+    assert not any("hashpartitioning(source" in line for line in exchanges(got))
