@@ -36,7 +36,7 @@ TREE_OPS = ("is-a", "descendent-of", "is-not-a", "generalizes", "child-of", "des
 
 @dataclass(frozen=True)
 class SystemTables:
-    """The tables of all systems. closure may be a function that gives it: it is called where a rule needs it.
+    """The tables of all systems. closure may be a function that gives it: then rules walk the edges from the codes that they name, and it is called only where too many levels lie below these.
 
     sets (value, system, code) are the sets that `constraint` filters name (see named_sets);
     designations (code, term, active, perhaps system; those of supplements too) take part in text filters, through
@@ -139,20 +139,28 @@ def tree_filters(rules: DataFrame, t: SystemTables, kinds: set[str]) -> DataFram
     f, on, op = _filters(rules), ["system", "value"], F.col("op")
     child = t.edges.select("system", F.col("child").alias("code"), F.col("parent").alias("value"))
     parent = t.edges.select("system", F.col("parent").alias("code"), F.col("child").alias("value"))
+    down = _reach(f.filter(op.isin("is-a", "descendent-of", "descendent-leaf")), t) if kinds & {"is-a", "descendent-of", "descendent-leaf"} else None
     branches: list[tuple[set[str], Column, Callable[[], DataFrame]]] = [
-        ({"is-a", "generalizes"}, op.isin("is-a", "generalizes"), lambda: t.concepts.select("system", "code", F.col("code").alias("value"))),
-        ({"is-a", "descendent-of"}, op.isin("is-a", "descendent-of"), lambda: _down(t)),
-        ({"generalizes"}, op == "generalizes", lambda: t.reach.select("system", F.col("ancestor").alias("code"), F.col("descendant").alias("value"))),
+        ({"is-a", "descendent-of"}, op.isin("is-a", "descendent-of"), lambda: down),
+        ({"generalizes"}, op == "generalizes", lambda: _reach(f.filter("op = 'generalizes'"), t, up=True)),
         ({"child-of", "parent"}, (op == "child-of") | ((F.col("property") == "parent") & (op == "=")), lambda: child),
         ({"child"}, (F.col("property") == "child") & (op == "="), lambda: parent),
-        ({"descendent-leaf"}, op == "descendent-leaf", lambda: _down(t).join(parent.select("system", "code"), ["system", "code"], "left_anti")),
+        ({"descendent-leaf"}, op == "descendent-leaf", lambda: down.join(parent.select("system", "code").distinct(), ["system", "code"], "left_anti")),
     ]
     used = [_keyed(f.filter(test).join(t.narrowed(other()), on), F.col("_cond")) for own, test, other in branches if own & kinds]
+    if kinds & {"is-a", "generalizes"}:  # the named codes themselves: only they meet the concepts
+        own = f.filter(op.isin("is-a", "generalizes")).withColumn("code", F.col("value"))
+        used.append(_keyed(t.narrowed(own.join(t.concepts.select("system", "code"), ["system", "code"], "left_semi")), F.col("_cond")))
     return reduce(DataFrame.unionByName, used)
 
 
-def _down(t: SystemTables) -> DataFrame:
-    return t.reach.select("system", F.col("descendant").alias("code"), F.col("ancestor").alias("value"))
+def _reach(f: DataFrame, t: SystemTables, up: bool = False) -> DataFrame:
+    """(system, value, code): what lies below (or above) the values of filters: by a walk from these, or from the closure where that has been built, or many levels lie there."""
+    at, to = ("descendant", "ancestor") if up else ("ancestor", "descendant")
+    walked = H.reached(f.select("system", F.col("value").alias("code")), t.edges, up) if callable(t.closure) else None
+    if walked is not None:
+        return walked.select("system", F.col("start").alias("value"), "code")
+    return t.reach.select("system", F.col(to).alias("code"), F.col(at).alias("value"))
 
 
 def code_filters(rules: DataFrame, t: SystemTables) -> DataFrame:
@@ -194,23 +202,31 @@ def constraint_filters(rules: DataFrame, t: SystemTables) -> DataFrame:
     return _keyed(f.join(t.narrowed(t.sets), ["system", "value"]).join(t.codes, ["system", "code"], "left_semi"), F.col("_cond"))
 
 
+def _fits(test: Column) -> Column:
+    """Whether the column code passes a pattern or negative test (op, value) of the code."""
+    listed = F.transform(F.split(test["value"], ","), lambda x: F.trim(x))
+    pattern = F.rlike(F.col("code"), F.concat(F.lit("^(?:"), test["value"], F.lit(")$")))
+    return F.when(test["op"] == "regex", pattern).when(test["op"] == "not-in", ~F.array_contains(listed, F.col("code"))).otherwise(test["value"] == "true")
+
+
+def _without_tested(kept: DataFrame, rules: DataFrame) -> DataFrame:
+    """kept (url, system, code, ...) less what excludes of tests of the code alone (or of nothing: the whole system) take out, row by row."""
+    tests = rules.groupBy(*_RULE).agg(F.max("system").alias("system"), F.collect_list(F.when(F.col("filter_no").isNotNull(), F.struct("op", "value"))).alias("_tests"))
+    outs = tests.groupBy("url", "system").agg(F.collect_list("_tests").alias("_outs"))
+    gone = F.exists("_outs", lambda tests: F.forall(tests, lambda x: F.coalesce(_fits(x), F.lit(False))))
+    return kept.join(outs, ["url", "system"], "left").filter(F.col("_outs").isNull() | ~gone).drop("_outs")
+
+
 def _tested(base: DataFrame, rules: DataFrame, t: SystemTables, kinds: set[str]) -> DataFrame:
     """base (rule key, system, code, ...) less the codes that fail a negative filter or a pattern of their rule."""
     f, key = _filters(rules), [*_RULE, "system", "code"]
     of = lambda kind: _filters(rules.filter(_kind() == kind)).drop("system")
     if "code-test" in kinds:
         tests = of("code-test").groupBy(*_RULE).agg(F.collect_list(F.struct("op", "value")).alias("_tests"))
-        listed = lambda x: F.transform(F.split(x["value"], ","), lambda y: F.trim(y))
-
-        def fits(x: Column) -> Column:
-            return (
-                F.when(x["op"] == "regex", F.rlike(F.col("code"), F.concat(F.lit("^(?:"), x["value"], F.lit(")$")))).when(x["op"] == "not-in", ~F.array_contains(listed(x), F.col("code"))).otherwise(x["value"] == "true")
-            )
-
-        base = base.join(tests, _RULE, "left").filter(F.col("_tests").isNull() | F.forall("_tests", fits)).drop("_tests")
+        base = base.join(tests, _RULE, "left").filter(F.col("_tests").isNull() | F.forall("_tests", _fits)).drop("_tests")
     if "is-not-a" in kinds:
         nots = f.filter("op = 'is-not-a'")
-        inside = nots.join(t.narrowed(_down(t)), ["system", "value"]).select(key).unionByName(nots.withColumn("code", F.col("value")).select(key))
+        inside = nots.join(t.narrowed(_reach(nots, t)), ["system", "value"]).select(key).unionByName(nots.withColumn("code", F.col("value")).select(key))
         base = base.join(inside, key, "left_anti")
     held = t.properties.select("system", "code", "property", "value_text")
     if "property-not" in kinds:
@@ -309,7 +325,9 @@ def _evaluate(rules: DataFrame, t: SystemTables, known: DataFrame | None, kinds:
     met = _met(rules.filter("side = 'include'"), t, known, kinds["include"], lambda whole: whole.join(t.codes, "system"))
     first = F.min(F.struct("rule_no", F.coalesce("place", F.lit(0)).alias("place"), "label"))
     kept = met.groupBy("url", "system", "code").agg(first.alias("_first"))
-    if kinds["exclude"]:
+    if kinds["exclude"] and kinds["exclude"] <= {"code-test", "all"}:
+        kept = _without_tested(kept, rules.filter("side = 'exclude'"))
+    elif kinds["exclude"]:
         kept = cut(kept, "included")  # what is not included need not be excluded
         out = _met(rules.filter("side = 'exclude'"), t, known, kinds["exclude"], lambda whole: whole.join(kept.select("url", "system", "code"), ["url", "system"]))
         kept = kept.join(out.select("url", "system", "code").hint("merge"), ["url", "system", "code"], "left_anti")  # as many as excludes give: not for the driver
@@ -356,7 +374,7 @@ def _with_references(rules: DataFrame, t: SystemTables) -> DataFrame:
             raise ValueError("value sets refer to each other in a circle")
         now = rules.join(left.join(waiting, "url", "left_anti") if size else left, "url", "left_semi")
         needed = now.filter("ref_url IS NOT NULL").select("ref_url").distinct().join(reach, "ref_url")
-        known = needed.join(done.select(F.col("url").alias("end"), "system", "code"), "end").select(F.col("ref_url").alias("url"), "system", "code").distinct() if done is not None else None
+        known = needed.join(done.select(F.col("url").alias("end"), "system", "code"), "end").select(F.col("ref_url").alias("url"), "system", "code") if done is not None else None  # a code perhaps more than once
         made = cut(_evaluate(now, t, known, _kinds(now)), "expansion")
         done, left = made if done is None else done.unionByName(made), waiting
     if done is None or not united:
@@ -382,18 +400,7 @@ def expand(rules: DataFrame, t: SystemTables, active_only: bool = False, selecta
     a table (url, text), keeps the codes of which the display, or an active designation where the tables have
     them, has all its words. Texts meet the tables' word index, not terms one by one.
     """
-    rules = cut(_counted(rules), "rules")
-    kinds = _kinds(rules)
-    if (kinds["include"] | kinds["exclude"]) - {"listed", "ref", "all"}:
-        bad = refused(rules, t)
-        if refuse:
-            first = bad.orderBy("url", "rule_no", "filter_no").first()
-            if first:
-                raise ValueError(f"{first['url']}: {first['reason']}: {first['property']} {first['op']} {first['value']}")
-        else:
-            rules = cut(rules.join(bad.filter("reason != 'unknown-code' OR NOT op IN ('in', 'not-in')").select(*_RULE).distinct(), _RULE, "left_anti"), "rules-sound")
-            kinds = _kinds(rules)
-    out = _with_references(rules, t) if "ref" in kinds["include"] | kinds["exclude"] else _evaluate(rules, t, None, kinds)
+    rules, out = _contents(rules, t, refuse)
     concepts = t.concepts.select("system", "code", "display", "active", "abstract")
     many = rules.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS  # so many rules mostly list codes: their expansion is as large
     out = out.join(concepts.hint("merge") if many else concepts, ["system", "code"])
@@ -410,6 +417,22 @@ def expand(rules: DataFrame, t: SystemTables, active_only: bool = False, selecta
     return out.select("url", "system", "code", F.coalesce("label", "display").alias("display"), (~F.col("active")).alias("inactive"), "rule_no", "concept_no")
 
 
+def _contents(rules: DataFrame, t: SystemTables, refuse: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The rules that take part, and what they give: url, system, code, rule_no, concept_no, label; codes are not yet held against the concepts."""
+    rules = cut(_counted(rules), "rules")
+    kinds = _kinds(rules)
+    if (kinds["include"] | kinds["exclude"]) - {"listed", "ref", "all"}:
+        bad = refused(rules, t)
+        if refuse:
+            first = bad.orderBy("url", "rule_no", "filter_no").first()
+            if first:
+                raise ValueError(f"{first['url']}: {first['reason']}: {first['property']} {first['op']} {first['value']}")
+        else:
+            rules = cut(rules.join(bad.filter("reason != 'unknown-code' OR NOT op IN ('in', 'not-in')").select(*_RULE).distinct(), _RULE, "left_anti"), "rules-sound")
+            kinds = _kinds(rules)
+    return rules, _with_references(rules, t) if "ref" in kinds["include"] | kinds["exclude"] else _evaluate(rules, t, None, kinds)
+
+
 def text_index(t: SystemTables) -> DataFrame:
     """(word, key): the words of displays and active designations; key is the term's system, code and id. Written sorted by word (search.write_index), a prefix reads few row groups of it."""
     rows = t.concepts.select("system", "code", F.lit(None).cast("string").alias("id"), F.col("display").alias("term"))
@@ -422,6 +445,7 @@ def text_index(t: SystemTables) -> DataFrame:
 
 def pages(expansion: DataFrame, offset: int, count: int) -> DataFrame:
     """The same page of every value set, in the order of its compose, with place and total; each task keeps the first ones of a value set only."""
+    expansion = cut(expansion, "paged")  # read for the page and for the totals
     order = Window.partitionBy("url").orderBy("rule_no", "concept_no", "system", "code")
     first = expansion.withColumn("_row", F.row_number().over(order)).filter(F.col("_row") <= offset + count)
     placed = first.withColumn("place", F.col("_row") - 1).filter(F.col("place") >= offset).drop("_row")
@@ -440,7 +464,9 @@ def holding(codes: DataFrame, urls: DataFrame, rules: DataFrame, t: SystemTables
     """(url, system, code): which of codes (system, code) the value sets urls hold. Concepts nobody asks about never meet a rule; codes of case-blind systems are found in any case."""
     own = cut(with_own(codes.select("system", "code").distinct(), t.concepts, t.systems).filter("_own IS NOT NULL").select("system", "code", F.col("_own.code").alias("_code")), "asked-codes")
     narrow = replace(t, only=own.select("system", F.col("_code").alias("code")).distinct())
-    held = expand(rules.join(_drawn_on(urls.select("url").distinct(), rules), "url", "left_semi"), narrow).select("url", "system", F.col("code").alias("_code"))
+    urls = urls.select("url").distinct()
+    _, held = _contents(rules.join(_drawn_on(urls, rules), "url", "left_semi"), narrow)  # of codes that are concepts
+    held = held.join(urls, "url", "left_semi").select("url", "system", F.col("code").alias("_code"))
     return held.join(own, ["system", "_code"]).select("url", "system", "code")
 
 

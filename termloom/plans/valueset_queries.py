@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from termloom.operators import concepts as C
 from termloom.operators import valuesets as VS
-from termloom.plans.driver_views import SQL, Views, sql
+from termloom.plans.driver_views import CLOSURES, SQL, Views, sql
 from termloom.plans.registry import query
 
 SYSTEM = "CASE WHEN {0} LIKE 'P:%' OR {0} LIKE 'B:%' OR {0} LIKE 'T:%' OR {0} = 'PART' THEN 'parts' ELSE 'world' END"
@@ -25,9 +25,10 @@ class Sets:
         v = self.v
         of = lambda c: F.expr(SYSTEM.format(c))
         concepts = v.concepts.withColumn("system", of("code")).withColumn("abstract", F.col("module").isin("root", "region"))
+        closure = lambda: v.closure.withColumn("system", of("descendant"))
         systems = v.spark.sql("SELECT * FROM VALUES ('parts', '2', true, 'complete'), ('world', '1.10', false, 'fragment') AS t(system, version, case_sensitive, content)")
         return VS.SystemTables(
-            concepts, v.edges.withColumn("system", of("child")), lambda: v.closure.withColumn("system", of("descendant")), v.properties.withColumn("system", F.lit("parts")), systems,
+            concepts, v.edges.withColumn("system", of("child")), closure() if v.sf_dir in CLOSURES else closure, v.properties.withColumn("system", F.lit("parts")), systems,
             v.members.withColumn("system", F.lit("world")), designations=self.designations,
         )
 
