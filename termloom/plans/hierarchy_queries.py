@@ -374,7 +374,7 @@ def ecl_dialect_filter(v: Views) -> DataFrame:
 asia AS ({ASIA} AND descendant LIKE 'C:%')
 SELECT code FROM asia UNION SELECT code FROM members WHERE active AND refset_id IN ('PRI:1-URGENT', 'PRI:2-HIGH') AND targetComponentId IN (SELECT code FROM asia)""", "members", "closure"))
 def ecl_history(v: Views) -> DataFrame:
-    asia = C.both(H.descendants(v.code("R:2"), v.closure), v.concepts.filter("module = 'customer'"))
+    asia = C.both(H.below(v.code("R:2"), v.edges, lambda: v.closure), v.concepts.filter("module = 'customer'"))
     return C.with_history(asia, v.members, ["PRI:1-URGENT", "PRI:2-HIGH"])
 
 
