@@ -41,7 +41,8 @@ def code_intervals(concepts: DataFrame, releases: DataFrame) -> DataFrame:
     """
     columns = [c for c in concepts.columns if c not in ("system", "version")]
     rows = concepts.join(small(releases.select("system", "version", "release_no", "case_sensitive")), ["system", "version"])
-    keyed = rows.groupBy("system", code_key(F.col("code"), F.col("case_sensitive")).alias("key"), "release_no").agg(F.min(F.struct("code", *[c for c in columns if c != "code"])).alias("own"))
+    rows = rows.withColumn("key", code_key(F.col("code"), F.col("case_sensitive"))).repartition("system", "key")  # all that follows stays where a key is
+    keyed = rows.groupBy("system", "key", "release_no").agg(F.min(F.struct("code", *[c for c in columns if c != "code"])).alias("own"))
     by = Window.partitionBy("system", "key").orderBy("release_no")
     goes_on = F.lag("own").over(by).eqNullSafe(F.col("own")) & (F.lag("release_no").over(by) == F.col("release_no") - 1)
     runs = keyed.withColumn("_new", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("_run", F.sum("_new").over(by))
@@ -98,7 +99,7 @@ def expand_versions(rules: DataFrame, t: VS.SystemTables, releases: DataFrame, *
     key = F.concat_ws("|", "system", "release")
     asked = small(cut(good.filter("system IS NOT NULL").select("system", "release_no", "release", key.alias("key")).distinct(), "releases-asked"))
     at = lambda df: None if df is None else held_at(df, asked)
-    edges = at(t.edges)
+    edges, concepts = cut(at(t.edges), "edges-asked"), cut(at(t.concepts), "concepts-asked")  # read again by each step of an expansion
 
     def closure() -> DataFrame:
         inside = lambda c: F.concat_ws("\u0001", "system", c)  # noqa: E731  the nodes of one release are its own
@@ -107,7 +108,7 @@ def expand_versions(rules: DataFrame, t: VS.SystemTables, releases: DataFrame, *
         return reach.select(part("descendant", 0).alias("system"), part("descendant", 1).alias("descendant"), part("ancestor", 1).alias("ancestor"), "min_depth")
 
     systems = releases.join(asked.select("system", "release_no", "key"), ["system", "release_no"]).select(F.col("key").alias("system"), "version", "case_sensitive", "content")
-    tables = replace(t, concepts=at(t.concepts), edges=edges, closure=closure, properties=at(t.properties), systems=systems, members=at(t.members), sets=at(t.sets), designations=at(t.designations), only=at(t.only))
+    tables = replace(t, concepts=concepts, edges=edges, closure=closure, properties=at(t.properties), systems=systems, members=at(t.members), sets=at(t.sets), designations=at(t.designations), only=at(t.only))
     keyed = good.withColumn("system", F.when(F.col("system").isNotNull(), key)).drop("release", "release_no", "release_error")
     out = VS.expand(keyed, tables, **options).withColumnRenamed("system", "key").join(asked, "key")
     return out.select("url", "system", F.col("release").alias("version"), *[c for c in out.columns if c not in ("url", "key", "system", "release", "release_no")]), errors

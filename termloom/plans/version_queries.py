@@ -17,6 +17,7 @@ from termloom.operators import versioned as VV
 from termloom.plans.driver_views import Views, sql
 from termloom.plans.registry import query
 from termloom.plans.valueset_queries import SYSTEM, Sets
+from termloom.tables import cut
 
 WORLD = ("1.9", "1.10", "2")
 #: Which versions hold an order, in SQL that both engines read.
@@ -59,10 +60,11 @@ class Versions:
         """Edges of an order are there as long as the order is."""
         v = self.v
         edges = v.edges.withColumn("system", F.expr(SYSTEM.format("child")))
-        orders = self.intervals.filter("module = 'orders'").select(F.col("code").alias("child"), "from_no", "to_no")
+        intervals = cut(self.intervals, "intervals")
+        orders = intervals.filter("module = 'orders'").select(F.col("code").alias("child"), "from_no", "to_no")
         dated = edges.filter("child LIKE 'O:%'").join(orders, "child")
         always = edges.filter("child NOT LIKE 'O:%'").withColumns({"from_no": F.lit(1), "to_no": F.lit(len(WORLD))})
-        return replace(Sets(v).tables, concepts=self.intervals.drop("key"), edges=always.unionByName(dated.select(*always.columns)), systems=self.releases)
+        return replace(Sets(v).tables, concepts=intervals.drop("key"), edges=always.unionByName(dated.select(*always.columns)), systems=self.releases)
 
 
 @query("version_intervals", sql(f"""{_VERSIONED},
