@@ -122,10 +122,10 @@ def preorder_page(v: Views) -> DataFrame:
     return H.preorder_page(v.concepts, v.edges, v.concepts.count() * 2 // 3, 100)
 
 
-@query("preorder_numbers", sql(f"{_WALK} SELECT code, place, place + (SELECT count(*) FROM firsts f WHERE list_contains(f.path, p.code)) - 1 AS last FROM placed p WHERE code NOT LIKE 'O:%'", "concepts", "edges"))
+@query("preorder_numbers", sql(f"{_WALK} SELECT code, place, place + (SELECT count(*) FROM firsts f WHERE list_contains(f.path, p.code)) - 1 AS last FROM placed p", "concepts", "edges"))
 def preorder_numbers(v: Views) -> DataFrame:
     """Every code's place in the walk, and the last place below it."""
-    return H.preorder_numbers(v.concepts, v.edges).filter("code NOT LIKE 'O:%'")
+    return H.preorder_numbers(v.concepts, v.edges)
 
 
 @query("subsumes_labels", sql(f"{_PAIRS}, {_OUTCOMES}", "closure"))
